@@ -1,10 +1,352 @@
-"""All queries by name, and the SQL that says what they return."""
+"""All queries by name, each over its whole tables, and the SQL that says what they return."""
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
+from ..config import CollectionConfig, Config, SearchConfig
+from ..functions import vectors
+from ..functions.text import sanitized
+from ..operators import answer, chunk, collections, embed, points, search
+from ..sources.documents import extract_text, load_table, reject_bad_documents, strict_utf8_text
+from . import sql
+
+Query = Callable[[SparkSession, str], DataFrame]
+
+QUERIES: dict[str, Query] = {}
 ORACLE_SQL: dict[str, str] = {}
+
+
+def query(oracle: str | None) -> Callable[[Query], Query]:
+    def register(f: Query) -> Query:
+        QUERIES[f.__name__] = f
+        if oracle:
+            ORACLE_SQL[f.__name__] = oracle
+        return f
+
+    return register
+
+
+def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return load_table(spark, sf_dir, "documents").select("doc_id", "source", "text")
+
+
+def chunks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return chunk.chunk_window(documents(spark, sf_dir))
+
+
+def numbered(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return points.assign_point_ids(chunks(spark, sf_dir))
+
+
+def indexed(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Points of the chunks of all documents."""
+    return points.build_points(embed.embed_dense(numbered(spark, sf_dir)))
+
+
+def questions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return load_table(spark, sf_dir, "benchmark").select(F.col("item_id").alias("query_id"), F.col("text").alias("query"))
+
+
+def found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The five nearest chunks of each question, with their payloads."""
+    stored = numbered(spark, sf_dir)
+    asked = embed.embed_query(questions(spark, sf_dir))
+    hits = search.knn_exact(asked, embed.embed_dense(stored))
+    return search.project_payload(hits, stored.select("id", F.struct("text", "source").alias("payload")))
+
+
+def stored_vectors(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return load_table(spark, sf_dir, "embeddings").select(F.col("vec_id").alias("id"), F.col("embedding").alias("vector"))
+
+
+def asked_vectors(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = stored_vectors(spark, sf_dir).where(F.col("id") % 50 == 0)
+    return rows.select(F.col("id").alias("query_id"), "vector")
+
+
+def rounded(hits: DataFrame) -> DataFrame:
+    return hits.withColumn("score", F.round("score", 6))
+
+
+# sources
+
+
+@query("SELECT doc_id, source, length(text)::BIGINT AS n_chars FROM documents")
+def scan_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return documents(spark, sf_dir).select("doc_id", "source", F.length("text").cast("long").alias("n_chars"))
+
+
+def _encoded(spark: SparkSession, sf_dir: str, broken: bool) -> DataFrame:
+    """Documents as file contents; if asked for, with a byte that is no UTF-8 behind each German one."""
+    docs = load_table(spark, sf_dir, "documents")
+    body = F.encode("text", "UTF-8")
+    if broken:
+        body = F.when(F.col("lang") == "de", F.concat(body, F.lit(bytes([255])))).otherwise(body)
+    return docs.select("doc_id", "source", body.alias("content"))
+
+
+@query("SELECT doc_id, source, length(text)::BIGINT AS n_chars, md5(text) AS text_md5, true AS readable FROM documents")
+def extract_text_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = extract_text(_encoded(spark, sf_dir, True))
+    return out.select("doc_id", "source", F.length("text").cast("long").alias("n_chars"), F.md5("text").alias("text_md5"), F.col("error").isNull().alias("readable"))
+
+
+@query("SELECT doc_id, lang = 'de' AS rejected FROM documents")
+def reject_bad_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    good, bad = reject_bad_documents(extract_text(_encoded(spark, sf_dir, True), strict_utf8_text))
+    return good.select("doc_id", F.lit(False).alias("rejected")).unionByName(bad.select("doc_id", F.lit(True).alias("rejected")))
+
+
+@query(sql.with_chunks("SELECT (SELECT count(*) FROM documents)::BIGINT AS n_documents, count(*)::BIGINT AS n_chunks, max(id)::BIGINT + 1 AS n_points FROM numbered"))
+def ingest_stats(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = documents(spark, sf_dir).select(F.lit(1).alias("doc"), F.lit(0).alias("chunk"), F.lit(-1).cast("long").alias("id"))
+    rows = docs.unionByName(numbered(spark, sf_dir).select(F.lit(0).alias("doc"), F.lit(1).alias("chunk"), "id"))
+    return rows.agg(F.sum("doc").alias("n_documents"), F.sum("chunk").alias("n_chunks"), (F.max("id") + 1).alias("n_points"))
+
+
+# text and chunks
+
+
+@query("SELECT doc_id, text, length(text)::BIGINT AS n_chars FROM documents")
+def sanitize_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return documents(spark, sf_dir).select("doc_id", sanitized(F.col("text")).alias("text")).withColumn("n_chars", F.length("text").cast("long"))
+
+
+@query("SELECT doc_id, true AS has_chunk, true AS none_too_long, true AS all_inside, true AS covers FROM documents WHERE trim(text, ' \t\n\r') <> ''")
+def chunk_recursive(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Holds for each document: it has a chunk, none is longer than asked for, each is a part of the text, together they are as long as the text."""
+    docs = documents(spark, sf_dir)
+    size = Config().chunk.size
+    pieces = chunk.chunk_recursive(docs).select("doc_id", F.col("text").alias("chunk"))
+    joined = pieces.join(docs.select("doc_id", "text"), "doc_id")
+    no_space = lambda c: F.length(F.regexp_replace(c, r"\s", ""))
+    held = joined.groupBy("doc_id").agg(F.count(F.lit(1)).alias("n"), F.max(F.length("chunk")).alias("longest"), F.bool_and(F.contains(F.col("text"), F.col("chunk"))).alias("all_inside"), (F.sum(no_space(F.col("chunk"))) >= F.max(no_space(F.col("text")))).alias("covers"))
+    return held.select("doc_id", (F.col("n") > 0).alias("has_chunk"), (F.col("longest") <= size).alias("none_too_long"), "all_inside", "covers")
+
+
+@query(sql.with_chunks("SELECT doc_id, chunk_idx, text FROM chunks"))
+def chunk_window(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return chunks(spark, sf_dir).select("doc_id", F.col("chunk_idx").cast("long").alias("chunk_idx"), "text")
+
+
+@query(sql.with_chunks("SELECT doc_id, source, count(*)::BIGINT AS n_chunks FROM chunks GROUP BY doc_id, source"))
+def chunk_lineage(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return chunks(spark, sf_dir).groupBy("doc_id", "source").agg(F.count(F.lit(1)).alias("n_chunks"))
+
+
+@query(sql.TRUNCATED)
+def truncate_tokens(spark: SparkSession, sf_dir: str) -> DataFrame:
+    cut = chunk.truncate_tokens(documents(spark, sf_dir))
+    return cut.select("doc_id", F.size("tokens").cast("long").alias("n_tokens"), F.array_join("tokens", " ").alias("tokens"), F.length("text").cast("long").alias("n_chars"))
+
+
+# embeddings
+
+
+@query(sql.with_embeddings("SELECT id, bucket, n::DOUBLE AS value FROM embedded"))
+def embed_dense(spark: SparkSession, sf_dir: str) -> DataFrame:
+    entries = embed.nonzero(embed.embed_dense(numbered(spark, sf_dir)), ["id"])
+    return entries.select("id", F.col("bucket").cast("long").alias("bucket"), F.col("value").cast("double").alias("value"))
+
+
+@query(sql.with_embeddings("SELECT query_id, bucket, n::DOUBLE AS value FROM asked"))
+def embed_query(spark: SparkSession, sf_dir: str) -> DataFrame:
+    entries = embed.nonzero(embed.embed_query(questions(spark, sf_dir)), ["query_id"])
+    return entries.select("query_id", F.col("bucket").cast("long").alias("bucket"), F.col("value").cast("double").alias("value"))
+
+
+@query("SELECT vec_id, round(sqrt(list_sum([x::DOUBLE * x::DOUBLE for x in embedding])), 6) AS norm, 1.0::DOUBLE AS unit_norm, round(embedding[1]::DOUBLE / sqrt(list_sum([x::DOUBLE * x::DOUBLE for x in embedding])), 6) AS first FROM embeddings")
+def l2_normalize(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = load_table(spark, sf_dir, "embeddings").withColumn("unit", vectors.normalized(F.col("embedding")))
+    norm = lambda c: F.round(F.sqrt(vectors.squares(F.col(c))), 6)
+    return rows.select("vec_id", norm("embedding").alias("norm"), norm("unit").alias("unit_norm"), F.round(F.get("unit", F.lit(0)), 6).alias("first"))
+
+
+# points
+
+
+@query(sql.with_chunks("SELECT id, doc_id, chunk_idx FROM numbered"))
+def assign_point_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return numbered(spark, sf_dir).select("id", "doc_id", F.col("chunk_idx").cast("long").alias("chunk_idx"))
+
+
+@query(sql.with_embeddings("SELECT c.id, c.text, c.source, 1024::BIGINT AS dim, e.mass FROM numbered c JOIN (SELECT id, sum(n)::DOUBLE AS mass FROM embedded GROUP BY id) e USING (id)"))
+def build_points(spark: SparkSession, sf_dir: str) -> DataFrame:
+    mass = F.aggregate("vector", F.lit(0.0), lambda a, x: a + x.cast("double"))
+    return indexed(spark, sf_dir).select("id", "payload.text", "payload.source", F.size("vector").cast("long").alias("dim"), mass.alias("mass"))
+
+
+@query(sql.with_chunks("SELECT id // 1000 AS batch, count(*)::BIGINT AS n_points, min(id)::BIGINT AS first_id, max(id)::BIGINT AS last_id, ceil(count(*) / 256.0)::BIGINT AS n_wire FROM numbered GROUP BY id // 1000"))
+def batch_plan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Batches of 1,000 here, so that the tables have several of them."""
+    return points.batch_plan(numbered(spark, sf_dir), 1000, 256)
+
+
+@query(sql.with_chunks("SELECT id, CASE WHEN id % 3 = 0 THEN 'new' ELSE source END AS source, length(text)::BIGINT AS n_chars FROM numbered"))
+def upsert_points(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Replaces every third point."""
+    old = numbered(spark, sf_dir).select("id", "source", "text")
+    new = old.where(F.col("id") % 3 == 0).withColumn("source", F.lit("new"))
+    return points.upsert_points(old, new).select("id", "source", F.length("text").cast("long").alias("n_chars"))
+
+
+@query("SELECT vec_id AS id, (len(embedding) - vec_id % 2)::BIGINT AS size FROM embeddings WHERE vec_id % 2 = 1")
+def validate_vectors(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every second vector is cut by an entry and must be reported."""
+    rows = stored_vectors(spark, sf_dir)
+    cut = F.when(F.col("id") % 2 == 1, F.slice("vector", 1, F.size("vector") - 1)).otherwise(F.col("vector"))
+    return points.invalid_vectors(rows.withColumn("vector", cut), 64).withColumn("size", F.col("size").cast("long"))
+
+
+@query(sql.with_embeddings("SELECT c.source, count(*)::BIGINT AS n_points, sum(length(c.text))::BIGINT AS n_chars, sum(e.mass) AS mass FROM numbered c JOIN (SELECT id, sum(n)::DOUBLE AS mass FROM embedded GROUP BY id) e USING (id) GROUP BY c.source"))
+def setup_index(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Builds a collection from all documents and reads it back."""
+    own = CollectionConfig(name=f"c_{uuid.uuid4().hex}")
+    collections.setup_index(documents(spark, sf_dir), Config(collection=own), chunk.chunk_window)
+    mass = F.aggregate("vector", F.lit(0.0), lambda a, x: a + x.cast("double"))
+    rows = spark.table(own.name).select("payload.source", F.length("payload.text").alias("n"), mass.alias("mass"))
+    return rows.groupBy("source").agg(F.count(F.lit(1)).alias("n_points"), F.sum("n").cast("long").alias("n_chars"), F.sum("mass").alias("mass"))
+
+
+# scores and search
+
+
+def _pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Each vector and the one with the next id."""
+    rows = load_table(spark, sf_dir, "embeddings").select("vec_id", "embedding")
+    following = rows.select((F.col("vec_id") - 1).alias("vec_id"), F.col("embedding").alias("other"))
+    return rows.join(following, "vec_id")
+
+
+def _measured(spark: SparkSession, sf_dir: str, distance: str) -> DataFrame:
+    measure, _ = vectors.METRICS[distance]
+    return _pairs(spark, sf_dir).select("vec_id", F.round(measure(F.col("embedding"), F.col("other")), 6).alias("score"))
+
+
+@query(sql.pair_scores("cosine"))
+def score_cosine(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _measured(spark, sf_dir, "cosine")
+
+
+@query(sql.pair_scores("euclidean"))
+def score_euclidean(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _measured(spark, sf_dir, "euclidean")
+
+
+@query(sql.pair_scores("manhattan"))
+def score_manhattan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _measured(spark, sf_dir, "manhattan")
+
+
+@query(sql.nearest("cosine"))
+def knn_exact(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return rounded(search.knn_exact(asked_vectors(spark, sf_dir), stored_vectors(spark, sf_dir)))
+
+
+@query(sql.nearest("euclidean"))
+def knn_exact_euclidean(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return rounded(search.knn_exact(asked_vectors(spark, sf_dir), stored_vectors(spark, sf_dir), distance="euclidean"))
+
+
+@query(sql.nearest("manhattan"))
+def knn_exact_manhattan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return rounded(search.knn_exact(asked_vectors(spark, sf_dir), stored_vectors(spark, sf_dir), distance="manhattan"))
+
+
+@query(sql.nearest("cosine"))
+def knn_ann(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """With as many probes as cells the cells lose nothing."""
+    config = SearchConfig()
+    return rounded(search.knn_ann(asked_vectors(spark, sf_dir), stored_vectors(spark, sf_dir), nlist=config.nlist, nprobe=config.nlist))
+
+
+@query(sql.nearest("cosine"))
+def knn_overfetch(spark: SparkSession, sf_dir: str) -> DataFrame:
+    config = SearchConfig(nprobe=SearchConfig().nlist)
+    return rounded(search.knn_overfetch(asked_vectors(spark, sf_dir), stored_vectors(spark, sf_dir), config))
+
+
+@query(sql.nearest("cosine"))
+def knn_auto(spark: SparkSession, sf_dir: str) -> DataFrame:
+    config = SearchConfig(nprobe=SearchConfig().nlist)
+    return rounded(search.knn_auto(asked_vectors(spark, sf_dir), stored_vectors(spark, sf_dir), config))
+
+
+@query("SELECT vec_id AS query_id, true AS found_some, true AS at_most_all FROM embeddings WHERE vec_id % 50 = 0")
+def ann_recall(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Half of the cells: each question finds itself at least."""
+    asked, stored = asked_vectors(spark, sf_dir), stored_vectors(spark, sf_dir)
+    recall = search.ann_recall(search.knn_ann(asked, stored), search.knn_exact(asked, stored))
+    return recall.select("query_id", (F.col("recall") > 0).alias("found_some"), (F.col("recall") <= 1).alias("at_most_all"))
+
+
+# questions over the chunks
+
+
+@query(sql.with_hits("SELECT query_id, rank::INTEGER AS rank, id, round(score, 6) AS score, text, source FROM hits"))
+def project_payload(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return rounded(found(spark, sf_dir))
+
+
+@query(sql.with_hits("SELECT query_id, count(*)::BIGINT AS n_documents, string_agg(source, ',' ORDER BY rank) AS sources, string_agg(text, '|' ORDER BY rank) AS texts, round(max(score), 6) AS best FROM hits GROUP BY query_id"))
+def to_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
+    listed = search.to_documents(found(spark, sf_dir))
+    joined = lambda f, s: F.array_join(F.transform("documents", lambda d: d[f]), s)
+    return listed.select("query_id", F.size("documents").cast("long").alias("n_documents"), joined("source", ",").alias("sources"), joined("text", "|").alias("texts"), F.round(F.element_at("documents", 1)["score"], 6).alias("best"))
+
+
+@query(sql.with_hits("SELECT q.query_id, q.query, h.rank::INTEGER AS rank, h.id, round(h.score, 6) AS score, h.text, CASE WHEN h.rank IS NOT NULL THEN coalesce(h.source, 'unknown') END AS source FROM questions q LEFT JOIN hits h USING (query_id)"))
+def retrieve_stage(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return rounded(answer.retrieve_stage(questions(spark, sf_dir), found(spark, sf_dir)))
+
+
+def _retrieved(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return answer.retrieve_stage(questions(spark, sf_dir), found(spark, sf_dir))
+
+
+@query(sql.with_contexts("SELECT query_id, query, context FROM contexts"))
+def assemble_context(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return answer.assemble_context(_retrieved(spark, sf_dir))
+
+
+@query(sql.with_contexts("SELECT query_id, n_documents, length(context)::BIGINT AS n_chars FROM contexts"))
+def context_stats(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return answer.context_stats(_retrieved(spark, sf_dir))
+
+
+@query(sql.with_contexts("SELECT query_id, prompt FROM prompts"))
+def build_prompt(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return answer.build_prompt(answer.assemble_context(_retrieved(spark, sf_dir))).select("query_id", "prompt")
+
+
+def _answers(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return answer.generate_batch(answer.build_prompt(answer.assemble_context(_retrieved(spark, sf_dir))))
+
+
+@query(sql.with_contexts("SELECT query_id, answer FROM answers"))
+def generate_batch(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _answers(spark, sf_dir).select("query_id", "answer")
+
+
+@query(sql.with_contexts(r"SELECT query_id, len([w for w in regexp_split_to_array(answer, '\s+') if w <> ''])::BIGINT AS n_words FROM answers"))
+def answer_stats(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return answer.answer_stats(_answers(spark, sf_dir))
+
+
+@query(sql.with_contexts("SELECT a.query_id, a.query, a.n_documents, a.sources, a.context, a.answer FROM answers a"))
+def run_queries(spark: SparkSession, sf_dir: str) -> DataFrame:
+    state = answer.run_queries(questions(spark, sf_dir), found(spark, sf_dir))
+    sources = F.array_join(F.transform("retrieved_docs", lambda d: d["source"]), ",")
+    return state.select("query_id", "query", F.size("retrieved_docs").cast("long").alias("n_documents"), sources.alias("sources"), "context", "answer")
+
+
+@query(sql.with_hits("SELECT query_id, rank::INTEGER AS rank, source, round(score, 4) AS score, substr(text, 1, 200) || '...' AS preview FROM hits"))
+def report_preview(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return answer.report_preview(found(spark, sf_dir))
+
+
