@@ -63,8 +63,14 @@ def hashes(points: np.ndarray, n: int) -> np.ndarray:
     return h
 
 
-def key_of(gram: str) -> int:
-    return int(hashes(np.array([ord(c) for c in gram], np.uint32), len(gram))[-1].view(np.int64))
+def keys_of(grams: list[str]) -> np.ndarray:
+    """Keys of n-grams of any lengths, the same as hashes() gives; 0 for an empty one."""
+    size, out = np.array([len(g) for g in grams]), np.zeros(len(grams), np.uint64)
+    for n in set(size.tolist()) - {0}:
+        own = np.flatnonzero(size == n)
+        points = np.frombuffer("".join(grams[i] for i in own).encode("utf-32-le", "replace"), np.uint32)
+        out[own] = hashes(points, n)[n - 1 :: n]
+    return out.view(np.int64)
 
 
 def gram_counts(docs: DataFrame, text: str) -> DataFrame:
@@ -78,44 +84,31 @@ def gram_counts(docs: DataFrame, text: str) -> DataFrame:
             points, real = codes(texts)
             at = np.flatnonzero(real)
             _, first, n = np.unique(hashes(points, ORDER)[at], return_index=True, return_counts=True)
-            return pa.RecordBatch.from_arrays([pa.array([joined[i - ORDER + 1 : i + 1] for i in at[first].tolist()]), pa.array(n, pa.int64())], schema=schema)
+            return pa.RecordBatch.from_arrays([pa.array([joined[i - ORDER + 1 : i + 1] for i in at[first].tolist()], pa.string()), pa.array(n, pa.int64())], schema=schema)
 
         for batch in batches:
             held, size = [], 0
             for value in batch.column(text):
                 body = value.as_py() or ""
-                for i in range(0, len(body), BLOCK):  # a long text goes on with its own last characters
-                    part = body[i : i + BLOCK]
-                    if i:
-                        yield pa.RecordBatch.from_pydict(_bridge(body, i), schema=schema)
-                        part = part[ORDER - 1 :]
-                        if not part:
-                            continue
-                        yield counted_inside(body[i : i + BLOCK], schema)
-                        continue
-                    held.append(part)
-                    size += len(part)
-                    if size >= BLOCK:
-                        yield counted(held)
-                        held, size = [], 0
+                held.append(body[:BLOCK])
+                size += len(held[-1])
+                for i in range(BLOCK, len(body), BLOCK):  # a long text goes on with its own last characters
+                    yield counted_inside(body[i - ORDER + 1 : i + BLOCK], schema)
+                if size >= BLOCK:
+                    yield counted(held)
+                    held, size = [], 0
             if held:
                 yield counted(held)
 
     return docs.select(text).mapInArrow(run, "gram string, n long").groupBy("gram").agg(F.sum("n").alias("n"))
 
 
-def _bridge(body: str, i: int) -> dict:
-    """The n-grams that end in the first ORDER - 1 places of a later block."""
-    grams = [body[j - ORDER + 1 : j + 1] for j in range(i, min(i + ORDER - 1, len(body)))]
-    return {"gram": grams, "n": [1] * len(grams)}
-
-
 def counted_inside(part: str, schema: pa.Schema) -> pa.RecordBatch:
     """The n-grams that lie wholly in a block."""
     points = np.frombuffer(part.encode("utf-32-le", "replace"), np.uint32)
     at = np.arange(ORDER - 1, len(points))
     _, first, n = np.unique(hashes(points, ORDER)[at], return_index=True, return_counts=True)
-    return pa.RecordBatch.from_arrays([pa.array([part[i - ORDER + 1 : i + 1] for i in at[first].tolist()]), pa.array(n, pa.int64())], schema=schema)
+    return pa.RecordBatch.from_arrays([pa.array([part[i - ORDER + 1 : i + 1] for i in at[first].tolist()], pa.string()), pa.array(n, pa.int64())], schema=schema)
 
 
 def discounts(counts: DataFrame) -> list[float]:
@@ -166,7 +159,7 @@ def publish(table: DataFrame, shard_rows: int = SHARD_ROWS) -> dict:
             grams, kinds = batch.column("gram").to_pylist(), batch.column("kind").to_pylist()
             previous = [(g[-2:-1] if k == 0 else g[-1:]) for g, k in zip(grams, kinds, strict=True)]
             shard = [(ord(c) % shards if c else -1) for c in previous]
-            yield pa.RecordBatch.from_pydict({"shard": pa.array(shard, pa.int32()), "kind": pa.array(kinds, pa.int32()), "key": pa.array([key_of(g) if g else 0 for g in grams], pa.int64()), "value": batch.column("value").cast(pa.float64())})
+            yield pa.RecordBatch.from_pydict({"shard": pa.array(shard, pa.int32()), "kind": pa.array(kinds, pa.int32()), "key": pa.array(keys_of(grams), pa.int64()), "value": batch.column("value").cast(pa.float64())})
 
     keyed = table.mapInArrow(run, "shard int, kind int, key long, value double")
     # rows of shard -1 (single characters, the empty context) are needed everywhere

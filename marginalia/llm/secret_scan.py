@@ -123,8 +123,7 @@ def scan(docs: DataFrame, ledger: str, rules: tuple[Rule, ...] = RULES, text: st
         done = known.groupBy("blob").agg(F.collect_set(F.concat_ws(":", "rule", F.col("version").cast("string"))).alias("done"))
         todo = todo.join(done, "blob", "left").withColumn("todo", F.array_except("todo", F.coalesce("done", F.array().cast("array<string>")))).drop("done")
         todo = todo.where(F.size("todo") > 0)
-    else:
-        todo = todo.repartition("blob")
+    todo = todo.repartition("blob")  # only what is unseen moves
 
     def run(batches):
         seen: set[bytes] = set()
