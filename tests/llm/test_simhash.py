@@ -118,6 +118,36 @@ def test_links_lose_nothing(spark, radius, blocks, leaf):
     assert sorted(map(sorted, groups.values())) == sorted(map(sorted, got.values()))
 
 
+def test_sketch_links_equal_brute_force(spark):
+    rng = np.random.default_rng(8)
+    points = []
+    for i in range(60):
+        base = [int(x) for x in rng.integers(0, 1 << 62, 4)]
+        for _ in range(4):
+            words = list(base)
+            for b in rng.integers(0, 256, int(rng.integers(0, 30))):
+                words[int(b) // 64] ^= 1 << (int(b) % 64)
+            points.append(words)
+    signed = [[int(np.uint64(w).astype(np.int64)) for w in p] for p in points]
+    rows = [(p[0], p[1:], i) for i, p in enumerate(signed)]
+    stars = simhash.links(spark.createDataFrame(rows, "fp long, sketch array<long>, pid long"), 11, 6, 44, words=2)
+    found = {r["node"]: r["root"] for r in simhash.components(stars).collect()}
+    top = list(range(len(points)))
+
+    def root(i):
+        while top[i] != i:
+            i = top[i]
+        return i
+
+    for i, a in enumerate(points):
+        for j, b in enumerate(points[:i]):
+            d = [(x ^ y).bit_count() for x, y in zip(a, b, strict=True)]
+            if min(d[:2]) <= 11 and sum(d) <= 44:
+                x, y = root(i), root(j)
+                top[max(x, y)] = min(x, y)
+    assert [found.get(i, i) for i in range(len(points))] == [root(i) for i in range(len(points))]
+
+
 def test_query_equals_brute_force(spark, sf_dir):
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet").orderBy("doc_id").collect()
     fps = [plain_fingerprint(d["text"], 3) for d in docs]
