@@ -22,22 +22,27 @@ def retrieve_stage(questions: DataFrame, hits: DataFrame) -> DataFrame:
     return questions.select("query_id", "query").join(hits, "query_id", "left").withColumn("source", source)
 
 
-def context_part() -> Column:
-    head = F.concat(F.lit("[Document "), F.col("rank").cast("string"), F.lit(" - "), F.col("source"), F.lit("]"))
-    return F.when(F.col("rank").isNotNull(), F.concat(head, F.lit("\n"), F.col("text")))
+def gathered(retrieved: DataFrame) -> DataFrame:
+    """query_id, query, retrieved_docs: the hits of each question as an array, best first; empty without hits."""
+    docs = F.collect_list(F.when(F.col("rank").isNotNull(), F.struct("rank", "source", "text", "score")))
+    return retrieved.groupBy("query_id", "query").agg(F.sort_array(docs).alias("retrieved_docs"))
+
+
+def context_of(docs: Column) -> Column:
+    """Numbered documents with their sources, in rank order; an empty text without documents."""
+    head = lambda d: F.concat(F.lit("[Document "), d["rank"].cast("string"), F.lit(" - "), d["source"], F.lit("]"))
+    return F.array_join(F.transform(docs, lambda d: F.concat(head(d), F.lit("\n"), d["text"])), SEPARATOR)
 
 
 def assemble_context(retrieved: DataFrame) -> DataFrame:
-    """query_id, query, context: the hits of each question in rank order; empty without hits."""
-    parts = F.sort_array(F.collect_list(F.when(F.col("rank").isNotNull(), F.struct("rank", context_part().alias("part")))))
-    joined = F.array_join(F.transform(parts, lambda p: p["part"]), SEPARATOR)
-    return retrieved.groupBy("query_id", "query").agg(joined.alias("context"))
+    """query_id, query, context."""
+    return gathered(retrieved).select("query_id", "query", context_of(F.col("retrieved_docs")).alias("context"))
 
 
 def context_stats(retrieved: DataFrame) -> DataFrame:
     """query_id, n_documents, n_chars of each context."""
-    counts = retrieved.groupBy("query_id").agg(F.count("rank").alias("n_documents"))
-    return counts.join(assemble_context(retrieved).select("query_id", F.length("context").cast("long").alias("n_chars")), "query_id")
+    docs = F.col("retrieved_docs")
+    return gathered(retrieved).select("query_id", F.size(docs).cast("long").alias("n_documents"), F.length(context_of(docs)).cast("long").alias("n_chars"))
 
 
 def build_prompt(contexts: DataFrame, instruction: str = INSTRUCTION) -> DataFrame:
@@ -64,11 +69,9 @@ def answer_stats(answers: DataFrame) -> DataFrame:
 
 def run_queries(questions: DataFrame, hits: DataFrame, make_model: Callable | None = None) -> DataFrame:
     """query_id, query, retrieved_docs, context, answer: the whole state of every question, in one job."""
-    retrieved = retrieve_stage(questions, hits)
-    docs = F.sort_array(F.collect_list(F.when(F.col("rank").isNotNull(), F.struct("rank", "source", "text", "score"))))
-    lists = retrieved.groupBy("query_id").agg(docs.alias("retrieved_docs"))
-    answered = generate_batch(build_prompt(assemble_context(retrieved)), make_model)
-    return answered.join(lists, "query_id").select("query_id", "query", "retrieved_docs", "context", "answer")
+    state = gathered(retrieve_stage(questions, hits)).withColumn("context", context_of(F.col("retrieved_docs")))
+    answered = generate_batch(build_prompt(state), make_model)
+    return answered.select("query_id", "query", "retrieved_docs", "context", "answer")
 
 
 def report_preview(hits: DataFrame, width: int = 200) -> DataFrame:

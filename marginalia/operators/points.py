@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from pyspark import StorageLevel
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -13,9 +14,10 @@ def assign_point_ids(chunks: DataFrame) -> DataFrame:
     """Adds id: 0, 1, ... in order of document and chunk.
 
     Counts per document are summed within ranges of documents, and the ranges' totals (at most
-    RANGES of them) give each range its first id, so no task sees all documents.
+    RANGES of them) give each range its first id, so no task sees all documents. The counts are
+    persisted, as three steps read them: chunks are made twice, to be counted and to be numbered.
     """
-    counts = chunks.groupBy("doc_id").agg(F.count(F.lit(1)).alias("n"))
+    counts = chunks.groupBy("doc_id").agg(F.count(F.lit(1)).alias("n")).persist(StorageLevel.MEMORY_AND_DISK)
     cuts = counts.agg(F.percentile_approx("doc_id", [i / RANGES for i in range(1, RANGES)], F.lit(10_000)).alias("cuts")).first()["cuts"] or []
     cuts = sorted(set(cuts))
     part = F.size(F.filter(F.array(*[F.lit(c) for c in cuts]), lambda c: c <= F.col("doc_id"))) if cuts else F.lit(0)
