@@ -1,17 +1,18 @@
 """Nearest neighbours by a forest of random-projection trees.
 
-Each tree splits a bounded sample (FIT_ROWS vectors, those with the smallest hash of their id) at
-the median of its projection on the difference of two random members, down to LEAVES leaves.
+Each tree splits a bounded sample (about FIT_ROWS vectors, by a hash of their id) at the
+median of its projection on the difference of two random members, down to LEAVES leaves.
 Every vector is indexed: it goes to one leaf of each tree. A query searches all trees
 through one priority queue, ordered by the largest distance to a split plane on the way,
 until the leaves it has taken hold ``share`` of the rows of one tree. Queries and vectors
 then meet by leaf, leaves are scored exactly as matrix products in double precision, and
-only the best k of a leaf leave it, if they reach the query's bound: its k-th best score in a
-small part of the sample (BOUND_ROWS), whose best are candidates too. The final rank is
-over all candidates of a query.
+only the best k of a leaf leave it. That is done in two turns: the first leaves of the queue, as
+many as there are trees, give each query a bound, its k-th best score there; what the other
+leaves hold must reach it. So the number of candidates per query doesn't grow with the
+rows. The final rank is over all candidates of a query.
 
-Embeddings that have no structure need a large share: at 0.9 of the true neighbours a query
-visits about half of all rows; with clustered vectors a few percent do. Queries never are broadcast.
+Embeddings that have no structure need a large share: for 0.93 to 0.99 of the true neighbours a
+query visits about 80% of all rows; with clustered vectors a few percent do. Queries never are broadcast.
 
 Nulls and ties: vectors that are null, of another length than the sample's most common one, zero, or hold null or
 non-finite components take no part; so do null ids. Rows with equal ids count once. Equal
@@ -30,7 +31,9 @@ from pyspark.sql import functions as F
 
 from .common import written
 
-FIT_ROWS, BOUND_ROWS, TREES, LEAVES, SHARE = 16_384, 4_096, 8, 256, 0.75
+FIT_ROWS, TREES, LEAVES, SHARE = 16_384, 8, 256, 1.5
+#: Queries that one task searches the trees for.
+SEARCHES = 200
 #: Leaves that meet in one group of the join.
 TOGETHER = 8
 
@@ -133,49 +136,50 @@ def best(queries: np.ndarray, names: np.ndarray, bounds: np.ndarray, vectors: np
 def nearest(vectors: DataFrame, is_query: Column, k: int = 20, vec_id: str = "vec_id", embedding: str = "embedding", trees: int = TREES, leaves: int = LEAVES, share: float = SHARE) -> DataFrame:
     """query_id, rank, vec_id, score of each query's k nearest rows by inner product."""
     spark = vectors.sparkSession
-    clean = vectors.where(usable(embedding) & F.col(vec_id).isNotNull()).select(F.col(vec_id).cast("long").alias("vec_id"), F.transform(embedding, lambda x: x.cast("double")).alias("v"), is_query.alias("is_query"))
-    sample = clean.select("vec_id", "v").orderBy(F.xxhash64("vec_id"), "vec_id").limit(FIT_ROWS).toPandas().drop_duplicates("vec_id")
+    clean = vectors.where(usable(embedding) & F.col(vec_id).isNotNull()).select(F.col(vec_id).cast("long").alias("vec_id"), F.col(embedding).alias("v"), is_query.alias("is_query"))
+    sample = _sample(clean)
     if not len(sample):
         return spark.createDataFrame([], "query_id long, rank int, vec_id long, score double")
     dim = int(sample["v"].map(len).mode()[0])
     clean = clean.where(F.size("v") == dim)
     sample = sample[sample["v"].map(len) == dim]
+    while leaves > 1 and len(sample) < (k + 1) * leaves:  # a leaf has the wanted rows and the query itself
+        leaves //= 2
     forest = grow(_matrix(sample["v"]), trees, leaves)
-    known = spark.sparkContext.broadcast((forest, _matrix(sample["v"][:BOUND_ROWS]), sample["vec_id"].to_numpy(np.int64)[:BOUND_ROWS]))
+    known = spark.sparkContext.broadcast(forest)
+    kind = clean.schema["v"].dataType.simpleString()
 
     def index(frames):
         for pdf in frames:
-            leaf = known.value[0].leaf_of(_matrix(pdf["v"]))
-            yield pd.DataFrame({"leaf": leaf.ravel(), "vec_id": np.repeat(pdf["vec_id"].to_numpy(), leaf.shape[1]), "v": np.repeat(pdf["v"].to_numpy(), leaf.shape[1]), "is_query": np.repeat(pdf["is_query"].to_numpy(bool), leaf.shape[1])})
+            leaf = known.value.leaf_of(_matrix(pdf["v"]))
+            yield pd.DataFrame({"leaf": leaf.ravel(), "vec_id": np.repeat(pdf["vec_id"].to_numpy(), leaf.shape[1]), "v": np.repeat(pdf["v"].to_numpy(), leaf.shape[1])})
 
-    indexed = clean.mapInPandas(index, "leaf int, vec_id long, v array<double>, is_query boolean")
+    indexed = written(clean.select("vec_id", "v").mapInPandas(index, f"leaf int, vec_id long, v {kind}"), "ann-index")
     sizes = np.zeros(forest.n_leaves, np.int64)
     for row in indexed.groupBy("leaf").count().collect():  # one row per leaf: at most trees * leaves
         sizes[row["leaf"]] = row["count"]
     enough = share * sizes.sum() / trees
 
     def probe(frames):
-        forest, part, part_ids = known.value
+        forest = known.value
         for pdf in frames:
             for at in range(0, len(pdf), 512):
                 some = pdf.iloc[at : at + 512]
-                q, names = _matrix(some["v"]), some["vec_id"].to_numpy(np.int64)
+                q = _matrix(some["v"])
                 margins = q @ forest.normals.T - forest.cuts if len(forest.cuts) else np.zeros((len(q), 0))
                 lists = [forest.search(m, sizes, enough) for m in margins]
-                name, found, score = best(q, names, np.full(len(q), -np.inf), part, part_ids, k)
-                count = pd.Series(name).value_counts().reindex(names).fillna(0).to_numpy()
-                last = pd.Series(score).groupby(name).min().reindex(names).to_numpy()
-                bound = np.where(count >= k, last, -np.inf)
                 n = [len(x) for x in lists]
-                yield pd.DataFrame({"leaf": np.concatenate(lists).astype(np.int32), "query_id": np.repeat(names, n), "v": np.repeat(some["v"].to_numpy(), n), "bound": np.repeat(bound, n), "vec_id": np.int64(0), "score": 0.0})
-                yield pd.DataFrame({"leaf": np.int32(-1), "query_id": name, "v": None, "bound": 0.0, "vec_id": found, "score": score})
+                place = np.concatenate([np.arange(x) for x in n])
+                yield pd.DataFrame({"leaf": np.concatenate(lists).astype(np.int32), "query_id": np.repeat(some["vec_id"].to_numpy(np.int64), n), "v": np.repeat(some["v"].to_numpy(), n), "first": place < trees})
 
-    probes = written(clean.where("is_query").dropDuplicates(["vec_id"]).mapInPandas(probe, "leaf int, query_id long, v array<double>, bound double, vec_id long, score double"), "ann-probes")
+    asked = clean.where("is_query").select("vec_id", "v")
+    asked = asked.repartition(max(1, -(-asked.count() // SEARCHES)), "vec_id").dropDuplicates(["vec_id"])
+    probes = written(asked.mapInPandas(probe, f"leaf int, query_id long, v {kind}, first boolean"), "ann-probes")
 
-    def meet(rows: pd.DataFrame, asked: pd.DataFrame) -> pd.DataFrame:
+    def meet(rows: pd.DataFrame, wanted: pd.DataFrame) -> pd.DataFrame:
         out = []
         by_leaf = dict(list(rows.groupby("leaf")))
-        for leaf, some in asked.groupby("leaf"):
+        for leaf, some in wanted.groupby("leaf"):
             if leaf in by_leaf:
                 own = by_leaf[leaf]
                 v, ids = _matrix(own["v"]), own["vec_id"].to_numpy(np.int64)
@@ -187,10 +191,24 @@ def nearest(vectors: DataFrame, is_query: Column, k: int = 20, vec_id: str = "ve
         return pd.DataFrame(dict(zip(("query_id", "vec_id", "score"), cols, strict=True)))
 
     group = F.floor(F.col("leaf") / TOGETHER).alias("group")
-    left = indexed.select("leaf", "vec_id", "v").groupBy(group)
-    right = probes.where("leaf >= 0").select("leaf", "query_id", "v", "bound").groupBy(group)
-    found = left.cogroup(right).applyInPandas(meet, "query_id long, vec_id long, score double")
-    found = found.unionByName(probes.where("leaf < 0").select("query_id", "vec_id", "score"))
-    found = found.groupBy("query_id", "vec_id").agg(F.max("score").alias("score"))
+
+    def turn(wanted: DataFrame) -> DataFrame:
+        left, right = indexed.groupBy(group), wanted.select("leaf", "query_id", "v", "bound").groupBy(group)
+        met = left.cogroup(right).applyInPandas(meet, "query_id long, vec_id long, score double")
+        return met.groupBy("query_id", "vec_id").agg(F.max("score").alias("score"))
+
     rank = F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id"))
+    first = written(turn(probes.where("first").withColumn("bound", F.lit(float("-inf")))), "ann-first")
+    bounds = first.withColumn("rank", rank).where(F.col("rank") == k).select("query_id", F.col("score").alias("bound"))
+    rest = probes.where("not first").join(bounds, "query_id", "left").withColumn("bound", F.coalesce("bound", F.lit(float("-inf"))))
+    found = first.unionByName(turn(rest)).groupBy("query_id", "vec_id").agg(F.max("score").alias("score"))
     return found.withColumn("rank", rank).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
+
+
+def _sample(clean: DataFrame) -> pd.DataFrame:
+    """About FIT_ROWS vectors by hash of their id, all if there are fewer."""
+    n = clean.count()
+    few = clean.select("vec_id", "v")
+    if n > FIT_ROWS:
+        few = few.where(F.pmod(F.xxhash64("vec_id"), F.lit(1 << 30)) < int(FIT_ROWS / n * (1 << 30)))
+    return few.limit(2 * FIT_ROWS).toPandas().sort_values("vec_id").drop_duplicates("vec_id")
