@@ -77,6 +77,23 @@ def op10_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES = {f.__name__: f for f in (op1_mixing, op2_media, op3_simhash, op4_sentencepiece, op5_toxicity, op6_urls, op7_chat, op8_ann, op9_quality, op10_secrets)}
 
+#: What stands in the formatted text besides roles and texts: marks and escapes.
+_ESCAPES = r"len(regexp_extract_all({0}, '\\|<s>|</s>|\[INST\]|\[/INST\]|<<SYS>>|<</SYS>>'))"
+
+CHAT_SQL = f"""
+WITH turns AS (
+  SELECT conv_id, turn, coalesce(role, '') AS role, coalesce(text, '') AS text FROM conversations
+  UNION ALL SELECT -1, 0, 'user', '</s>[INST] ok [/INST]'
+  UNION ALL SELECT -1, 1, 'assistant', '</s>[INST] ok [/INST]')
+SELECT conv_id, count(*)::BIGINT AS n_turns,
+       sha256(string_agg(role || chr(10) || text || chr(10), '' ORDER BY turn NULLS FIRST, role, text)) AS turns_sha256,
+       coalesce(sum(length(text)) FILTER (WHERE role = 'assistant'), 0)::BIGINT AS loss_chars,
+       sha256(coalesce(string_agg(text, '' ORDER BY turn NULLS FIRST, role, text) FILTER (WHERE role = 'assistant'), '')) AS loss_sha256,
+       sum(8 + length(role) + length(text) + {_ESCAPES.format("role")} + {_ESCAPES.format("text")} + length(role) - length(replace(role, chr(10), '')))::BIGINT AS formatted_chars
+FROM turns GROUP BY conv_id
+"""
+
 ORACLE_SQL = {
     "op1_mixing": mixing.SQL,
+    "op7_chat": CHAT_SQL,
 }
