@@ -21,11 +21,12 @@ QUERIES: dict[str, Query] = {}
 ORACLE_SQL: dict[str, str] = {}
 
 
-def query(oracle: str | None) -> Callable[[Query], Query]:
+def query(oracle: str, name: str | None = None) -> Callable[[Query], Query]:
+    """Registers a function under its name or the given one."""
+
     def register(f: Query) -> Query:
-        QUERIES[f.__name__] = f
-        if oracle:
-            ORACLE_SQL[f.__name__] = oracle
+        QUERIES[name or f.__name__] = f
+        ORACLE_SQL[name or f.__name__] = oracle
         return f
 
     return register
@@ -90,13 +91,13 @@ def _encoded(spark: SparkSession, sf_dir: str, broken: bool) -> DataFrame:
     return docs.select("doc_id", "source", body.alias("content"))
 
 
-@query("SELECT doc_id, source, length(text)::BIGINT AS n_chars, md5(text) AS text_md5, true AS readable FROM documents")
+@query("SELECT doc_id, source, length(text)::BIGINT AS n_chars, md5(text) AS text_md5, true AS readable FROM documents", "extract_text")
 def extract_text_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = extract_text(_encoded(spark, sf_dir, True))
     return out.select("doc_id", "source", F.length("text").cast("long").alias("n_chars"), F.md5("text").alias("text_md5"), F.col("error").isNull().alias("readable"))
 
 
-@query("SELECT doc_id, lang = 'de' AS rejected FROM documents")
+@query("SELECT doc_id, lang = 'de' AS rejected FROM documents", "reject_bad_documents")
 def reject_bad_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     good, bad = reject_bad_documents(extract_text(_encoded(spark, sf_dir, True), strict_utf8_text))
     return good.select("doc_id", F.lit(False).alias("rejected")).unionByName(bad.select("doc_id", F.lit(True).alias("rejected")))
