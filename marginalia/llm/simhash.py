@@ -38,7 +38,7 @@ from pyspark.sql import functions as F
 from .common import map_rows, with_fields, written
 
 SEED = 42
-#: Fingerprints on which a tree may be fitted.
+#: About so many fingerprints, and never twice as many, are fetched to fit a tree on.
 SAMPLE = 65_536
 #: Fingerprints that a leaf should hold.
 LEAF = 1_024
@@ -214,7 +214,10 @@ def links(fps: DataFrame, radius: int = 3, blocks: int = 2, extra_radius: int |
     if all(width <= CODE_BITS for _, _, width in parts):
         trees = [Tree(np.arange(1 << width, dtype=np.uint64), 1, True) for _, _, width in parts]
     else:
-        sample = fps.select("fp").orderBy(F.xxhash64("fp")).limit(SAMPLE).toPandas()["fp"].to_numpy(np.int64).view(np.uint64)
+        few = fps.select("fp")
+        if n > SAMPLE:  # those whose hash is low
+            few = few.where(F.pmod(F.xxhash64("fp"), F.lit(1 << 30)) < int(SAMPLE / n * (1 << 30)))
+        sample = np.sort(few.limit(2 * SAMPLE).toPandas()["fp"].to_numpy(np.int64)).view(np.uint64)
         least = max(8, leaf * len(sample) // max(n, 1))
         trees = [Tree(np.unique(code(sample, p[1:])) if len(sample) else np.zeros(1, np.uint64), least, False) for p in parts]
     sizes = [len(t.leaves) for t in trees]
