@@ -34,6 +34,8 @@ from .common import written
 FIT_ROWS, TREES, LEAVES, SHARE = 16_384, 8, 256, 1.5
 #: Queries that one task searches the trees for.
 SEARCHES = 200
+#: Rows of a leaf, and queries at all, that one task takes; beyond that leaves and queries are cut into parts.
+PART = 50_000
 #: Leaves that meet in one group of the join.
 TOGETHER = 8
 
@@ -190,10 +192,24 @@ def nearest(vectors: DataFrame, is_query: Column, k: int = 20, vec_id: str = "ve
         cols = [np.concatenate(x) for x in zip(*out, strict=True)] if out else [np.empty(0, np.int64), np.empty(0, np.int64), np.empty(0)]
         return pd.DataFrame(dict(zip(("query_id", "vec_id", "score"), cols, strict=True)))
 
-    group = F.floor(F.col("leaf") / TOGETHER).alias("group")
+    group = [F.floor(F.col("leaf") / TOGETHER).alias("group"), "i", "j"]
+    cut_leaves = [(i, int(-(-n // PART))) for i, n in enumerate(sizes.tolist()) if n > PART]  # one row per leaf at most
+    n_j = max(1, -(-asked.count() // PART))
+
+    def parted(rows: DataFrame, name: str, is_row: bool) -> DataFrame:
+        """Rows of a leaf in part i and queries in part j: rows come once per j, queries once per i."""
+        n_i = F.lit(1)
+        if cut_leaves:
+            rows = rows.join(F.broadcast(spark.createDataFrame(cut_leaves, "leaf int, n_i int")), "leaf", "left")
+            n_i = F.coalesce("n_i", F.lit(1))
+        own = lambda n: F.pmod(F.xxhash64(name), n).cast("int")
+        if is_row:
+            return rows.withColumn("i", own(n_i)).withColumn("j", F.explode(F.sequence(F.lit(0), F.lit(n_j - 1))) if n_j > 1 else F.lit(0))
+        return rows.withColumn("j", own(F.lit(n_j))).withColumn("i", F.explode(F.sequence(F.lit(0), n_i - 1)) if cut_leaves else F.lit(0))
 
     def turn(wanted: DataFrame) -> DataFrame:
-        left, right = indexed.groupBy(group), wanted.select("leaf", "query_id", "v", "bound").groupBy(group)
+        left = parted(indexed, "vec_id", True).select("i", "j", "leaf", "vec_id", "v").groupBy(*group)
+        right = parted(wanted, "query_id", False).select("i", "j", "leaf", "query_id", "v", "bound").groupBy(*group)
         met = left.cogroup(right).applyInPandas(meet, "query_id long, vec_id long, score double")
         return met.groupBy("query_id", "vec_id").agg(F.max("score").alias("score"))
 

@@ -44,6 +44,8 @@ SAMPLE = 65_536
 LEAF = 1_024
 #: Blocks of so many bits at most have a tree over all their codes.
 CODE_BITS = 12
+#: Rows of a leaf that one task takes; a larger leaf is cut into parts that meet pair by pair.
+PART = 50_000
 #: Shingles that are held at once.
 AT_ONCE = 1 << 16
 
@@ -282,7 +284,28 @@ def links(fps: DataFrame, radius: int = 3, blocks: int = 2, extra_radius: int |
 
     schema = "shard long, leaf long, home boolean, fp long" + (", pid long, sketch array<long>" if sketched else "")
     routed = fps.select(*names).mapInPandas(route, schema)
-    return written(routed.groupBy("shard").applyInPandas(shard, "a long, b long"), "simhash-stars")
+    rows = _parted(routed, "pid" if sketched else "fp")
+    return written(rows.groupBy("shard", "i", "j").applyInPandas(shard, "a long, b long"), "simhash-stars")
+
+
+def _parted(routed: DataFrame, name: str) -> DataFrame:
+    """Adds i and j: parts of the home points and of all points of a leaf, each pair of which meets in a task of its own.
+
+    Leaves of at most PART rows stay whole. A cut leaf's home points come once per j to be met, and all its points once per i
+    to meet them. The table of cut leaves has a row per leaf at most, and a tree has at most SAMPLE / 4 leaves.
+    """
+    sizes = routed.groupBy("leaf").agg(F.count(F.lit(1)).alias("n"), F.sum(F.col("home").cast("long")).alias("n_home")).where(F.col("n") > PART)
+    cut_leaves = written(sizes.select("leaf", F.ceil(F.col("n") / PART).alias("n_j"), F.greatest(F.ceil(F.col("n_home") / PART), F.lit(1)).alias("n_i")), "simhash-cut")
+    if not cut_leaves.limit(1).count():
+        return routed.withColumns({"i": F.lit(0), "j": F.lit(0)})
+    own = lambda n: F.pmod(F.xxhash64(name), F.col(n))
+    place = lambda i, j, home: F.struct(i.cast("long").alias("i"), j.cast("long").alias("j"), home.alias("is_home"))
+    met = F.when(F.col("home"), F.transform(F.sequence(F.lit(0), F.col("n_j") - 1), lambda j: place(own("n_i"), j, F.lit(True))))
+    meets = F.transform(F.sequence(F.lit(0), F.col("n_i") - 1), lambda i: place(i, own("n_j"), F.lit(False)))
+    whole = F.array(place(F.lit(0), F.lit(0), F.col("home")))
+    places = F.when(F.col("n_j").isNull(), whole).otherwise(F.concat(F.coalesce(met, F.filter(meets, lambda _: F.lit(False))), meets))
+    rows = routed.join(F.broadcast(cut_leaves), "leaf", "left").withColumn("place", F.explode(places))
+    return rows.withColumns({"i": F.col("place.i"), "j": F.col("place.j"), "home": F.col("place.is_home")}).drop("place", "n_i", "n_j")
 
 
 def components(stars: DataFrame) -> DataFrame:

@@ -1,4 +1,5 @@
 import numpy as np
+import pytest
 from pyspark.sql import functions as F
 
 from marginalia.llm import ann
@@ -37,7 +38,9 @@ def vectors(spark, rows):
     return spark.createDataFrame([(*r, "x", 1) for r in rows], "vec_id long, embedding array<float>, v string, leaf int")
 
 
-def test_all_leaves_are_exact_with_ties(spark):
+@pytest.mark.parametrize("part", [50_000, 7])
+def test_all_leaves_are_exact_with_ties(spark, monkeypatch, part):
+    monkeypatch.setattr(ann, "PART", part)
     rng = np.random.default_rng(3)
     rows = [(i, [float(x) for x in rng.integers(-2, 3, 4)] if i % 3 else [1.0, 1.0, 0.0, 0.0]) for i in range(400)]
     rows = [(i, v) for i, v in rows if any(v)]

@@ -103,8 +103,9 @@ def chain(rng, n):
     return list(dict.fromkeys(out))
 
 
-@pytest.mark.parametrize("radius,blocks,leaf", [(3, 2, 16), (3, 2, 4), (11, 6, 16), (3, 4, 16)])
-def test_links_lose_nothing(spark, radius, blocks, leaf):
+@pytest.mark.parametrize("radius,blocks,leaf,part", [(3, 2, 16, 50_000), (3, 2, 4, 50_000), (11, 6, 16, 50_000), (3, 4, 16, 50_000), (3, 2, 16, 20)])
+def test_links_lose_nothing(spark, monkeypatch, radius, blocks, leaf, part):
+    monkeypatch.setattr(simhash, "PART", part)
     fps = sorted(chain(np.random.default_rng(radius + blocks), 600))
     signed = [int(np.uint64(x).astype(np.int64)) for x in fps]
     stars = simhash.links(spark.createDataFrame([(x,) for x in signed], "fp long"), radius, blocks, leaf=leaf)
