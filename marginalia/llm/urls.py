@@ -30,7 +30,7 @@ from pyspark.sql import functions as F
 
 from .common import join_table, written
 
-LEVELS, MIN_SHARE, Z, WEIGHT, MIN_PURITY = 3, 0.05, 1.96, 4.0, 0.5
+LEVELS, MIN_SHARE, Z, WEIGHT, MIN_PURITY = 3, 0.05, 1.96, 4.0, 0.7
 PARTS = r"(?s)^.*?://([^/?#]*)([^?#]*)"
 
 
