@@ -28,6 +28,7 @@ import zlib
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 
 from .common import map_rows, new_path, open_fs, with_fields, written
 
@@ -205,6 +206,12 @@ def media_table(docs: DataFrame, keep: list[str], text: str = "text", root: str
     return with_features(with_headers(store(docs, root, keep, text), root), root)
 
 
+def addresses(manifest: DataFrame) -> DataFrame:
+    """digest, shard, offset, length, copies: one place of every payload, and how many rows share it."""
+    place = F.min(F.struct("shard", "offset", "length")).alias("place")
+    return manifest.groupBy("digest").agg(place, F.count(F.lit(1)).alias("copies")).select("digest", "place.*", "copies")
+
+
 def members(shard: bytes) -> dict[str, bytes]:
     """All files of a shard, by name."""
     with tarfile.open(fileobj=io.BytesIO(shard)) as tar:

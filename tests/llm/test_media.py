@@ -65,5 +65,15 @@ def test_shards_roll_over(spark):
     assert {r["doc_id"] for r in media.with_features(manifest, root).where("payload_sha256 = digest").collect()} == set(range(40))
 
 
+def test_one_address_per_payload(spark):
+    docs = docs_table(spark, odd_rows()).repartition(3)
+    root = new_path(spark, "media-test")
+    manifest = media.store(docs, root, ["doc_id"])
+    found = media.addresses(manifest)
+    digests = [hashlib.sha256(media.padded((t or "").encode())).hexdigest() for _, t, _, _ in odd_rows()]
+    assert {r["digest"]: r["copies"] for r in found.collect()} == {d: digests.count(d) for d in digests}
+    assert media.with_features(found, root).where("payload_sha256 <> digest").count() == 0
+
+
 def test_empty(spark):
     assert media.media_table(docs_table(spark, []), ["doc_id"]).count() == 0
