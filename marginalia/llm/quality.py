@@ -31,7 +31,7 @@ from pyarrow import fs as pafs
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import join_table, map_rows, new_path, open_fs, with_fields, written
+from .common import hold, join_table, map_rows, new_path, open_fs, with_fields, written
 
 ORDER, PAD = 5, "\x02"
 #: Characters that are counted or scored at once.
@@ -163,7 +163,7 @@ def publish(table: DataFrame, shard_rows: int = SHARD_ROWS) -> dict:
 
     keyed = table.mapInArrow(run, "shard int, kind int, key long, value double")
     # rows of shard -1 (single characters, the empty context) are needed everywhere
-    keyed.repartition("shard").sortWithinPartitions("shard").write.partitionBy("shard").parquet(path)
+    keyed.repartition("shard", F.pmod("key", F.lit(16))).sortWithinPartitions("shard").write.partitionBy("shard").parquet(path)
     vocabulary = table.where((F.col("kind") == 0) & (F.length("gram") == 1)).count()
     floor = table.where((F.col("kind") == 1) & (F.col("gram") == "")).first()
     unknown = -math.log(vocabulary + 1) + (floor["value"] if floor else 0.0)
@@ -286,14 +286,8 @@ class Reader:
         return sums
 
 
-_readers: dict[str, Reader] = {}
-
-
 def reader_of(info: dict) -> Reader:
-    if info["path"] not in _readers:
-        _readers.clear()
-        _readers[info["path"]] = Reader(info)
-    return _readers[info["path"]]
+    return hold(("kn", info["path"]), lambda: Reader(info))
 
 
 def with_perplexity(docs: DataFrame, info: dict, keep: list[str], text: str = "text") -> DataFrame:
