@@ -14,6 +14,8 @@ from pyspark.sql.types import StructType
 
 #: A table of at most so many rows (of a few short columns) may be broadcast.
 BROADCAST_ROWS = 100_000
+#: Bytes of a batch that a Python step looks at at once.
+SLICE_BYTES = 4 << 20
 #: Beyond BROADCAST_ROWS, hot keys of the large side are dealt over so many salts.
 SALTS = 32
 
@@ -77,10 +79,28 @@ def text_or_empty(text: str | Column) -> Column:
     return F.coalesce(F.col(text) if isinstance(text, str) else text, F.lit(""))
 
 
+_held: dict = {}
+
+
+def hold(key: tuple, make: Callable):
+    """A large state that outlives a task in its worker process; a worker holds one of them at a time."""
+    if key not in _held:
+        _held.clear()
+        _held[key] = make()
+    return _held[key]
+
+
+def slices(batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
+    """A batch in parts of about SLICE_BYTES, so that what Python makes of one stays small."""
+    rows = max(1, batch.num_rows * SLICE_BYTES // max(batch.nbytes, 1))
+    for at in range(0, batch.num_rows, rows):
+        yield batch.slice(at, rows)
+
+
 def map_rows(df: DataFrame, schema: StructType, make: Callable[[], Callable[[pa.RecordBatch], dict]]) -> DataFrame:
     """mapInArrow whose state is built once per task.
 
-    make() runs in the task and returns a function from one batch to columns by name;
+    make() runs in the task and returns a function from a slice of a batch to columns by name;
     columns of the schema that it doesn't return are taken from the batch as they are.
     """
 
@@ -89,9 +109,7 @@ def map_rows(df: DataFrame, schema: StructType, make: Callable[[], Callable[[pa.
 
         arrow = to_arrow_schema(schema)
         step = make()
-        for batch in batches:
-            if not batch.num_rows:
-                continue
+        for batch in (part for whole in batches for part in slices(whole)):
             new = step(batch)
             yield pa.RecordBatch.from_arrays(
                 [pa.array(new[f.name], type=f.type) if f.name in new else batch.column(f.name).cast(f.type) for f in arrow], schema=arrow

@@ -28,10 +28,10 @@ from functools import lru_cache
 import ahocorasick
 from pyspark.sql import DataFrame
 
-from .common import map_rows, with_fields
+from .common import hold, map_rows, with_fields
 
 SPACE = "▁"
-CACHE = 1_000_000
+CACHE = 100_000
 #: Fixed values of the model format: types of pieces.
 NORMAL, UNKNOWN, CONTROL, USER, UNUSED, BYTE = 1, 2, 3, 4, 5, 6
 
@@ -218,10 +218,9 @@ def merge_heap(model: Pieces, text: str) -> list[str]:
     return [p for p in parts if p is not None]
 
 
-@lru_cache(2)
 def load(path: str) -> Pieces:
     """One model per worker process, so that its caches outlive a task."""
-    return Pieces(path)
+    return hold(("pieces", path), lambda: Pieces(path))
 
 
 def _hex(text: str) -> str:
