@@ -1,4 +1,4 @@
-"""Sends this package to the executors, for sessions whose workers can't import it."""
+"""Prepares a session: sends this package to the executors and bounds the batches that Python workers get."""
 
 from __future__ import annotations
 
@@ -9,10 +9,13 @@ from pathlib import Path
 from pyspark.sql import SparkSession
 
 _shipped: set[str] = set()
+#: Bytes of an Arrow batch. The default of 64 MB is much for texts, of which a worker makes several copies.
+BATCH = ("spark.sql.execution.arrow.maxBytesPerBatch", "8m")
 
 
 def ship(spark: SparkSession) -> None:
     """Adds the package's source files to the session's Python path, once per application."""
+    spark.conf.set(*BATCH)
     app = spark.sparkContext.applicationId
     if app in _shipped:
         return
