@@ -29,13 +29,16 @@ id unless all ids of the component are null. Empty tables give empty results.
 
 from __future__ import annotations
 
+import hashlib
+
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import map_rows, with_fields, written
+from .common import map_rows, slices, with_fields, written
 
 SEED = 42
 #: About so many fingerprints, and never twice as many, are fetched to fit a tree on.
@@ -342,25 +345,122 @@ def near_duplicates(docs: DataFrame, text: str = "text", width: int = 3, radius:
     return rows.join(classes, "fp").select("doc_id", "fp", "component_id")
 
 
-#: The deduplicating stage: five-word shingles, a sketch of four words of 64 bits, candidates at most
-#: 11 bits apart in one of the first two words, links at most 44 of all 256 bits apart: a Jaccard
-#: similarity of 0.8 makes 39 bits on average, with a deviation of 6.
-STAGE = {"width": 5, "n_words": 4, "radius": 11, "blocks": 6, "extra_radius": 44, "words": 2}
+#: The deduplicating stage: rows are linked if the sets of their five-word shingles have a Jaccard similarity of at least NEAR.
+STAGE = {"width": 5}
+NEAR = (4, 5)
+#: Texts that are sampled to find frequent shingles, in how many of them one is frequent, and how many are known at most.
+HOT_TEXTS, HOT_LEAST, HOT_MOST = 10_000, 5, 50_000
+#: Groups of more points first meet one pivot a turn, for at most so many turns; then all pairs that are left meet.
+CROWD, TURNS = 50, 6
+#: Pairs of one pivot that a task compares.
+PIVOT_PAIRS = 2_000
+
+
+def shingle_set(text: str | None, width: int) -> np.ndarray:
+    return np.unique(np.array(shingle_hashes(text or "", width), np.uint64))
+
+
+def frequent_shingles(docs: DataFrame, text: str, width: int) -> np.ndarray:
+    """Hashes that many texts of a sample have, the rarest first. They only decide an order: any order finds all pairs."""
+    n = docs.count()
+    some = docs.select(text).where(F.pmod(F.xxhash64(text), F.lit(1 << 30)) < max(1, int(min(1.0, HOT_TEXTS / max(n, 1)) * (1 << 30)))).dropDuplicates()
+
+    def run(batches):
+        for batch in (part for whole in batches for part in slices(whole)):
+            found = [shingle_set(t.as_py(), width) for t in batch.column(text)]
+            yield pa.RecordBatch.from_pydict({"token": pa.array(np.concatenate(found).view(np.int64) if found else [], pa.int64())})
+
+    counts = some.mapInArrow(run, "token long").groupBy("token").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") >= HOT_LEAST)
+    hot = counts.orderBy(F.desc("n"), "token").limit(HOT_MOST).toPandas()
+    return hot["token"].to_numpy(np.int64)[::-1].copy().view(np.uint64)
+
+
+def with_sets(docs: DataFrame, keep: list[str], hot: np.ndarray, text: str, width: int) -> DataFrame:
+    """keep, pid (a digest of the set), size, hashes: the set in one order for all rows, frequent shingles last."""
+    by_hash = np.argsort(hot)
+    known = docs.sparkSession.sparkContext.broadcast((hot[by_hash], by_hash))
+
+    def make():
+        values, rank = known.value
+
+        def ordered(s: np.ndarray) -> np.ndarray:
+            if not len(values):
+                return s
+            at = np.minimum(np.searchsorted(values, s), len(values) - 1)
+            is_hot = values[at] == s
+            return np.concatenate([s[~is_hot], s[is_hot][np.argsort(rank[at[is_hot]])]])
+
+        def step(batch):
+            sets = [shingle_set(t.as_py(), width) for t in batch.column(text)]
+            pid = [int.from_bytes(hashlib.blake2b(s.tobytes(), digest_size=8).digest(), "big", signed=True) for s in sets]
+            return {"pid": pid, "size": [len(s) for s in sets], "hashes": [ordered(s).view(np.int64) for s in sets]}
+
+        return step
+
+    return map_rows(docs.select(*dict.fromkeys([*keep, text])), with_fields(docs, keep, "pid long, size long, hashes array<long>"), make)
+
+
+def _confirmed(pairs: DataFrame, sets: DataFrame) -> DataFrame:
+    """Those of the pairs (a, b) whose sets have a Jaccard similarity of at least NEAR. A frequent a is dealt over tasks."""
+    deals = written(pairs.groupBy("a").agg(F.ceil(F.count(F.lit(1)) / PIVOT_PAIRS).alias("deals")), "simhash-pivots")
+    left = sets.join(deals, sets["pid"] == deals["a"]).select("a", F.col("hashes").alias("of_a"), F.explode(F.sequence(F.lit(0).cast("long"), F.col("deals") - 1)).alias("deal"))
+    right = sets.select(F.col("pid").alias("b"), F.col("hashes").alias("of_b"))
+    dealt = pairs.join(deals, "a").select("a", "b", F.pmod(F.xxhash64("b"), F.col("deals")).alias("deal"))
+    both = dealt.join(right, "b").join(left, ["a", "deal"])
+    common = F.size(F.array_intersect("of_a", "of_b"))
+    return both.where(common * NEAR[1] >= (F.size("of_a") + F.size("of_b") - common) * NEAR[0]).select("a", "b")
+
+
+def jaccard_links(rows: DataFrame) -> DataFrame:
+    """a, b: links with the components that all pairs of rows (pid, size, hashes) with a similarity of at least NEAR make.
+
+    Of two such sets, ordered alike, each has a common shingle among its first size - ceil(NEAR * size) + 1. Points
+    meet by these. Pairs of crowds that pivots have already put into one component are not compared any more.
+    """
+    least = F.ceil(F.col("size") * NEAR[0] / F.lit(float(NEAR[1])) - F.lit(1e-9))
+    first = rows.select("pid", "size", F.posexplode(F.slice("hashes", F.lit(1), (F.col("size") - least + 1).cast("int"))).alias("at", "token"))
+    shared = written(first.groupBy("token").agg(F.min("pid").alias("lo"), F.max("pid").alias("hi")).where("lo < hi").select("token"), "simhash-shared")
+    met = written(first.join(shared, "token").distinct().withColumn("root", F.col("pid")), "simhash-met")
+    sets = rows.join(met.select("pid").distinct(), "pid", "left_semi").dropDuplicates(["pid"]).select("pid", "hashes")
+    sets = written(sets, "simhash-sets")
+    alike = lambda x, y: F.least(x, y) * NEAR[1] >= F.greatest(x, y) * NEAR[0]
+    found = rows.sparkSession.createDataFrame([], "a long, b long")
+    for turn in range(TURNS + 1):
+        pivot = F.min(F.struct(F.xxhash64("pid", F.lit(turn)).alias("h"), F.col("pid").alias("a"), F.col("size").alias("size_a"), F.col("root").alias("root_a"))).alias("p")
+        groups = met.groupBy("token").agg(F.count(F.lit(1)).alias("n"), F.min("root").alias("lo"), F.max("root").alias("hi"), pivot).where("lo < hi").select("token", "n", "p.*")
+        groups = written(groups, "simhash-groups")
+        crowds = groups.where(F.col("n") > CROWD)
+        if turn == TURNS or not crowds.limit(1).count():
+            break
+        pairs = met.join(crowds, "token").where((F.col("root") != F.col("root_a")) & alike(F.col("size"), F.col("size_a"))).select("a", F.col("pid").alias("b")).distinct()
+        found = written(found.unionByName(_confirmed(written(pairs, "simhash-pairs"), sets)), "simhash-links")
+        roots = written(components(found), "simhash-turn")
+        met = met.join(groups.select("token"), "token", "left_semi").drop("root").join(roots, F.col("pid") == F.col("node"), "left")
+        met = written(met.select("token", "pid", "size", "at", F.coalesce("root", "pid").alias("root")), "simhash-met")
+    met = met.join(groups.select("token"), "token", "left_semi")
+    one = met.select("token", *[F.col(c).alias(f"{c}_a") for c in ("pid", "size", "at", "root")])
+    other = met.select("token", *[F.col(c).alias(f"{c}_b") for c in ("pid", "size", "at", "root")])
+    pairs = one.join(other, "token").where((F.col("pid_a") < F.col("pid_b")) & (F.col("root_a") != F.col("root_b")) & alike(F.col("size_a"), F.col("size_b")))
+    pairs = pairs.groupBy(F.col("pid_a").alias("a"), F.col("pid_b").alias("b"), "size_a", "size_b").agg(F.count(F.lit(1)).alias("n"), F.max("at_a").alias("at_a"), F.max("at_b").alias("at_b"))
+    # what is common up to the last meeting has met; behind it at most the rest of the smaller set is
+    most = F.col("n") + F.least(F.col("size_a") - F.col("at_a"), F.col("size_b") - F.col("at_b")) - 1
+    pairs = pairs.where(most * NEAR[1] >= (F.col("size_a") + F.col("size_b") - most) * NEAR[0]).select("a", "b")
+    return written(found.unionByName(_confirmed(written(pairs, "simhash-pairs"), sets)), "simhash-links")
 
 
 def keep_one(docs: DataFrame, text: str = "text", **options) -> DataFrame:
     """docs without all but one row of each group of near-duplicates.
 
-    The row with the smallest doc_id stays (null ids last, then by the text's MD5); of rows
-    that agree in id and text, one stays.
+    Links are pairs whose sets of shingles have a Jaccard similarity of at least NEAR, computed on the
+    sets; a group is a component of them. The row with the smallest doc_id stays (null ids last, then by
+    the text's MD5); of rows that agree in id and text, one stays.
     """
     o = STAGE | options
     key = F.concat_ws(":", F.coalesce(F.col("doc_id").cast("string"), F.lit("null")), F.md5(F.coalesce(F.col(text), F.lit(""))))
     first = F.struct(F.col("doc_id").isNull().alias("null_id"), "doc_id", "key")
-    rows = with_fingerprints(docs.select("doc_id", text, key.alias("key")), ["doc_id", "key"], text, o["width"], o["n_words"])
-    points = rows.groupBy("fp", "sketch").agg(F.min(first).alias("first"))
-    points = written(points.withColumn("pid", F.monotonically_increasing_id()), "simhash-points")
-    stars = links(points.select("fp", "sketch", "pid"), o["radius"], o["blocks"], o["extra_radius"], words=o["words"])
-    kept = _with_roots(points, stars, "pid").groupBy("root").agg(F.min("first").alias("first"))
+    hot = frequent_shingles(docs, text, o["width"])
+    rows = written(with_sets(docs.select("doc_id", text, key.alias("key")), ["doc_id", "key"], hot, text, o["width"]), "simhash-rows")
+    points = written(rows.groupBy("pid").agg(F.min(first).alias("first")), "simhash-points")
+    kept = _with_roots(points, jaccard_links(rows.select("pid", "size", "hashes")), "pid").groupBy("root").agg(F.min("first").alias("first"))
     kept = written(kept.select(F.col("first.key").alias("__key")), "simhash-kept")
     return docs.withColumn("__key", key).join(kept, "__key", "left_semi").dropDuplicates(["__key"]).select(*docs.columns)

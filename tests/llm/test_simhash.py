@@ -198,3 +198,44 @@ def test_hot_text(spark):
     docs = spark.range(400).select(F.col("id").alias("doc_id"), F.when(F.col("id") % 3 == 0, "the same text in a third of all rows").otherwise(F.concat(F.lit("other text number "), F.md5(F.col("id").cast("string")))).alias("text"))
     got = simhash.near_duplicates(docs)
     assert got.where("doc_id % 3 = 0").select("component_id").distinct().count() == 1
+
+
+def plain_kept(texts, width=5):
+    """Positions that stay: the least of each component of pairs with a Jaccard similarity of at least 0.8."""
+    sets = []
+    for t in texts:
+        w = t.encode().lower().split()
+        sets.append({b" ".join(w[i : i + width]) for i in range(max(1, len(w) - width + 1))})
+    top = list(range(len(texts)))
+
+    def root(i):
+        while top[i] != i:
+            i = top[i]
+        return i
+
+    for i, a in enumerate(sets):
+        for j, b in enumerate(sets[:i]):
+            if 5 * len(a & b) >= 4 * len(a | b):
+                x, y = root(i), root(j)
+                top[max(x, y)] = min(x, y)
+    return [i for i in range(len(texts)) if root(i) == i]
+
+
+@pytest.mark.parametrize("crowd,turns", [(50, 6), (3, 6), (3, 1)])
+def test_stage_equals_brute_force_jaccard(spark, monkeypatch, crowd, turns):
+    monkeypatch.setattr(simhash, "CROWD", crowd)
+    monkeypatch.setattr(simhash, "TURNS", turns)
+    monkeypatch.setattr(simhash, "PIVOT_PAIRS", 3)
+    rng = np.random.default_rng(6)
+    words = [f"w{i}" for i in range(3000)]
+    common = list(rng.choice(words, 40))
+    texts = []
+    for _ in range(60):
+        base = list(rng.choice(words, 120)) + common
+        for changes in (0, 2, 3, 4, 5, 6):  # similarities on both sides of 0.8
+            copy = list(base)
+            for at in rng.integers(0, len(copy), changes):
+                copy[at] = f"x{rng.integers(1 << 30)}"
+            texts.append(" ".join(copy))
+    rows = [(i, t, "en", "a") for i, t in enumerate(texts)]
+    assert sorted(r["doc_id"] for r in simhash.keep_one(docs_table(spark, rows)).collect()) == plain_kept(texts)
