@@ -4,7 +4,8 @@ A word (lower-cased, outer punctuation stripped) has the sum of the hashed embed
 itself and of its beginnings of 4 to 7 letters, so that unseen forms of a known
 stem are scored too. Filters of widths 1, 2 and 3 slide over the words of the whole text;
 the maximum of each filter feeds a logistic output. Its zero point is set, and thresholds are
-calibrated by language, on training rows that were held back from the gradient. Language,
+calibrated by language, on all labelled training rows that the gradient has not seen: they are scored
+in the tasks, and histograms of their scores by language and label decide. Language,
 source and id are never inputs of a score.
 
 Training uses a bounded sample: at most ``per_class`` labelled rows of each class, those
@@ -20,19 +21,23 @@ tables give empty results.
 
 from __future__ import annotations
 
+import math
 import uuid
 import zlib
 from dataclasses import dataclass, field
 
 import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import hold, map_rows, slices, with_fields
+from .common import hold, join_table, map_rows, slices, with_fields, written
 
 BUCKETS, DIM, WIDTHS, FILTERS = 1 << 16, 16, (1, 2, 3), 8
 STEMS = (4, 5, 6, 7)
 PER_CLASS, MAX_CHARS = 2_500, 20_000
+#: Bins of a histogram of scores for each unit of a logit.
+BINS = 64
 #: Words of a block of a long text, and words that a task keeps by name.
 BLOCK, CACHE = 1 << 15, 80_000
 STRIP = ".,;:!?\"'()[]{}<>*#%&$|-_"
@@ -169,16 +174,21 @@ def train(texts: list[str], labels: list[int], epochs: int = 10, rate: float = 0
     return model
 
 
-def best_cut(scores: np.ndarray, y: np.ndarray, near: float | None = None) -> float:
-    """A cut with the largest F1: the one closest to ``near``, else the middle of the widest gap, at most 1 below a score."""
+def best_cut(scores: np.ndarray, y: np.ndarray, near: float | None = None, counts: np.ndarray | None = None, step: float = 0.0) -> float:
+    """A cut with the largest F1: the one closest to ``near``, else the middle of the widest gap, at most 1 below a score.
+
+    counts: how often each score stands there; a score stands for those from it to ``step`` above it.
+    """
     order = np.argsort(-scores)
+    n = np.ones(len(y), np.int64) if counts is None else counts[order]
     high = scores[order]
     low = np.append(high[1:], high[-1] - 2)
-    f1 = 2 * np.cumsum(y[order]) / (np.arange(1, len(y) + 1) + max(y.sum(), 1))
+    f1 = 2 * np.cumsum(y[order] * n) / (np.cumsum(n) + max((y[order] * n).sum(), 1))
     f1[high <= low] = -1
+    low = low + step
     best = np.flatnonzero(f1 >= f1.max() - 1e-9)
     if near is not None:
-        return float(min((np.clip(near, low[i] + 1e-6, high[i]) for i in best), key=lambda c: abs(c - near)))
+        return float(min((np.clip(near, min(low[i] + 1e-6, high[i]), high[i]) for i in best), key=lambda c: abs(c - near)))
     i = max(best, key=lambda i: high[i] - low[i])
     return float(high[i] - min(high[i] - low[i], 2.0) / 2)
 
@@ -209,7 +219,8 @@ class Scorer:
                 self.known = np.concatenate([self.known, np.zeros((size - len(self.known), self.known.shape[1]), np.float32)])
             rows = [features(w) for w in fresh]
             hashed = np.array([h + [BUCKETS] * (1 + len(STEMS) - len(h)) for h in rows])
-            self.known[first : len(number)] = self.model.tables(vectors(self.model.embedding, hashed))
+            wide = vectors(self.model.embedding, hashed).astype(np.float64)  # rounded afterwards, so that a word's row doesn't depend on its neighbours
+            self.known[first : len(number)] = self.model.tables(wide)
         return [number[w] for w in found]
 
     def logit(self, text: str | None) -> float:
@@ -241,24 +252,51 @@ def fit(docs: DataFrame, labels: DataFrame, label: str = "toxic", per_class: int
     rows = docs.select("doc_id", "text", "lang").where(F.coalesce(F.length("text"), F.lit(0)) <= MAX_CHARS).join(sample, "doc_id")
     found = rows.select("text", "lang", "__label", order.alias("o")).limit(4 * per_class).collect()
     found.sort(key=lambda r: (r["o"], r["__label"], r["text"] or ""))
+    back_ids = set(sorted({r["o"] for r in found})[::5])
     y = np.array([r["__label"] for r in found])
     if len(set(y.tolist())) < 2:
         return Model(np.zeros((BUCKETS + 1, DIM), np.float32), [np.zeros((w, DIM, FILTERS), np.float32) for w in WIDTHS], [np.zeros(FILTERS, np.float32)] * len(WIDTHS), np.zeros(FILTERS * len(WIDTHS) + 1, np.float32), shift=30.0)
-    back = np.arange(len(found)) % 5 == 0  # in hash order
-    texts = [r["text"] for r in found]
-    model = train([t for t, b in zip(texts, back, strict=True) if not b], y[~back].tolist())
-    scorer = Scorer(model)
-    logits = np.array([scorer.logit(t) for t in texts])
-    use = back if 0 < y[back].sum() < back.sum() else np.ones(len(y), bool)
-    model.shift = best_cut(logits[use], y[use])
-    langs = np.array([r["lang"] or "" for r in found])
-    for lang in set(langs[use].tolist()):
-        own = use & (langs == lang)
-        if min(y[own].sum(), (1 - y[own]).sum()) >= 20:
-            model.thresholds[lang] = float(sigmoid(best_cut(logits[own], y[own], model.shift) - model.shift))
+    back = np.array([r["o"] in back_ids for r in found])
+    model = train([r["text"] for r, b in zip(found, back, strict=True) if not b], y[~back].tolist())
+    seen = docs.sparkSession.createDataFrame([(o,) for o in sorted({r["o"] for r, b in zip(found, back, strict=True) if not b})], "o string")
+    rest = usable.withColumn("o", order).join(F.broadcast(seen), "o", "left_anti")
+    labels_of = written(rest.groupBy("doc_id").agg(F.count(F.when(F.col("__label") == 0, 1)).alias("clean"), F.count(F.when(F.col("__label") == 1, 1)).alias("toxic")), "toxicity-labels")
+    bins = histogram(docs, labels_of, model)
+    if not 0 < bins["toxic"].sum() or not 0 < bins["clean"].sum():
+        scorer = Scorer(model)
+        logits = np.array([np.floor(scorer.logit(r["text"]) * BINS) for r in found], np.int64)
+        bins = pd.DataFrame({"lang": [r["lang"] or "" for r in found], "bin": logits, "clean": 1 - y, "toxic": y})
+    model.shift = cut_of(bins)
+    for lang, own in bins.groupby("lang"):
+        if min(own["toxic"].sum(), own["clean"].sum()) >= 20:
+            model.thresholds[lang] = float(sigmoid(cut_of(own, model.shift) - model.shift))
+    model.name = uuid.uuid4().hex  # workers may hold a scorer of the model without its zero point
     return model
 
 
+def histogram(docs: DataFrame, labels_of: DataFrame, model: Model) -> pd.DataFrame:
+    """lang, bin (of 1 / BINS of a logit), clean, toxic: how many labelled rows have such a score. labels_of: a written row per doc_id."""
+    rows = join_table(docs.select("doc_id", "text", F.coalesce("lang", F.lit("")).alias("lang")), labels_of, ["doc_id"], "inner")
+
+    def make():
+        scorer = scorer_of(model)
+
+        def step(batch):
+            return {"bin": [math.floor(scorer.logit(t.as_py()) * BINS) for t in batch.column("text")]}
+
+        return step
+
+    found = map_rows(rows.select("lang", "clean", "toxic", "text"), with_fields(rows, ["lang", "clean", "toxic"], "bin long"), make)
+    return found.groupBy("lang", "bin").agg(F.sum("clean").alias("clean"), F.sum("toxic").alias("toxic")).toPandas()
+
+
+def cut_of(bins: pd.DataFrame, near: float | None = None) -> float:
+    both = bins.groupby("bin")[["clean", "toxic"]].sum().reset_index()
+    at, y = np.concatenate([both["bin"], both["bin"]]) / BINS, np.repeat([0, 1], len(both))
+    n = np.concatenate([both["clean"], both["toxic"]]).astype(np.int64)
+    return best_cut(at[n > 0], y[n > 0], near, n[n > 0], 1 / BINS)
+
+
 def sigmoid(x: float) -> float:
     return float(1 / (1 + np.exp(-np.clip(x, -40, 40))))
 

@@ -73,3 +73,31 @@ def test_odd_rows(spark, trained):
 def test_query_columns(spark, sf_dir):
     got = op5_toxicity(spark, sf_dir).collect()
     assert all(r["predicted"] == int(r["score"] >= 0.5) and r["held_out"] == (zlib.crc32(str(r["doc_id"]).encode()) % 5 == 0) for r in got)
+
+
+def test_calibration_sees_all_labelled_rows_that_the_gradient_has_not(spark, monkeypatch):
+    rng = np.random.default_rng(5)
+    words = [f"word{i}" for i in range(300)]
+    label = {i: int(i % 9 == 0) for i in range(1800)}
+    rows = [(i, " ".join([*rng.choice(words, 20), *(["scum"] if y and i % 4 else [])]), "en" if i % 2 else "de", "a") for i, y in label.items()]
+    seen = []
+    cut = toxicity.best_cut
+    monkeypatch.setattr(toxicity, "best_cut", lambda scores, y, near=None, counts=None, step=0.0: (seen.append((y, counts)), cut(scores, y, near, counts, step))[1])
+    labels = spark.createDataFrame([(i, 1, y) for i, y in label.items()], "doc_id long, quality int, toxic int")
+    model = toxicity.fit(docs_table(spark, rows), labels, per_class=50)
+    free = [i for i in label if zlib.crc32(str(i).encode()) % 5]
+    y, n = seen[0]
+    assert n is not None and n.sum() == len(free) - 80  # the gradient takes four fifths of 100
+    assert (n * y).sum() > sum(label[i] for i in free) - 50  # few of the toxic ones were in the sample
+    assert len(seen) == 3 and sum(c.sum() for _, c in seen[1:]) == n.sum() and set(model.thresholds) == {"de", "en"}
+
+
+def test_cut_of_counts_equals_cut_of_rows():
+    rng = np.random.default_rng(7)
+    y = (rng.random(500) < 0.2).astype(int)
+    scores = np.floor(rng.normal(y * 2.0, 1) * 64) / 64
+    places, back = np.unique(np.stack([scores, y]), axis=1, return_inverse=True)
+    counts = np.bincount(back.ravel())
+    for near in (None, 0.5):
+        a, b = toxicity.best_cut(scores, y, near), toxicity.best_cut(places[0], places[1].astype(int), near, counts)
+        assert a == pytest.approx(b)
