@@ -351,7 +351,7 @@ NEAR = (4, 5)
 #: Texts that are sampled to find frequent shingles, in how many of them one is frequent, and how many are known at most.
 HOT_TEXTS, HOT_LEAST, HOT_MOST = 10_000, 5, 50_000
 #: Groups of more points first meet one pivot a turn, for at most so many turns; then all pairs that are left meet.
-CROWD, TURNS = 50, 6
+CROWD, TURNS = 500, 3
 #: Pairs of one pivot that a task compares.
 PIVOT_PAIRS = 2_000
 
@@ -420,24 +420,28 @@ def jaccard_links(rows: DataFrame) -> DataFrame:
     least = F.ceil(F.col("size") * NEAR[0] / F.lit(float(NEAR[1])) - F.lit(1e-9))
     first = rows.select("pid", "size", F.posexplode(F.slice("hashes", F.lit(1), (F.col("size") - least + 1).cast("int"))).alias("at", "token"))
     shared = written(first.groupBy("token").agg(F.min("pid").alias("lo"), F.max("pid").alias("hi")).where("lo < hi").select("token"), "simhash-shared")
-    met = written(first.join(shared, "token").distinct().withColumn("root", F.col("pid")), "simhash-met")
+    met = written(first.join(shared, "token").distinct(), "simhash-met")
     sets = rows.join(met.select("pid").distinct(), "pid", "left_semi").dropDuplicates(["pid"]).select("pid", "hashes")
     sets = written(sets, "simhash-sets")
     alike = lambda x, y: F.least(x, y) * NEAR[1] >= F.greatest(x, y) * NEAR[0]
-    found = rows.sparkSession.createDataFrame([], "a long, b long")
-    for turn in range(TURNS + 1):
-        pivot = F.min(F.struct(F.xxhash64("pid", F.lit(turn)).alias("h"), F.col("pid").alias("a"), F.col("size").alias("size_a"), F.col("root").alias("root_a"))).alias("p")
-        groups = met.groupBy("token").agg(F.count(F.lit(1)).alias("n"), F.min("root").alias("lo"), F.max("root").alias("hi"), pivot).where("lo < hi").select("token", "n", "p.*")
-        groups = written(groups, "simhash-groups")
-        crowds = groups.where(F.col("n") > CROWD)
-        if turn == TURNS or not crowds.limit(1).count():
-            break
-        pairs = met.join(crowds, "token").where((F.col("root") != F.col("root_a")) & alike(F.col("size"), F.col("size_a"))).select("a", F.col("pid").alias("b")).distinct()
-        found = written(found.unionByName(_confirmed(written(pairs, "simhash-pairs"), sets)), "simhash-links")
-        roots = written(components(found), "simhash-turn")
-        met = met.join(groups.select("token"), "token", "left_semi").drop("root").join(roots, F.col("pid") == F.col("node"), "left")
-        met = written(met.select("token", "pid", "size", "at", F.coalesce("root", "pid").alias("root")), "simhash-met")
-    met = met.join(groups.select("token"), "token", "left_semi")
+    found = roots = None
+    rooted = lambda df: df.withColumn("root", F.col("pid")) if roots is None else df.join(roots, F.col("pid") == F.col("node"), "left").withColumn("root", F.coalesce("root", "pid")).drop("node")
+    mixed = lambda df, *more: df.groupBy("token").agg(F.min("root").alias("lo"), F.max("root").alias("hi"), *more).where("lo < hi")
+    crowds = written(met.groupBy("token").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") > CROWD).select("token"), "simhash-crowds")
+    if crowds.limit(1).count():
+        crowd = written(met.join(crowds, "token").select("token", "pid", "size"), "simhash-crowd")
+        for turn in range(TURNS):
+            now = rooted(crowd)
+            pivot = F.min(F.struct(F.xxhash64("pid", F.lit(turn)).alias("h"), F.col("pid").alias("a"), F.col("size").alias("size_a"), F.col("root").alias("root_a"))).alias("p")
+            pairs = now.join(mixed(now, pivot).select("token", "p.*"), "token").where((F.col("root") != F.col("root_a")) & alike(F.col("size"), F.col("size_a")))
+            pairs = written(pairs.select("a", F.col("pid").alias("b")).distinct(), "simhash-pairs")
+            new = _confirmed(pairs, sets)
+            found = written(new if found is None else found.unionByName(new), "simhash-links")
+            roots = written(components(found), "simhash-turn")
+        now = rooted(met)
+        met = written(now.join(mixed(now).select("token"), "token", "left_semi"), "simhash-left")
+    else:
+        met = rooted(met)
     one = met.select("token", *[F.col(c).alias(f"{c}_a") for c in ("pid", "size", "at", "root")])
     other = met.select("token", *[F.col(c).alias(f"{c}_b") for c in ("pid", "size", "at", "root")])
     pairs = one.join(other, "token").where((F.col("pid_a") < F.col("pid_b")) & (F.col("root_a") != F.col("root_b")) & alike(F.col("size_a"), F.col("size_b")))
@@ -445,7 +449,8 @@ def jaccard_links(rows: DataFrame) -> DataFrame:
     # what is common up to the last meeting has met; behind it at most the rest of the smaller set is
     most = F.col("n") + F.least(F.col("size_a") - F.col("at_a"), F.col("size_b") - F.col("at_b")) - 1
     pairs = pairs.where(most * NEAR[1] >= (F.col("size_a") + F.col("size_b") - most) * NEAR[0]).select("a", "b")
-    return written(found.unionByName(_confirmed(written(pairs, "simhash-pairs"), sets)), "simhash-links")
+    links_left = _confirmed(written(pairs, "simhash-pairs"), sets)
+    return written(links_left if found is None else found.unionByName(links_left), "simhash-links")
 
 
 def keep_one(docs: DataFrame, text: str = "text", **options) -> DataFrame:
