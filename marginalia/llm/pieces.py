@@ -8,7 +8,8 @@ a BPE encoding is right exactly if all its neighbours are. From a table of last
 the ids are read off backwards.
 
 Texts are cut where no piece spans the neighbouring characters, so a cut never changes
-an encoding; the parts (mostly words) are cached per task, at most CACHE of them.
+an encoding; the ids of parts (mostly words) are kept in two generations of CACHE each:
+a full one becomes the old one, and what is used again moves to the new one.
 
 The model's own parameters are read from its file: pieces, scores, types and the
 normaliser's flags. Supported are BPE models with identity normalisation and byte fallback;
@@ -21,17 +22,18 @@ are encoded whole. Rows may repeat; ids may be null. Empty tables give empty res
 from __future__ import annotations
 
 import hashlib
-import heapq
 import re
 from functools import lru_cache
 
 import ahocorasick
+import numpy as np
 from pyspark.sql import DataFrame
 
 from .common import hold, map_rows, with_fields
 
-SPACE = "▁"
-CACHE = 100_000
+SPACE, NEVER = "▁", float("-inf")
+#: Parts of a generation, and pairs of pieces, that a worker keeps. An entry takes some 200 bytes.
+CACHE, FITS = 400_000, 200_000
 #: Fixed values of the model format: types of pieces.
 NORMAL, UNKNOWN, CONTROL, USER, UNUSED, BYTE = 1, 2, 3, 4, 5, 6
 
@@ -43,6 +45,8 @@ def default_model() -> str:
 
 
 class Pieces:
+    """A model. Inside, a space stands for the space mark, which normalisation makes of it anyway."""
+
     def __init__(self, model: str):
         from sentencepiece import sentencepiece_model_pb2 as pb
 
@@ -54,62 +58,79 @@ class Pieces:
         if proto.trainer_spec.model_type != 2 or not proto.trainer_spec.byte_fallback or spec.precompiled_charsmap or spec.remove_extra_whitespaces or not spec.escape_whitespaces or kinds & {USER, UNUSED}:
             raise ValueError("only BPE models with byte fallback and identity normalisation are supported")
         self.dummy_prefix = spec.add_dummy_prefix
-        self.pieces = [p.piece for p in proto.pieces]
-        self.score = {p.piece: p.score for p in proto.pieces if p.type == NORMAL}
-        self.ids = {p.piece: i for i, p in enumerate(proto.pieces) if p.type == NORMAL}
+        self.kind = [p.type for p in proto.pieces]
+        self.pieces = [p.piece if p.type != NORMAL else p.piece.replace(SPACE, " ") for p in proto.pieces]
+        normal = [i for i, k in enumerate(self.kind) if k == NORMAL]
+        self.score = {self.pieces[i]: proto.pieces[i].score for i in normal}
+        self.ids = {self.pieces[i]: i for i in normal}
+        self.said = [f" {i}" for i in range(len(self.pieces))]
+        self.plain = [p if k == NORMAL else None for p, k in zip(self.pieces, self.kind, strict=True)]
         self.byte_id = [0] * 256
         for i, p in enumerate(proto.pieces):
             if p.type == BYTE:
                 self.byte_id[int(p.piece[3:5], 16)] = i
-        self.kind = [p.type for p in proto.pieces]
         self.end_id = next(i for i, p in enumerate(proto.pieces) if p.type == CONTROL and p.piece == "</s>")
-        self.inside = {p[i : i + 2] for p in self.score for i in range(len(p) - 1)}
-        own = [p for p in self.score if len(p) == 1 or self.merged(p) == [p]]  # others are no result of merges
+        self.steps = lru_cache(len(self.pieces))(self._steps)
+        self.fits = lru_cache(FITS)(self._fits)
         self.automaton = ahocorasick.Automaton()
-        for p in own:
-            self.automaton.add_word(p, (p, len(p)))
+        for p in self.score:
+            if any(whole == p for _, whole, _ in self._steps(p)):  # others are no result of merges
+                self.automaton.add_word(p, (p, len(p)))
         self.automaton.make_automaton()
-        self.fits = lru_cache(CACHE)(self._fits)
-        self.cache: dict[str, tuple[tuple[int, ...], str, str]] = {}
-        if any(p[0] != SPACE and p[1] == SPACE for p in self.inside):
+        self.young: dict[str, str] = {}
+        self.old: dict[str, str] = {}
+        inside = {p[i : i + 2] for p in self.score for i in range(len(p) - 1)}
+        if any(p[0] != " " and p[1] == " " for p in inside):
             raise ValueError("a piece goes on after a space mark that isn't at its front")
-        alone = "".join(c for c in "\n\t\r" if not any(c in p for p in self.inside))
-        self.cuts = re.compile(f"{SPACE}+[^{SPACE}{alone}]*|[^{SPACE}{alone}]+" + f"|[{alone}]" * bool(alone))
-
-    def merged(self, text: str) -> list[str]:
-        """Merges by score, the leftmost first among equals; for short texts."""
-        parts, score = list(text), self.score
-        while len(parts) > 1:
-            best, at = max(((score[x], -i) for i in range(len(parts) - 1) if (x := parts[i] + parts[i + 1]) in score), default=(None, 0))
-            if best is None:
-                break
-            parts[-at : 2 - at] = [parts[-at] + parts[1 - at]]
-        return parts
+        alone = "".join(c for c in "\n\t\r" if not any(c in p for p in inside))
+        marks = "".join(c for c in ".,;:!?%$&#" if not any(p[0].isalnum() and p[1] == c for p in inside))
+        rest = f"[^ {alone}{marks}]*" + f"(?:(?<![^\\W_])[{marks}][^ {alone}{marks}]*)*" * bool(marks)  # a mark behind a letter or digit starts a part
+        self.cuts = re.compile(f" +{rest}|[^ {alone}]{rest}" + f"|[{alone}]" * bool(alone))
+
+    def _steps(self, text: str) -> list[tuple[float, str, str]]:
+        """Merges by score, the leftmost first among equals: (score, first part, last part after it). An impossible one comes last."""
+        parts, get, out = list(text), self.score.get, []
+        near = [get(x + y, NEVER) for x, y in zip(parts, parts[1:], strict=False)]
+        while near and (best := max(near)) > NEVER:
+            at = near.index(best)
+            parts[at : at + 2] = [parts[at] + parts[at + 1]]
+            del near[at]
+            if at:
+                near[at - 1] = get(parts[at - 1] + parts[at], NEVER)
+            if at < len(near):
+                near[at] = get(parts[at] + parts[at + 1], NEVER)
+            out.append((best, parts[0], parts[-1]))
+        return [*out, (NEVER, "", "")]
 
     def _fits(self, left: str, right: str) -> bool:
-        """Whether merging the characters of both pieces gives the two pieces."""
-        parts, score, n = list(left + right), self.score, len(left)
+        """Whether merging the characters of both pieces gives the two pieces.
+
+        Both merge by themselves, the better step first, until a merge across the border would be better than either's next step.
+        """
+        own, other, get = iter(self.steps(left)), iter(self.steps(right)), self.score.get
+        (a, _, last), (b, first, _) = next(own), next(other)
+        x, y = left[-1], right[0]
         while True:
-            best, at, place, cross = None, 0, 0, False
-            for i in range(len(parts) - 1):
-                place += len(parts[i])
-                x = score.get(parts[i] + parts[i + 1])
-                if x is not None and (best is None or x > best):
-                    best, at, cross = x, i, place == n
-            if best is None or cross:
-                return best is None
-            parts[at : at + 2] = [parts[at] + parts[at + 1]]
+            cross = get(x + y, NEVER)
+            if cross > a and cross >= b:
+                return False
+            if a >= b:
+                if a == NEVER:
+                    return True
+                x = last
+                a, _, last = next(own)
+            else:
+                y = first
+                b, first, _ = next(other)
 
     def last_pieces(self, part: str) -> list[str]:
         """The last piece of each prefix of a part, the shortest prefix first."""
-        last: list[str | None] = [None] * len(part)
-        fits = self.fits
+        last, fits, done = list(part), self.fits, -1  # where no longer piece fits, the character itself
         for end, (piece, size) in self.automaton.iter(part):  # longer pieces come first
-            if last[end] is None:
-                before = end - size
-                if before < 0 or fits(last[before] or part[before], piece):
-                    last[end] = piece
-        return [p or part[i] for i, p in enumerate(last)]  # a character without a piece never merges
+            if end != done and (end < size or fits(last[end - size], piece)):
+                last[end] = piece
+                done = end
+        return last
 
     def _ids(self, part: str) -> list[int]:
         last, at, back, ids = self.last_pieces(part), len(part), [], self.ids
@@ -119,42 +140,52 @@ class Pieces:
             if piece in ids:
                 back.append(ids[piece])
             else:
-                back.extend(self.byte_id[b] for b in reversed(piece.encode()))
+                back.extend([self.byte_id[b] for b in reversed(piece.encode())])
         back.reverse()
         return back
 
-    def part(self, part: str) -> tuple[tuple[int, ...], str, str]:
-        """Ids, ids as text with a space before each, decoded text; of a part that stands alone."""
-        found = self.cache.get(part)
+    def part(self, part: str) -> str:
+        """Ids of a part that stands alone, as text; from two generations of CACHE parts each if it is there.
+
+        With byte fallback and identity normalisation nothing is lost, so ids decode to their part; each new part is decoded to see that.
+        """
+        found = self.young.get(part)
         if found is None:
-            cuts = [i for i in range(1, len(part)) if part[i - 1 : i + 1] not in self.inside]
-            if cuts:
-                subs = [self.part(part[a:b]) for a, b in zip([0, *cuts], [*cuts, len(part)], strict=True)]
-                found = (tuple(i for s in subs for i in s[0]), "".join(s[1] for s in subs), "".join(s[2] for s in subs))
-            else:
+            found = self.old.get(part)
+            if found is None:
                 ids = self._ids(part)
-                found = (tuple(ids), "".join(f" {i}" for i in ids), self.decode_pieces(ids))
+                if self.decode_pieces(ids) != part:
+                    raise ValueError(f"ids don't decode to their text: {part!r}")
+                found = "".join([self.said[i] for i in ids])
             if len(part) <= 64:
-                if len(self.cache) >= CACHE:
-                    self.cache.clear()
-                self.cache[part] = found
+                if len(self.young) >= CACHE:
+                    self.old, self.young = self.young, {}
+                self.young[part] = found
         return found
 
-    def normalised(self, text: str) -> str:
-        text = text.replace(" ", SPACE)
-        return SPACE + text if text and self.dummy_prefix else text
+    def parts(self, text: str) -> list[str]:
+        text = text.replace(SPACE, " ")
+        return self.cuts.findall(" " + text if text and self.dummy_prefix else text)
 
-    def coded(self, text: str) -> list[tuple[tuple[int, ...], str, str]]:
-        """The parts of a text."""
-        get, part = self.cache.get, self.part
-        return [get(x) or part(x) for x in self.cuts.findall(self.normalised(text))]
+    def coded(self, text: str) -> tuple[str, str]:
+        """Ids as text, a space before each and without an end id, and what they decode to."""
+        parts = self.parts(text)
+        found = list(map(self.young.get, parts))
+        if None in found:
+            part = self.part
+            found = [part(p) if f is None else f for p, f in zip(parts, found, strict=True)]
+        decoded = "".join(parts)  # as part() has found
+        return "".join(found), decoded[1:] if parts and self.dummy_prefix else decoded
 
     def encode(self, text: str) -> list[int]:
         """Ids without an end id."""
-        return [i for ids, _, _ in self.coded(text) for i in ids]
+        return [int(i) for i in self.coded(text)[0].split()]
 
     def decode_pieces(self, ids: list[int] | tuple[int, ...]) -> str:
         """The text of ids, its first space included. Bytes that are no UTF-8 become U+FFFD, one each."""
+        found = [self.plain[i] for i in ids]
+        if None not in found:
+            return "".join(found)
         raw, out = bytearray(), []
         for i in [*ids, -1]:
             if i >= 0 and self.kind[i] == BYTE:
@@ -164,14 +195,14 @@ class Pieces:
                 out.append(_bytes_text(bytes(raw)))
                 raw.clear()
             if i >= 0 and self.kind[i] != CONTROL:
-                out.append(" \u2047 " if self.kind[i] == UNKNOWN else self.pieces[i].replace(SPACE, " "))
+                out.append(" \u2047 " if self.kind[i] == UNKNOWN else self.pieces[i])
         return "".join(out)
 
     def decode(self, ids: list[int] | tuple[int, ...]) -> str:
         """As the library decodes: the space of the dummy prefix goes."""
         text = self.decode_pieces(ids)
         first = next((i for i in ids if self.kind[i] != CONTROL), None)
-        starts = first is not None and self.kind[first] == NORMAL and self.pieces[first].startswith(SPACE)
+        starts = first is not None and self.kind[first] == NORMAL and self.pieces[first].startswith(" ")
         return text[1:] if starts and self.dummy_prefix else text
 
 
@@ -191,33 +222,6 @@ def _bytes_text(raw: bytes) -> str:
     return "".join(out)
 
 
-def merge_heap(model: Pieces, text: str) -> list[str]:
-    """Plain BPE with a heap, for tests on longer texts."""
-    parts: list[str | None] = list(text)
-    nxt = list(range(1, len(parts) + 1))
-    prv = list(range(-1, len(parts) - 1))
-    heap: list[tuple[float, int, str]] = []
-
-    def push(i: int) -> None:
-        j = nxt[i] if i >= 0 else len(parts)
-        if i >= 0 and j < len(parts) and (x := parts[i] + parts[j]) in model.score:
-            heapq.heappush(heap, (-model.score[x], i, x))
-
-    for i in range(len(parts) - 1):
-        push(i)
-    while heap:
-        _, i, x = heapq.heappop(heap)
-        if parts[i] is None or nxt[i] >= len(parts) or parts[i] + (parts[nxt[i]] or "") != x:
-            continue
-        j = nxt[i]
-        parts[i], parts[j], nxt[i] = x, None, nxt[j]
-        if nxt[j] < len(parts):
-            prv[nxt[j]] = i
-        push(prv[i])
-        push(i)
-    return [p for p in parts if p is not None]
-
-
 def load(path: str) -> Pieces:
     """One model per worker process, so that its caches outlive a task."""
     return hold(("pieces", path), lambda: Pieces(path))
@@ -237,15 +241,13 @@ def encoded(docs: DataFrame, keep: list[str], text: str = "text", model: str | N
         def step(batch):
             out = {"n_tokens": [], "ids_sha256": [], "decoded_sha256": []} | ({"ids": []} if with_ids else {})
             for value in batch.column(text):
-                parts = pieces.coded(value.as_py() or "")
-                decoded = "".join(p[2] for p in parts)
-                if parts and pieces.dummy_prefix:
-                    decoded = decoded[1:]
-                out["n_tokens"].append(sum(len(p[0]) for p in parts) + 1)
-                out["ids_sha256"].append(_hex(("".join(p[1] for p in parts) + f" {pieces.end_id}")[1:]))
+                ids, decoded = pieces.coded(value.as_py() or "")
+                ids = f"{ids} {pieces.end_id}"[1:]
+                out["n_tokens"].append(ids.count(" ") + 1)
+                out["ids_sha256"].append(_hex(ids))
                 out["decoded_sha256"].append(_hex(decoded))
                 if with_ids:
-                    out["ids"].append([i for p in parts for i in p[0]] + [pieces.end_id])
+                    out["ids"].append(np.array(ids.split(), np.int32))
             return out
 
         return step

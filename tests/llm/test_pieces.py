@@ -20,6 +20,17 @@ def both():
 CASES = ["", " ", "  a", "a  b ", " \n\n x", "▁", "▁▁a", "a▁b", "<0x0A>", "<s>", "</s>[INST] x", "\0", "�", "e" * 500, "=" * 333, "ab" * 300, "\t\r\n", "İı", "🎉👩‍👩‍👧", " " * 70, "the" * 50]
 
 
+def plain_merges(score, text):
+    """Merges by score, the leftmost first among equals."""
+    parts = list(text)
+    while True:
+        found = [(score[x], -i) for i in range(len(parts) - 1) if (x := parts[i] + parts[i + 1]) in score]
+        if not found:
+            return parts
+        at = -max(found)[1]
+        parts[at : at + 2] = [parts[at] + parts[at + 1]]
+
+
 @pytest.mark.parametrize("text", CASES)
 def test_cases(both, text):
     own, library = both
@@ -49,8 +60,27 @@ def test_decodes_any_ids(both, ids):
 @given(st.text(alphabet="▁theingor,s", min_size=1, max_size=30))
 def test_last_pieces_are_plain_merges(both, text):
     own, _ = both
-    last = own.last_pieces(text)
-    assert [p[-1] for p in map(own.merged, (text[: i + 1] for i in range(len(text))))] == last
+    text = text.replace("▁", " ")
+    assert [plain_merges(own.score, text[: i + 1])[-1] for i in range(len(text))] == own.last_pieces(text)
+
+
+def test_two_generations_of_parts(both, monkeypatch):
+    own, library = both
+    monkeypatch.setattr(pieces, "CACHE", 3)
+    for text in ("a b c d e f a b", "a g h i j a k l m n o p", "a b c"):
+        assert own.encode(text) == library.encode(text)
+    own.young.clear(), own.old.clear()
+    for text in ("a b c", "d e f", "a"):
+        own.encode(text)
+    assert " a" in own.young and len(own.young) <= 3 and len(own.old) == 3
+
+
+def test_ids_that_do_not_decode_are_an_error(both, monkeypatch):
+    own, _ = both
+    monkeypatch.setattr(own, "_ids", lambda part: [own.end_id])
+    own.young.clear(), own.old.clear()
+    with pytest.raises(ValueError):
+        own.encode("something new")
 
 
 def test_query_equals_the_library(spark, sf_dir, both):
