@@ -31,6 +31,8 @@ class CollectionConfig:
     rebuild: bool = True
     upload_multiplier: int = 250
     wire_batch: int = 256
+    #: Ids that share a partition of the stored table; only partitions that an upsert touches are written again.
+    part_ids: int = 1 << 20
 
 
 @dataclass(frozen=True)
@@ -38,17 +40,11 @@ class SearchConfig:
     top_k: int = 5
     overfetch_k: int = 5
     exact_below_bytes: int = 10_000 * 1024
-    nlist: int = 16
-    nprobe: int = 8
-
-
-@dataclass(frozen=True)
-class GenerateConfig:
-    max_new_tokens: int = 512
-    temperature: float = 0.3
-    top_p: float = 0.8
-    do_sample: bool = True
-    repetition_penalty: float = 1.2
+    #: Cells of the index (None: the square root of the points, 16 at least), and those that a question visits
+    #: (None: as many as a sample needs for this recall).
+    nlist: int | None = None
+    nprobe: int | None = None
+    recall: float = 0.97
 
 
 @dataclass(frozen=True)
@@ -57,4 +53,3 @@ class Config:
     embed: EmbedConfig = field(default_factory=EmbedConfig)
     collection: CollectionConfig = field(default_factory=CollectionConfig)
     search: SearchConfig = field(default_factory=SearchConfig)
-    generate: GenerateConfig = field(default_factory=GenerateConfig)

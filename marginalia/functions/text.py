@@ -6,6 +6,8 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 NOT_WORD = r"[^\p{L}\p{N}]+"
+#: All white space of Unicode and the separators 1C to 1F, in a notation that Java and other engines share.
+WHITE = r"[\x09-\x0D\x1C-\x20\x{85}\x{A0}\x{1680}\x{2000}-\x{200A}\x{2028}\x{2029}\x{202F}\x{205F}\x{3000}]"
 
 
 def sanitized(text: Column) -> Column:
@@ -14,7 +16,7 @@ def sanitized(text: Column) -> Column:
 
 
 def stripped(text: Column) -> Column:
-    return F.regexp_replace(text, r"^\s+|\s+$", "")
+    return F.regexp_replace(text, rf"^{WHITE}+|{WHITE}+\z", "")
 
 
 def tokens(text: Column, limit: int | None = None) -> Column:
@@ -25,7 +27,7 @@ def tokens(text: Column, limit: int | None = None) -> Column:
 
 def word_count(text: Column) -> Column:
     """Words between white space; 0 for an empty text."""
-    return F.size(F.filter(F.split(text, r"\s+"), lambda w: w != "")).cast("long")
+    return F.size(F.filter(F.split(text, f"{WHITE}+"), lambda w: w != "")).cast("long")
 
 
 def bucket(token: Column, dim: int) -> Column:

@@ -35,8 +35,8 @@ def context_of(docs: Column) -> Column:
 
 
 def assemble_context(retrieved: DataFrame) -> DataFrame:
-    """query_id, query, context."""
-    return gathered(retrieved).select("query_id", "query", context_of(F.col("retrieved_docs")).alias("context"))
+    """query_id, query, retrieved_docs, context."""
+    return gathered(retrieved).withColumn("context", context_of(F.col("retrieved_docs")))
 
 
 def context_stats(retrieved: DataFrame) -> DataFrame:
@@ -53,13 +53,11 @@ def build_prompt(contexts: DataFrame, instruction: str = INSTRUCTION) -> DataFra
 
 def generate_batch(prompts: DataFrame, make_model: Callable | None = None, batch_size: int = 16) -> DataFrame:
     """Adds answer. make_model() gives a function from an array of prompts to an array of texts; the default
-    model quotes the first sentence of the best document."""
+    model quotes the first sentence of the best document in retrieved_docs (null without any)."""
     if make_model is not None:
         model = predict_batch_udf(make_model, return_type=StringType(), batch_size=batch_size)
         return prompts.withColumn("answer", model("prompt"))
-    best = F.element_at(F.split("context", "\n\n---\n\n"), 1)
-    body = F.regexp_replace(best, r"^\[[^\n]*\]\n", "")
-    return prompts.withColumn("answer", first_sentence(body))
+    return prompts.withColumn("answer", first_sentence(F.get("retrieved_docs", F.lit(0))["text"]))
 
 
 def answer_stats(answers: DataFrame) -> DataFrame:
@@ -69,8 +67,7 @@ def answer_stats(answers: DataFrame) -> DataFrame:
 
 def run_queries(questions: DataFrame, hits: DataFrame, make_model: Callable | None = None) -> DataFrame:
     """query_id, query, retrieved_docs, context, answer: the whole state of every question, in one job."""
-    state = gathered(retrieve_stage(questions, hits)).withColumn("context", context_of(F.col("retrieved_docs")))
-    answered = generate_batch(build_prompt(state), make_model)
+    answered = generate_batch(build_prompt(assemble_context(retrieve_stage(questions, hits))), make_model)
     return answered.select("query_id", "query", "retrieved_docs", "context", "answer")
 
 

@@ -1,10 +1,17 @@
-"""Collections: catalog tables of points that remember dimension and distance."""
+"""Collections: catalog tables of points that remember dimension and distance.
+
+A collection is stored in partitions of ``part_ids`` consecutive ids. An upsert first writes the partitions
+that it touches to a table ``<name>__staged``, which stands in the catalog only when it is whole, and
+then puts them in place. If that is broken off, the next call of write_points() does it again from the
+staged table before anything else, so at each moment one of the two tables has every point.
+"""
 
 from __future__ import annotations
 
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
+from contextlib import contextmanager
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..config import CollectionConfig, Config
@@ -12,11 +19,12 @@ from .chunk import chunk_recursive
 from .embed import embed_dense
 from .points import assign_point_ids, build_points, upsert_points, validate_vectors
 
-SCHEMA = "id BIGINT, vector ARRAY<FLOAT>, payload STRUCT<text: STRING, source: STRING>"
+SCHEMA = "id BIGINT, vector ARRAY<FLOAT>, payload STRUCT<text: STRING, source: STRING>, part BIGINT"
+STAGED = "__staged"
 
 
 def list_collections(spark: SparkSession) -> list[str]:
-    return sorted(t.name for t in spark.catalog.listTables() if not t.isTemporary)
+    return sorted(t.name for t in spark.catalog.listTables() if not t.isTemporary and not t.name.endswith(STAGED))
 
 
 def collection_exists(spark: SparkSession, name: str) -> bool:
@@ -26,6 +34,7 @@ def collection_exists(spark: SparkSession, name: str) -> bool:
 def drop_collection(spark: SparkSession, config: CollectionConfig) -> bool:
     """Drops an existing collection if rebuilding is on; tells whether it did."""
     if config.rebuild and collection_exists(spark, config.name):
+        spark.sql(f"DROP TABLE IF EXISTS `{config.name}{STAGED}`")
         spark.sql(f"DROP TABLE `{config.name}`")
         return True
     return False
@@ -35,7 +44,9 @@ def create_collection(spark: SparkSession, config: CollectionConfig) -> bool:
     """Creates the collection where there is none; tells whether it did."""
     if collection_exists(spark, config.name):
         return False
-    spark.sql(f"CREATE TABLE `{config.name}` ({SCHEMA}) USING parquet TBLPROPERTIES ('dim' = '{config.dim}', 'distance' = '{config.distance}')")
+    spark.sql(f"DROP TABLE IF EXISTS `{config.name}{STAGED}`")  # of a collection that is gone
+    said = f"'dim' = '{config.dim}', 'distance' = '{config.distance}', 'part_ids' = '{config.part_ids}'"
+    spark.sql(f"CREATE TABLE `{config.name}` ({SCHEMA}) USING parquet PARTITIONED BY (part) TBLPROPERTIES ({said})")
     return True
 
 
@@ -43,14 +54,52 @@ def properties(spark: SparkSession, name: str) -> dict[str, str]:
     return {r["key"]: r["value"] for r in spark.sql(f"SHOW TBLPROPERTIES `{name}`").collect()}
 
 
-def write_points(spark: SparkSession, config: CollectionConfig, points: DataFrame, per_file: int) -> None:
-    """Upserts points. A second table takes the rows first, as the collection is read for them."""
-    staged = f"{config.name}__staged"
-    spark.sql(f"DROP TABLE IF EXISTS `{staged}`")
-    rows = upsert_points(spark.table(config.name), validate_vectors(points, config.dim))
-    rows.select("id", F.col("vector").cast("array<float>"), "payload").write.option("maxRecordsPerFile", per_file).saveAsTable(staged)
-    spark.table(staged).write.option("maxRecordsPerFile", per_file).insertInto(config.name, overwrite=True)
+@contextmanager
+def _only_touched_partitions(spark: SparkSession) -> Iterator[None]:
+    name = "spark.sql.sources.partitionOverwriteMode"
+    before = spark.conf.get(name)
+    spark.conf.set(name, "dynamic")
+    try:
+        yield
+    finally:
+        spark.conf.set(name, before)
+
+
+def put_in_place(spark: SparkSession, name: str) -> bool:
+    """Puts the staged partitions, if there are any, in place of the collection's own."""
+    staged = f"{name}{STAGED}"
+    if not spark.catalog.tableExists(staged):
+        return False
+    with _only_touched_partitions(spark):
+        spark.table(staged).write.insertInto(name, overwrite=True)
     spark.sql(f"DROP TABLE `{staged}`")
+    return True
+
+
+def write_points(spark: SparkSession, config: CollectionConfig, points: DataFrame, per_file: int, group: Column | None = None, gone: DataFrame | None = None) -> None:
+    """Upserts points, and takes out old ones whose group is in gone, in the partitions that this touches.
+
+    A group's ids must lie between group * g and (group + 1) * g for one g that divides part_ids.
+    """
+    put_in_place(spark, config.name)
+    per_part = int(properties(spark, config.name)["part_ids"])
+    part = lambda x: F.floor(x / F.lit(per_part)).cast("long").alias("part")
+    new = validate_vectors(points, config.dim).select("id", F.col("vector").cast("array<float>").alias("vector"), F.col("payload").cast("struct<text:string,source:string>").alias("payload"))
+    touched = new.select(part(F.col("id")))
+    stored = spark.table(config.name)
+    if gone is not None:
+        old_parts = stored.select("part", group.alias("__group")).join(gone.toDF("__group"), "__group", "left_semi").select("part")
+        touched = touched.unionByName(old_parts)
+    old = stored.join(touched.distinct(), "part", "left_semi").select("id", "vector", "payload")
+    rows = upsert_points(old, new, group, gone).withColumn("part", part(F.col("id")))
+    rows = rows.repartitionByRange("part", "id").select("id", "vector", "payload", "part")
+    rows.write.option("maxRecordsPerFile", per_file).partitionBy("part").saveAsTable(f"{config.name}{STAGED}")
+    put_in_place(spark, config.name)
+    if gone is not None:  # partitions of which nothing is left aren't overwritten by anything
+        held = gone.toDF("__group")
+        left = spark.table(config.name).select("part", group.alias("__group")).join(held, "__group", "left_semi").join(new.select(part(F.col("id"))), "part", "left_anti")
+        for r in left.select("part").distinct().collect():
+            spark.sql(f"ALTER TABLE `{config.name}` DROP IF EXISTS PARTITION (part = {r['part']})")
 
 
 def setup_index(documents: DataFrame, config: Config = Config(), chunker: Callable[[DataFrame], DataFrame] | None = None, make_model: Callable | None = None) -> bool:

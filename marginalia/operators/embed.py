@@ -5,7 +5,7 @@ from __future__ import annotations
 from collections.abc import Callable
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 from pyspark.ml.functions import predict_batch_udf
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -14,16 +14,27 @@ from pyspark.sql.types import ArrayType, FloatType
 from ..config import EmbedConfig
 from ..functions.text import buckets
 
+#: Rows whose counts are made at once.
+ROWS = 1_024
+
 
 def hashed_bag(text: Column, config: EmbedConfig = EmbedConfig()) -> Column:
-    """Token counts by hash bucket. Tokens are hashed in the JVM; only their buckets reach Python."""
+    """Token counts by hash bucket. Tokens are hashed in the JVM; a batch of their buckets is counted at once."""
     dim = config.dim
 
-    @F.pandas_udf("array<float>")
-    def counted(found: pd.Series) -> pd.Series:
-        return found.map(lambda b: np.bincount(np.asarray(b, np.int64), minlength=dim).astype(np.float32))
-
-    return counted(buckets(text, dim, config.max_tokens))
+    @F.arrow_udf("array<float>")
+    def counted(found: pa.Array) -> pa.Array:
+        sizes = np.diff(found.offsets.to_numpy())
+        at, out = np.concatenate([[0], np.cumsum(sizes)]), []
+        flat = found.flatten().to_numpy(zero_copy_only=False).astype(np.int64)  # of the rows that aren't null
+        for first in range(0, len(sizes), ROWS):
+            n = min(ROWS, len(sizes) - first)
+            own = flat[at[first] : at[first + n]] + np.repeat(np.arange(n) * dim, sizes[first : first + n])
+            out.append(np.bincount(own, minlength=n * dim).astype(np.float32))
+        values = np.concatenate(out) if out else np.empty(0, np.float32)
+        return pa.ListArray.from_arrays(pa.array(np.arange(len(sizes) + 1) * dim, pa.int32()), pa.array(values))
+
+    return counted(F.coalesce(buckets(text, dim, config.max_tokens), F.array().cast("array<int>")))
 
 
 def embed_dense(rows: DataFrame, config: EmbedConfig = EmbedConfig(), make_model: Callable | None = None, text: str = "text") -> DataFrame:

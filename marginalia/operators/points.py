@@ -2,35 +2,34 @@
 
 from __future__ import annotations
 
-from pyspark import StorageLevel
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-#: Ranges into which documents are cut for running sums.
-RANGES = 200
+from ..config import CollectionConfig, EmbedConfig
+from ..shared import written
 
 
 def assign_point_ids(chunks: DataFrame) -> DataFrame:
-    """Adds id: 0, 1, ... in order of document and chunk.
+    """Adds id: 0, 1, ... in order of doc_id (null last), source, chunk_idx and text, whatever repeats among these.
 
-    Counts per document are summed within ranges of documents, and the ranges' totals (at most
-    RANGES of them) give each range its first id, so no task sees all documents. The counts are
-    persisted, as three steps read them: chunks are made twice, to be counted and to be numbered.
+    Chunks are sorted by ranges, one shuffle that no hot document hampers, and written with their range and
+    their place in it. The totals of the ranges, a row per shuffle partition, give each range its first id.
     """
-    counts = chunks.groupBy("doc_id").agg(F.count(F.lit(1)).alias("n")).persist(StorageLevel.MEMORY_AND_DISK)
-    cuts = counts.agg(F.percentile_approx("doc_id", [i / RANGES for i in range(1, RANGES)], F.lit(10_000)).alias("cuts")).first()["cuts"] or []
-    cuts = sorted(set(cuts))
-    part = F.size(F.filter(F.array(*[F.lit(c) for c in cuts]), lambda c: c <= F.col("doc_id"))) if cuts else F.lit(0)
-    counts = counts.withColumn("part", part)
-    totals = {r["part"]: r["n"] for r in counts.groupBy("part").agg(F.sum("n").alias("n")).collect()}  # at most RANGES rows
-    firsts, at = [], 0
-    for p in range(len(cuts) + 1):
-        firsts.append(at)
-        at += totals.get(p, 0)
-    before = F.sum("n").over(Window.partitionBy("part").orderBy("doc_id")) - F.col("n")
-    first = F.element_at(F.array(*[F.lit(f).cast("long") for f in firsts]), F.col("part") + 1)
-    offsets = counts.select("doc_id", (first + before).alias("offset"))
-    return chunks.join(offsets, "doc_id").withColumn("id", F.col("offset") + F.col("chunk_idx")).drop("offset")
+    order = [F.col(c).asc_nulls_last() for c in ("doc_id", "source", "chunk_idx", "text")]
+    row = F.monotonically_increasing_id()  # its upper bits number the ranges, its lower 33 the rows of one
+    placed = chunks.orderBy(*order).withColumns({"__range": F.shiftright(row, 33), "__place": row.bitwiseAND(F.lit((1 << 33) - 1))})
+    placed = written(placed, "numbered")
+    totals = placed.groupBy("__range").agg(F.count(F.lit(1)).alias("n"))
+    before = F.sum("n").over(Window.orderBy("__range")) - F.col("n")
+    firsts = totals.select("__range", before.alias("__first"))
+    return placed.join(F.broadcast(firsts), "__range").withColumn("id", F.col("__first") + F.col("__place")).drop("__range", "__place", "__first")
+
+
+def ingest_stats(documents: DataFrame, numbered: DataFrame) -> DataFrame:
+    """One row: n_documents, n_chunks and n_points, which is the last id plus 1."""
+    docs = documents.select(F.lit(1).alias("doc"), F.lit(0).alias("chunk"), F.lit(-1).cast("long").alias("id"))
+    rows = docs.unionByName(numbered.select(F.lit(0).alias("doc"), F.lit(1).alias("chunk"), "id"))
+    return rows.agg(F.sum("doc").alias("n_documents"), F.sum("chunk").alias("n_chunks"), (F.max("id") + 1).alias("n_points"))
 
 
 def build_points(embedded: DataFrame) -> DataFrame:
@@ -38,16 +37,28 @@ def build_points(embedded: DataFrame) -> DataFrame:
     return embedded.select("id", "vector", F.struct("text", "source").alias("payload"))
 
 
-def batch_plan(points: DataFrame, per_batch: int = 128 * 250, per_wire: int = 256) -> DataFrame:
+def batch_plan(points: DataFrame, per_batch: int = EmbedConfig.batch_size * CollectionConfig.upload_multiplier, per_wire: int = CollectionConfig.wire_batch) -> DataFrame:
     """batch, n_points, n_wire, first_id, last_id: contiguous upload batches, none of them empty."""
     batch = F.floor(F.col("id") / F.lit(per_batch)).alias("batch")
     sizes = points.groupBy(batch).agg(F.count(F.lit(1)).alias("n_points"), F.min("id").alias("first_id"), F.max("id").alias("last_id"))
     return sizes.withColumn("n_wire", F.ceil(F.col("n_points") / F.lit(per_wire)))
 
 
-def upsert_points(old: DataFrame, new: DataFrame) -> DataFrame:
-    """New points, and old ones whose id isn't among them."""
-    return old.join(new.select("id"), "id", "left_anti").unionByName(new)
+def one_per_id(points: DataFrame) -> DataFrame:
+    """Of points with one id the one that is greatest by its other columns, compared in order."""
+    others = [c for c in points.columns if c != "id"]
+    return points.groupBy("id").agg(F.max(F.struct(*others)).alias("p")).select("id", "p.*").select(points.columns)
+
+
+def upsert_points(old: DataFrame, new: DataFrame, group: Column | None = None, gone: DataFrame | None = None) -> DataFrame:
+    """New points, one per id (see one_per_id), and old ones whose id isn't among them.
+
+    gone: a table with one column; old points whose group is in it go too, whatever the new ones are.
+    """
+    left = old.join(new.select("id"), "id", "left_anti")
+    if gone is not None:
+        left = left.withColumn("__group", group).join(gone.toDF("__group"), "__group", "left_anti").drop("__group")
+    return left.unionByName(one_per_id(new))
 
 
 def invalid_vectors(points: DataFrame, dim: int) -> DataFrame:

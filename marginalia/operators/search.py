@@ -12,11 +12,18 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..config import SearchConfig
+from ..shared import written
 
-#: Questions whose vectors are sent to the tasks at once; more of them are searched in blocks.
-QUERY_BLOCK = 4_096
-#: Vectors from which k-means cells are fitted.
-FIT_ROWS = 100_000
+#: Bytes of question vectors that may be sent to all tasks; beyond that blocks of questions meet parts of the points.
+SENT_BYTES = 64 << 20
+#: Rows of a block of questions and of a part of the points in such a meeting.
+QUERY_BLOCK, POINT_PART = 4_096, 20_000
+#: Scores that are computed at once.
+AT_ONCE = 1 << 21
+#: Vectors from which k-means cells are fitted, those on which the number of probes is chosen, and questions among them.
+FIT_ROWS, PROBE_ROWS, PROBE_QUERIES = 100_000, 20_000, 200
+#: Hits that may be sent to all tasks to fetch their payloads.
+SENT_HITS = 100_000
 
 
 def scores(queries: np.ndarray, points: np.ndarray, distance: str) -> np.ndarray:
@@ -29,17 +36,22 @@ def scores(queries: np.ndarray, points: np.ndarray, distance: str) -> np.ndarray
 
 
 def _best(queries: np.ndarray, names: np.ndarray, points: np.ndarray, ids: np.ndarray, k: int, distance: str) -> pd.DataFrame:
-    s = scores(queries, points, distance)
-    key = np.where(np.isnan(s), np.inf, -s if distance == "cosine" else s)
-    if key.shape[1] > 4 * k:  # a bound on the k-th score first, ties included
-        bound = np.partition(key, k - 1, axis=1)[:, k - 1]
-        q, p = np.nonzero((key <= bound[:, None]) & (key < np.inf))
-    else:
-        q, p = np.nonzero(key < np.inf)
-    order = np.lexsort((ids[p], key[q, p], q))
-    q, p = q[order], p[order]
-    top = np.arange(len(q)) - np.searchsorted(q, q) < k
-    return pd.DataFrame({"query_id": names[q[top]], "id": ids[p[top]], "score": s[q[top], p[top]]})
+    """The k best points of each query, in blocks of queries so that at most about AT_ONCE scores are held."""
+    found, step = [], max(1, AT_ONCE // max(1, len(ids)))
+    for at in range(0, len(names), step):
+        s = scores(queries[at : at + step], points, distance)
+        key = np.where(np.isnan(s), np.inf, -s if distance == "cosine" else s)
+        if key.shape[1] > 4 * k:  # a bound on the k-th score first, ties included
+            bound = np.partition(key, k - 1, axis=1)[:, k - 1]
+            q, p = np.nonzero((key <= bound[:, None]) & (key < np.inf))
+        else:
+            q, p = np.nonzero(key < np.inf)
+        order = np.lexsort((ids[p], key[q, p], q))
+        q, p = q[order], p[order]
+        top = np.arange(len(q)) - np.searchsorted(q, q) < k
+        found.append((names[at + q[top]], ids[p[top]], s[q[top], p[top]]))
+    columns = [np.concatenate(x) for x in zip(*found, strict=True)] if found else [np.empty(0, np.int64), np.empty(0, np.int64), np.empty(0)]
+    return pd.DataFrame(dict(zip(("query_id", "id", "score"), columns, strict=True)))
 
 
 def _ranked(found: DataFrame, k: int, distance: str) -> DataFrame:
@@ -52,42 +64,82 @@ def _matrix(column: pd.Series) -> np.ndarray:
     return np.stack(column.to_numpy()).astype(np.float64)
 
 
+FOUND = "query_id long, id long, score double"
+
+
+def _meeting(k: int, distance: str):
+    """A cogroup function: the best points of one group for the queries of the other."""
+
+    def meet(rows: pd.DataFrame, wanted: pd.DataFrame) -> pd.DataFrame:
+        if not len(rows) or not len(wanted):
+            return _best(np.empty((0, 0)), np.empty(0, np.int64), np.empty((0, 0)), np.empty(0, np.int64), k, distance)
+        return _best(_matrix(wanted["vector"]), wanted["query_id"].to_numpy(np.int64), _matrix(rows["vector"]), rows["id"].to_numpy(np.int64), k, distance)
+
+    return meet
+
+
 def knn_exact(queries: DataFrame, points: DataFrame, k: int = 5, distance: str = "cosine") -> DataFrame:
     """query_id, rank, id, score of the k best points of every question, best first, ties by id.
 
-    queries: query_id, vector; points: id, vector. Each task multiplies its points with a block of
-    questions and passes on k rows per question; a question's rows of all tasks then meet.
+    queries: query_id, vector; points: id, vector. Questions of at most SENT_BYTES, by a count, are sent
+    to the tasks, and each task passes on k rows per question and batch of its points. With more of them, blocks of questions meet
+    parts of the points, both by hash, in tasks of their own, so that nothing passes the driver.
     """
     spark = queries.sparkSession
     asked = queries.where("vector is not null").select("query_id", "vector")
-    blocks = max(1, -(-asked.count() // QUERY_BLOCK))
-    parts = asked.withColumn("block", F.pmod(F.xxhash64("query_id"), F.lit(blocks)))
-    out = None
-    for block in range(blocks):
-        held = parts.where(F.col("block") == block).toPandas()  # about QUERY_BLOCK rows
-        if not len(held):
-            continue
+    stored = points.where("vector is not null").select("id", "vector")
+    size = asked.agg(F.count(F.lit(1)).alias("n"), F.max(F.size("vector")).alias("dim")).first()
+    if not size["n"]:
+        return spark.createDataFrame([], "query_id long, rank int, id long, score double")
+    if size["n"] * size["dim"] * 8 <= SENT_BYTES:
+        held = asked.toPandas()
         sent = spark.sparkContext.broadcast((_matrix(held["vector"]), held["query_id"].to_numpy(np.int64)))
 
-        def run(frames: Iterator[pd.DataFrame], sent=sent) -> Iterator[pd.DataFrame]:
+        def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
             q, names = sent.value
             for pdf in frames:
                 if len(pdf):
                     yield _best(q, names, _matrix(pdf["vector"]), pdf["id"].to_numpy(np.int64), k, distance)
 
-        found = points.where("vector is not null").select("id", "vector").mapInPandas(run, "query_id long, id long, score double")
-        out = found if out is None else out.unionByName(found)
-    return _ranked(out if out is not None else spark.createDataFrame([], "query_id long, id long, score double"), k, distance)
+        return _ranked(stored.mapInPandas(run, FOUND), k, distance)
+    stored = written(stored, "search-points")  # counted and searched
+    blocks, parts = -(-size["n"] // QUERY_BLOCK), max(1, -(-stored.count() // POINT_PART))
+    every = lambda n: F.explode(F.sequence(F.lit(0), F.lit(n - 1)))
+    own = lambda name, n: F.pmod(F.xxhash64(name), F.lit(n)).cast("int")
+    asked = asked.withColumn("block", own("query_id", blocks)).withColumn("part", every(parts))
+    stored = stored.withColumn("part", own("id", parts)).withColumn("block", every(blocks))
+    met = stored.groupBy("block", "part").cogroup(asked.groupBy("block", "part"))
+    return _ranked(met.applyInPandas(_meeting(k, distance), FOUND), k, distance)
+
+
+def _distances(vectors: np.ndarray, centres: np.ndarray) -> np.ndarray:
+    """Squares of the distances to the centres, but for what all centres share."""
+    return (centres**2).sum(1)[None] - 2 * vectors @ centres.T
 
 
-def fit_cells(points: DataFrame, nlist: int = 16, seed: int = 11) -> np.ndarray:
-    """Centres of k-means cells, fitted on at most FIT_ROWS points."""
-    sample = points.where("vector is not null").orderBy(F.xxhash64("id")).limit(FIT_ROWS).select(array_to_vector(F.col("vector").cast("array<double>")).alias("features"))
+def fit_cells(points: DataFrame, nlist: int | None = None, seed: int = 11) -> np.ndarray:
+    """Centres of k-means cells, fitted on at most FIT_ROWS points; as many cells as SearchConfig says if nlist is None."""
+    usable = points.where("vector is not null")
+    sample = usable.orderBy(F.xxhash64("id")).limit(FIT_ROWS).select(array_to_vector(F.col("vector").cast("array<double>")).alias("features"))
     if not sample.limit(1).count():
         return np.zeros((1, 0))
+    nlist = nlist or max(16, min(int(usable.count() ** 0.5), FIT_ROWS // 40))
     return np.array(KMeans(k=nlist, seed=seed, maxIter=10).fit(sample).clusterCenters())
 
 
+def fit_probes(points: DataFrame, centres: np.ndarray, k: int, distance: str, recall: float) -> int:
+    """How many of its nearest cells a question must visit so that this share of its k neighbours lies there, by a sample of the points."""
+    rows = points.where("vector is not null").select("id", "vector").orderBy(F.xxhash64("id", F.lit(1))).limit(PROBE_ROWS).toPandas()
+    v, ids = _matrix(rows["vector"]), rows["id"].to_numpy(np.int64)
+    asked = np.arange(min(PROBE_QUERIES, len(v)))
+    near = _best(v[asked], asked, v, np.arange(len(ids)), k + 1, distance)
+    near = near[near["query_id"] != near["id"]]  # a question of the sample finds itself
+    order = np.argsort(np.argsort(_distances(v[asked], centres), axis=1, kind="stable"), axis=1)
+    cell = _distances(v, centres).argmin(1)
+    needed = np.sort(order[near["query_id"], cell[near["id"]]]) + 1
+    return int(needed[min(len(needed) - 1, int(np.ceil(recall * len(needed))))]) if len(needed) else 1
+
+
 def _with_cells(rows: DataFrame, centres: np.ndarray, n: int) -> DataFrame:
     """One row per row and each of its n nearest cells."""
     schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in rows.schema.fields) + ", cell int"
@@ -95,31 +147,27 @@ def _with_cells(rows: DataFrame, centres: np.ndarray, n: int) -> DataFrame:
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in frames:
             if len(pdf):
-                d = ((_matrix(pdf["vector"])[:, None] - centres[None]) ** 2).sum(2)
-                cells = np.argsort(d, axis=1, kind="stable")[:, :n]
+                cells = np.argsort(_distances(_matrix(pdf["vector"]), centres), axis=1, kind="stable")[:, :n]
                 yield pdf.loc[pdf.index.repeat(cells.shape[1])].assign(cell=cells.ravel().astype(np.int32))
 
     return rows.where("vector is not null").mapInPandas(run, schema)
 
 
-def knn_ann(queries: DataFrame, points: DataFrame, k: int = 5, distance: str = "cosine", nlist: int = 16, nprobe: int = 8, centres: np.ndarray | None = None) -> DataFrame:
-    """As knn_exact, but a question only meets the points of its nprobe nearest cells. With nprobe = nlist it is exact."""
+def knn_ann(queries: DataFrame, points: DataFrame, k: int = 5, distance: str = "cosine", nlist: int | None = None, nprobe: int | None = None, centres: np.ndarray | None = None, recall: float = SearchConfig.recall) -> DataFrame:
+    """As knn_exact, but a question only meets the points of its nprobe nearest cells (None: as many as fit_probes says).
+
+    With as many probes as cells it is exact.
+    """
     centres = fit_cells(points, nlist) if centres is None else centres
+    nprobe = nprobe or fit_probes(points, centres, k, distance, recall)
     stored = _with_cells(points.select("id", "vector"), centres, 1)
     asked = _with_cells(queries.select("query_id", "vector"), centres, min(nprobe, len(centres)))
-
-    def meet(rows: pd.DataFrame, wanted: pd.DataFrame) -> pd.DataFrame:
-        if not len(rows) or not len(wanted):
-            return pd.DataFrame({"query_id": np.empty(0, np.int64), "id": np.empty(0, np.int64), "score": np.empty(0)})
-        p, ids = _matrix(rows["vector"]), rows["id"].to_numpy(np.int64)
-        step = max(1, (1 << 22) // len(p))
-        return pd.concat([_best(_matrix(b["vector"]), b["query_id"].to_numpy(np.int64), p, ids, k, distance) for b in (wanted.iloc[i : i + step] for i in range(0, len(wanted), step))])
-
     # a cell is cut into parts of some thousand points, so that no task holds a whole hot cell
-    n_parts = max(1, -(-points.count() // (len(centres) * 20_000)))
-    stored = stored.withColumn("part", F.pmod(F.xxhash64("id"), F.lit(n_parts)).cast("int"))
-    asked = asked.withColumn("part", F.explode(F.sequence(F.lit(0), F.lit(n_parts - 1))))
-    found = stored.groupBy("cell", "part").cogroup(asked.groupBy("cell", "part")).applyInPandas(meet, "query_id long, id long, score double")
+    stored = written(stored, "search-cells")
+    sizes = stored.groupBy("cell").agg(F.ceil(F.count(F.lit(1)) / POINT_PART).cast("int").alias("parts"))  # a row per cell
+    stored = stored.join(F.broadcast(sizes), "cell").withColumn("part", F.pmod(F.xxhash64("id"), F.col("parts")).cast("int")).drop("parts")
+    asked = asked.join(F.broadcast(sizes), "cell").withColumn("part", F.explode(F.sequence(F.lit(0), F.col("parts") - 1))).drop("parts")
+    found = stored.groupBy("cell", "part").cogroup(asked.groupBy("cell", "part")).applyInPandas(_meeting(k, distance), FOUND)
     return _ranked(found, k, distance)
 
 
@@ -132,18 +180,18 @@ def rescore(candidates: DataFrame, queries: DataFrame, points: DataFrame, k: int
     return _ranked(rows.select("query_id", "id", measure(F.col("q"), F.col("p")).alias("score")).where("score is not null"), k, distance)
 
 
-def knn_overfetch(queries: DataFrame, points: DataFrame, config: SearchConfig = SearchConfig(), distance: str = "cosine") -> DataFrame:
+def knn_overfetch(queries: DataFrame, points: DataFrame, config: SearchConfig = SearchConfig(), distance: str = "cosine", centres: np.ndarray | None = None) -> DataFrame:
     """Takes overfetch_k candidates more from the cells, scores them exactly and keeps top_k."""
-    found = knn_ann(queries, points, config.top_k + config.overfetch_k, distance, config.nlist, config.nprobe)
+    found = knn_ann(queries, points, config.top_k + config.overfetch_k, distance, config.nlist, config.nprobe, centres, config.recall)
     return rescore(found, queries, points, config.top_k, distance)
 
 
-def knn_auto(queries: DataFrame, points: DataFrame, config: SearchConfig = SearchConfig(), distance: str = "cosine") -> DataFrame:
+def knn_auto(queries: DataFrame, points: DataFrame, config: SearchConfig = SearchConfig(), distance: str = "cosine", centres: np.ndarray | None = None) -> DataFrame:
     """Exact where the vectors take less than exact_below_bytes, else by cells."""
     found = points.where("vector is not null").agg(F.count(F.lit(1)).alias("n"), F.max(F.size("vector")).alias("dim")).first()
     if found["n"] * (found["dim"] or 0) * 4 < config.exact_below_bytes:
         return knn_exact(queries, points, config.top_k, distance)
-    return knn_ann(queries, points, config.top_k, distance, config.nlist, config.nprobe)
+    return knn_ann(queries, points, config.top_k, distance, config.nlist, config.nprobe, centres, config.recall)
 
 
 def ann_recall(found: DataFrame, exact: DataFrame) -> DataFrame:
@@ -153,8 +201,13 @@ def ann_recall(found: DataFrame, exact: DataFrame) -> DataFrame:
 
 
 def project_payload(hits: DataFrame, points: DataFrame) -> DataFrame:
-    """query_id, rank, id, score, text, source: the payload of hits, never the vector."""
-    return hits.join(points.select("id", "payload.text", "payload.source"), "id").select("query_id", "rank", "id", "score", "text", "source")
+    """query_id, rank, id, score, text, source: the payload of hits, never the vector.
+
+    Hits, once counted, are sent to the points if there are few of them, so that no payload is shuffled.
+    """
+    held = written(hits, "search-hits")
+    few = F.broadcast(held) if held.limit(SENT_HITS + 1).count() <= SENT_HITS else held
+    return points.select("id", "payload.text", "payload.source").join(few, "id").select("query_id", "rank", "id", "score", "text", "source")
 
 
 def to_documents(hits: DataFrame) -> DataFrame:

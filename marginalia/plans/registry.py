@@ -5,14 +5,16 @@ from __future__ import annotations
 import uuid
 from collections.abc import Callable
 
+import numpy as np
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..config import CollectionConfig, Config, SearchConfig
 from ..functions import vectors
-from ..functions.text import sanitized
+from ..functions.text import WHITE, sanitized
 from ..operators import answer, chunk, collections, embed, points, search
-from ..sources.documents import extract_text, load_table, reject_bad_documents, strict_utf8_text
+from ..shared import new_path, written
+from ..sources.documents import extract_text, load_table, reject_bad_documents, scan_documents, strict_utf8_text
 from . import sql
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -21,12 +23,13 @@ QUERIES: dict[str, Query] = {}
 ORACLE_SQL: dict[str, str] = {}
 
 
-def query(oracle: str, name: str | None = None) -> Callable[[Query], Query]:
-    """Registers a function under its name or the given one."""
+def query(oracle: str | None, name: str | None = None) -> Callable[[Query], Query]:
+    """Registers a function under its name or the given one; without SQL, it is tested against brute force."""
 
     def register(f: Query) -> Query:
         QUERIES[name or f.__name__] = f
-        ORACLE_SQL[name or f.__name__] = oracle
+        if oracle is not None:
+            ORACLE_SQL[name or f.__name__] = oracle
         return f
 
     return register
@@ -77,9 +80,15 @@ def rounded(hits: DataFrame) -> DataFrame:
 # sources
 
 
-@query("SELECT doc_id, source, length(text)::BIGINT AS n_chars FROM documents")
-def scan_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return documents(spark, sf_dir).select("doc_id", "source", F.length("text").cast("long").alias("n_chars"))
+@query("SELECT doc_id, length(text)::BIGINT AS n_chars, md5(text) AS text_md5 FROM documents WHERE text IS NOT NULL", "scan_documents")
+def scan_document_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Writes each document to a file of its own, scans the folder for these files and extracts their texts."""
+    path = new_path(spark, "files")
+    load_table(spark, sf_dir, "documents").where("text is not null").select("doc_id", "text").write.partitionBy("doc_id").text(path)
+    found = extract_text(scan_documents(spark, path, "*.txt"))
+    text = F.expr("substring(text, 1, length(text) - 1)")  # the writer ends a file with a new line
+    doc_id = F.regexp_extract("source", r"/doc_id=(-?[0-9]+)/[^/]*$", 1).cast("long")
+    return found.select(doc_id.alias("doc_id"), F.length(text).cast("long").alias("n_chars"), F.md5(text).alias("text_md5"))
 
 
 def _encoded(spark: SparkSession, sf_dir: str, broken: bool) -> DataFrame:
@@ -105,9 +114,7 @@ def reject_bad_files(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query(sql.with_chunks("SELECT (SELECT count(*) FROM documents)::BIGINT AS n_documents, count(*)::BIGINT AS n_chunks, max(id)::BIGINT + 1 AS n_points FROM numbered"))
 def ingest_stats(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = documents(spark, sf_dir).select(F.lit(1).alias("doc"), F.lit(0).alias("chunk"), F.lit(-1).cast("long").alias("id"))
-    rows = docs.unionByName(numbered(spark, sf_dir).select(F.lit(0).alias("doc"), F.lit(1).alias("chunk"), "id"))
-    return rows.agg(F.sum("doc").alias("n_documents"), F.sum("chunk").alias("n_chunks"), (F.max("id") + 1).alias("n_points"))
+    return points.ingest_stats(documents(spark, sf_dir), numbered(spark, sf_dir))
 
 
 # text and chunks
@@ -118,16 +125,9 @@ def sanitize_text(spark: SparkSession, sf_dir: str) -> DataFrame:
     return documents(spark, sf_dir).select("doc_id", sanitized(F.col("text")).alias("text")).withColumn("n_chars", F.length("text").cast("long"))
 
 
-@query("SELECT doc_id, true AS has_chunk, true AS none_too_long, true AS all_inside, true AS covers FROM documents WHERE trim(text, ' \t\n\r') <> ''")
+@query(None)
 def chunk_recursive(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Holds for each document: it has a chunk, none is longer than asked for, each is a part of the text, together they are as long as the text."""
-    docs = documents(spark, sf_dir)
-    size = Config().chunk.size
-    pieces = chunk.chunk_recursive(docs).select("doc_id", F.col("text").alias("chunk"))
-    joined = pieces.join(docs.select("doc_id", "text"), "doc_id")
-    no_space = lambda c: F.length(F.regexp_replace(c, r"\s", ""))
-    held = joined.groupBy("doc_id").agg(F.count(F.lit(1)).alias("n"), F.max(F.length("chunk")).alias("longest"), F.bool_and(F.contains(F.col("text"), F.col("chunk"))).alias("all_inside"), (F.sum(no_space(F.col("chunk"))) >= F.max(no_space(F.col("text")))).alias("covers"))
-    return held.select("doc_id", (F.col("n") > 0).alias("has_chunk"), (F.col("longest") <= size).alias("none_too_long"), "all_inside", "covers")
+    return chunk.chunk_recursive(documents(spark, sf_dir)).select("doc_id", F.col("chunk_idx").cast("long").alias("chunk_idx"), "text")
 
 
 @query(sql.with_chunks("SELECT doc_id, chunk_idx, text FROM chunks"))
@@ -206,12 +206,73 @@ def validate_vectors(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query(sql.with_embeddings("SELECT c.source, count(*)::BIGINT AS n_points, sum(length(c.text))::BIGINT AS n_chars, sum(e.mass) AS mass FROM numbered c JOIN (SELECT id, sum(n)::DOUBLE AS mass FROM embedded GROUP BY id) e USING (id) GROUP BY c.source"))
 def setup_index(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Builds a collection from all documents and reads it back."""
+    """Builds a collection from all documents, reads it back and drops it."""
     own = CollectionConfig(name=f"c_{uuid.uuid4().hex}")
     collections.setup_index(documents(spark, sf_dir), Config(collection=own), chunk.chunk_window)
     mass = F.aggregate("vector", F.lit(0.0), lambda a, x: a + x.cast("double"))
     rows = spark.table(own.name).select("payload.source", F.length("payload.text").alias("n"), mass.alias("mass"))
-    return rows.groupBy("source").agg(F.count(F.lit(1)).alias("n_points"), F.sum("n").cast("long").alias("n_chars"), F.sum("mass").alias("mass"))
+    out = written(rows.groupBy("source").agg(F.count(F.lit(1)).alias("n_points"), F.sum("n").cast("long").alias("n_chars"), F.sum("mass").alias("mass")), "setup-index")
+    collections.drop_collection(spark, own)
+    return out
+
+
+def _by_label(spark: SparkSession, sf_dir: str) -> dict[int, CollectionConfig]:
+    """A collection of the vectors of each label (ten of them); its payload is the label."""
+    rows = load_table(spark, sf_dir, "embeddings").where("vec_id is not null and embedding is not null")
+    label = F.coalesce(F.pmod("label", F.lit(10)), F.lit(0))
+    run, own = uuid.uuid4().hex, {}
+    for r in rows.groupBy(label.alias("label")).agg(F.max(F.size("embedding")).alias("dim")).collect():
+        own[r["label"]] = config = CollectionConfig(name=f"c_{run}_{r['label']}", dim=r["dim"], distance="euclidean")
+        collections.create_collection(spark, config)
+        payload = F.struct(F.col("label").cast("string").alias("text"), F.lit("embeddings").alias("source")).alias("payload")
+        collections.write_points(spark, config, rows.where(label == r["label"]).select(F.col("vec_id").alias("id"), F.col("embedding").alias("vector"), payload), 32_000)
+    return own
+
+
+def _counted(spark: SparkSession, own: dict[int, CollectionConfig], says: Callable[[int, CollectionConfig], tuple], columns: str) -> DataFrame:
+    """label, n_points and what is said of each collection; then all of them are dropped."""
+    n = lambda c: spark.table(c.name).count() if collections.collection_exists(spark, c.name) else 0
+    rows = [(label, n(config), *says(label, config)) for label, config in own.items()]
+    for config in own.values():
+        collections.drop_collection(spark, config)
+    return spark.createDataFrame(rows, f"label int, n_points long, {columns}")
+
+
+_PER_LABEL = "FROM (SELECT label, count(*)::BIGINT AS n, max(len(embedding))::BIGINT AS dim FROM embeddings GROUP BY label)"
+
+
+@query(f"SELECT label::INTEGER AS label, n AS n_points, false AS again, dim, 'euclidean' AS distance {_PER_LABEL}")
+def create_collection(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Creating what is there already does nothing."""
+
+    def says(_: int, config: CollectionConfig) -> tuple:
+        held = collections.properties(spark, config.name)
+        return collections.create_collection(spark, config), int(held["dim"]), held["distance"]
+
+    return _counted(spark, _by_label(spark, sf_dir), says, "again boolean, dim long, distance string")
+
+
+@query(f"SELECT label::INTEGER AS label, n AS n_points, true AS listed {_PER_LABEL}")
+def list_collections(spark: SparkSession, sf_dir: str) -> DataFrame:
+    own = _by_label(spark, sf_dir)
+    names = collections.list_collections(spark)
+    return _counted(spark, own, lambda _, config: (config.name in names,), "listed boolean")
+
+
+@query(f"SELECT label::INTEGER AS label, n AS n_points, true AS there, false AS other {_PER_LABEL}")
+def collection_exists(spark: SparkSession, sf_dir: str) -> DataFrame:
+    there = lambda _, config: (collections.collection_exists(spark, config.name), collections.collection_exists(spark, config.name + "_other"))
+    return _counted(spark, _by_label(spark, sf_dir), there, "there boolean, other boolean")
+
+
+@query(f"SELECT label::INTEGER AS label, CASE WHEN label % 2 = 0 THEN 0 ELSE n END AS n_points, label % 2 = 1 AS there, false AS again {_PER_LABEL}")
+def drop_collection(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Drops the collections of even labels; dropping them again does nothing."""
+    own = _by_label(spark, sf_dir)
+    even = [c for label, c in own.items() if label % 2 == 0]
+    done = all([collections.drop_collection(spark, c) for c in even])
+    again = any([collections.drop_collection(spark, c) for c in even])
+    return _counted(spark, own, lambda _, config: (collections.collection_exists(spark, config.name), again or not done), "there boolean, again boolean")
 
 
 # scores and search
@@ -259,31 +320,53 @@ def knn_exact_manhattan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rounded(search.knn_exact(asked_vectors(spark, sf_dir), stored_vectors(spark, sf_dir), distance="manhattan"))
 
 
-@query(sql.nearest("cosine"))
+#: Cells of the queries below, and how many of them a question visits.
+CELLS, PROBES = 16, 8
+
+
+def _centres(spark: SparkSession, sf_dir: str) -> np.ndarray:
+    """The vectors with the smallest ids as centres, so that SQL can say which cells there are."""
+    rows = stored_vectors(spark, sf_dir).where("id is not null and vector is not null").orderBy("id").limit(CELLS).collect()
+    return np.array([r["vector"] for r in rows], np.float64)
+
+
+@query(sql.by_cells(CELLS, PROBES))
 def knn_ann(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """With as many probes as cells the cells lose nothing."""
-    config = SearchConfig()
-    return rounded(search.knn_ann(asked_vectors(spark, sf_dir), stored_vectors(spark, sf_dir), nlist=config.nlist, nprobe=config.nlist))
+    return rounded(search.knn_ann(asked_vectors(spark, sf_dir), stored_vectors(spark, sf_dir), nprobe=PROBES, centres=_centres(spark, sf_dir)))
 
 
-@query(sql.nearest("cosine"))
+@query(sql.by_cells(CELLS, PROBES))
 def knn_overfetch(spark: SparkSession, sf_dir: str) -> DataFrame:
-    config = SearchConfig(nprobe=SearchConfig().nlist)
-    return rounded(search.knn_overfetch(asked_vectors(spark, sf_dir), stored_vectors(spark, sf_dir), config))
+    return rounded(search.knn_overfetch(asked_vectors(spark, sf_dir), stored_vectors(spark, sf_dir), SearchConfig(nprobe=PROBES), centres=_centres(spark, sf_dir)))
 
 
 @query(sql.nearest("cosine"))
 def knn_auto(spark: SparkSession, sf_dir: str) -> DataFrame:
-    config = SearchConfig(nprobe=SearchConfig().nlist)
-    return rounded(search.knn_auto(asked_vectors(spark, sf_dir), stored_vectors(spark, sf_dir), config))
+    return rounded(search.knn_auto(asked_vectors(spark, sf_dir), stored_vectors(spark, sf_dir)))
+
+
+@query(sql.by_cells(CELLS, PROBES), "knn_auto_index")
+def knn_auto_by_cells(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A collection beyond the bytes that are searched exactly."""
+    config = SearchConfig(exact_below_bytes=0, nprobe=PROBES)
+    return rounded(search.knn_auto(asked_vectors(spark, sf_dir), stored_vectors(spark, sf_dir), config, centres=_centres(spark, sf_dir)))
 
 
-@query("SELECT vec_id AS query_id, true AS found_some, true AS at_most_all FROM embeddings WHERE vec_id % 50 = 0")
+@query(sql.recall_by_cells(CELLS, PROBES))
 def ann_recall(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Half of the cells: each question finds itself at least."""
+    """How many of the exact neighbours are in the cells that each question visits."""
+    asked, stored = asked_vectors(spark, sf_dir), stored_vectors(spark, sf_dir)
+    found = search.knn_ann(asked, stored, nprobe=PROBES, centres=_centres(spark, sf_dir))
+    return search.ann_recall(found, search.knn_exact(asked, stored)).select("query_id", F.round("recall", 6).alias("recall"))
+
+
+@query(None, "ann_recall_fitted")
+def fitted_recall(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The same with fitted cells and as many probes as a sample of the points asks for; a question's own point is left out."""
     asked, stored = asked_vectors(spark, sf_dir), stored_vectors(spark, sf_dir)
-    recall = search.ann_recall(search.knn_ann(asked, stored), search.knn_exact(asked, stored))
-    return recall.select("query_id", (F.col("recall") > 0).alias("found_some"), (F.col("recall") <= 1).alias("at_most_all"))
+    k = SearchConfig().top_k
+    others = lambda hits: hits.where("query_id <> id and rank <= %d" % (k + 1)).select("query_id", "id")
+    return search.ann_recall(others(search.knn_ann(asked, stored, k + 1)), others(search.knn_exact(asked, stored, k + 1)))
 
 
 # questions over the chunks
@@ -312,7 +395,7 @@ def _retrieved(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query(sql.with_contexts("SELECT query_id, query, context FROM contexts"))
 def assemble_context(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return answer.assemble_context(_retrieved(spark, sf_dir))
+    return answer.assemble_context(_retrieved(spark, sf_dir)).select("query_id", "query", "context")
 
 
 @query(sql.with_contexts("SELECT query_id, n_documents, length(context)::BIGINT AS n_chars FROM contexts"))
@@ -334,7 +417,7 @@ def generate_batch(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _answers(spark, sf_dir).select("query_id", "answer")
 
 
-@query(sql.with_contexts(r"SELECT query_id, len([w for w in regexp_split_to_array(answer, '\s+') if w <> ''])::BIGINT AS n_words FROM answers"))
+@query(sql.with_contexts(f"SELECT query_id, len([w for w in regexp_split_to_array(answer, '{WHITE}+') if w <> ''])::BIGINT AS n_words FROM answers"))
 def answer_stats(spark: SparkSession, sf_dir: str) -> DataFrame:
     return answer.answer_stats(_answers(spark, sf_dir))
 

@@ -2,11 +2,12 @@
 
 from __future__ import annotations
 
+from ..functions.text import WHITE
 from ..operators.answer import INSTRUCTION
 
-_CHUNKS = r"""
+_CHUNKS = rf"""
 WITH windows AS (
-  SELECT doc_id, source, i, regexp_replace(substr(text, i * 768 + 1, 1024), '^\s+|\s+$', '', 'g') AS text
+  SELECT doc_id, source, i, regexp_replace(substr(text, i * 768 + 1, 1024), '^{WHITE}+|{WHITE}+$', '', 'g') AS text
   FROM (SELECT *, unnest(range(0, ceil(greatest(length(text) - 1024, 0) / 768.0)::BIGINT + 1)) AS i FROM documents)),
 chunks AS (SELECT doc_id, source, row_number() OVER (PARTITION BY doc_id ORDER BY i) - 1 AS chunk_idx, text FROM windows WHERE text <> ''),
 numbered AS (SELECT *, row_number() OVER (ORDER BY doc_id, chunk_idx) - 1 AS id FROM chunks)"""
@@ -99,3 +100,25 @@ def nearest(distance: str) -> str:
         "SELECT query_id, rank::INTEGER AS rank, id, round(score, 6) AS score FROM "
         f"(SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score {down}, id) AS rank FROM scored) WHERE rank <= 5"
     )
+
+
+def _cells(cells: int, probes: int, k: int) -> str:
+    """exact and found: ranks of all pairs, and of those whose point lies in one of the cells that its question visits."""
+    return f"""WITH centres AS (SELECT row_number() OVER (ORDER BY vec_id) - 1 AS cell, embedding FROM embeddings ORDER BY vec_id LIMIT {cells}),
+away AS (SELECT v.vec_id, c.cell, {_measure('v.embedding', 'c.embedding', 'euclidean')} AS d FROM embeddings v, centres c),
+near AS (SELECT *, row_number() OVER (PARTITION BY vec_id ORDER BY d, cell) AS place FROM away),
+scored AS (SELECT q.vec_id AS query_id, p.vec_id AS id, {_measure('q.embedding', 'p.embedding', 'cosine')} AS score
+  FROM embeddings q JOIN embeddings p ON q.vec_id % 50 = 0),
+exact AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, id) AS rank FROM scored QUALIFY rank <= {k}),
+found AS (SELECT s.*, row_number() OVER (PARTITION BY s.query_id ORDER BY s.score DESC, s.id) AS rank FROM scored s
+  JOIN near p ON p.vec_id = s.id AND p.place = 1
+  JOIN near q ON q.vec_id = s.query_id AND q.cell = p.cell AND q.place <= {probes} QUALIFY rank <= {k})
+"""
+
+
+def by_cells(cells: int, probes: int, k: int = 5) -> str:
+    return f"{_cells(cells, probes, k)}SELECT query_id, rank::INTEGER AS rank, id, round(score, 6) AS score FROM found"
+
+
+def recall_by_cells(cells: int, probes: int, k: int = 5) -> str:
+    return f"{_cells(cells, probes, k)}SELECT e.query_id, round(avg(CASE WHEN f.id IS NULL THEN 0.0 ELSE 1.0 END), 6) AS recall FROM exact e LEFT JOIN found f USING (query_id, id) GROUP BY e.query_id"

@@ -11,8 +11,9 @@ from marginalia.config import ChunkConfig, CollectionConfig, Config, EmbedConfig
 from marginalia.functions import text as tx
 from marginalia.functions import vectors
 from marginalia.operators import answer, chunk, collections, embed, points, search
+from marginalia.plans.registry import QUERIES
 from marginalia.sources.documents import extract_text, reject_bad_documents, scan_documents, strict_utf8_text
-from marginalia.streaming.incremental import document_stream, index_stream
+from marginalia.streaming.incremental import PER_DOCUMENT, document_stream, index_stream, newest, stream_ids
 
 
 def docs(spark, *texts):
@@ -47,6 +48,30 @@ def test_recursive_invariants(text, size, overlap):
     assert bool(out) == bool(text.strip())
 
 
+def test_white_space_is_that_of_unicode(spark):
+    rows = docs(spark, "\u00a0\u2003 text\u00a0here \u3000\n")
+    for chunker in (chunk.chunk_window, chunk.chunk_recursive):
+        assert [r["text"] for r in chunker(rows).collect()] == ["text\u00a0here"]
+    assert rows.select(tx.word_count(F.col("text")).alias("n")).first()["n"] == 2
+
+
+def test_recursive_query_equals_plain_splitter(spark, sf_dir):
+    texts = {r["doc_id"]: r["text"] for r in spark.read.parquet(f"{sf_dir}/documents.parquet").collect()}
+    got = {}
+    for r in QUERIES["chunk_recursive"](spark, sf_dir).collect():
+        got.setdefault(r["doc_id"], {})[r["chunk_idx"]] = r["text"]
+    assert set(got) == {i for i, t in texts.items() if t and t.strip()}
+    for i, chunks in got.items():
+        found = [chunks[n] for n in range(len(chunks))]
+        assert max(map(len, found)) <= 1024
+        end = 0  # no gap but white space, and an overlap of 256 at most
+        for c in found:
+            start = texts[i].index(c, max(0, end - 256))
+            assert start <= end or not texts[i][end:start].strip()
+            end = start + len(c)
+        assert not texts[i][end:].strip()
+
+
 def test_null_and_odd_documents(spark):
     rows = docs(spark, None, "", " \n ", "é" * 2000)
     for chunker in (chunk.chunk_window, chunk.chunk_recursive):
@@ -119,8 +144,12 @@ def test_search(spark, distance, monkeypatch):
 
     assert measure and lists(search.knn_exact(q, p, 7, distance)) == want
     assert lists(search.knn_ann(q, p, 7, distance, nlist=5, nprobe=5)) == want
+    monkeypatch.setattr(search, "SENT_BYTES", 0)
     monkeypatch.setattr(search, "QUERY_BLOCK", 2)
+    monkeypatch.setattr(search, "POINT_PART", 30)
+    monkeypatch.setattr(search, "AT_ONCE", 50)
     assert lists(search.knn_exact(q, p, 7, distance)) == want
+    assert lists(search.knn_ann(q, p, 7, distance, nlist=5, nprobe=5)) == want
 
 
 def test_search_ties_nulls_and_small_tables(spark):
@@ -141,6 +170,21 @@ def test_recall_and_auto(spark):
     assert index.exceptAll(exact).count() == 0 or index.select("query_id", "rank", "id").exceptAll(exact.select("query_id", "rank", "id")).count() == 0
 
 
+def test_probes_follow_the_vectors(spark):
+    rng = np.random.default_rng(5)
+    middle = rng.normal(size=(40, 12)) * 20
+    clustered = vecs(spark, [(i, [float(x) for x in middle[i % 40] + rng.normal(size=12)]) for i in range(1200)], "id")
+    centres = search.fit_cells(clustered, 40)
+    assert search.fit_probes(clustered, centres, 5, "euclidean", 0.97) <= 4
+    loose = vecs(spark, [(i, [float(x) for x in rng.normal(size=12)]) for i in range(1200)], "id")
+    assert search.fit_probes(loose, search.fit_cells(loose, 40), 5, "euclidean", 0.97) > 4
+
+
+@pytest.mark.parametrize("d", ["/root/testdata/sf0.01", "/root/testdata/sf0.1"])
+def test_fitted_recall(spark, d):
+    assert np.mean([r["recall"] for r in QUERIES["ann_recall_fitted"](spark, d).collect()]) >= 0.9
+
+
 @pytest.mark.parametrize("n,batches", [(0, 0), (31_999, 1), (32_000, 1), (32_001, 2)])
 def test_batch_plan(spark, n, batches):
     assert points.batch_plan(spark.range(n)).count() == batches
@@ -152,6 +196,18 @@ def test_ids_are_dense(spark):
     assert [r["id"] for r in got] == list(range(len(got)))
 
 
+def test_ids_of_null_and_repeated_documents(spark):
+    long = "a long text " * 200
+    rows = [(1, "a", long), (1, "a", "another"), (1, "a", "another"), (None, "b", long), (None, None, "no id"), (2, None, "two")]
+    chunks = chunk.chunk_window(spark.createDataFrame(rows, "doc_id long, source string, text string"))
+    numbered = points.assign_point_ids(chunks)
+    got = numbered.orderBy("id").collect()
+    assert len(got) == chunks.count() == 10 and [r["id"] for r in got] == list(range(10))
+    assert [r["doc_id"] for r in got] == [1] * 5 + [2] + [None] * 4
+    stats = points.ingest_stats(spark.createDataFrame(rows, "doc_id long, source string, text string"), numbered).first()
+    assert tuple(stats) == (6, 10, 10)
+
+
 def test_upsert_and_validate(spark):
     old, new = vecs(spark, [(0, [1.0]), (1, [1.0]), (2, [1.0])], "id"), vecs(spark, [(2, [2.0]), (3, [2.0, 1.0])], "id")
     merged = points.upsert_points(old, new)
@@ -159,6 +215,10 @@ def test_upsert_and_validate(spark):
     assert [r["id"] for r in points.invalid_vectors(merged, 1).collect()] == [3]
     with pytest.raises(PySparkException):
         points.validate_vectors(merged, 1).collect()
+    twice = vecs(spark, [(3, [2.0]), (3, [5.0]), (3, [5.0]), (4, None)], "id")
+    assert sorted((r["id"], r["vector"]) for r in points.upsert_points(old, twice).where("id > 2").collect()) == [(3, [5.0]), (4, None)]
+    left = points.upsert_points(old, twice, F.col("id") % 2, spark.createDataFrame([(0,)], "g long"))
+    assert sorted(r["id"] for r in left.collect()) == [1, 3, 4]
 
 
 def test_collections(spark):
@@ -178,6 +238,39 @@ def test_collections(spark):
     assert collections.drop_collection(spark, own) and not collections.drop_collection(spark, own)
 
 
+def some_points(spark, ids, text):
+    return spark.createDataFrame([(i, [1.0, 2.0], (text, "s")) for i in ids], collections.SCHEMA.replace(", part BIGINT", ""))
+
+
+def test_an_upsert_that_breaks_off_loses_nothing(spark, monkeypatch):
+    own = CollectionConfig(name="t_broken", dim=2, part_ids=10)
+    collections.create_collection(spark, own)
+    collections.write_points(spark, own, some_points(spark, range(0, 40, 4), "old"), 100)
+    held = lambda: sorted((r["id"], r["payload"]["text"]) for r in spark.table("t_broken").collect())
+    files = lambda: {f for f in spark.table("t_broken").inputFiles() if "part=3" in f}
+    before = files()
+    collections.write_points(spark, own, some_points(spark, [4, 5, 12], "new"), 100)
+    want = sorted({i: "old" for i in range(0, 40, 4)} | {4: "new", 5: "new", 12: "new"} | {})
+    assert [i for i, _ in held()] == want and dict(held())[4] == "new" and files() == before  # untouched partitions stay as they are
+    put, calls = collections.put_in_place, []
+
+    def broken(spark, name):
+        calls.append(name)
+        if len(calls) == 2:  # the rows are staged, and the collection loses a partition
+            spark.sql(f"ALTER TABLE `{name}` DROP PARTITION (part = 0)")
+            raise OSError("broken off")
+        return put(spark, name)
+
+    monkeypatch.setattr(collections, "put_in_place", broken)
+    with pytest.raises(OSError):
+        collections.write_points(spark, own, some_points(spark, [8, 9], "newer"), 100)
+    assert "t_broken__staged" not in collections.list_collections(spark)
+    monkeypatch.setattr(collections, "put_in_place", put)
+    collections.write_points(spark, own, some_points(spark, [36], "newest"), 100)
+    assert [i for i, _ in held()] == sorted({*want, 9}) and dict(held())[8] == "newer" and dict(held())[36] == "newest"
+    assert collections.drop_collection(spark, own) and not spark.catalog.tableExists("t_broken__staged")
+
+
 def test_models_can_be_plugged_in(spark):
     def make_embedder():
         return lambda texts: np.array([[float(len(t)), 1.0] for t in texts], np.float32)
@@ -214,11 +307,25 @@ def test_stream_follows_a_folder(spark, tmp_path):
     folder = tmp_path / "in"
     own = CollectionConfig(name="t_stream", dim=16)
     config = Config(collection=own, embed=EmbedConfig(dim=16))
-    for texts, count in ((("a text", "b text"), 2), (("a newer text",), 2)):
-        docs(spark, *texts).write.mode("append").parquet(str(folder))
+    long = "a text of several chunks. " * 150
+    for texts, count in (((long, "b text"), 6), (("a newer text",), 2), ((" ", "b text"), 1)):
+        docs(spark, *texts).coalesce(1).write.mode("append").parquet(str(folder))
         query = index_stream(document_stream(spark, str(folder)), str(tmp_path / "cp"), config)
         query.awaitTermination(120)
         spark.catalog.refreshTable("t_stream")
         assert spark.table("t_stream").count() == count
-    assert {r["t"] for r in spark.table("t_stream").select("payload.text").toDF("t").collect()} == {"a newer text", "b text"}
-    spark.sql("DROP TABLE t_stream")
+    assert {r["t"] for r in spark.table("t_stream").select("payload.text").toDF("t").collect()} == {"b text"}
+    collections.drop_collection(spark, own)
+
+
+def test_newest_version_of_a_document(spark):
+    rows = [(1, "a", "old", 1), (1, "a", "new", 2), (1, "a", "also new", 2), (2, None, None, 1), (2, None, None, 1)]
+    got = newest(spark.createDataFrame(rows, "doc_id long, source string, text string, version int"))
+    assert sorted(map(tuple, got.collect())) == [(1, "a", "new"), (2, None, None)]
+
+
+@pytest.mark.parametrize("doc_id,chunk_idx", [(None, 0), (1 << 50, 0), (1, PER_DOCUMENT)])
+def test_stream_ids_that_do_not_exist(spark, doc_id, chunk_idx):
+    rows = spark.createDataFrame([(doc_id, chunk_idx)], "doc_id long, chunk_idx int")
+    with pytest.raises(PySparkException):
+        stream_ids(rows).collect()
