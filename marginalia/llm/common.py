@@ -2,16 +2,16 @@
 
 from __future__ import annotations
 
-import tempfile
-import uuid
 from collections.abc import Callable, Iterator
 
 import pyarrow as pa
 from pyarrow import fs as pafs
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
+from ..shared import discard, new_path, written  # noqa: F401  used by the operators
+
 #: A table of at most so many rows (of a few short columns) may be broadcast.
 BROADCAST_ROWS = 100_000
 #: Bytes of a batch that a Python step looks at at once.
@@ -20,56 +20,33 @@ SLICE_BYTES = 4 << 20
 SALTS = 32
 
 
-def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share: ``spark.checkpoint.dir`` of the session.
-
-    Where it is unset, as in tests, a temporary folder is set; only a local master may do that.
-    """
-    found = spark.conf.get("spark.checkpoint.dir", None)
-    if found:
-        return found.rstrip("/")
-    found = spark.sparkContext.getCheckpointDir()
-    if not found:
-        if not spark.sparkContext.master.startswith("local"):
-            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
-        found = "file://" + tempfile.mkdtemp(prefix="spark-shared-")
-        spark.sparkContext.setCheckpointDir(found)
-        found = spark.sparkContext.getCheckpointDir() or found
-    return found.rstrip("/")
-
-
-def new_path(spark: SparkSession, name: str) -> str:
-    return f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
-
-
-def written(df: DataFrame, name: str) -> DataFrame:
-    """Cuts the lineage: writes df as Parquet into the shared folder and reads it back."""
-    path = new_path(df.sparkSession, name)
-    df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
-
-
 def open_fs(uri: str) -> tuple[pafs.FileSystem, str]:
-    """File system and path of a URI or plain path."""
-    if "://" not in uri and not uri.startswith("file:"):
-        return pafs.LocalFileSystem(), uri
-    if uri.startswith("file:"):
-        return pafs.LocalFileSystem(), "/" + uri[5:].lstrip("/")
-    return pafs.FileSystem.from_uri(uri)
-
-
-def join_table(big: DataFrame, table: DataFrame, keys: list[str], how: str = "left") -> DataFrame:
+    """File system and path of a URI as Spark names it; new_path() always gives its scheme."""
+    scheme, _, rest = uri.partition(":")
+    if scheme == "file":
+        return pafs.LocalFileSystem(), "/" + rest.lstrip("/")
+    if scheme == "dbfs":  # mounted there on every machine
+        return pafs.LocalFileSystem(), "/dbfs/" + rest.lstrip("/")
+    if not rest:
+        raise ValueError(f"a path without a scheme: {uri}")
+    return pafs.FileSystem.from_uri(f"{ {'s3a': 's3', 's3n': 's3'}.get(scheme, scheme)}:{rest}")
+
+
+def join_table(big: DataFrame, table: DataFrame, keys: list[str], how: str = "left", hot: bool = True) -> DataFrame:
     """Joins a table that has one row per key, null keys matching null keys.
 
     The table is broadcast if a count shows at most BROADCAST_ROWS rows. A larger one
     is repeated once per salt, and each row of the big side takes one salt, so that a
-    hot key is dealt over SALTS tasks. The table must already be written (it is counted).
+    hot key is dealt over SALTS tasks; not so with hot=False, for keys that few rows of the big
+    side share. The table must already be written (it is counted).
     """
     names = {k: f"__t_{k}" for k in keys}
     small = table.select(*[F.col(k).alias(names[k]) if k in names else F.col(k) for k in table.columns])
     on = [F.col(k).eqNullSafe(F.col(names[k])) for k in keys]
     if table.limit(BROADCAST_ROWS + 1).count() <= BROADCAST_ROWS:
         return big.join(F.broadcast(small), on, how).drop(*names.values())
+    if not hot:
+        return big.join(small, on, how).drop(*names.values())
     small = small.withColumn("__t_salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
     salted = big.withColumn("__salt", F.floor(F.rand(7) * SALTS).cast("int"))
     return salted.join(small, [*on, F.col("__salt") == F.col("__t_salt")], how).drop("__salt", "__t_salt", *names.values())

@@ -38,7 +38,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import map_rows, slices, with_fields, written
+from .common import discard, join_table, map_rows, slices, with_fields, written
 
 SEED = 42
 #: About so many fingerprints, and never twice as many, are fetched to fit a tree on.
@@ -319,12 +319,14 @@ def components(stars: DataFrame) -> DataFrame:
         least = both.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("m"))
         # large star: neighbours above a node go to the least neighbour
         large = both.where("v > u").join(least, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v").distinct()
-        large = written(large, "cc-large")
+        large = written_large = written(large, "cc-large")
         # small star: a node and its neighbours below it go to the least of these
         least = large.groupBy("u").agg(F.min("v").alias("m"))
         small = large.join(least, "u").select(F.explode(F.array(F.struct(F.col("v").alias("u"), F.col("m").alias("v")), F.struct("u", F.col("m").alias("v")))).alias("e"))
         small = written(small.select("e.u", "e.v").where("u <> v").distinct(), "cc-small")
         same = small.count() == edges.count() and small.join(edges, ["u", "v"], "left_anti").limit(1).count() == 0
+        discard(edges)
+        discard(written_large)
         edges = small
         if same:
             return edges.select(F.col("u").alias("node"), F.col("v").alias("root")).unionByName(edges.select(F.col("v").alias("node"), F.col("v").alias("root")).distinct())
@@ -348,11 +350,17 @@ def near_duplicates(docs: DataFrame, text: str = "text", width: int = 3, radius:
 #: The deduplicating stage: rows are linked if the sets of their five-word shingles have a Jaccard similarity of at least NEAR.
 STAGE = {"width": 5}
 NEAR = (4, 5)
+#: Words of the stage's fingerprints, and bits of all of them in which two sets so similar differ at most: their angle is at most
+#: acos(8/9), so a bit differs with a probability of 0.151, that is, 38.8 of 256 with a deviation of 5.7. Only pairs that are left
+#: after the turns are held against it, 4.4 deviations above the mean.
+WORDS, FAR = 4, 64
 #: Texts that are sampled to find frequent shingles, in how many of them one is frequent, and how many are known at most.
 HOT_TEXTS, HOT_LEAST, HOT_MOST = 10_000, 5, 50_000
-#: Groups of more points first meet one pivot a turn, for at most so many turns; then all pairs that are left meet.
-CROWD, TURNS = 500, 3
-#: Pairs of one pivot that a task compares.
+#: Turns in which a point meets one pivot; then pairs that are left meet.
+TURNS = 3
+#: Shared shingles, 8 bytes each, that may be sent to all tasks.
+SHARED_SENT = 1_000_000
+#: Pairs of one point that a task compares.
 PIVOT_PAIRS = 2_000
 
 
@@ -360,6 +368,15 @@ def shingle_set(text: str | None, width: int) -> np.ndarray:
     return np.unique(np.array(shingle_hashes(text or "", width), np.uint64))
 
 
+def set_name(s: np.ndarray) -> int:
+    return int.from_bytes(hashlib.blake2b(s.tobytes(), digest_size=8).digest(), "big", signed=True)
+
+
+def set_sketch(s: np.ndarray) -> list[int]:
+    """WORDS times 64 bits of a set's fingerprint."""
+    return [int(np.packbits(_bit_counts(_remix(s, n + 1)) * 2 > len(s)).view(">i8")[0]) for n in range(WORDS)]
+
+
 def frequent_shingles(docs: DataFrame, text: str, width: int) -> np.ndarray:
     """Hashes that many texts of a sample have, the rarest first. They only decide an order: any order finds all pairs."""
     n = docs.count()
@@ -375,29 +392,37 @@ def frequent_shingles(docs: DataFrame, text: str, width: int) -> np.ndarray:
     return hot["token"].to_numpy(np.int64)[::-1].copy().view(np.uint64)
 
 
-def with_sets(docs: DataFrame, keep: list[str], hot: np.ndarray, text: str, width: int) -> DataFrame:
-    """keep, pid (a digest of the set), size, hashes: the set in one order for all rows, frequent shingles last."""
+def prefix_tokens(docs: DataFrame, hot: np.ndarray, text: str, width: int) -> DataFrame:
+    """token, pid: the first shingles of each set, so many that of two sets with a similarity of NEAR one is common.
+
+    All sets are in one order, frequent shingles last. A task leaves out sets that it has had among its last ones.
+    """
     by_hash = np.argsort(hot)
     known = docs.sparkSession.sparkContext.broadcast((hot[by_hash], by_hash))
 
-    def make():
+    def run(batches):
         values, rank = known.value
-
-        def ordered(s: np.ndarray) -> np.ndarray:
-            if not len(values):
-                return s
-            at = np.minimum(np.searchsorted(values, s), len(values) - 1)
-            is_hot = values[at] == s
-            return np.concatenate([s[~is_hot], s[is_hot][np.argsort(rank[at[is_hot]])]])
-
-        def step(batch):
-            sets = [shingle_set(t.as_py(), width) for t in batch.column(text)]
-            pid = [int.from_bytes(hashlib.blake2b(s.tobytes(), digest_size=8).digest(), "big", signed=True) for s in sets]
-            return {"pid": pid, "size": [len(s) for s in sets], "hashes": [ordered(s).view(np.int64) for s in sets]}
-
-        return step
-
-    return map_rows(docs.select(*dict.fromkeys([*keep, text])), with_fields(docs, keep, "pid long, size long, hashes array<long>"), make)
+        seen: set[int] = set()
+        for batch in (part for whole in batches for part in slices(whole)):
+            tokens, pids = [np.empty(0, np.int64)], [np.empty(0, np.int64)]
+            for t in batch.column(text):
+                s = shingle_set(t.as_py(), width)
+                pid = set_name(s)
+                if pid in seen:
+                    continue
+                if len(seen) >= 200_000:
+                    seen.clear()
+                seen.add(pid)
+                if len(values):
+                    at = np.minimum(np.searchsorted(values, s), len(values) - 1)
+                    is_hot = values[at] == s
+                    s = np.concatenate([s[~is_hot], s[is_hot][np.argsort(rank[at[is_hot]])]])
+                first = s[: len(s) - -(-len(s) * NEAR[0] // NEAR[1]) + 1]
+                tokens.append(first.view(np.int64))
+                pids.append(np.full(len(first), pid, np.int64))
+            yield pa.RecordBatch.from_pydict({"token": pa.array(np.concatenate(tokens)), "pid": pa.array(np.concatenate(pids))})
+
+    return docs.select(text).mapInArrow(run, "token long, pid long")
 
 
 def _confirmed(pairs: DataFrame, sets: DataFrame) -> DataFrame:
@@ -411,46 +436,66 @@ def _confirmed(pairs: DataFrame, sets: DataFrame) -> DataFrame:
     return both.where(common * NEAR[1] >= (F.size("of_a") + F.size("of_b") - common) * NEAR[0]).select("a", "b")
 
 
-def jaccard_links(rows: DataFrame) -> DataFrame:
-    """a, b: links with the components that all pairs of rows (pid, size, hashes) with a similarity of at least NEAR make.
+def _alike(x, y):
+    return F.least(x, y) * NEAR[1] >= F.greatest(x, y) * NEAR[0]
+
 
-    Of two such sets, ordered alike, each has a common shingle among its first size - ceil(NEAR * size) + 1. Points
-    meet by these. Pairs of crowds that pivots have already put into one component are not compared any more.
+def jaccard_links(docs: DataFrame, points: DataFrame, text: str, width: int) -> DataFrame:
+    """a, b: links between sets (named by pid) with the components that all pairs with a similarity of at least NEAR make.
+
+    Two such sets have one of their first shingles in common. In a turn each set meets one pivot, the first one in the lists of its
+    shared shingles by how many others share shingles with it (as the origin of many copies does), later by chance; so a turn
+    makes at most one pair per set. Lists whose sets are all linked then drop out. What is left meets pair by pair, if size and fingerprints
+    allow the similarity. Every link is confirmed on the sets themselves. docs: text and key; points: pid and the key of one row with it.
     """
-    least = F.ceil(F.col("size") * NEAR[0] / F.lit(float(NEAR[1])) - F.lit(1e-9))
-    first = rows.select("pid", "size", F.posexplode(F.slice("hashes", F.lit(1), (F.col("size") - least + 1).cast("int"))).alias("at", "token"))
-    shared = written(first.groupBy("token").agg(F.min("pid").alias("lo"), F.max("pid").alias("hi")).where("lo < hi").select("token"), "simhash-shared")
-    met = written(first.join(shared, "token").distinct(), "simhash-met")
-    sets = rows.join(met.select("pid").distinct(), "pid", "left_semi").dropDuplicates(["pid"]).select("pid", "hashes")
+    hot = frequent_shingles(docs, text, width)
+    tokens = lambda: prefix_tokens(docs, hot, text, width)  # noqa: E731  made twice from the texts, which takes less than storing them
+    shared = written(tokens().groupBy("token").agg(F.min("pid").alias("lo"), F.max("pid").alias("hi")).where("lo < hi").select("token"), "simhash-shared")
+    few = shared.limit(SHARED_SENT + 1).count() <= SHARED_SENT
+    met = written(tokens().join(F.broadcast(shared) if few else shared, "token").distinct(), "simhash-met")
+    discard(shared)
+    wanted = written(met.select("pid").distinct().join(points, "pid").select("key"), "simhash-wanted")
+
+    def make():
+        def step(batch):
+            sets = [shingle_set(t.as_py(), width) for t in batch.column(text)]
+            return {"pid": [set_name(s) for s in sets], "hashes": [s.view(np.int64) for s in sets], "sketch": [set_sketch(s) for s in sets]}
+
+        return step
+
+    owners = join_table(docs, wanted, ["key"], "left_semi", hot=False)
+    sets = map_rows(owners.select(text), with_fields(docs, [], "pid long, hashes array<long>, sketch array<long>"), make).dropDuplicates(["pid"])
     sets = written(sets, "simhash-sets")
-    alike = lambda x, y: F.least(x, y) * NEAR[1] >= F.greatest(x, y) * NEAR[0]
+    sizes = written(met.groupBy("token").agg(F.count(F.lit(1)).alias("n")), "simhash-sizes")
+    fame = join_table(met, sizes, ["token"], "inner").groupBy("pid").agg(F.sum("n").alias("fame"))
+    of_set = written(sets.select("pid", F.size("hashes").alias("size"), "sketch").join(fame, "pid"), "simhash-fame")
+    first_met, met = met, written(join_table(met, of_set, ["pid"], "inner", hot=False), "simhash-lists")
+    for table in (first_met, sizes, wanted, of_set):
+        discard(table)
     found = roots = None
-    rooted = lambda df: df.withColumn("root", F.col("pid")) if roots is None else df.join(roots, F.col("pid") == F.col("node"), "left").withColumn("root", F.coalesce("root", "pid")).drop("node")
-    mixed = lambda df, *more: df.groupBy("token").agg(F.min("root").alias("lo"), F.max("root").alias("hi"), *more).where("lo < hi")
-    crowds = written(met.groupBy("token").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") > CROWD).select("token"), "simhash-crowds")
-    if crowds.limit(1).count():
-        crowd = written(met.join(crowds, "token").select("token", "pid", "size"), "simhash-crowd")
-        for turn in range(TURNS):
-            now = rooted(crowd)
-            pivot = F.min(F.struct(F.xxhash64("pid", F.lit(turn)).alias("h"), F.col("pid").alias("a"), F.col("size").alias("size_a"), F.col("root").alias("root_a"))).alias("p")
-            pairs = now.join(mixed(now, pivot).select("token", "p.*"), "token").where((F.col("root") != F.col("root_a")) & alike(F.col("size"), F.col("size_a")))
-            pairs = written(pairs.select("a", F.col("pid").alias("b")).distinct(), "simhash-pairs")
-            new = _confirmed(pairs, sets)
-            found = written(new if found is None else found.unionByName(new), "simhash-links")
-            roots = written(components(found), "simhash-turn")
-        now = rooted(met)
-        met = written(now.join(mixed(now).select("token"), "token", "left_semi"), "simhash-left")
-    else:
-        met = rooted(met)
-    one = met.select("token", *[F.col(c).alias(f"{c}_a") for c in ("pid", "size", "at", "root")])
-    other = met.select("token", *[F.col(c).alias(f"{c}_b") for c in ("pid", "size", "at", "root")])
-    pairs = one.join(other, "token").where((F.col("pid_a") < F.col("pid_b")) & (F.col("root_a") != F.col("root_b")) & alike(F.col("size_a"), F.col("size_b")))
-    pairs = pairs.groupBy(F.col("pid_a").alias("a"), F.col("pid_b").alias("b"), "size_a", "size_b").agg(F.count(F.lit(1)).alias("n"), F.max("at_a").alias("at_a"), F.max("at_b").alias("at_b"))
-    # what is common up to the last meeting has met; behind it at most the rest of the smaller set is
-    most = F.col("n") + F.least(F.col("size_a") - F.col("at_a"), F.col("size_b") - F.col("at_b")) - 1
-    pairs = pairs.where(most * NEAR[1] >= (F.col("size_a") + F.col("size_b") - most) * NEAR[0]).select("a", "b")
-    links_left = _confirmed(written(pairs, "simhash-pairs"), sets)
-    return written(links_left if found is None else found.unionByName(links_left), "simhash-links")
+    for turn in range(TURNS):
+        now = met.withColumn("root", F.col("pid")) if roots is None else join_table(met, roots, ["pid"], hot=False).withColumn("root", F.coalesce("root", "pid"))
+        order = F.struct((-F.col("fame") if not turn else F.xxhash64("pid", F.lit(turn))).alias("h"), F.col("pid").alias("a"), F.col("size").alias("size_a"), F.col("root").alias("root_a"))
+        lists = now.groupBy("token").agg(F.min("root").alias("lo"), F.max("root").alias("hi"), F.min(order).alias("p")).where("lo < hi").select("token", "p.*")
+        lists = written(lists, "simhash-pivots")
+        both = join_table(now, lists, ["token"], "inner")
+        left = written(both.select(*met.columns), "simhash-lists")
+        pairs = both.where((F.col("root") != F.col("root_a")) & _alike(F.col("size"), F.col("size_a"))).groupBy(F.col("pid").alias("b")).agg(F.min(F.struct("h", "a")).alias("p"))
+        new = _confirmed(written(pairs.select("p.a", "b"), "simhash-pairs"), sets)
+        found = written(new if found is None else found.unionByName(new), "simhash-links")
+        roots = written(components(found).withColumnRenamed("node", "pid"), "simhash-turn")
+        discard(met)
+        met = left
+    now = join_table(met, roots, ["pid"], hot=False).withColumn("root", F.coalesce("root", "pid"))
+    mixed = written(now.groupBy("token").agg(F.min("root").alias("lo"), F.max("root").alias("hi")).where("lo < hi").select("token"), "simhash-mixed")
+    now = written(join_table(now, mixed, ["token"], "left_semi"), "simhash-left")
+    one = now.select("token", *[F.col(c).alias(f"{c}_a") for c in ("pid", "size", "sketch", "root")])
+    other = now.select("token", *[F.col(c).alias(f"{c}_b") for c in ("pid", "size", "sketch", "root")])
+    differ = sum((F.bit_count(F.get("sketch_a", F.lit(i)).bitwiseXOR(F.get("sketch_b", F.lit(i)))) for i in range(WORDS)), F.lit(0))
+    close = (F.col("pid_a") < F.col("pid_b")) & (F.col("root_a") != F.col("root_b")) & _alike(F.col("size_a"), F.col("size_b")) & (differ <= FAR)
+    pairs = one.withColumnRenamed("token", "t").join(other, (F.col("t") == F.col("token")) & close)
+    pairs = written(pairs.select(F.col("pid_a").alias("a"), F.col("pid_b").alias("b")).distinct(), "simhash-pairs")
+    return written(found.unionByName(_confirmed(pairs, sets)), "simhash-links")
 
 
 def keep_one(docs: DataFrame, text: str = "text", **options) -> DataFrame:
@@ -458,14 +503,25 @@ def keep_one(docs: DataFrame, text: str = "text", **options) -> DataFrame:
 
     Links are pairs whose sets of shingles have a Jaccard similarity of at least NEAR, computed on the
     sets; a group is a component of them. The row with the smallest doc_id stays (null ids last, then by
-    the text's MD5); of rows that agree in id and text, one stays.
+    the text's MD5); of rows that agree in id and text, one stays. Only ids and digests of rows that go are
+    joined with the texts.
     """
-    o = STAGE | options
-    key = F.concat_ws(":", F.coalesce(F.col("doc_id").cast("string"), F.lit("null")), F.md5(F.coalesce(F.col(text), F.lit(""))))
-    first = F.struct(F.col("doc_id").isNull().alias("null_id"), "doc_id", "key")
-    hot = frequent_shingles(docs, text, o["width"])
-    rows = written(with_sets(docs.select("doc_id", text, key.alias("key")), ["doc_id", "key"], hot, text, o["width"]), "simhash-rows")
+    width = (STAGE | options)["width"]
+    key = F.unhex(F.md5(F.concat_ws(":", F.coalesce(F.col("doc_id").cast("string"), F.lit("null")), F.coalesce(F.col(text), F.lit("")))))
+
+    def make():
+        return lambda batch: {"pid": [set_name(shingle_set(t.as_py(), width)) for t in batch.column("text")]}
+
+    keyed = docs.select("doc_id", key.alias("key"), F.md5(F.coalesce(F.col(text), F.lit(""))).alias("digest"), F.col(text).alias("text"))
+    rows = written(map_rows(keyed, with_fields(keyed, ["doc_id", "key", "digest"], "pid long"), make), "simhash-rows")
+    first = F.struct(F.col("doc_id").isNull().alias("null_id"), "doc_id", "digest", "key")
     points = written(rows.groupBy("pid").agg(F.min(first).alias("first")), "simhash-points")
-    kept = _with_roots(points, jaccard_links(rows.select("pid", "size", "hashes")), "pid").groupBy("root").agg(F.min("first").alias("first"))
-    kept = written(kept.select(F.col("first.key").alias("__key")), "simhash-kept")
-    return docs.withColumn("__key", key).join(kept, "__key", "left_semi").dropDuplicates(["__key"]).select(*docs.columns)
+    links_found = jaccard_links(keyed.select("key", "text"), points.select("pid", "first.key"), "text", width)
+    rooted = written(_with_roots(points, links_found, "pid"), "simhash-rooted")
+    kept = rooted.groupBy("root").agg(F.min("first").alias("first")).select(F.col("first.key").alias("key"), F.lit(True).alias("kept"))
+    counted = rows.groupBy("key").agg(F.count(F.lit(1)).alias("copies"))
+    marks = counted.join(kept, "key", "left").where("kept is null or copies > 1")
+    marks = written(marks.select(F.col("key").alias("__key"), F.coalesce("kept", F.lit(False)).alias("__twice")), "simhash-marks")
+    marked = join_table(docs.withColumn("__key", key), marks, ["__key"], hot=False)
+    alone = marked.where("__twice is null").select(*docs.columns)
+    return alone.unionByName(marked.where("__twice").dropDuplicates(["__key"]).select(*docs.columns))

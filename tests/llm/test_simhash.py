@@ -5,6 +5,7 @@ from hypothesis import given, settings
 from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
+from marginalia.llm import common as llm_common
 from marginalia.llm import simhash
 from marginalia.llm.queries import op3_simhash
 
@@ -221,11 +222,13 @@ def plain_kept(texts, width=5):
     return [i for i in range(len(texts)) if root(i) == i]
 
 
-@pytest.mark.parametrize("crowd,turns", [(50, 6), (3, 6), (3, 1)])
-def test_stage_equals_brute_force_jaccard(spark, monkeypatch, crowd, turns):
-    monkeypatch.setattr(simhash, "CROWD", crowd)
+@pytest.mark.parametrize("turns,sent", [(3, 10**6), (1, 0), (2, 10**6)])
+def test_stage_equals_brute_force_jaccard(spark, monkeypatch, turns, sent):
     monkeypatch.setattr(simhash, "TURNS", turns)
+    monkeypatch.setattr(simhash, "SHARED_SENT", sent)
     monkeypatch.setattr(simhash, "PIVOT_PAIRS", 3)
+    if not sent:
+        monkeypatch.setattr(llm_common, "BROADCAST_ROWS", 0)
     rng = np.random.default_rng(6)
     words = [f"w{i}" for i in range(3000)]
     common = list(rng.choice(words, 40))
