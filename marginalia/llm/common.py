@@ -32,18 +32,20 @@ def open_fs(uri: str) -> tuple[pafs.FileSystem, str]:
     return pafs.FileSystem.from_uri(f"{ {'s3a': 's3', 's3n': 's3'}.get(scheme, scheme)}:{rest}")
 
 
-def join_table(big: DataFrame, table: DataFrame, keys: list[str], how: str = "left", hot: bool = True) -> DataFrame:
+def join_table(big: DataFrame, table: DataFrame, keys: list[str], how: str = "left", hot: bool = True, weight: Column | None = None) -> DataFrame:
     """Joins a table that has one row per key, null keys matching null keys.
 
     The table is broadcast if a count shows at most BROADCAST_ROWS rows. A larger one
     is repeated once per salt, and each row of the big side takes one salt, so that a
     hot key is dealt over SALTS tasks; not so with hot=False, for keys that few rows of the big
-    side share. The table must already be written (it is counted).
+    side share. The table must already be written (it is counted). weight: how many short rows a row
+    with arrays stands for.
     """
     names = {k: f"__t_{k}" for k in keys}
     small = table.select(*[F.col(k).alias(names[k]) if k in names else F.col(k) for k in table.columns])
     on = [F.col(k).eqNullSafe(F.col(names[k])) for k in keys]
-    if table.limit(BROADCAST_ROWS + 1).count() <= BROADCAST_ROWS:
+    rows = table.limit(BROADCAST_ROWS + 1).count() if weight is None else table.agg(F.sum(weight + 1).alias("n")).first()["n"] or 0
+    if rows <= BROADCAST_ROWS:
         return big.join(F.broadcast(small), on, how).drop(*names.values())
     if not hot:
         return big.join(small, on, how).drop(*names.values())

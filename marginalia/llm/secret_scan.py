@@ -1,21 +1,22 @@
 """Secret scans with an incremental ledger of blobs.
 
-A blob is a text, named by its SHA-256. The ledger is a folder in shared storage with two
-tables: ``scanned`` (blob, rule, version) and ``findings`` (blob, rule, version, start, stop).
-A run takes any number of paths with historical versions, keeps one text per blob that
-has an unseen (rule, version) pair, scans just those pairs, appends them to the ledger, and joins
-findings back to every path whose text has that blob. A rule whose version is raised is scanned
-again; a run over the same rows scans nothing.
+A blob is a text, named by its SHA-256. The ledger is a folder in shared storage with one row per
+blob and run that scanned it: the (rule, version) pairs and what they found. A run takes any number of paths with historical
+versions. It first shuffles digests alone to see which pairs the ledger lacks, then scans texts where they
+lie, just for these pairs, appends the ledger's rows in one commit, and joins findings back to every path whose
+text has that blob. A rule whose version is raised is scanned again; a run over the same rows scans nothing. A run
+that is broken off has no row in the ledger and is done again.
 
-Copies are dropped within each task first (by a bounded memory of digests), then by blob, so a
-hot text is not shuffled once per copy. Findings are appended before the scanned pairs, and
-reads drop repeated rows, so a run that is broken off between the two is only scanned again.
+Copies are left out within each task by a bounded memory of digests; a copy that two tasks scan has equal
+rows in the ledger, which count once. A hot blob so never makes a hot task: digests are combined
+before they are shuffled, and findings are sent to all tasks after a count, or dealt with salts.
 
 Rules are regular expressions over whole texts; offsets are code points, end exclusive.
 Matches are leftmost and don't overlap within a rule; those that are too short are dropped.
 
-Nulls and ties: a null text is an empty blob, ids may be null or repeated, rows may repeat. Empty
-tables give empty results.
+Nulls and ties: a null text is an empty blob, ids may be null or repeated, rows may repeat; each row has its result. Very long
+texts are scanned whole. Columns of docs with names that are used here (blob, spans, rule) don't clash, but kept columns must not be
+named blob or spans. Empty tables give empty results.
 """
 
 from __future__ import annotations
@@ -25,12 +26,12 @@ import re
 from dataclasses import dataclass
 
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 from pyspark.sql.utils import AnalysisException
 
-from .common import new_path, text_or_empty, written
+from .common import join_table, new_path, slices, text_or_empty, written
 
 
 @dataclass(frozen=True)
@@ -73,97 +74,91 @@ MORE = (
 RULES = BASE + MORE
 
 
-def _table(docs: DataFrame, path: str, schema: str) -> DataFrame:
-    """A ledger table, empty where it isn't there yet."""
-    spark = docs.sparkSession
-    kind = StructType.fromDDL(schema)
+LEDGER = "blob binary, done array<string>, found array<struct<pair: string, start: bigint, stop: bigint>>"
+#: Digests that a task remembers.
+SEEN = 200_000
+
+
+def blob_of(text: str) -> Column:
+    return F.unhex(F.sha2(text_or_empty(text), 256))
+
+
+def ledger_rows(spark: SparkSession, ledger: str) -> DataFrame:
+    """blob, done, found: what runs have added; empty where there is no ledger yet."""
+    kind = StructType.fromDDL(LEDGER)
     try:
-        spark.read.parquet(path).limit(0).collect()
+        spark.read.parquet(ledger).limit(0).collect()
     except AnalysisException as e:
         if "PATH_NOT_FOUND" not in str(e) and "UNABLE_TO_INFER_SCHEMA" not in str(e):
             raise
         return spark.createDataFrame([], kind)
-    return spark.read.schema(kind).parquet(path)
-
-
-def scanned_pairs(docs: DataFrame, ledger: str) -> DataFrame:
-    return _table(docs, f"{ledger}/scanned", "blob string, rule string, version int")
-
-
-def findings(docs: DataFrame, ledger: str) -> DataFrame:
-    return _table(docs, f"{ledger}/findings", "blob string, rule string, version int, start long, stop long").distinct()
+    return spark.read.schema(kind).parquet(ledger)
 
 
-def _first_of_each(rows: DataFrame) -> DataFrame:
-    """Drops rows whose blob the same task has had among its last million blobs."""
+def scanned_pairs(spark: SparkSession, ledger: str) -> DataFrame:
+    """blob, pair (rule:version) of all that has been scanned."""
+    return ledger_rows(spark, ledger).select("blob", F.explode("done").alias("pair")).distinct()
 
-    def run(batches):
-        seen: set[bytes] = set()
-        for batch in batches:
-            keep = []
-            for blob in batch.column("blob").to_pylist():
-                digest = bytes.fromhex(blob)[:16]
-                keep.append(digest not in seen)
-                if len(seen) >= 1_000_000:
-                    seen.clear()
-                seen.add(digest)
-            yield batch.filter(pa.array(keep, pa.bool_()))
 
-    return rows.mapInArrow(run, rows.schema)
+def names_of(rules: tuple[Rule, ...]) -> list[str]:
+    return [f"{r.name}:{r.version}" for r in rules]
 
 
 def scan(docs: DataFrame, ledger: str, rules: tuple[Rule, ...] = RULES, text: str = "text") -> None:
     """Brings the ledger up to date with the texts of docs."""
-    names = [f"{r.name}:{r.version}" for r in rules]
-    by_name = dict(zip(names, rules, strict=True))
-    blobs = _first_of_each(docs.select(F.sha2(text_or_empty(text), 256).alias("blob"), text_or_empty(text).alias("text")))
-    known = scanned_pairs(docs, ledger)
-    todo = blobs.withColumn("todo", F.array(*[F.lit(n) for n in names]))
+    names = names_of(rules)
+    everything = F.array(*[F.lit(n) for n in names])
+    known = ledger_rows(docs.sparkSession, ledger)
+    texts = docs.select(blob_of(text).alias("blob"), text_or_empty(text).alias("text"))
     if known.limit(1).count():
-        done = known.groupBy("blob").agg(F.collect_set(F.concat_ws(":", "rule", F.col("version").cast("string"))).alias("done"))
-        todo = todo.join(done, "blob", "left").withColumn("todo", F.array_except("todo", F.coalesce("done", F.array().cast("array<string>")))).drop("done")
-        todo = todo.where(F.size("todo") > 0)
-    todo = todo.repartition("blob")  # only what is unseen moves
+        mine = docs.select(blob_of(text).alias("blob")).distinct()
+        done = known.groupBy("blob").agg(F.array_distinct(F.flatten(F.collect_set("done"))).alias("done"))
+        lacks = mine.join(done, "blob", "left").select("blob", F.array_except(everything, F.coalesce("done", F.array().cast("array<string>"))).alias("todo"))
+        lacks = written(lacks.where(F.size("todo") > 0), "secret-lacks")
+        texts = join_table(texts, lacks, ["blob"], "inner")  # only what is unseen goes on
+    else:
+        texts = texts.withColumn("todo", everything)
+    by_name = dict(zip(names, rules, strict=True))
+    arrow = pa.schema([("blob", pa.binary()), ("done", pa.list_(pa.string())), ("found", pa.list_(pa.struct([("pair", pa.string()), ("start", pa.int64()), ("stop", pa.int64())])))])
 
     def run(batches):
         seen: set[bytes] = set()
-        for batch in batches:
-            out = {k: [] for k in ("blob", "rule", "version", "start", "stop")}
-            for blob, value, pairs in zip(*(batch.column(c) for c in ("blob", "text", "todo")), strict=True):
-                name = blob.as_py()
-                digest = bytes.fromhex(name)[:16]
-                if digest in seen:  # all rows of a blob come to one task
+        for batch in (part for whole in batches for part in slices(whole)):
+            out = {"blob": [], "done": [], "found": []}
+            for name, value, pairs in zip(batch.column("blob").to_pylist(), batch.column("text"), batch.column("todo").to_pylist(), strict=True):
+                if name[:16] in seen:
                     continue
-                seen.add(digest)
+                if len(seen) >= SEEN:
+                    seen.clear()
+                seen.add(name[:16])
                 body = value.as_py()
                 lower = body.lower()
-                for pair in pairs.as_py():
-                    rule = by_name[pair]
-                    for start, stop in [(-1, -1), *rule.find(body, lower)]:  # the first row says that the pair is scanned
-                        for k, v in zip(out, (name, rule.name, rule.version, start, stop), strict=True):
-                            out[k].append(v)
-            yield pa.RecordBatch.from_pydict(out, schema=pa.schema([("blob", pa.string()), ("rule", pa.string()), ("version", pa.int32()), ("start", pa.int64()), ("stop", pa.int64())]))
+                out["blob"].append(name)
+                out["done"].append(pairs)
+                out["found"].append([{"pair": p, "start": a, "stop": b} for p in pairs for a, b in by_name[p].find(body, lower)])
+            yield pa.RecordBatch.from_pydict(out, schema=arrow)
 
-    found = written(todo.select("blob", "text", "todo").mapInArrow(run, "blob string, rule string, version int, start long, stop long"), "secret-scan")
-    found.where("start >= 0").write.mode("append").parquet(f"{ledger}/findings")
-    found.where("start < 0").select("blob", "rule", "version").write.mode("append").parquet(f"{ledger}/scanned")
+    texts.select("blob", "text", "todo").mapInArrow(run, LEDGER).write.mode("append").parquet(ledger)
 
 
-def spans_by_blob(docs: DataFrame, ledger: str, rules: tuple[Rule, ...] = RULES) -> DataFrame:
+def spans_by_blob(spark: SparkSession, ledger: str, rules: tuple[Rule, ...] = RULES) -> DataFrame:
     """blob, spans: array of (start, place, rule, stop) in order, of the given rule versions; blobs without findings are left out."""
-    listed = F.create_map(*[x for i, r in enumerate(rules) for x in (F.lit(f"{r.name}:{r.version}"), F.lit(i))])
-    found = findings(docs, ledger).withColumn("place", listed[F.concat_ws(":", "rule", F.col("version").cast("string"))]).where(F.col("place").isNotNull())
-    return found.groupBy("blob").agg(F.sort_array(F.collect_list(F.struct("start", "place", "rule", "stop"))).alias("spans"))
+    names = names_of(rules)
+    place = F.create_map(*[x for i, n in enumerate(names) for x in (F.lit(n), F.lit(i))])
+    rule = F.create_map(*[x for n, r in zip(names, rules, strict=True) for x in (F.lit(n), F.lit(r.name))])
+    found = ledger_rows(spark, ledger).where(F.size("found") > 0).select("blob", F.explode("found").alias("f")).where(F.col("f.pair").isin(*names))
+    span = F.struct(F.col("f.start").alias("start"), place[F.col("f.pair")].alias("place"), rule[F.col("f.pair")].alias("rule"), F.col("f.stop").alias("stop"))
+    return found.groupBy("blob").agg(F.sort_array(F.collect_set(span)).alias("spans"))
 
 
 def scan_rows(docs: DataFrame, keep: list[str], ledger: str | None = None, rules: tuple[Rule, ...] = RULES, text: str = "text") -> DataFrame:
     """keep, blob, spans of every row, after its texts are in the ledger; spans is empty where nothing was found."""
     ledger = ledger or new_path(docs.sparkSession, "secret-ledger")
     scan(docs, ledger, rules, text)
-    paths = docs.select(*keep, F.sha2(text_or_empty(text), 256).alias("blob"))
-    found = written(spans_by_blob(docs, ledger, rules), "secret-spans")
+    found = written(spans_by_blob(docs.sparkSession, ledger, rules), "secret-spans")
     kind = found.schema["spans"].dataType.simpleString()
-    return paths.join(found, "blob", "left").withColumn("spans", F.coalesce("spans", F.array().cast(kind)))
+    out = join_table(docs.select(*keep, blob_of(text).alias("blob")), found, ["blob"], weight=F.size("spans"))
+    return out.withColumn("spans", F.coalesce("spans", F.array().cast(kind)))
 
 
 #: What stands in place of a secret.
@@ -174,8 +169,9 @@ def redact(docs: DataFrame, ledger: str | None = None, rules: tuple[Rule, ...] =
     """docs with every span of a secret replaced; overlapping spans become one. length: column with the text's length, if there is one."""
     ledger = ledger or new_path(docs.sparkSession, "secret-ledger")
     scan(docs, ledger, rules, text)
-    found = written(spans_by_blob(docs, ledger, rules).select(F.col("blob").alias("__blob"), F.transform("spans", lambda s: F.struct(s["start"].alias("a"), s["stop"].alias("b"))).alias("__spans")), "secret-spans")
-    joined = docs.withColumn("__blob", F.sha2(text_or_empty(text), 256)).join(found, "__blob", "left").drop("__blob")
+    spans = F.transform("spans", lambda s: F.struct(s["start"].alias("a"), s["stop"].alias("b")))
+    found = written(spans_by_blob(docs.sparkSession, ledger, rules).select(F.col("blob").alias("__blob"), spans.alias("__spans")), "secret-spans")
+    joined = join_table(docs.withColumn("__blob", blob_of(text)), found, ["__blob"], weight=F.size("__spans")).drop("__blob")
     schema = StructType([f for f in joined.schema.fields if f.name != "__spans"])
 
     def clean(body: str, spans) -> str:

@@ -63,16 +63,36 @@ def test_ledger_scans_only_what_is_new(spark):
     first = docs_table(spark, [(1, "token = abcdef1", "en", "a"), (2, "token = abcdef1", "en", "b"), (3, "nothing", "en", "a")])
     got = {r["doc_id"]: r["spans"] for r in ss.scan_rows(first, ["doc_id"], ledger).collect()}
     assert [len(got[i]) for i in (1, 2, 3)] == [1, 1, 0]
-    pairs = ss.scanned_pairs(first, ledger)
+    pairs = ss.scanned_pairs(spark, ledger)
     assert pairs.count() == 2 * len(ss.RULES)
     more = first.unionByName(docs_table(spark, [(4, "secret: zyxwvu", "en", "a")]))
     got = {r["doc_id"]: r["spans"] for r in ss.scan_rows(more, ["doc_id"], ledger).collect()}
     assert len(got[4]) == 1 and len(got[1]) == 1
-    assert ss.scanned_pairs(first, ledger).count() == 3 * len(ss.RULES)  # no pair twice
+    assert ss.scanned_pairs(spark, ledger).count() == 3 * len(ss.RULES)  # no pair twice
     raised = (ss.Rule("assign", 2, r"nothing"), *ss.RULES[1:])
     got = {r["doc_id"]: r["spans"] for r in ss.scan_rows(more, ["doc_id"], ledger, raised).collect()}
     assert [len(got[i]) for i in (1, 2, 3, 4)] == [0, 0, 1, 0]
-    assert ss.scanned_pairs(first, ledger).count() == 3 * len(ss.RULES) + 3
+    assert ss.scanned_pairs(spark, ledger).count() == 3 * len(ss.RULES) + 3
+
+
+def test_a_second_run_scans_nothing(spark):
+    docs, ledger = docs_table(spark, odd_rows()), new_path(spark, "ledger-test")
+    ss.scan(docs, ledger)
+    before = ss.ledger_rows(spark, ledger).count()
+    ss.scan(docs, ledger)
+    assert ss.ledger_rows(spark, ledger).count() == before
+
+
+def test_copies_in_many_tasks_and_large_tables(spark, monkeypatch):
+    from marginalia.llm import common
+
+    monkeypatch.setattr(common, "BROADCAST_ROWS", 0)
+    rows = [(i, "token = abcdef1" if i % 3 == 0 else f"secret: value{i:05}", "en", "a") for i in range(60)]
+    docs, ledger = docs_table(spark, rows).repartition(8), new_path(spark, "ledger-test")
+    ss.scan(docs.where("doc_id < 30"), ledger)
+    got = {r["doc_id"]: [(s["start"], s["stop"], s["rule"]) for s in r["spans"]] for r in ss.scan_rows(docs, ["doc_id"], ledger).collect()}
+    assert got == {i: [(0, 15, "assign")] if i % 3 == 0 else [(0, 18, "assign")] for i in range(60)}
+    assert [r["text"] for r in ss.redact(docs, ledger).collect()] == ["[REDACTED]"] * 60
 
 
 def test_redaction(spark):
