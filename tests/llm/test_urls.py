@@ -1,6 +1,7 @@
 import re
 from collections import Counter, defaultdict
 
+import duckdb
 import pytest
 from pyspark.sql import functions as F
 
@@ -27,50 +28,65 @@ def plain_rule(host, path):
 
 
 def plain_verdicts(rows):
-    """rows: (host, path, good or None). Template verdict by row, with dictionaries and loops."""
+    """rows: (host, path, good or None). Template verdict and template by row, with dictionaries and loops."""
     segs = [re.sub("[0-9]+", "{n}", p[1:]).split("/") for _, p, _ in rows]
-    node, parent, template = [""] * len(rows), [""] * len(rows), [""] * len(rows)
-    for level in range(urls.LEVELS):
-        kids = Counter((rows[i][0], node[i], s[level]) for i, s in enumerate(segs) if len(s) > level)
-        all_of = Counter()
-        for (h, n, _), c in kids.items():
-            all_of[h, n] += c
-        for i, s in enumerate(segs):
-            if len(s) > level:
-                keep = kids[rows[i][0], node[i], s[level]] >= all_of[rows[i][0], node[i]] * urls.MIN_SHARE
-                parent[i] = node[i]
-                node[i] = template[i] = node[i] + "/" + (s[level] if keep else "*")
-    for i, s in enumerate(segs):
-        if len(s) > urls.LEVELS:
-            parent[i], template[i] = template[i], template[i] + "/**"
-    keys = [(rows[i][0], parent[i], template[i]) for i in range(len(rows))]
-    good, seen, hosts = Counter(), Counter(), defaultdict(lambda: [0, 0])
-    for k, (h, _, g) in zip(keys, rows, strict=True):
+    w, hosts = urls.WEIGHT, defaultdict(lambda: [0, 0])
+    for h, _, g in rows:
         if g is not None:
-            seen[k] += 1
-            good[k] += g
             hosts[h][0] += 1
             hosts[h][1] += g
     n = sum(x[0] for x in hosts.values())
     overall = sum(x[1] for x in hosts.values()) / n if n else 1.0
-    w, verdict = urls.WEIGHT, {}
-    for h, p in {k[:2] for k in keys}:
-        prior = (hosts[h][1] + w * overall) / (hosts[h][0] + w)
-        own = sorted({k for k in keys if k[:2] == (h, p)}, key=lambda k: ((good[k] + prior * w) / (seen[k] + w), k[2]))
-        groups, last = [], None
-        for k in own:
-            share, size = (good[k] + prior * w) / (seen[k] + w), seen[k] + w
-            if last:
-                mean = (share * size + last[0] * last[1]) / (size + last[1])
-                spread = max(mean * (1 - mean), 1e-9) * (1 / size + 1 / last[1])
-            if not last or (share - last[0]) / spread**0.5 >= urls.Z:
-                groups.append([])
-            groups[-1].append(k)
-            last = (share, size)
-        for g in groups:
-            purity = (sum(good[k] for k in g) + prior * w) / (sum(seen[k] for k in g) + w)
-            verdict |= {k: "block" if purity < urls.MIN_PURITY else "allow" for k in g}
-    return [verdict[k] for k in keys], [k[2] for k in keys]
+    prior = lambda h: (hosts[h][1] + w * overall) / (hosts[h][0] + w)
+    share = lambda g, n, h: (g + prior(h) * w) / (n + w)
+    count = lambda own: (sum(rows[i][2] is not None for i in own), sum(rows[i][2] or 0 for i in own))
+    template = [None] * len(rows)
+
+    def grow(h, node, own, level):
+        if len(own) < urls.MIN_URLS:
+            for i in own:
+                template[i] = node + "/**"
+            return
+        kids = defaultdict(list)
+        size = Counter(segs[i][level] for i in own)
+        for i in own:
+            kids[segs[i][level] if size[segs[i][level]] >= urls.MIN_URLS else "*"].append(i)
+        bins = defaultdict(list)
+        for name, members in kids.items():
+            seen, good = count(members)
+            bins[int(share(good, seen, h) * urls.BINS // 1)].append(name)
+        groups = []
+        for b in sorted(bins):
+            seen, good = (sum(x) for x in zip(*(count(kids[k]) for k in bins[b]), strict=True))
+            if groups:
+                g_seen, g_good = groups[-1][1:]
+                p, q, m, o = share(g_good, g_seen, h), share(good, seen, h), g_seen + w, seen + w
+                mean = (p * m + q * o) / (m + o)
+                if (q - p) / (max(mean * (1 - mean), 1e-9) * (1 / m + 1 / o)) ** 0.5 < urls.Z:
+                    groups[-1] = (groups[-1][0] + bins[b], g_seen + seen, g_good + good)
+                    continue
+            groups.append((list(bins[b]), seen, good))
+        for names, _, _ in groups:
+            at, deeper = f"{node}/{min(names)}", []
+            for k in names:
+                for i in kids[k]:
+                    if len(segs[i]) == level + 1:
+                        template[i] = at
+                    else:
+                        deeper.append(i)
+            if deeper:
+                grow(h, at, deeper, level + 1)
+
+    for h in {r[0] for r in rows}:
+        grow(h, "", [i for i, r in enumerate(rows) if r[0] == h], 0)
+    by_template = defaultdict(list)
+    for i, t in enumerate(template):
+        by_template[rows[i][0], t].append(i)
+    verdict = {}
+    for (h, t), own in by_template.items():
+        seen, good = count(own)
+        verdict[h, t] = "block" if share(good, seen, h) < urls.MIN_PURITY else "allow"
+    return [verdict[rows[i][0], t] for i, t in enumerate(template)], template
 
 
 URLS = [None, "", "no scheme", "http://", "HTTP://Ex.COM", "https://a.example.com/en/71?x#y", "http://EXAMPLE.com/en/8", "http://com/en/", "http://x.net/de/81", "http://example.net/de/81", "http://badexample.net/de/81", "http://a.org/es", "http://a.org/es/", "http://a.org?/es/", "http://b.com/x://c.com/en/", "http://h/a\nb/en", "http://Ä.com/en/é"]
@@ -126,6 +142,42 @@ def test_query_equals_brute_force(spark):
         assert (r["host"], r["path"], r["rule"], r["verdict"]) == (host, path, rule, says or verdict)
 
 
+def test_host_path_and_rule_equal_sql(spark):
+    d = "/root/testdata/sf0.01"
+    fits = " ".join(f"WHEN (host = '{r.partition('/')[0]}' OR host LIKE '%.{r.partition('/')[0]}') AND starts_with(path, '/{r.partition('/')[2]}') THEN '{r}'" for _, r in sorted(RULES, key=lambda x: -len(x[1])))
+    sql = f"""SELECT page_id, host, path, CASE {fits} END AS rule FROM (SELECT page_id,
+      translate(regexp_extract(coalesce(url, ''), '(?s)^.*?://([^/?#]*)([^?#]*)', 1), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS host,
+      regexp_extract(coalesce(url, ''), '(?s)^.*?://([^/?#]*)([^?#]*)', 2) AS path FROM '{d}/pages.parquet')"""
+    got = op6_urls(spark, d).select("page_id", "host", "path", "rule").collect()
+    assert sorted(map(tuple, got), key=repr) == sorted(duckdb.sql(sql).fetchall(), key=repr)
+
+
+def labelled(spark, rows):
+    rows = spark.createDataFrame([(i, f"http://h.example{p}", g) for i, (p, g) in enumerate(rows)], "page_id long, url string, good int")
+    return {(r["path"], r["verdict"]) for r in urls.filter_urls(rows, (), ["page_id"], good="good").collect()}
+
+
+def test_sections_below_many_levels_are_told_apart(spark):
+    got = labelled(spark, [(f"/a/b/c/{'spam' if i % 2 else 'clean'}/{i}", int(not i % 2)) for i in range(200)])
+    assert all(v == ("block" if "spam" in p else "allow") for p, v in got)
+
+
+def test_sections_below_a_variable_segment_are_told_apart(spark):
+    got = labelled(spark, [(f"/u/{chr(97 + i % 26)}{chr(97 + i % 25)}x/{'spam' if i % 2 else 'clean'}", int(not i % 2)) for i in range(400)])
+    assert all(v == ("block" if "spam" in p else "allow") for p, v in got)
+
+
+def test_similar_neighbours_do_not_chain(spark):
+    rows = [(f"/s{chr(97 + k)}/{i}", int(i < 3 + 27 * k // 6)) for k in range(7) for i in range(30)]
+    got = labelled(spark, rows)
+    assert {v for p, v in got if p.startswith("/sg/")} == {"allow"} and {v for p, v in got if p.startswith("/sa/")} == {"block"}
+
+
+def test_many_small_sections_of_a_hot_host(spark):
+    got = labelled(spark, [(f"/section{chr(97 + i % 20)}{chr(97 + i % 3)}/{i}", int(i % 60 != 7)) for i in range(3000)])
+    assert {p.rpartition("/")[0] for p, v in got if v == "block"} == {"/sectionhb"}
+
+
 def test_empty(spark):
     rows = spark.createDataFrame([], "page_id long, url string, good int, host string, path string")
     assert urls.filter_urls(rows, RULES, ["page_id"], good="good").count() == 0
