@@ -3,7 +3,8 @@
 The layout of a JSON record is told by its schema fingerprint: the SHA-256 of its sorted
 nested field paths, arrays as ``[]``. A fingerprint selects a declarative mapping: for a
 list of messages the path of the list and the names of its role and text fields, for flat
-records a list of (role, path) in order. A record whose fingerprint no mapping has is
+records a list of (role, path) in order. A mapping names paths that a record must have, those that it may have, and fields that
+are left aside wherever they stand, which don't enter the fingerprint. A record whose fingerprint no mapping has is
 returned with ``error`` set and no turns; it is never guessed at.
 
 Template: a turn is ``<s>role\\ntext</s>``. In roles and texts a backslash is doubled, and
@@ -11,14 +12,16 @@ each control string gets a backslash behind its first character, so none occurs
 removing the backslashes gives back what was there. The loss mask holds the (start, end) of
 each assistant text in the formatted string, in code points.
 
-Nulls and ties: a null text or role is an empty string; rows of one conversation are ordered by
-turn (null first), then role and text; a null conv_id is a conversation of its own. A turn of
-any length is formatted whole. Empty tables give empty results.
+Nulls and ties: a null text or role is an empty string, and an optional turn that is missing is left out; numbers and truth values
+are written as JSON writes them. Rows of one conversation are ordered by turn (null first), then role and text; a null conv_id is a
+conversation of its own. A conversation of any length is one row, and so must fit a task. Columns besides
+the kept ones may have any names; kept ones must not have those of the result. Empty tables give empty results.
 """
 
 from __future__ import annotations
 
 import hashlib
+import itertools
 import json
 import re
 from collections.abc import Mapping, Sequence
@@ -50,6 +53,17 @@ def field_paths(value, at: str = "") -> set[str]:
     return {at}
 
 
+#: Fields that say nothing about turns.
+ASIDE = frozenset({"id", "source", "lang", "category", "score", "meta"})
+
+
+def without_aside(value):
+    """A record without the fields of ASIDE, at any depth."""
+    if isinstance(value, dict):
+        return {k: without_aside(v) for k, v in value.items() if k not in ASIDE}
+    return [without_aside(v) for v in value] if isinstance(value, list) else value
+
+
 def fingerprint(paths: set[str]) -> str:
     return hashlib.sha256("\n".join(sorted(paths)).encode()).hexdigest()
 
@@ -60,26 +74,37 @@ def _at(value, path: str):
     return value
 
 
-#: Declarative mappings of known layouts: their field paths, and where roles and texts are.
+#: Declarative mappings of known layouts: their field paths, those that may be missing, and where roles and texts are.
 MAPPINGS: tuple[dict, ...] = (
     {"paths": {".messages[].role", ".messages[].content"}, "list": "messages", "role": "role", "text": "content"},
     {"paths": {".messages[]"}, "list": "messages", "role": "role", "text": "content"},
     {"paths": {".conversations[].from", ".conversations[].value"}, "list": "conversations", "role": "from", "text": "value"},
-    {"paths": {".prompt", ".response"}, "turns": [("user", "prompt"), ("assistant", "response")]},
+    {"paths": {".prompt", ".response"}, "maybe": {".system"}, "turns": [("system", "system"), ("user", "prompt"), ("assistant", "response")]},
+    {"paths": {".instruction", ".output"}, "turns": [("user", "instruction"), ("assistant", "output")]},
     {"paths": {".instruction", ".input", ".output"}, "turns": [("system", "instruction"), ("user", "input"), ("assistant", "output")]},
     {"paths": {".data.instruction", ".data.output"}, "turns": [("user", "data.instruction"), ("assistant", "data.output")]},
 )
 
 
 def registry(mappings: Sequence[Mapping] = MAPPINGS) -> dict[str, Mapping]:
-    return {fingerprint(m["paths"]): m for m in mappings}
+    """Mappings by the fingerprints of their layouts, with and without each optional path."""
+    out = {}
+    for m in mappings:
+        maybe = sorted(m.get("maybe", ()))
+        for n in range(len(maybe) + 1):
+            out |= {fingerprint({*m["paths"], *some}): m for some in itertools.combinations(maybe, n)}
+    return out
+
+
+def said(value) -> str:
+    return value if isinstance(value, str) else "" if value is None else json.dumps(value, ensure_ascii=False)
 
 
 def canonical(record, mapping: Mapping) -> list[tuple[str, str]]:
     """(role, text) of each turn."""
     if "list" in mapping:
-        return [(str(_at(m, mapping["role"]) or ""), str(_at(m, mapping["text"]) or "")) for m in _at(record, mapping["list"])]
-    return [(role, str(_at(record, path) or "")) for role, path in mapping["turns"]]
+        return [(said(_at(m, mapping["role"])), said(_at(m, mapping["text"]))) for m in _at(record, mapping["list"])]
+    return [(role, said(_at(record, path))) for role, path in mapping["turns"] if f".{path}" not in mapping.get("maybe", ()) or path in record]
 
 
 def formatted(turns: Sequence[tuple[str, str]]) -> tuple[str, list[tuple[int, int]]]:
@@ -116,7 +141,7 @@ def format_records(records: DataFrame, keep: list[str], record: str = "record",
             for value in batch.column(record):
                 layout = text = mask = error = None
                 try:
-                    found = json.loads(value.as_py() or "")
+                    found = without_aside(json.loads(value.as_py() or ""))
                     layout = fingerprint(field_paths(found))
                     text, mask = formatted(canonical(found, known[layout]))
                 except ValueError:

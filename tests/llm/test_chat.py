@@ -43,6 +43,22 @@ def test_layouts(spark):
     assert out[93]["formatted"] == "" and chat.parsed(out[94]["formatted"]) == [("system", "s"), ("user", ""), ("assistant", "o")]
 
 
+def test_values_and_fields_that_are_no_texts(spark):
+    records = [
+        {"prompt": 0, "response": False},
+        {"prompt": "q", "response": "a", "id": 7, "meta": {"x": [1]}},
+        {"system": "s", "prompt": "q", "response": None},
+        {"instruction": "q", "output": "a", "source": "x"},
+        {"messages": [{"role": "user", "content": 1.5, "id": "m1"}]},
+        {"prompt": "q", "response": "a", "more": "b"},
+    ]
+    rows = [(i, json.dumps(r)) for i, r in enumerate(records)]
+    out = {r["id"]: r for r in chat.format_records(spark.createDataFrame(rows, "id long, record string"), ["id"]).collect()}
+    turns = [chat.parsed(out[i]["formatted"]) for i in range(5)]
+    assert turns == [[("user", "0"), ("assistant", "false")], [("user", "q"), ("assistant", "a")], [("system", "s"), ("user", "q"), ("assistant", "")], [("user", "q"), ("assistant", "a")], [("user", "1.5")]]
+    assert out[5]["error"] == "unknown layout" and out[5]["formatted"] is None
+
+
 def plain(rows):
     convs = defaultdict(list)
     for conv, turn, role, text in rows:
