@@ -12,11 +12,10 @@ node has a vantage point and a median distance mu; the search with radius b goes
 sides only if the triangle inequality allows points there (d - b <= mu < d + b). A leaf is a
 shard: the fingerprints that live there, and those from other leaves whose search overlaps
 it. Leaves are numbered; a fingerprint visits only leaves behind its own, as the pair is
-then found from the other side. Within a shard all pairs are compared on all bits, in
-blocks of numpy rows, and only a spanning star of each local component leaves it, never the
-pairs. Trees of wide blocks are fitted on a bounded sample of fingerprints (``SAMPLE``);
-any tree is exact, a poor one is only slower. Blocks of up to CODE_BITS bits have a tree over
-all codes of the block instead, down to single codes.
+then found from the other side. Within a shard pairs are compared on all bits, in
+blocks of numpy rows, a large shard by a further tree on its own points, and only a spanning star of each local component
+leaves it, never the pairs. The trees are fitted on a bounded sample of fingerprints (``SAMPLE``);
+any tree is exact, a poor one is only slower.
 
 Components: the stars are joined by alternating large-star and small-star steps on
 DataFrames, each step written to the shared folder. All labels are minima, which combine
@@ -41,14 +40,12 @@ from pyspark.sql import functions as F
 from .common import discard, join_table, map_rows, slices, with_fields, written
 
 SEED = 42
-#: About so many fingerprints, and never twice as many, are fetched to fit a tree on.
-SAMPLE = 65_536
+#: About so many fingerprints, and never twice as many, are fetched to fit the trees on.
+SAMPLE = 262_144
 #: Fingerprints that a leaf should hold.
 LEAF = 1_024
-#: Blocks of so many bits at most have a tree over all their codes.
-CODE_BITS = 12
 #: Rows of a leaf that one task takes; a larger leaf is cut into parts that meet pair by pair.
-PART = 50_000
+PART = 100_000
 #: Shingles that are held at once.
 AT_ONCE = 1 << 16
 
@@ -112,9 +109,9 @@ def with_fingerprints(docs: DataFrame, keep: list[str], text: str = "text", widt
 class Tree:
     """Vantage-point tree over codes of one block; leaves are numbered from 0."""
 
-    def __init__(self, codes: np.ndarray, leaf: int, complete: bool, seed: int = 1):
+    def __init__(self, codes: np.ndarray, leaf: int, seed: int = 1):
         self.vantage, self.mu, self.near, self.far = [], [], [], []
-        self.leaves, self.complete, self.rng = [], complete, np.random.default_rng(seed)
+        self.leaves, self.rng = 0, np.random.default_rng(seed)
         self.root = self._grow(codes, leaf)
 
     def _grow(self, codes: np.ndarray, leaf: int) -> int:
@@ -132,8 +129,8 @@ class Tree:
                     self.near[node] = self._grow(codes[d <= mu], leaf)
                     self.far[node] = self._grow(codes[d > mu], leaf)
                     return node
-        self.leaves.append(codes[0] if self.complete and len(codes) == 1 else None)
-        return -len(self.leaves)
+        self.leaves += 1
+        return -self.leaves
 
     def visits(self, codes: np.ndarray, radius: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """(index into codes, leaf, whether it is the home leaf) of all leaves that a search overlaps."""
@@ -143,10 +140,6 @@ class Tree:
             if not len(at):
                 continue
             if node < 0:
-                centre = self.leaves[-1 - node]
-                if centre is not None:  # a leaf of one code is a ball of radius 0
-                    close = np.bitwise_count(codes[at] ^ centre) <= radius
-                    at, home = at[close], home[close]
                 out.append((at, np.full(len(at), -1 - node, np.int32), home))
                 continue
             d = np.bitwise_count(codes[at] ^ self.vantage[node]).astype(np.int64)
@@ -167,12 +160,8 @@ def code(fp: np.ndarray, block: tuple[int, int]) -> np.ndarray:
     return (fp >> np.uint64(block[0])) & np.uint64((1 << block[1]) - 1)
 
 
-def link_shard(fps: np.ndarray, home: np.ndarray, radius: int, extra: np.ndarray | None = None, extra_radius: int = 0) -> tuple[np.ndarray, np.ndarray]:
-    """(member, root), as positions, of the points that have a link to a home point, without the roots.
-
-    extra: further words of the points; with them, a pair must also differ in at most
-    extra_radius bits of all words together.
-    """
+def link_shard(fps: np.ndarray, home: np.ndarray, radius: int) -> tuple[np.ndarray, np.ndarray]:
+    """(member, root), as positions, of the points that have a link to a home point, without the roots."""
     where = np.flatnonzero(home)
     parent = np.arange(len(fps))
 
@@ -189,126 +178,111 @@ def link_shard(fps: np.ndarray, home: np.ndarray, radius: int, extra: np.ndarray
         close[own, np.searchsorted(where, at + own)] = False
         for i in np.flatnonzero(close.any(1)):
             others = where[close[i]]
-            if extra is not None:
-                differ = np.bitwise_count(fps[others] ^ fps[at + i]).astype(np.int64) + np.bitwise_count(extra[others] ^ extra[at + i]).sum(1, dtype=np.int64)
-                others = others[differ <= extra_radius]
             tops = parent[others]  # mostly one and the same root already
             for t in {root(int(j)) for j in np.unique(tops)}:
                 a, b = root(int(at + i)), root(t)
                 if a != b:
                     parent[max(a, b)] = min(a, b)
-            if len(others):
-                parent[others] = root(int(at + i))
+            parent[others] = root(int(at + i))
     roots = np.array([root(i) for i in range(len(fps))], np.int64) if len(fps) else parent
     moved = roots != np.arange(len(fps))
     return np.flatnonzero(moved), roots[moved]
 
 
-def links(fps: DataFrame, radius: int = 3, blocks: int = 2, extra_radius: int | None = None, leaf: int = LEAF, words: int = 1) -> DataFrame:
-    """a, b: stars that connect exactly what is linked by fingerprints (distinct rows: fp) within radius.
+def link_leaf(fps: np.ndarray, home: np.ndarray, radius: int, block: tuple[int, int], within: int) -> list[tuple[np.ndarray, np.ndarray]]:
+    """(member, root) of a leaf's links. A large leaf gets a tree of its own on its home points, so that not all of its pairs are compared."""
+    codes = code(fps, block)
+    if len(fps) <= 2 * LEAF:
+        return [link_shard(fps, home, radius)]
+    at, to, own = Tree(np.unique(codes[home]), LEAF // 2).visits(codes, within)
+    out, order = [], np.lexsort((at, to))
+    at, to, own = at[order], to[order], own[order]
+    edges = np.flatnonzero(np.diff(to, prepend=-1, append=-1))
+    for a, b in zip(edges, edges[1:], strict=False):
+        some = at[a:b]
+        member, top = link_shard(fps[some], own[a:b] & home[some], radius)
+        out.append((some[member], some[top]))
+    return out
+
 
-    With extra_radius, rows are points with a pid, fp and sketch, and named by pid. Two of them are
-    linked if they are within radius in one of the first ``words`` words (fp, then those of the
-    sketch) and within extra_radius in all words together.
-    """
+def links(fps: DataFrame, radius: int = 3, blocks: int = 2, leaf: int = LEAF) -> DataFrame:
+    """a, b: stars that connect exactly what is linked by fingerprints (fp, distinct rows) within radius."""
     spark = fps.sparkSession
-    sketched = extra_radius is not None
     n = fps.count()
-    parts = [(word, shift, width) for word in range(words) for shift, width in cut(64, blocks)]
+    parts = cut(64, blocks)
     within = radius // blocks
-    if all(width <= CODE_BITS for _, _, width in parts):
-        trees = [Tree(np.arange(1 << width, dtype=np.uint64), 1, True) for _, _, width in parts]
-    else:
-        few = fps.select("fp")
-        if n > SAMPLE:  # those whose hash is low
-            few = few.where(F.pmod(F.xxhash64("fp"), F.lit(1 << 30)) < int(SAMPLE / n * (1 << 30)))
-        sample = np.sort(few.limit(2 * SAMPLE).toPandas()["fp"].to_numpy(np.int64)).view(np.uint64)
-        least = max(8, leaf * len(sample) // max(n, 1))
-        trees = [Tree(np.unique(code(sample, p[1:])) if len(sample) else np.zeros(1, np.uint64), least, False) for p in parts]
-    sizes = [len(t.leaves) for t in trees]
+    few = fps
+    if n > SAMPLE:  # those whose hash is low
+        few = few.where(F.pmod(F.xxhash64("fp"), F.lit(1 << 30)) < int(SAMPLE / n * (1 << 30)))
+    sample = np.sort(few.limit(2 * SAMPLE).toPandas()["fp"].to_numpy(np.int64)).view(np.uint64)
+    least = max(4, leaf * len(sample) // max(n, 1))
+    trees = [Tree(np.unique(code(sample, p)) if len(sample) else np.zeros(1, np.uint64), least) for p in parts]
+    sizes = [t.leaves for t in trees]
     first = np.concatenate([[0], np.cumsum(sizes)])
     per_shard = max(1, int(first[-1]) * leaf // max(len(parts) * n, 1))  # small leaves share a group
-    tables = None
-    if trees[0].complete:
-        tables = []
-        for t, p in zip(trees, parts, strict=True):
-            at, to, home = t.visits(np.arange(1 << p[2], dtype=np.uint64), within)
-            order = np.argsort(at, kind="stable")
-            tables.append((to[order], home[order], np.searchsorted(at[order], np.arange((1 << p[2]) + 1))))
-    names = ["fp", "pid", "sketch"] if sketched else ["fp"]
-    known = spark.sparkContext.broadcast((trees, tables))
-
-    def visits(i: int, codes: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        trees, tables = known.value
-        if tables is None:
-            return trees[i].visits(codes, within)
-        to, home, start = tables[i]
-        at = start[codes.astype(np.int64)]
-        count = start[codes.astype(np.int64) + 1] - at
-        who = np.repeat(np.arange(len(codes)), count)
-        which = np.arange(len(who)) - np.repeat(np.cumsum(count) - count, count) + np.repeat(at, count)
-        return who, to[which], home[which]
-
-    def matrix(pdf: pd.DataFrame) -> np.ndarray:
-        """A row per point, a column per word."""
-        fp = pdf["fp"].to_numpy(np.int64)[:, None]
-        if sketched and len(fp):
-            fp = np.concatenate([fp, np.stack(pdf["sketch"].to_numpy()).astype(np.int64)], axis=1)
-        return np.ascontiguousarray(fp).view(np.uint64)
+    n_i, n_j = _cuts(trees, parts, first, sample, n, within)
+    known = spark.sparkContext.broadcast((trees, n_i, n_j))
 
     def route(batches):
+        trees, n_i, n_j = known.value
         for pdf in batches:
-            held = matrix(pdf)
-            for i, p in enumerate(parts):
-                who, to, home = visits(i, code(held[:, p[0]], p[1:]))
+            held = pdf["fp"].to_numpy(np.int64).view(np.uint64)
+            for b, p in enumerate(parts):
+                who, to, home = trees[b].visits(code(held, p), within)
                 own = np.zeros(len(held), np.int64)
                 own[who[home]] = to[home]
                 keep = home | (to > own[who])
-                who, to, home = who[keep], to[keep], home[keep]
-                out = {"shard": (first[i] + to) // per_shard, "leaf": first[i] + to, "home": home}
-                yield pd.DataFrame(out | {c: pdf[c].to_numpy()[who] for c in names})
+                who, to, home = who[keep], first[b] + to[keep], home[keep]
+                mixed = _remix(held[who], 1)
+                i, j = (mixed % n_i[to].astype(np.uint64)).astype(np.int64), (mixed % n_j[to].astype(np.uint64)).astype(np.int64)
+                # all points of a leaf go to their part j, once for each part of home points; home points to their part i, once for each part j
+                times = n_i[to]
+                meet = _repeated(times)
+                yield pd.DataFrame({"shard": np.repeat(to // per_shard, times), "leaf": np.repeat(to, times), "i": meet, "j": np.repeat(j, times), "home": np.repeat(home & (n_j[to] == 1), times) & (np.repeat(i, times) == meet), "fp": pdf["fp"].to_numpy()[np.repeat(who, times)]})
+                split = home & (n_j[to] > 1)
+                if split.any():
+                    who, to, i, times = who[split], to[split], i[split], n_j[to[split]]
+                    yield pd.DataFrame({"shard": np.repeat(to // per_shard, times), "leaf": np.repeat(to, times), "i": np.repeat(i, times), "j": _repeated(times), "home": True, "fp": pdf["fp"].to_numpy()[np.repeat(who, times)]})
 
     def shard(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values("leaf", kind="stable")
-        leaves = pdf["leaf"].to_numpy()
-        held, home = matrix(pdf), pdf["home"].to_numpy(bool)
-        pid = pdf["pid" if sketched else "fp"].to_numpy(np.int64)
-        word_of = np.repeat([p[0] for p in parts], sizes)
+        leaves, fp, home = pdf["leaf"].to_numpy(), pdf["fp"].to_numpy(np.int64), pdf["home"].to_numpy(bool)
+        order = np.lexsort((home, fp, leaves))
+        leaves, fp, home = leaves[order], fp[order], home[order]
+        last = np.append((leaves[1:] != leaves[:-1]) | (fp[1:] != fp[:-1]), True)  # a home point may also stand there as one of all points
+        leaves, fp, home = leaves[last], fp[last], home[last]
+        block = np.searchsorted(first, leaves, "right") - 1
         edges = np.flatnonzero(np.diff(leaves, prepend=leaves[0] - 1, append=leaves[-1] + 1))
-        found = []
+        found = [pd.DataFrame({"a": np.empty(0, np.int64), "b": np.empty(0, np.int64)})]
         for a, b in zip(edges, edges[1:], strict=False):
             if b - a > 1:
-                order = a + np.lexsort((pid[a:b],))
-                w = word_of[leaves[a]]
-                others = np.delete(held[order], w, axis=1) if sketched else None
-                member, top = link_shard(held[order, w], home[order], radius, others, extra_radius or 0)
-                found.append(pd.DataFrame({"a": pid[order][top], "b": pid[order][member]}))
-        return pd.concat(found) if found else pd.DataFrame({"a": np.empty(0, np.int64), "b": np.empty(0, np.int64)})
+                own = fp[a:b]
+                for member, top in link_leaf(own.view(np.uint64), home[a:b], radius, parts[block[a]], within):
+                    found.append(pd.DataFrame({"a": own[top], "b": own[member]}))
+        return pd.concat(found)
 
-    schema = "shard long, leaf long, home boolean, fp long" + (", pid long, sketch array<long>" if sketched else "")
-    routed = fps.select(*names).mapInPandas(route, schema)
-    rows = _parted(routed, "pid" if sketched else "fp")
-    return written(rows.groupBy("shard", "i", "j").applyInPandas(shard, "a long, b long"), "simhash-stars")
+    routed = fps.select("fp").mapInPandas(route, "shard long, leaf long, i long, j long, home boolean, fp long")
+    return written(routed.groupBy("shard", "i", "j").applyInPandas(shard, "a long, b long"), "simhash-stars")
 
 
-def _parted(routed: DataFrame, name: str) -> DataFrame:
-    """Adds i and j: parts of the home points and of all points of a leaf, each pair of which meets in a task of its own.
+def _repeated(times: np.ndarray) -> np.ndarray:
+    """0 to times - 1 for each of times."""
+    return np.arange(times.sum()) - np.repeat(np.cumsum(times) - times, times)
 
-    Leaves of at most PART rows stay whole. A cut leaf's home points come once per j to be met, and all its points once per i
-    to meet them. The table of cut leaves has a row per leaf at most, and a tree has at most SAMPLE / 4 leaves.
+
+def _cuts(trees: list[Tree], parts: list[tuple[int, int]], first: np.ndarray, sample: np.ndarray, n: int, within: int) -> tuple[np.ndarray, np.ndarray]:
+    """Parts of the home points and of all points of each leaf, each pair of which meets in a task of its own.
+
+    Expected from the sample: leaves of up to PART points stay whole.
     """
-    sizes = routed.groupBy("leaf").agg(F.count(F.lit(1)).alias("n"), F.sum(F.col("home").cast("long")).alias("n_home")).where(F.col("n") > PART)
-    cut_leaves = written(sizes.select("leaf", F.ceil(F.col("n") / PART).alias("n_j"), F.greatest(F.ceil(F.col("n_home") / PART), F.lit(1)).alias("n_i")), "simhash-cut")
-    if not cut_leaves.limit(1).count():
-        return routed.withColumns({"i": F.lit(0), "j": F.lit(0)})
-    own = lambda n: F.pmod(F.xxhash64(name), F.col(n))
-    place = lambda i, j, home: F.struct(i.cast("long").alias("i"), j.cast("long").alias("j"), home.alias("is_home"))
-    met = F.when(F.col("home"), F.transform(F.sequence(F.lit(0), F.col("n_j") - 1), lambda j: place(own("n_i"), j, F.lit(True))))
-    meets = F.transform(F.sequence(F.lit(0), F.col("n_i") - 1), lambda i: place(i, own("n_j"), F.lit(False)))
-    whole = F.array(place(F.lit(0), F.lit(0), F.col("home")))
-    places = F.when(F.col("n_j").isNull(), whole).otherwise(F.concat(F.coalesce(met, F.filter(meets, lambda _: F.lit(False))), meets))
-    rows = routed.join(F.broadcast(cut_leaves), "leaf", "left").withColumn("place", F.explode(places))
-    return rows.withColumns({"i": F.col("place.i"), "j": F.col("place.j"), "home": F.col("place.is_home")}).drop("place", "n_i", "n_j")
+    homes, all_of = np.zeros(int(first[-1])), np.zeros(int(first[-1]))
+    for b, (tree, p) in enumerate(zip(trees, parts, strict=True)):
+        _, to, home = tree.visits(code(sample, p), within)
+        homes += np.bincount(first[b] + to[home], minlength=len(homes))
+        all_of += np.bincount(first[b] + to, minlength=len(homes))
+    scale = n / max(len(sample), 1)
+    parts_of = lambda x: np.maximum(1, np.ceil(x * scale / PART)).astype(np.int64)
+    large = all_of * scale > PART
+    return np.where(large, parts_of(homes), 1), np.where(large, parts_of(all_of), 1)
 
 
 def components(stars: DataFrame) -> DataFrame:
@@ -351,17 +325,16 @@ def near_duplicates(docs: DataFrame, text: str = "text", width: int = 3, radius:
 STAGE = {"width": 5}
 NEAR = (4, 5)
 #: Words of the stage's fingerprints, and bits of all of them in which two sets so similar differ at most: their angle is at most
-#: acos(8/9), so a bit differs with a probability of 0.151, that is, 38.8 of 256 with a deviation of 5.7. Only pairs that are left
-#: after the turns are held against it, 4.4 deviations above the mean.
+#: acos(8/9), so a bit differs with a probability of 0.151, that is, 38.8 of 256 with a deviation of 5.7; this is 4.4 deviations more.
 WORDS, FAR = 4, 64
 #: Texts that are sampled to find frequent shingles, in how many of them one is frequent, and how many are known at most.
 HOT_TEXTS, HOT_LEAST, HOT_MOST = 10_000, 5, 50_000
-#: Turns in which a point meets one pivot; then pairs that are left meet.
-TURNS = 3
-#: Shared shingles, 8 bytes each, that may be sent to all tasks.
-SHARED_SENT = 1_000_000
-#: Pairs of one point that a task compares.
-PIVOT_PAIRS = 2_000
+#: Shared shingles, 16 bytes each, that may be sent to all tasks; a list of more sets than HOT_LIST is joined by sending its row to all tasks.
+SHARED_SENT, HOT_LIST = 500_000, 5_000
+#: Pairs of one point that a task compares, and sets of a family, or rows of a list, that one task takes.
+PIVOT_PAIRS, TILE = 2_000, 1_500
+#: Rows of small lists, and of small families, that one group of a task should have.
+LIST_ROWS, FAMILY_ROWS = 20_000, 1_000
 
 
 def shingle_set(text: str | None, width: int) -> np.ndarray:
@@ -436,66 +409,166 @@ def _confirmed(pairs: DataFrame, sets: DataFrame) -> DataFrame:
     return both.where(common * NEAR[1] >= (F.size("of_a") + F.size("of_b") - common) * NEAR[0]).select("a", "b")
 
 
-def _alike(x, y):
-    return F.least(x, y) * NEAR[1] >= F.greatest(x, y) * NEAR[0]
+def _by_token(rows: DataFrame, lists: DataFrame) -> DataFrame:
+    """Joins rows (token, n, ..) with lists (token, ..), n being about the rows of a token: at most rows / HOT_LIST lists are hot, and only these are sent to all tasks."""
+    hot = rows.where(F.col("n") > HOT_LIST)
+    return rows.where(F.col("n") <= HOT_LIST).join(lists, "token").unionByName(hot.join(F.broadcast(lists.where(F.col("size_of") > HOT_LIST)), "token"))
+
+
+def _different(sketch: np.ndarray, other: np.ndarray) -> np.ndarray:
+    """Differing bits of each row of sketch and each of other."""
+    out = np.zeros((len(sketch), len(other)), np.int16)
+    for w in range(WORDS):
+        out += np.bitwise_count(sketch[:, w, None] ^ other[None, :, w])
+    return out
+
+
+def candidates(sketch: np.ndarray, size: np.ndarray, root: np.ndarray) -> list[tuple[np.ndarray, np.ndarray]]:
+    """Positions (i, j) of pairs that may be similar enough and have different roots, in blocks of bounded size.
+
+    The largest group of equal roots isn't compared with itself.
+    """
+    _, name, count = np.unique(root, return_inverse=True, return_counts=True)
+    few = np.flatnonzero(name != count.argmax())
+    out, step = [], max(1, (1 << 20) // max(1, len(root)))
+    for at in range(0, len(few), step):
+        own = few[at : at + step]
+        close = _different(sketch[own], sketch) <= FAR
+        close &= name[own][:, None] != name[None]
+        low, high = np.minimum(size[own][:, None], size[None]), np.maximum(size[own][:, None], size[None])
+        close &= low * NEAR[1] >= high * NEAR[0]
+        i, j = np.nonzero(close)
+        out.append((own[i], j))
+    return out
+
+
+def spanning(n: int, pairs: list[tuple[np.ndarray, np.ndarray]], right=None) -> tuple[np.ndarray, np.ndarray]:
+    """(member, root) positions of the components of pairs; right(i, j), if given, is asked for pairs that aren't connected yet."""
+    parent = list(range(n))
+
+    def root(i: int) -> int:
+        while parent[i] != i:
+            parent[i] = i = parent[parent[i]]
+        return i
+
+    for one, other in pairs:
+        for i, j in zip(one.tolist(), other.tolist(), strict=True):
+            a, b = root(i), root(j)
+            if a != b and (right is None or right(i, j)):
+                parent[max(a, b)] = min(a, b)
+    roots = np.array([root(i) for i in range(n)], np.int64)
+    moved = np.flatnonzero(roots != np.arange(n))
+    return moved, roots[moved]
+
+
+def _edges(names: np.ndarray) -> zip:
+    """(start, end) of runs of equal names."""
+    at = np.flatnonzero(np.concatenate([[True], names[1:] != names[:-1], [True]])) if len(names) else np.zeros(1, int)
+    return zip(at[:-1].tolist(), at[1:].tolist(), strict=True)
+
+
+def _stars(pid: np.ndarray, found: list[tuple[np.ndarray, np.ndarray]]) -> pd.DataFrame:
+    member = np.concatenate([np.empty(0, np.int64), *(m for m, _ in found)])
+    top = np.concatenate([np.empty(0, np.int64), *(t for _, t in found)])
+    return pd.DataFrame({"a": pid[top], "b": pid[member]})
+
+
+def _tiled(rows: DataFrame, name: str, size: str, packs: int) -> DataFrame:
+    """Adds pack, i, j: groups of more than TILE rows (size) are cut into parts that meet pair by pair; small groups share one of the packs."""
+    parts = F.ceil(F.col(size) / F.lit(TILE)).cast("int")
+    own = F.pmod(F.xxhash64("pid"), parts).cast("int")
+    rows = rows.withColumn("own", own).withColumn("other", F.explode(F.sequence(F.lit(0), parts - 1)))
+    pack = F.pmod(F.xxhash64(name), F.lit(1 << 40))
+    pack = F.when(parts > 1, pack + F.lit(packs)).otherwise(F.pmod(F.xxhash64(name), F.lit(packs)))
+    return rows.withColumns({"pack": pack, "i": F.least("own", "other"), "j": F.greatest("own", "other")}).drop("own", "other")
+
+
+def families(lists: DataFrame, packs: int) -> DataFrame:
+    """a, b: stars that connect sets which are in one list (token, pid, n, root, size, sketch) and may be similar by size and fingerprints."""
+
+    def run(pdf: pd.DataFrame) -> pd.DataFrame:
+        pdf = pdf.sort_values(["token", "pid"], kind="stable")
+        pid, size, root = (pdf[c].to_numpy(np.int64) for c in ("pid", "size", "root"))
+        sketch = np.stack(pdf["sketch"].to_numpy()).astype(np.int64).view(np.uint64)
+        found = []
+        for a, b in _edges(pdf["token"].to_numpy(np.int64)):
+            member, top = spanning(b - a, candidates(sketch[a:b], size[a:b], root[a:b])) if b - a > 1 else (np.empty(0, np.int64),) * 2
+            found.append((a + member, a + top))
+        return _stars(pid, found).drop_duplicates()
+
+    return _tiled(lists, "token", "n", packs).groupBy("pack", "i", "j").applyInPandas(run, "a long, b long")
+
+
+def family_links(members: DataFrame, packs: int) -> DataFrame:
+    """a, b: stars of the links between members (family, n, pid, root, size, sketch, hashes) of each family, confirmed on their sets."""
+
+    def run(pdf: pd.DataFrame) -> pd.DataFrame:
+        pdf = pdf.sort_values(["family", "pid"], kind="stable")
+        pid, size, root = (pdf[c].to_numpy(np.int64) for c in ("pid", "size", "root"))
+        sketch, sets = np.stack(pdf["sketch"].to_numpy()).astype(np.int64).view(np.uint64), pdf["hashes"].to_numpy()
+
+        def right(i: int, j: int) -> bool:
+            common = len(np.intersect1d(sets[i], sets[j], assume_unique=True))
+            return common * NEAR[1] >= (len(sets[i]) + len(sets[j]) - common) * NEAR[0]
+
+        found = []
+        for a, b in _edges(pdf["family"].to_numpy(np.int64)):
+            member, top = spanning(b - a, candidates(sketch[a:b], size[a:b], root[a:b]), lambda i, j, a=a: right(a + i, a + j))
+            found.append((a + member, a + top))
+        return _stars(pid, found)
+
+    return _tiled(members, "family", "n", packs).groupBy("pack", "i", "j").applyInPandas(run, "a long, b long")
 
 
 def jaccard_links(docs: DataFrame, points: DataFrame, text: str, width: int) -> DataFrame:
     """a, b: links between sets (named by pid) with the components that all pairs with a similarity of at least NEAR make.
 
-    Two such sets have one of their first shingles in common. In a turn each set meets one pivot, the first one in the lists of its
-    shared shingles by how many others share shingles with it (as the origin of many copies does), later by chance; so a turn
-    makes at most one pair per set. Lists whose sets are all linked then drop out. What is left meets pair by pair, if size and fingerprints
-    allow the similarity. Every link is confirmed on the sets themselves. docs: text and key; points: pid and the key of one row with it.
+    Two such sets have one of their first shingles in common. First each set meets one pivot: the first one in the lists of its
+    shared shingles by how many others share shingles with it, as the origin of many copies does. Lists whose sets
+    are all linked then drop out. Sets of the other lists that may be similar by their fingerprints make families, and
+    within these the pairs that are not connected yet are compared. Every link is confirmed on the sets themselves, and only spanning
+    stars leave a task, never pairs. docs: text and key; points: pid and the key of one row with it.
     """
     hot = frequent_shingles(docs, text, width)
     tokens = lambda: prefix_tokens(docs, hot, text, width)  # noqa: E731  made twice from the texts, which takes less than storing them
-    shared = written(tokens().groupBy("token").agg(F.min("pid").alias("lo"), F.max("pid").alias("hi")).where("lo < hi").select("token"), "simhash-shared")
+    shared = tokens().groupBy("token").agg(F.min("pid").alias("lo"), F.max("pid").alias("hi"), F.count(F.lit(1)).alias("n"))
+    shared = written(shared.where("lo < hi").select("token", "n"), "simhash-shared")
     few = shared.limit(SHARED_SENT + 1).count() <= SHARED_SENT
     met = written(tokens().join(F.broadcast(shared) if few else shared, "token").distinct(), "simhash-met")
     discard(shared)
-    wanted = written(met.select("pid").distinct().join(points, "pid").select("key"), "simhash-wanted")
+    fame = written(met.groupBy("pid").agg(F.sum("n").alias("fame")), "simhash-fame")
+    wanted = written(fame.join(points, "pid").select("key"), "simhash-wanted")
 
     def make():
         def step(batch):
             sets = [shingle_set(t.as_py(), width) for t in batch.column(text)]
-            return {"pid": [set_name(s) for s in sets], "hashes": [s.view(np.int64) for s in sets], "sketch": [set_sketch(s) for s in sets]}
+            return {"pid": [set_name(s) for s in sets], "size": [len(s) for s in sets], "hashes": [s.view(np.int64) for s in sets], "sketch": [set_sketch(s) for s in sets]}
 
         return step
 
     owners = join_table(docs, wanted, ["key"], "left_semi", hot=False)
-    sets = map_rows(owners.select(text), with_fields(docs, [], "pid long, hashes array<long>, sketch array<long>"), make).dropDuplicates(["pid"])
-    sets = written(sets, "simhash-sets")
-    sizes = written(met.groupBy("token").agg(F.count(F.lit(1)).alias("n")), "simhash-sizes")
-    fame = join_table(met, sizes, ["token"], "inner").groupBy("pid").agg(F.sum("n").alias("fame"))
-    of_set = written(sets.select("pid", F.size("hashes").alias("size"), "sketch").join(fame, "pid"), "simhash-fame")
-    first_met, met = met, written(join_table(met, of_set, ["pid"], "inner", hot=False), "simhash-lists")
-    for table in (first_met, sizes, wanted, of_set):
-        discard(table)
-    found = roots = None
-    for turn in range(TURNS):
-        now = met.withColumn("root", F.col("pid")) if roots is None else join_table(met, roots, ["pid"], hot=False).withColumn("root", F.coalesce("root", "pid"))
-        order = F.struct((-F.col("fame") if not turn else F.xxhash64("pid", F.lit(turn))).alias("h"), F.col("pid").alias("a"), F.col("size").alias("size_a"), F.col("root").alias("root_a"))
-        lists = now.groupBy("token").agg(F.min("root").alias("lo"), F.max("root").alias("hi"), F.min(order).alias("p")).where("lo < hi").select("token", "p.*")
-        lists = written(lists, "simhash-pivots")
-        both = join_table(now, lists, ["token"], "inner")
-        left = written(both.select(*met.columns), "simhash-lists")
-        pairs = both.where((F.col("root") != F.col("root_a")) & _alike(F.col("size"), F.col("size_a"))).groupBy(F.col("pid").alias("b")).agg(F.min(F.struct("h", "a")).alias("p"))
-        new = _confirmed(written(pairs.select("p.a", "b"), "simhash-pairs"), sets)
-        found = written(new if found is None else found.unionByName(new), "simhash-links")
-        roots = written(components(found).withColumnRenamed("node", "pid"), "simhash-turn")
-        discard(met)
-        met = left
-    now = join_table(met, roots, ["pid"], hot=False).withColumn("root", F.coalesce("root", "pid"))
-    mixed = written(now.groupBy("token").agg(F.min("root").alias("lo"), F.max("root").alias("hi")).where("lo < hi").select("token"), "simhash-mixed")
-    now = written(join_table(now, mixed, ["token"], "left_semi"), "simhash-left")
-    one = now.select("token", *[F.col(c).alias(f"{c}_a") for c in ("pid", "size", "sketch", "root")])
-    other = now.select("token", *[F.col(c).alias(f"{c}_b") for c in ("pid", "size", "sketch", "root")])
-    differ = sum((F.bit_count(F.get("sketch_a", F.lit(i)).bitwiseXOR(F.get("sketch_b", F.lit(i)))) for i in range(WORDS)), F.lit(0))
-    close = (F.col("pid_a") < F.col("pid_b")) & (F.col("root_a") != F.col("root_b")) & _alike(F.col("size_a"), F.col("size_b")) & (differ <= FAR)
-    pairs = one.withColumnRenamed("token", "t").join(other, (F.col("t") == F.col("token")) & close)
-    pairs = written(pairs.select(F.col("pid_a").alias("a"), F.col("pid_b").alias("b")).distinct(), "simhash-pairs")
-    return written(found.unionByName(_confirmed(pairs, sets)), "simhash-links")
+    sets = map_rows(owners.select(text), with_fields(docs, [], "pid long, size long, hashes array<long>, sketch array<long>"), make)
+    sets = written(sets.dropDuplicates(["pid"]), "simhash-sets")
+    of_set = written(sets.select("pid", "size").join(fame, "pid"), "simhash-sizes")
+    ranked = join_table(met, of_set, ["pid"], "inner", hot=False)
+    order = F.struct((-F.col("fame")).alias("h"), F.col("pid").alias("a"), F.col("size").alias("size_a"))
+    pivots = ranked.groupBy("token").agg(F.min(order).alias("p"), F.max("n").alias("size_of")).select("token", "size_of", "p.*")
+    both = _by_token(ranked, written(pivots, "simhash-pivots"))
+    fits = (F.col("pid") != F.col("a")) & (F.least("size", "size_a") * NEAR[1] >= F.greatest("size", "size_a") * NEAR[0])
+    pairs = both.where(fits).groupBy(F.col("pid").alias("b")).agg(F.min(F.struct("h", "a")).alias("p"))
+    first = written(_confirmed(written(pairs.select("p.a", "b"), "simhash-pairs"), sets), "simhash-links")
+    roots = written(components(first).withColumnRenamed("node", "pid"), "simhash-turn")
+    now = written(join_table(met, roots, ["pid"], hot=False).withColumn("root", F.coalesce("root", "pid")), "simhash-lists")
+    discard(met)
+    mixed = now.groupBy("token").agg(F.min("root").alias("lo"), F.max("root").alias("hi"), F.max("n").alias("size_of")).where("lo < hi").select("token", "size_of")
+    left = _by_token(now, written(mixed, "simhash-mixed")).drop("size_of")
+    left = join_table(left, written(sets.select("pid", "size", "sketch"), "simhash-sketches"), ["pid"], "inner", hot=False)
+    near = written(families(left, now.count() // LIST_ROWS + 1), "simhash-near")
+    family = written(components(near).select(F.col("node").alias("pid"), F.col("root").alias("family")), "simhash-families")
+    counts = written(family.groupBy("family").agg(F.count(F.lit(1)).alias("n")), "simhash-counts")
+    members = join_table(family.join(sets, "pid"), roots, ["pid"], hot=False).withColumn("root", F.coalesce("root", "pid"))
+    second = family_links(join_table(members, counts, ["family"], "inner"), family.count() // FAMILY_ROWS + 1)
+    return written(first.unionByName(second), "simhash-links")
 
 
 def keep_one(docs: DataFrame, text: str = "text", **options) -> DataFrame:

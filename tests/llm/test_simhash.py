@@ -51,13 +51,13 @@ def test_fingerprint_of_many_shingles(monkeypatch):
     assert simhash.fingerprint(text, 3, 4) == whole
 
 
-@pytest.mark.parametrize("bits,leaf,complete,radius", [(32, 8, False, 1), (64, 4, False, 3), (10, 1, True, 1), (8, 1, True, 2)])
-def test_tree_visits_all_that_is_near(bits, leaf, complete, radius):
+@pytest.mark.parametrize("bits,leaf,radius", [(32, 8, 1), (64, 4, 3), (10, 1, 1), (8, 1, 2)])
+def test_tree_visits_all_that_is_near(bits, leaf, radius):
     rng = np.random.default_rng(1)
     some = rng.integers(0, 1 << min(bits, 62), 300, dtype=np.uint64) & np.uint64((1 << bits) - 1)
     near = some ^ (np.uint64(1) << rng.integers(0, bits, 300).astype(np.uint64))
     codes = np.unique(np.concatenate([some, near]))
-    tree = simhash.Tree(np.arange(1 << bits, dtype=np.uint64) if complete else codes[::3], leaf, complete)
+    tree = simhash.Tree(codes[::3], leaf)
     at, to, home = tree.visits(codes, radius)
     own = np.full(len(codes), -1)
     own[at[home]] = to[home]
@@ -120,34 +120,29 @@ def test_links_lose_nothing(spark, monkeypatch, radius, blocks, leaf, part):
     assert sorted(map(sorted, groups.values())) == sorted(map(sorted, got.values()))
 
 
-def test_sketch_links_equal_brute_force(spark):
-    rng = np.random.default_rng(8)
-    points = []
-    for i in range(60):
-        base = [int(x) for x in rng.integers(0, 1 << 62, 4)]
-        for _ in range(4):
-            words = list(base)
-            for b in rng.integers(0, 256, int(rng.integers(0, 30))):
-                words[int(b) // 64] ^= 1 << (int(b) % 64)
-            points.append(words)
-    signed = [[int(np.uint64(w).astype(np.int64)) for w in p] for p in points]
-    rows = [(p[0], p[1:], i) for i, p in enumerate(signed)]
-    stars = simhash.links(spark.createDataFrame(rows, "fp long, sketch array<long>, pid long"), 11, 6, 44, words=2)
-    found = {r["node"]: r["root"] for r in simhash.components(stars).collect()}
-    top = list(range(len(points)))
+def test_large_leaves_have_a_tree_of_their_own(monkeypatch):
+    monkeypatch.setattr(simhash, "LEAF", 20)
+    fps = np.array(sorted(chain(np.random.default_rng(3), 900)), np.uint64)
+    home = np.random.default_rng(4).random(len(fps)) < 0.5
+    found = simhash.link_leaf(fps, home, 3, (0, 32), 1)
+    assert len(found) > 3
+    got = {(int(a), int(b)) for member, top in found for a, b in zip(member, top, strict=True)}
+    linked = {(a, b) for a, b in got if (fps[a] ^ fps[b]).bit_count() <= 3}
+    top = list(range(len(fps)))
 
-    def root(i):
+    def root(top, i):
         while top[i] != i:
             i = top[i]
         return i
 
-    for i, a in enumerate(points):
-        for j, b in enumerate(points[:i]):
-            d = [(x ^ y).bit_count() for x, y in zip(a, b, strict=True)]
-            if min(d[:2]) <= 11 and sum(d) <= 44:
-                x, y = root(i), root(j)
-                top[max(x, y)] = min(x, y)
-    assert [found.get(i, i) for i in range(len(points))] == [root(i) for i in range(len(points))]
+    for a, b in got:
+        x, y = root(top, a), root(top, b)
+        top[max(x, y)] = min(x, y)
+    assert linked
+    low = np.uint64((1 << 32) - 1)
+    for i in range(len(fps)):
+        near = (np.bitwise_count(fps ^ fps[i]) <= 3) & (np.bitwise_count((fps ^ fps[i]) & low) <= 1) & home
+        assert all(root(top, i) == root(top, int(j)) for j in np.flatnonzero(near))
 
 
 def test_query_equals_brute_force(spark, sf_dir):
@@ -222,10 +217,13 @@ def plain_kept(texts, width=5):
     return [i for i in range(len(texts)) if root(i) == i]
 
 
-@pytest.mark.parametrize("turns,sent", [(3, 10**6), (1, 0), (2, 10**6)])
-def test_stage_equals_brute_force_jaccard(spark, monkeypatch, turns, sent):
-    monkeypatch.setattr(simhash, "TURNS", turns)
+@pytest.mark.parametrize("tile,sent", [(1_500, 10**6), (4, 0)])
+def test_stage_equals_brute_force_jaccard(spark, monkeypatch, tile, sent):
+    monkeypatch.setattr(simhash, "TILE", tile)
+    monkeypatch.setattr(simhash, "LIST_ROWS", 50)
+    monkeypatch.setattr(simhash, "FAMILY_ROWS", 20)
     monkeypatch.setattr(simhash, "SHARED_SENT", sent)
+    monkeypatch.setattr(simhash, "HOT_LIST", 10**6 if sent else 3)
     monkeypatch.setattr(simhash, "PIVOT_PAIRS", 3)
     if not sent:
         monkeypatch.setattr(llm_common, "BROADCAST_ROWS", 0)
