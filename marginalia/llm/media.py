@@ -2,18 +2,20 @@
 
 A text becomes UTF-8 bytes, padded with bytes 0 to a positive multiple of 64, and these
 bytes become the samples of an 8-bit greyscale PNG, 64 pixels wide, whose name in the
-shard is the SHA-256 of the samples. Each task appends to tar shards of its own in the
-shared folder and rolls over to a new one at ``shard_bytes``; within a shard a payload
-is stored once. Rows carry digest, shard, offset and length, so a reader needs one
+shard is the SHA-256 of the samples. Tasks append to tar shards of their own in the
+shared folder and roll over to a new one at ``shard_bytes``. Over all shards a payload is stored once: hashes alone are
+shuffled to see which texts repeat; a text that doesn't is stored where it lies, and of the others one copy is moved to the task
+that stores it. Rows carry digest, shard, offset and length, so a reader needs one
 range read for the header (33 bytes) and one for the payload, never the whole shard.
 
 Recovery: a shard is written under a temporary name and renamed when it is complete,
-and its name is unique to the attempt. The manifest is a written table, made from the
+and its name is unique to the attempt. Addresses are a written table, made from the
 attempts that Spark committed; what a lost attempt left behind has no row there.
 
 Nulls and ties: a null text counts as an empty one (64 bytes 0). Repeated rows and equal
-texts get equal digests and features; ids may be null or repeated. An empty table gives an
-empty manifest. Columns other than the kept ones are not carried along.
+texts get equal digests and features; ids may be null or repeated. Very long texts are one payload of any
+size, which one task holds. An empty table gives an empty manifest. Columns other than the kept ones are not carried along;
+those may have any names but the ones of the result.
 """
 
 from __future__ import annotations
@@ -27,10 +29,10 @@ import zlib
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import map_rows, new_path, open_fs, with_fields, written
+from .common import join_table, map_rows, new_path, open_fs, slices, text_or_empty, with_fields, written
 
 WIDTH = 64
 #: Fixed values of the PNG format.
@@ -46,7 +48,7 @@ def _chunk(kind: bytes, body: bytes) -> bytes:
     return struct.pack(">I", len(body)) + kind + body + struct.pack(">I", zlib.crc32(kind + body))
 
 
-def to_png(samples: bytes, level: int = 4) -> bytes:
+def to_png(samples: bytes, level: int = 9) -> bytes:
     """samples: a positive multiple of 64 bytes."""
     lines = np.zeros((len(samples) // WIDTH, WIDTH + 1), np.uint8)  # each line begins with its filter, 0
     lines[:, 1:] = np.frombuffer(samples, np.uint8).reshape(-1, WIDTH)
@@ -93,23 +95,20 @@ class _Shards:
     def __init__(self, root: str, shard_bytes: int):
         self.fs, self.path = open_fs(root)
         self.fs.create_dir(self.path, recursive=True)
-        self.root, self.limit, self.out = root, shard_bytes, None
+        self.limit, self.out = shard_bytes, None
 
-    def put(self, digest: str, make) -> tuple[str, int, int]:
-        """Shard, offset and length of a payload; make() gives the stored form if it isn't there yet."""
-        if self.out is not None and digest in self.seen:
-            return self.seen[digest]
+    def put(self, digest: str, body: bytes) -> tuple[str, int, int]:
+        """Shard, offset and length of a payload in its stored form."""
         if self.out is not None and self.at >= self.limit:
             self.close()
         if self.out is None:
-            self.name, self.at, self.seen = f"shard-{uuid.uuid4().hex}.tar", 0, {}
+            self.name, self.at = f"shard-{uuid.uuid4().hex}.tar", 0
             self.out = self.fs.open_output_stream(f"{self.path}/_{self.name}")
-        body = make()
         info = tarfile.TarInfo(f"{digest}.png")
         info.size = len(body)
         block = info.tobuf(tarfile.USTAR_FORMAT) + body + bytes(-len(body) % 512)
         self.out.write(block)
-        self.seen[digest] = where = (self.name, self.at + 512, len(body))
+        where = (self.name, self.at + 512, len(body))
         self.at += len(block)
         return where
 
@@ -121,27 +120,80 @@ class _Shards:
             self.out = None
 
 
-def store(docs: DataFrame, root: str, keep: list[str], text: str = "text", shard_bytes: int = 64 << 20) -> DataFrame:
-    """Writes the payloads below root; gives the manifest: keep, digest, shard, offset, length, n_bytes."""
-    schema = with_fields(docs, keep, "digest string, shard string, offset long, length long, n_bytes long")
+ADDRESS = "digest string, shard string, offset long, length long, n_bytes long"
+
+
+def _stored(rows: DataFrame, root: str, keep: list[str], shard_bytes: int, once: bool) -> DataFrame:
+    """keep and the address of each row's text (column __text); once: a task stores equal texts, which stand together, once."""
+    schema = with_fields(rows, keep, ADDRESS)
 
     def run(batches):
         from pyspark.sql.pandas.types import to_arrow_schema
 
-        arrow, shards = to_arrow_schema(schema), _Shards(root, shard_bytes)
-        for batch in batches:
-            rows = []
-            for value in batch.column(text):
-                raw = (value.as_py() or "").encode()
+        arrow, shards, last = to_arrow_schema(schema), _Shards(root, shard_bytes), None
+        for batch in (part for whole in batches for part in slices(whole)):
+            found, left = [], []
+            for i, value in enumerate(batch.column("__text")):
+                raw = value.as_py().encode()
                 samples = padded(raw)
                 digest = hashlib.sha256(samples).hexdigest()
-                rows.append((digest, *shards.put(digest, lambda: to_png(samples)), len(raw)))
-            new = [pa.array(x, type=arrow.field(len(keep) + i).type) for i, x in enumerate(zip(*rows, strict=True))] if rows else []
-            if rows:
-                yield pa.RecordBatch.from_arrays([*(batch.column(k).cast(arrow.field(k).type) for k in keep), *new], schema=arrow)
+                if once and digest == last:
+                    continue
+                last = digest
+                left.append(i)
+                found.append((digest, *shards.put(digest, to_png(samples)), len(raw)))
+            if found:
+                own = batch.take(pa.array(left))
+                new = [pa.array(x, type=arrow.field(len(keep) + i).type) for i, x in enumerate(zip(*found, strict=True))]
+                yield pa.RecordBatch.from_arrays([*(own.column(k).cast(arrow.field(k).type) for k in keep), *new], schema=arrow)
         shards.close()
 
-    return written(docs.select(*keep, text).mapInArrow(run, schema) if text not in keep else docs.select(*keep).mapInArrow(run, schema), "media-manifest")
+    return written(rows.select(*keep, "__text").mapInArrow(run, schema), "media-addresses")
+
+
+def _first_of_each(rows: DataFrame) -> DataFrame:
+    """Leaves out texts (__text, __hash) whose hash the task has had among its last ones."""
+
+    def run(batches):
+        seen: set[int] = set()
+        for batch in batches:
+            keep = []
+            for h in batch.column("__hash").to_pylist():
+                keep.append(h not in seen)
+                if len(seen) >= 200_000:
+                    seen.clear()
+                seen.add(h)
+            yield batch.filter(pa.array(keep, pa.bool_()))
+
+    return rows.mapInArrow(run, rows.schema)
+
+
+def digest_of(text: Column) -> Column:
+    """The digest of a text's padded payload, in the JVM."""
+    raw = F.encode(text, "UTF-8")
+    missing = F.when(F.octet_length(raw) == 0, WIDTH).otherwise(F.pmod(-F.octet_length(raw), F.lit(WIDTH)))
+    return F.sha2(F.concat(raw, F.unhex(F.repeat(F.lit("00"), missing))), 256)
+
+
+def store(docs: DataFrame, root: str, keep: list[str], text: str = "text", shard_bytes: int = 64 << 20) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """Writes the payloads below root. Gives (keep and address of rows whose text doesn't repeat; the addresses of
+    texts that do; keep and digest of their rows). Two texts with one 64-bit hash only take the way of those that repeat."""
+    body = text_or_empty(text)
+    rows = docs.select(*keep, body.alias("__text"), F.xxhash64(body).alias("__hash"))
+    hashes = docs.select(F.xxhash64(body).alias("__hash")).groupBy("__hash").agg(F.count(F.lit(1)).alias("n"))
+    again = written(hashes.where("n > 1").select("__hash", F.lit(True).alias("__again")), "media-again")
+    rows = join_table(rows, again, ["__hash"])
+    single = _stored(rows.where("__again is null"), root, keep, shard_bytes, False)
+    repeated = rows.where("__again")
+    one = _first_of_each(repeated.select("__text", "__hash")).withColumn("digest", digest_of(F.col("__text")))
+    one = one.repartition("digest").sortWithinPartitions("digest").select("__text")
+    shared = _stored(one, root, [], shard_bytes, True)
+    return single, shared, repeated.select(*keep, digest_of(F.col("__text")).alias("digest"))
+
+
+def manifest_of(single: DataFrame, shared: DataFrame, repeated: DataFrame) -> DataFrame:
+    """One row per document: what single has, for all rows."""
+    return single.unionByName(join_table(repeated, shared, ["digest"], "inner").select(single.columns))
 
 
 class _Reader:
@@ -178,16 +230,12 @@ def with_features(manifest: DataFrame, root: str) -> DataFrame:
     """Adds what is computed from the stored bytes: payload_bytes, payload_sha256, tail_crc32, media_bytes, media_sha256, feature."""
 
     def make():
-        reader, last = _Reader(root), {}
+        reader = _Reader(root)
 
         def values(key):
-            if key not in last:
-                if len(last) >= 4096:  # copies mostly stand close together; the rest is read again
-                    last.clear()
-                stored = reader.read(*key)
-                samples = from_png(stored)
-                last[key] = (len(samples), hashlib.sha256(samples).hexdigest(), zlib.crc32(samples[-64:]), len(stored), hashlib.sha256(stored).hexdigest(), feature(samples))
-            return last[key]
+            stored = reader.read(*key)
+            samples = from_png(stored)
+            return len(samples), hashlib.sha256(samples).hexdigest(), zlib.crc32(samples[-64:]), len(stored), hashlib.sha256(stored).hexdigest(), feature(samples)
 
         def step(batch):
             keys = zip(*(batch.column(c).to_pylist() for c in ("shard", "offset", "length")), strict=True)
@@ -201,15 +249,11 @@ def with_features(manifest: DataFrame, root: str) -> DataFrame:
 
 
 def media_table(docs: DataFrame, keep: list[str], text: str = "text", root: str | None = None) -> DataFrame:
-    """Stores every text and reads it back: the manifest with header and feature columns."""
+    """Stores every text and reads it back, each payload once: a manifest with header and feature columns."""
     root = root or new_path(docs.sparkSession, "media")
-    return with_features(with_headers(store(docs, root, keep, text), root), root)
-
-
-def addresses(manifest: DataFrame) -> DataFrame:
-    """digest, shard, offset, length, copies: one place of every payload, and how many rows share it."""
-    place = F.min(F.struct("shard", "offset", "length")).alias("place")
-    return manifest.groupBy("digest").agg(place, F.count(F.lit(1)).alias("copies")).select("digest", "place.*", "copies")
+    single, shared, repeated = store(docs, root, keep, text)
+    read = lambda addresses: with_features(with_headers(addresses, root), root)
+    return manifest_of(read(single), written(read(shared), "media-shared"), repeated)
 
 
 def members(shard: bytes) -> dict[str, bytes]:

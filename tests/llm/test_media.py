@@ -5,11 +5,13 @@ import struct
 import tarfile
 import zlib
 
+import pytest
 from hypothesis import given
 from hypothesis import strategies as st
 
-from marginalia.llm import media
+from marginalia.llm import common, media
 from marginalia.llm.common import new_path, open_fs
+from marginalia.llm.queries import op2_media
 
 from .helpers import docs_table, odd_rows
 
@@ -32,23 +34,31 @@ def test_a_full_block_is_not_padded():
     assert media.padded(b"x" * 64) == b"x" * 64 and media.padded(b"") == bytes(64)
 
 
+def shards_of(root):
+    """All files of all shards, by name; a name that stands there twice is an error."""
+    _, path = open_fs(root)
+    stored = {}
+    for name in os.listdir(path):
+        if name.endswith(".tar"):
+            with open(f"{path}/{name}", "rb") as f:
+                raw = f.read()
+            assert tarfile.is_tarfile(io.BytesIO(raw))
+            found = media.members(raw)
+            assert not found.keys() & stored.keys()
+            stored |= found
+    return stored
+
+
 def test_odd_rows(spark):
-    docs = docs_table(spark, odd_rows()).coalesce(1)
+    docs = docs_table(spark, odd_rows()).repartition(3)
     root = new_path(spark, "media-test")
     out = media.media_table(docs, ["doc_id", "source"], root=root)
     got = out.collect()
     assert len(got) == len(odd_rows())
     expected = sorted(hashlib.sha256(media.padded((t or "").encode())).hexdigest() for _, t, _, _ in odd_rows())
     assert sorted(r["payload_sha256"] for r in got) == expected
-    fs, path = open_fs(root)
-    stored = {}
-    for name in os.listdir(path):
-        if name.endswith(".tar"):
-            with open(f"{path}/{name}", "rb") as f:
-                raw = f.read()
-            stored |= media.members(raw)
-            assert tarfile.is_tarfile(io.BytesIO(raw))
-    assert len(stored) == len(set(expected))  # equal texts of one task are stored once
+    stored = shards_of(root)
+    assert sorted(stored) == sorted({f"{d}.png" for d in expected})  # equal texts of all tasks are stored once
     for r in got:
         body = stored[f"{r['digest']}.png"]
         samples = media.from_png(body)
@@ -60,19 +70,34 @@ def test_odd_rows(spark):
 def test_shards_roll_over(spark):
     docs = docs_table(spark, [(i, f"text {i}", "en", "a") for i in range(40)]).coalesce(1)
     root = new_path(spark, "media-test")
-    manifest = media.store(docs, root, ["doc_id"], shard_bytes=5000)
-    assert manifest.select("shard").distinct().count() > 3
-    assert {r["doc_id"] for r in media.with_features(manifest, root).where("payload_sha256 = digest").collect()} == set(range(40))
+    single, shared, repeated = media.store(docs, root, ["doc_id"], shard_bytes=5000)
+    assert single.select("shard").distinct().count() > 3 and shared.count() == repeated.count() == 0
+    assert {r["doc_id"] for r in media.with_features(single, root).where("payload_sha256 = digest").collect()} == set(range(40))
 
 
-def test_one_address_per_payload(spark):
-    docs = docs_table(spark, odd_rows()).repartition(3)
+@pytest.mark.parametrize("rows", [100_000, 0])
+def test_one_address_per_payload(spark, monkeypatch, rows):
+    monkeypatch.setattr(common, "BROADCAST_ROWS", rows)
+    docs = docs_table(spark, odd_rows() * 3).repartition(5)
     root = new_path(spark, "media-test")
-    manifest = media.store(docs, root, ["doc_id"])
-    found = media.addresses(manifest)
-    digests = [hashlib.sha256(media.padded((t or "").encode())).hexdigest() for _, t, _, _ in odd_rows()]
-    assert {r["digest"]: r["copies"] for r in found.collect()} == {d: digests.count(d) for d in digests}
-    assert media.with_features(found, root).where("payload_sha256 <> digest").count() == 0
+    got = media.manifest_of(*media.store(docs, root, ["doc_id"])).collect()
+    digests = [hashlib.sha256(media.padded((t or "").encode())).hexdigest() for _, t, _, _ in odd_rows() * 3]
+    assert sorted(r["digest"] for r in got) == sorted(digests)
+    assert len({(r["digest"], r["shard"], r["offset"]) for r in got}) == len(set(digests)) == len(shards_of(root))
+
+
+def test_query_equals_hashlib(spark):
+    d = "/root/testdata/sf0.01"
+    texts = {r["doc_id"]: (r["text"] or "").encode() for r in spark.read.parquet(f"{d}/documents.parquet").collect()}
+    got = op2_media(spark, d).collect()
+    assert sorted(r["doc_id"] for r in got) == sorted(texts)
+    for r in got:
+        raw = texts[r["doc_id"]]
+        samples = media.padded(raw)
+        png = media.to_png(samples)
+        assert (r["n_bytes"], r["payload_bytes"], r["payload_sha256"]) == (len(raw), len(samples), hashlib.sha256(samples).hexdigest())
+        assert (r["tail_crc32"], r["media_bytes"], r["media_sha256"]) == (zlib.crc32(samples[-64:]), len(png), hashlib.sha256(png).hexdigest())
+        assert r["feature"] == media.feature(samples)
 
 
 def test_empty(spark):
