@@ -38,13 +38,15 @@ def vectors(spark, rows):
     return spark.createDataFrame([(*r, "x", 1) for r in rows], "vec_id long, embedding array<float>, v string, leaf int")
 
 
-@pytest.mark.parametrize("part", [50_000, 7])
+@pytest.mark.parametrize("part", [1 << 20, 7 * 8 * 4])
 def test_all_leaves_are_exact_with_ties(spark, monkeypatch, part):
-    monkeypatch.setattr(ann, "PART", part)
+    monkeypatch.setattr(ann, "PART_BYTES", part)
+    monkeypatch.setattr(ann, "LEAF_ROWS", 20)
+    monkeypatch.setattr(ann, "share_for", lambda *_: 1e9)
     rng = np.random.default_rng(3)
     rows = [(i, [float(x) for x in rng.integers(-2, 3, 4)] if i % 3 else [1.0, 1.0, 0.0, 0.0]) for i in range(400)]
     rows = [(i, v) for i, v in rows if any(v)]
-    got = lists(ann.nearest(vectors(spark, rows), F.col("vec_id") % 20 == 0, k=7, share=1e9, leaves=16))
+    got = lists(ann.nearest(vectors(spark, rows), F.col("vec_id") % 20 == 0, k=7))
     ids = [i for i, _ in rows]
     want = exact(ids, np.array([v for _, v in rows]), [i for i in ids if i % 20 == 0], 7)
     assert {q: [r["vec_id"] for r in x] for q, x in got.items()} == want
@@ -72,3 +74,21 @@ def test_forest_leaves_and_search():
         order = forest.search(margins[i], sizes, 1e9)
         assert sorted(order) == list(range(48))
         assert set(order[:3]) == set(leaf[i].tolist())  # its own leaves come first
+
+
+def test_share_follows_the_vectors():
+    rng = np.random.default_rng(2)
+    middle = rng.normal(size=(60, 16)) * 4
+    clustered = middle[np.arange(6000) % 60] + rng.normal(size=(6000, 16)) * 0.3
+    forest, share = ann.fitted(clustered, 64, 20)
+    assert share < 0.1
+    leaf, queries = forest.leaf_of(clustered), range(0, 6000, 50)
+    sizes = np.bincount(leaf.ravel(), minlength=forest.n_leaves)
+    hit = []
+    for q in queries:
+        s = clustered @ clustered[q]
+        s[q] = -np.inf
+        visited = set(forest.search(forest.margins(clustered[q : q + 1])[0], sizes, share * len(clustered)))
+        hit += [bool(visited & set(leaf[i].tolist())) for i in np.argsort(-s)[:20]]
+    assert np.mean(hit) >= 0.9
+    assert ann.fitted(rng.normal(size=(3000, 16)), 16, 20)[1] > share  # without structure more rows are visited
