@@ -520,14 +520,28 @@ def family_links(members: DataFrame, packs: int) -> DataFrame:
     return _tiled(members, "family", "n", packs).groupBy("pack", "i", "j").applyInPandas(run, "a long, b long")
 
 
+def _sets(docs: DataFrame, owners: DataFrame, text: str, width: int) -> DataFrame:
+    """pid, hashes of the sets of one row each. owners: pid and key, a written table; docs: key and text."""
+
+    def make():
+        def step(batch):
+            sets = [shingle_set(t.as_py(), width) for t in batch.column(text)]
+            return {"pid": [set_name(s) for s in sets], "hashes": [s.view(np.int64) for s in sets]}
+
+        return step
+
+    rows = join_table(docs, owners.select("key"), ["key"], "left_semi", hot=False).select(text)
+    return map_rows(rows, with_fields(rows, [], "pid long, hashes array<long>"), make).dropDuplicates(["pid"])
+
+
 def jaccard_links(docs: DataFrame, points: DataFrame, text: str, width: int) -> DataFrame:
     """a, b: links between sets (named by pid) with the components that all pairs with a similarity of at least NEAR make.
 
-    Two such sets have one of their first shingles in common. First each set meets one pivot: the first one in the lists of its
-    shared shingles by how many others share shingles with it, as the origin of many copies does. Lists whose sets
+    Two such sets have one of their first shingles in common. The pivot of a shingle's list is the set with which most others share
+    shingles, as with the origin of many copies; first each set meets one pivot, the one that most of its lists have. Lists whose sets
     are all linked then drop out. Sets of the other lists that may be similar by their fingerprints make families, and
     within these the pairs that are not connected yet are compared. Every link is confirmed on the sets themselves, and only spanning
-    stars leave a task, never pairs. docs: text and key; points: pid and the key of one row with it.
+    stars leave a task, never pairs. docs: text and key; points: pid, size, sketch and the key of one row with it.
     """
     hot = frequent_shingles(docs, text, width)
     tokens = lambda: prefix_tokens(docs, hot, text, width)  # noqa: E731  made twice from the texts, which takes less than storing them
@@ -537,36 +551,33 @@ def jaccard_links(docs: DataFrame, points: DataFrame, text: str, width: int) ->
     met = written(tokens().join(F.broadcast(shared) if few else shared, "token").distinct(), "simhash-met")
     discard(shared)
     fame = written(met.groupBy("pid").agg(F.sum("n").alias("fame")), "simhash-fame")
-    wanted = written(fame.join(points, "pid").select("key"), "simhash-wanted")
-
-    def make():
-        def step(batch):
-            sets = [shingle_set(t.as_py(), width) for t in batch.column(text)]
-            return {"pid": [set_name(s) for s in sets], "size": [len(s) for s in sets], "hashes": [s.view(np.int64) for s in sets], "sketch": [set_sketch(s) for s in sets]}
-
-        return step
-
-    owners = join_table(docs, wanted, ["key"], "left_semi", hot=False)
-    sets = map_rows(owners.select(text), with_fields(docs, [], "pid long, size long, hashes array<long>, sketch array<long>"), make)
-    sets = written(sets.dropDuplicates(["pid"]), "simhash-sets")
-    of_set = written(sets.select("pid", "size").join(fame, "pid"), "simhash-sizes")
-    ranked = join_table(met, of_set, ["pid"], "inner", hot=False)
+    of_set = written(fame.join(points.select("pid", "size", "sketch"), "pid"), "simhash-sizes")
+    owner = points.select("pid", "key")
+    ranked = join_table(met, of_set.select("pid", "size", "fame"), ["pid"], "inner", hot=False)
     order = F.struct((-F.col("fame")).alias("h"), F.col("pid").alias("a"), F.col("size").alias("size_a"))
     pivots = ranked.groupBy("token").agg(F.min(order).alias("p"), F.max("n").alias("size_of")).select("token", "size_of", "p.*")
     both = _by_token(ranked, written(pivots, "simhash-pivots"))
     fits = (F.col("pid") != F.col("a")) & (F.least("size", "size_a") * NEAR[1] >= F.greatest("size", "size_a") * NEAR[0])
-    pairs = both.where(fits).groupBy(F.col("pid").alias("b")).agg(F.min(F.struct("h", "a")).alias("p"))
-    first = written(_confirmed(written(pairs.select("p.a", "b"), "simhash-pairs"), sets), "simhash-links")
+    shared_with = both.where(fits).groupBy(F.col("pid").alias("b"), "a").agg(F.count(F.lit(1)).alias("c"))
+    pairs = shared_with.groupBy("b").agg(F.max(F.struct("c", "a")).alias("p")).select("p.a", "b")
+    sketch = lambda name: of_set.select(F.col("pid").alias(name), F.col("sketch").alias(f"of_{name}"))
+    differ = sum((F.bit_count(F.get("of_a", F.lit(i)).bitwiseXOR(F.get("of_b", F.lit(i)))) for i in range(WORDS)), F.lit(0))
+    pairs = written(pairs.join(sketch("b"), "b").join(sketch("a"), "a").where(differ <= FAR).select("a", "b"), "simhash-pairs")
+    asked = written(pairs.select(F.explode(F.array("a", "b")).alias("pid")).distinct().join(owner, "pid"), "simhash-asked")
+    sets = written(_sets(docs, asked, text, width), "simhash-sets")
+    first = written(_confirmed(pairs, sets), "simhash-links")
+    discard(sets)
     roots = written(components(first).withColumnRenamed("node", "pid"), "simhash-turn")
     now = written(join_table(met, roots, ["pid"], hot=False).withColumn("root", F.coalesce("root", "pid")), "simhash-lists")
     discard(met)
     mixed = now.groupBy("token").agg(F.min("root").alias("lo"), F.max("root").alias("hi"), F.max("n").alias("size_of")).where("lo < hi").select("token", "size_of")
     left = _by_token(now, written(mixed, "simhash-mixed")).drop("size_of")
-    left = join_table(left, written(sets.select("pid", "size", "sketch"), "simhash-sketches"), ["pid"], "inner", hot=False)
+    left = join_table(left, of_set.select("pid", "size", "sketch"), ["pid"], "inner", hot=False)
     near = written(families(left, now.count() // LIST_ROWS + 1), "simhash-near")
     family = written(components(near).select(F.col("node").alias("pid"), F.col("root").alias("family")), "simhash-families")
     counts = written(family.groupBy("family").agg(F.count(F.lit(1)).alias("n")), "simhash-counts")
-    members = join_table(family.join(sets, "pid"), roots, ["pid"], hot=False).withColumn("root", F.coalesce("root", "pid"))
+    members = _sets(docs, written(family.join(owner, "pid"), "simhash-asked"), text, width)
+    members = join_table(members.join(family, "pid").join(of_set.select("pid", "size", "sketch"), "pid"), roots, ["pid"], hot=False).withColumn("root", F.coalesce("root", "pid"))
     second = family_links(join_table(members, counts, ["family"], "inner"), family.count() // FAMILY_ROWS + 1)
     return written(first.unionByName(second), "simhash-links")
 
@@ -583,13 +594,17 @@ def keep_one(docs: DataFrame, text: str = "text", **options) -> DataFrame:
     key = F.unhex(F.md5(F.concat_ws(":", F.coalesce(F.col("doc_id").cast("string"), F.lit("null")), F.coalesce(F.col(text), F.lit("")))))
 
     def make():
-        return lambda batch: {"pid": [set_name(shingle_set(t.as_py(), width)) for t in batch.column("text")]}
+        def step(batch):
+            sets = [shingle_set(t.as_py(), width) for t in batch.column("text")]
+            return {"pid": [set_name(s) for s in sets], "size": [len(s) for s in sets], "sketch": [set_sketch(s) for s in sets]}
+
+        return step
 
     keyed = docs.select("doc_id", key.alias("key"), F.md5(F.coalesce(F.col(text), F.lit(""))).alias("digest"), F.col(text).alias("text"))
-    rows = written(map_rows(keyed, with_fields(keyed, ["doc_id", "key", "digest"], "pid long"), make), "simhash-rows")
+    rows = written(map_rows(keyed, with_fields(keyed, ["doc_id", "key", "digest"], "pid long, size long, sketch array<long>"), make), "simhash-rows")
     first = F.struct(F.col("doc_id").isNull().alias("null_id"), "doc_id", "digest", "key")
-    points = written(rows.groupBy("pid").agg(F.min(first).alias("first")), "simhash-points")
-    links_found = jaccard_links(keyed.select("key", "text"), points.select("pid", "first.key"), "text", width)
+    points = written(rows.groupBy("pid").agg(F.min(first).alias("first"), F.first("size").alias("size"), F.first("sketch").alias("sketch")), "simhash-points")
+    links_found = jaccard_links(keyed.select("key", "text"), points.select("pid", "size", "sketch", "first.key"), "text", width)
     rooted = written(_with_roots(points, links_found, "pid"), "simhash-rooted")
     kept = rooted.groupBy("root").agg(F.min("first").alias("first")).select(F.col("first.key").alias("key"), F.lit(True).alias("kept"))
     counted = rows.groupBy("key").agg(F.count(F.lit(1)).alias("copies"))
