@@ -1,6 +1,6 @@
 """Mixing sources to target weights, with DataFrame functions only.
 
-Each row has a 40-bit key, a hash of its id. A source with ``size`` words and a target
+Each row has a 40-bit key, a hash of its id and text. A source with ``size`` words and a target
 of ``whole * size + rest`` words takes each row ``whole`` times, and the rows with keys
 below a threshold once more. The threshold comes from nested histograms: words by source
 and the first 10 bits of the key show in which bucket the running sum passes ``rest``;
@@ -9,9 +9,9 @@ are sorted and none are collected: a level shuffles at most 1,024 sums per sourc
 task, as partial sums come first.
 
 Nulls and ties: a null text has size 0, a null source is a source of its own (last), a
-null id has the key of an empty string. Repeated rows with the same id have the same key
+null id or text counts as an empty string in the key. Repeated rows with the same id and text have the same key
 and so share their fate; the last cell is taken if that brings the source nearer to its
-target. An empty table gives an empty result. Columns named like the results (``size``,
+target. Words of texts of any length are counted in the JVM. An empty table gives an empty result. Columns named like the results (``size``,
 ``source_size``, ``target``, ``taken``) are replaced.
 """
 
@@ -33,8 +33,8 @@ def words(text: str = "text") -> Column:
     return F.coalesce(F.regexp_count(F.col(text), F.lit(WORD)), F.lit(0)).cast("long")
 
 
-def key_of(doc_id: str = "doc_id") -> Column:
-    digest = F.md5(F.coalesce(F.col(doc_id).cast("string"), F.lit("")))
+def key_of(doc_id: str = "doc_id", text: str = "text") -> Column:
+    digest = F.md5(F.concat_ws(":", F.coalesce(F.col(doc_id).cast("string"), F.lit("")), F.coalesce(text, F.lit(""))))
     return F.conv(F.substring(digest, 1, KEY_BITS // 4), 16, 10).cast("long")
 
 
@@ -119,7 +119,7 @@ def mix(docs: DataFrame, **options) -> DataFrame:
 SQL = r"""
 WITH sized AS (
   SELECT doc_id, source, len(regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+'))::BIGINT AS size,
-         ('0x' || substr(md5(coalesce(doc_id::VARCHAR, '')), 1, 10))::BIGINT AS key
+         ('0x' || substr(md5(coalesce(doc_id::VARCHAR, '') || ':' || coalesce(text, '')), 1, 10))::BIGINT AS key
   FROM documents),
 by_source AS (SELECT source, sum(size)::BIGINT AS source_size FROM sized GROUP BY source),
 ranked AS (
