@@ -16,7 +16,8 @@ normaliser's flags. Supported are BPE models with identity normalisation and byt
 others are refused.
 
 Nulls and ties: a null text is an empty one, which has the end id only. Texts of any length
-are encoded whole. Rows may repeat; ids may be null. Empty tables give empty results.
+are encoded whole. Rows may repeat; ids may be null. Columns besides the text may have any names; kept ones must not have those of
+the result. Empty tables give empty results.
 """
 
 from __future__ import annotations

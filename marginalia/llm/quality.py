@@ -8,15 +8,17 @@ contexts' weights and one with the next lower order, both sharded by n-gram. The
 log probabilities and back-off weights, written in shards by the character before the last
 one, since all that a position needs lies in the shard of its previous character.
 
-Scoring reads the documents once. Tasks hold the shards they have read, up to HELD_BYTES, and
-else read them again for each batch, so memory is bounded for any model. A document's
+Scoring reads the documents once. Tasks hold the shards they have read, up to HELD_BYTES, ask those first, and
+read the others again for each slice of texts, so memory is bounded for any model. It is no join of the documents' n-grams
+with the model: that would shuffle some 1,900 rows per document (README). A document's
 perplexity is exp of the mean negative log probability of its characters. A document is
 kept if that is at most the threshold of its language: the QUANTILE quantile of the held-back
 trusted texts in it, times SLACK; languages with fewer than LEAST of them share the quantile of all.
 
 Nulls and ties: a null text is an empty one; empty texts have no perplexity and are not kept. A
 null language is a language of its own. Repeated labels count once, repeated rows as often as they
-stand there. Without trusted texts nothing has a perplexity. Empty tables give empty results.
+stand there. Very long texts are counted and scored whole, in blocks. Columns besides doc_id, text and lang may have any names.
+Without trusted texts nothing has a perplexity. Empty tables give empty results.
 """
 
 from __future__ import annotations
@@ -236,7 +238,7 @@ class Reader:
                 keys[n] = hashes(points, n)
             return keys[n]
 
-        for i in range(self.info["shards"]):
+        for i in sorted(range(self.info["shards"]), key=lambda i: i not in self.held):
             own = np.flatnonzero(previous == i) if self.info["shards"] > 1 else np.arange(len(at))
             grams, contexts = self.shard(i)
             backed = np.zeros(len(own))

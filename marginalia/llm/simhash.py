@@ -23,7 +23,8 @@ before they are shuffled.
 
 Nulls and ties: a null text is an empty one; rows with equal texts share a fingerprint,
 which enters the search once. A null doc_id takes part in linking, but never is a component
-id unless all ids of the component are null. Empty tables give empty results.
+id unless all ids of the component are null. Very long texts are hashed whole, in blocks of shingles. Columns besides doc_id and
+text may have any names; those that begin with two underscores are the stage's own. Empty tables give empty results.
 """
 
 from __future__ import annotations

@@ -112,6 +112,17 @@ def test_odd_rows(spark):
     assert quality.classify(docs_table(spark, []), trusted).count() == 0
 
 
+def test_query_equals_plain_recursion(spark, sf_dir):
+    texts = {r["doc_id"]: r["text"] or "" for r in spark.read.parquet(f"{sf_dir}/documents.parquet").collect()}
+    good = spark.read.parquet(f"{sf_dir}/labels.parquet").where("quality = 1").select("doc_id").distinct()
+    train = [r["doc_id"] for r in good.where(~quality.held_back()).collect()]
+    plain = plain_model([texts[i] for i in train if i in texts])
+    got = op9_quality(spark, sf_dir).collect()
+    assert got
+    for r in got[::5]:
+        assert r["perplexity"] == pytest.approx(plain(texts[r["doc_id"]]), rel=1e-9) and r["perplexity"] <= r["threshold"]
+
+
 def test_query_keeps_good_documents(spark):
     d = "/root/testdata/sf0.01"
     kept = {r["doc_id"] for r in op9_quality(spark, d).collect()}
