@@ -34,7 +34,7 @@ from .common import hold, map_rows, with_fields
 
 SPACE, NEVER = "▁", float("-inf")
 #: Parts of a generation, and pairs of pieces, that a worker keeps. An entry takes some 200 bytes.
-CACHE, FITS = 400_000, 200_000
+CACHE, FITS = 120_000, 50_000
 #: Fixed values of the model format: types of pieces.
 NORMAL, UNKNOWN, CONTROL, USER, UNUSED, BYTE = 1, 2, 3, 4, 5, 6
 

@@ -51,14 +51,13 @@ PART = 100_000
 AT_ONCE = 1 << 16
 
 
-def shingle_hashes(text: str, width: int) -> list[int]:
+def shingle_hashes(text: str, width: int) -> np.ndarray:
     w = text.encode("utf-8", "replace").lower().split()  # bytes: A-Z and the six ASCII spaces only
-    if not w:
-        return []
     digest, join = xxhash.xxh64_intdigest, b" ".join
-    if len(w) <= width:
-        return [digest(join(w), SEED)]
-    return [digest(join(w[i : i + width]), SEED) for i in range(len(w) - width + 1)]
+    out = np.empty(max(1, len(w) - width + 1) if w else 0, np.uint64)
+    for at in range(0, len(out), AT_ONCE):
+        out[at : at + AT_ONCE] = [digest(join(w[i : i + width]), SEED) for i in range(at, min(at + AT_ONCE, len(out)))]
+    return out
 
 
 def _remix(h: np.ndarray, n: int) -> np.ndarray:
@@ -82,11 +81,9 @@ def _bit_counts(h: np.ndarray) -> np.ndarray:
 
 def fingerprint(text: str | None, width: int = 3, n_words: int = 1) -> list[int]:
     """n_words times 64 bits, as signed integers; the first is the fingerprint, the others a finer sketch."""
-    found = shingle_hashes(text or "", width)
-    if not found:
+    h, out = shingle_hashes(text or "", width), []
+    if not len(h):
         return [0] * n_words
-    h = np.array(found, np.uint64)
-    out = []
     for n in range(n_words):
         bits = _bit_counts(_remix(h, n) if n else h) * 2 > len(h)
         out.append(int(np.packbits(bits).view(">i8")[0]))
@@ -339,7 +336,7 @@ LIST_ROWS, FAMILY_ROWS = 20_000, 1_000
 
 
 def shingle_set(text: str | None, width: int) -> np.ndarray:
-    return np.unique(np.array(shingle_hashes(text or "", width), np.uint64))
+    return np.unique(shingle_hashes(text or "", width))
 
 
 def set_name(s: np.ndarray) -> int:
