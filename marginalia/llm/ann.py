@@ -1,7 +1,8 @@
 """Nearest neighbours by a forest of random-projection trees.
 
 Each tree splits a bounded sample (about FIT_ROWS vectors, by a hash of their id) at the
-median of its projection on the difference of two random members, down to a number of leaves that grows with the table.
+median of its projection on the difference of two random members, down to LEAVES leaves (fewer for a small sample), so the
+leaves that a query visits don't grow in number with the table.
 Every vector is indexed: it goes to one leaf of each tree. A query searches all trees
 through one priority queue, ordered by the largest distance to a split plane on the way,
 until the leaves it has taken hold ``share`` of the rows of one tree. Queries and vectors
@@ -11,8 +12,7 @@ many as there are trees, give each query a bound, its k-th best score there; wha
 leaves hold must reach it. So the number of candidates per query doesn't grow with the
 rows. The final rank is over all candidates of a query.
 
-The share, and the number of trees, are those that find RECALL of the true neighbours of sampled queries in the sample with the
-fewest rows visited. Embeddings without structure need a large share, clustered ones a few percent. Leaves and their queries
+The share is the least that finds RECALL of the true neighbours of sampled queries within the sample. Embeddings without structure need a large share, clustered ones a few percent. Leaves and their queries
 are cut into parts of bounded bytes. Queries never are broadcast.
 
 Nulls and ties: vectors that are null, zero, or hold null or non-finite components take no part; so do null ids, and vectors of
@@ -33,9 +33,7 @@ from pyspark.sql import functions as F
 
 from .common import written
 
-FIT_ROWS, TREES, LEAVES = 16_384, (2, 4, 8), 2_048
-#: A leaf has so many rows at least, if the table isn't smaller.
-LEAF_ROWS = 200
+FIT_ROWS, TREES, LEAVES = 16_384, 4, 256
 #: The share of true neighbours that a search of the sample must find, and sampled queries.
 RECALL, TRIALS = 0.96, 300
 #: Queries that one task searches the trees for.
@@ -108,10 +106,9 @@ def share_for(forest: Forest, sample: np.ndarray, k: int, recall: float) -> floa
 
 
 def fitted(sample: np.ndarray, leaves: int, k: int, recall: float = RECALL) -> tuple[Forest, float]:
-    """The forest of TREES trees that visits the fewest rows for the recall, and the share of them."""
-    tried = [(share_for(f, sample, k, recall), n, f) for n, f in ((n, grow(sample, n, leaves)) for n in TREES)]
-    share, _, forest = min(tried, key=lambda x: x[:2])
-    return forest, share
+    """The forest, and the share of rows that a search visits."""
+    forest = grow(sample, TREES, leaves)
+    return forest, share_for(forest, sample, k, recall)
 
 
 def grow(sample: np.ndarray, trees: int, leaves: int, seed: int = 5) -> Forest:
@@ -179,14 +176,14 @@ def nearest(vectors: DataFrame, is_query: Column, k: int = 20, vec_id: str = "ve
     clean = vectors.where(usable(embedding) & F.col(vec_id).isNotNull()).select(F.col(vec_id).cast("long").alias("vec_id"), F.col(embedding).alias("v"), is_query.alias("is_query"))
     if clean.count() > clean.select("vec_id").distinct().count():
         clean = written(clean.groupBy("vec_id").agg(F.max("v").alias("v"), F.max("is_query").alias("is_query")), "ann-rows")
-    n, sample = _sample(clean)
+    sample = _sample(clean)
     if not len(sample):
         return spark.createDataFrame([], "query_id long, rank int, vec_id long, score double")
     dim = int(sample["v"].map(len).mode()[0])
     clean = clean.where(F.size("v") == dim)
     held = _matrix(sample[sample["v"].map(len) == dim]["v"])
     leaves = LEAVES
-    while leaves > 1 and n < leaves * LEAF_ROWS:
+    while leaves > 1 and len(held) < (k + 1) * leaves:  # a leaf has the wanted rows and the query itself
         leaves //= 2
     forest, share = fitted(held, leaves, k, recall)
     trees = len(forest.roots)
@@ -275,10 +272,10 @@ def _parts(sizes: np.ndarray, probes: DataFrame, dim: int) -> list[tuple[int, in
     return out
 
 
-def _sample(clean: DataFrame) -> tuple[int, pd.DataFrame]:
-    """Number of rows, and about FIT_ROWS vectors by hash of their id, all if there are fewer."""
+def _sample(clean: DataFrame) -> pd.DataFrame:
+    """About FIT_ROWS vectors by hash of their id, all if there are fewer."""
     n = clean.count()
     few = clean.select("vec_id", "v")
     if n > FIT_ROWS:
         few = few.where(F.pmod(F.xxhash64("vec_id"), F.lit(1 << 30)) < int(FIT_ROWS / n * (1 << 30)))
-    return n, few.limit(2 * FIT_ROWS).toPandas().sort_values("vec_id").drop_duplicates("vec_id")
+    return few.limit(2 * FIT_ROWS).toPandas().sort_values("vec_id").drop_duplicates("vec_id")

@@ -41,7 +41,7 @@ def vectors(spark, rows):
 @pytest.mark.parametrize("part", [1 << 20, 7 * 8 * 4])
 def test_all_leaves_are_exact_with_ties(spark, monkeypatch, part):
     monkeypatch.setattr(ann, "PART_BYTES", part)
-    monkeypatch.setattr(ann, "LEAF_ROWS", 20)
+    monkeypatch.setattr(ann, "LEAVES", 16)
     monkeypatch.setattr(ann, "share_for", lambda *_: 1e9)
     rng = np.random.default_rng(3)
     rows = [(i, [float(x) for x in rng.integers(-2, 3, 4)] if i % 3 else [1.0, 1.0, 0.0, 0.0]) for i in range(400)]
