@@ -100,3 +100,8 @@ def map_rows(df: DataFrame, schema: StructType, make: Callable[[], Callable[[pa.
 def with_fields(df: DataFrame, keep: list[str], extra: str) -> StructType:
     """Schema of kept columns of df and further ones in DDL."""
     return StructType([df.schema[k] for k in keep] + StructType.fromDDL(extra).fields)
+
+
+def let(value: Column, then: Callable[[Column], Column]) -> Column:
+    """then(value), with the value computed once however often it is used, in other lambdas too."""
+    return F.get(F.transform(F.array(value), then), F.lit(0))

@@ -1,11 +1,11 @@
-"""The ten operators over their whole tables, with production parameters, and the SQL of those that SQL can express."""
+"""The operators over their whole tables, with production parameters, and the SQL of those that SQL can express."""
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import ann, chat, media, mixing, pieces, quality, secret_scan, simhash, toxicity, urls
+from . import ann, chat, licenses, media, mixing, pieces, quality, repair, runs, secret_scan, simhash, toxicity, urls
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -75,7 +75,27 @@ def op10_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", n("assign").alias("n_assign"), n("access").alias("n_access"), n("hex").alias("n_hex"), F.sha2(F.array_join(F.transform(base, said), ","), 256).alias("base_sha256"), F.array_join(F.transform("spans", said), ",").alias("spans"))
 
 
-QUERIES = {f.__name__: f for f in (op1_mixing, op2_media, op3_simhash, op4_sentencepiece, op5_toxicity, op6_urls, op7_chat, op8_ann, op9_quality, op10_secrets)}
+def op11_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", runs.wrapped(F.coalesce("text", F.lit("")), F.col("doc_id")).alias("text"))
+    found = runs.periodic_runs(docs, ["doc_id"], shortest=12)
+    best = F.array_max(F.transform("runs", lambda r: F.struct(r["length"].alias("length"), (-r["start"]).alias("back"), (-r["period"]).alias("short"))))
+    lines = F.array_join(F.transform("runs", lambda r: F.concat_ws(",", r["start"].cast("string"), r["length"].cast("string"), r["period"].cast("string"))), "\n")
+    said = F.when(F.size("runs") > 0, F.concat(lines, F.lit("\n"))).otherwise("")
+    out = found.select("doc_id", F.size("runs").cast("long").alias("n_runs"), best.alias("best"), F.sha2(said, 256).alias("runs_sha256"), F.sha2("collapsed", 256).alias("collapsed_sha256"), "n_words")
+    milli = F.expr("1000 * best.length div -best.short")
+    return out.select("doc_id", "n_runs", (-F.col("best.back")).alias("start"), F.col("best.length").alias("length"), (-F.col("best.short")).alias("period"), milli.alias("exponent_milli"), "runs_sha256", "collapsed_sha256", "n_words")
+
+
+def op12_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return repair.report(repair.repaired(repair.damaged(table(spark, sf_dir, "conversations"))))
+
+
+def op13_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = licenses.scan(table(spark, sf_dir, "documents"), ["doc_id"])
+    return licenses.summary(found, ["doc_id"])
+
+
+QUERIES = {f.__name__: f for f in (op1_mixing, op2_media, op3_simhash, op4_sentencepiece, op5_toxicity, op6_urls, op7_chat, op8_ann, op9_quality, op10_secrets, op11_runs, op12_repair, op13_licenses)}
 
 #: What stands in the formatted text besides roles and texts: marks and escapes.
 _ESCAPES = r"len(regexp_extract_all({0}, '\\|<s>|</s>|\[INST\]|\[/INST\]|<<SYS>>|<</SYS>>'))"
@@ -96,4 +116,6 @@ FROM turns GROUP BY conv_id
 ORACLE_SQL = {
     "op1_mixing": mixing.SQL,
     "op7_chat": CHAT_SQL,
+    "op12_repair": repair.SQL,
+    "op13_licenses": licenses.SQL,
 }
