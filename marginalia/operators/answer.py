@@ -9,7 +9,10 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import StringType
 
+from ..config import Config
 from ..functions.text import first_sentence, word_count
+from .embed import embed_query
+from .index import knn_stored, payloads
 
 UNKNOWN = "unknown"
 INSTRUCTION = "Answer from the documents below only. Say so if they do not hold the answer, and name the documents you used."
@@ -71,6 +74,16 @@ def run_queries(questions: DataFrame, hits: DataFrame, make_model: Callable | No
     return answered.select("query_id", "query", "retrieved_docs", "context", "answer")
 
 
+def answer_from(questions: DataFrame, config: Config = Config(), make_embedder: Callable | None = None, make_model: Callable | None = None) -> DataFrame:
+    """As run_queries, from a collection that setup_index() stored: its documents are neither read, chunked nor embedded.
+
+    Questions are embedded, meet the collection's points (by its inverted file, if it has one), and payloads are read of the hits alone.
+    """
+    name = config.collection.name
+    hits = knn_stored(embed_query(questions, config.embed, make_embedder), name, config.search.top_k, config.search.nprobe)
+    return run_queries(questions, payloads(questions.sparkSession, name, hits), make_model)
+
+
 def report_preview(hits: DataFrame, width: int = 200) -> DataFrame:
     """query_id, rank, source, score with 4 decimals, preview of the text."""
     preview = F.concat(F.substring("text", 1, width), F.lit("..."))

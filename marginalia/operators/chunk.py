@@ -1,9 +1,11 @@
-"""Chunks of documents. A chunk keeps its document's id and source; chunk_idx counts from 0."""
+"""Chunks of documents. A chunk keeps its document's id, source and other columns; chunk_idx counts from 0."""
 
 from __future__ import annotations
 
+from bisect import bisect_left, bisect_right
 from collections.abc import Iterator, Sequence
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -13,7 +15,7 @@ from ..functions.text import stripped, tokens
 
 
 def _exploded(docs: DataFrame, pieces) -> DataFrame:
-    return docs.select("doc_id", "source", F.posexplode(pieces).alias("chunk_idx", "text"))
+    return docs.select(*[c for c in docs.columns if c != "text"], F.posexplode(pieces).alias("chunk_idx", "text"))
 
 
 def chunk_window(docs: DataFrame, config: ChunkConfig = ChunkConfig()) -> DataFrame:
@@ -24,47 +26,84 @@ def chunk_window(docs: DataFrame, config: ChunkConfig = ChunkConfig()) -> DataFr
     return _exploded(docs.where("text is not null"), F.filter(windows, lambda t: t != ""))
 
 
-def _pieces(text: str, separator: str) -> list[str]:
-    """Pieces with the separator in front of those that follow one."""
-    if not separator:
-        return list(text)
-    first, *rest = text.split(separator)
-    return [p for p in (first, *(separator + r for r in rest)) if p]
-
-
-class _Window:
-    """Pieces that will make the next chunk."""
-
-    def __init__(self, config: ChunkConfig):
-        self.config, self.held, self.size = config, [], 0
-
-    def emit(self) -> Iterator[str]:
-        if chunk := "".join(self.held).strip():
-            yield chunk
-
-    def add(self, piece: str) -> Iterator[str]:
-        if self.held and self.size + len(piece) > self.config.size:
-            yield from self.emit()
-            while self.held and (self.size > self.config.overlap or self.size + len(piece) > self.config.size):
-                self.size -= len(self.held.pop(0))
-        self.held.append(piece)
-        self.size += len(piece)
-
-
-def split_recursive(text: str, config: ChunkConfig = ChunkConfig(), separators: Sequence[str] | None = None) -> list[str]:
-    """Chunks of one text: the first separator that occurs cuts it, pieces that are too long are
-    cut again by the later ones, and short neighbours are merged with an overlap."""
-    separators = config.separators if separators is None else separators
-    at = next((i for i, s in enumerate(separators) if not s or s in text), len(separators) - 1)
-    later, out, window = separators[at + 1 :], [], _Window(config)
-    for piece in _pieces(text, separators[at]):
-        if len(piece) < config.size:
-            out += window.add(piece)
-            continue
-        out += window.emit()
-        window = _Window(config)
-        out += split_recursive(piece, config, later) if later else [piece]
-    return [*out, *window.emit()]
+def _occurrences(points: np.ndarray, separator: str, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
+    """Where a separator begins within one of the segments, leftmost first and without overlap."""
+    n, found = len(separator), np.arange(max(0, len(points) - len(separator) + 1))
+    for i, c in enumerate(separator):
+        found = found[points[found + i] == ord(c)]
+    own = np.searchsorted(starts, found, "right") - 1
+    found = found[(own >= 0) & (found + n <= ends[own])]
+    if n > 1 and (np.diff(found) < n).any():
+        kept, free = [], 0
+        for p in found.tolist():
+            if p >= free:
+                kept.append(p)
+                free = p + n
+        found = np.array(kept, np.int64)
+    return found
+
+
+def _windows(at: list[int], config: ChunkConfig) -> Iterator[tuple[int, int]]:
+    """Merges pieces that lie between neighbours of ``at``: as many as fit a chunk, then again from the first piece that the overlap and the next piece leave room for."""
+    i, last = 0, len(at) - 1
+    while True:
+        j = max(bisect_right(at, at[i] + config.size) - 1, i + 1)
+        yield at[i], at[j]
+        if j == last:
+            return
+        i = bisect_left(at, max(at[j] - config.overlap, at[j + 1] - config.size), i, j)
+
+
+def split_batch(texts: Sequence[str], config: ChunkConfig = ChunkConfig()) -> list[list[str]]:
+    """Chunks of each text: the first separator that occurs cuts it, pieces that are too long are cut again by the later
+    ones, and short neighbours are merged with an overlap.
+
+    All texts are one sequence of characters. A separator's places are found in all of it at once; segments that are
+    still too long go on to the next separator. Pieces are offsets, and only chunks become strings.
+    """
+    joined = "".join(texts)
+    points = np.frombuffer(joined.encode("utf-32-le", "surrogatepass"), np.uint32)
+    limits = np.concatenate([[0], np.cumsum([len(t) for t in texts], dtype=np.int64)])
+    starts, ends = limits[:-1], limits[1:]
+    starts, ends = starts[ends > starts], ends[ends > starts]
+    chunks: list[tuple[int, int, bool]] = []  # start, end, and whether it is stripped
+    add = lambda a, b, strip: chunks.extend(zip(a.tolist(), b.tolist(), [strip] * len(a), strict=True))
+    for level, separator in enumerate(config.separators):
+        short = ends - starts < config.size
+        add(starts[short], ends[short], True)  # whatever it is cut into fits one chunk again
+        starts, ends = starts[~short], ends[~short]
+        if not len(starts):
+            break
+        cuts = _occurrences(points, separator, starts, ends) if separator else np.concatenate([np.empty(0, np.int64), *map(np.arange, starts, ends)])
+        cut = np.zeros(len(starts), bool)
+        cut[np.searchsorted(starts, cuts, "right") - 1] = True
+        first = np.unique(np.concatenate([starts[cut], cuts]))
+        own = np.searchsorted(starts, first, "right") - 1
+        same = own[1:] == own[:-1]
+        end = np.append(np.where(same, first[1:], ends[own[:-1]]), ends[own[-1:]])
+        long = end - first >= config.size
+        joins = np.append(False, same & ~long[1:] & ~long[:-1])  # to the piece before
+        begin = np.flatnonzero(~joins & ~long)
+        stop = np.append(np.flatnonzero(~joins), len(first))
+        stop = stop[np.searchsorted(stop, begin, "right")]  # behind the group's last piece
+        fits = end[stop - 1] - first[begin] <= config.size
+        add(first[begin[fits]], end[stop[fits] - 1], True)
+        for a, b in zip(begin[~fits].tolist(), stop[~fits].tolist(), strict=True):
+            chunks.extend((x, y, True) for x, y in _windows([*first[a:b].tolist(), int(end[b - 1])], config))
+        starts, ends = (np.sort(np.concatenate(x)) for x in ((starts[~cut], first[long]), (ends[~cut], end[long])))
+    add(starts, ends, False)  # no separator is left
+    out: list[list[str]] = [[] for _ in texts]
+    chunks.sort()
+    owner = np.searchsorted(limits, np.array([a for a, _, _ in chunks], np.int64), "right") - 1
+    for (a, b, strip), text in zip(chunks, owner.tolist(), strict=True):
+        if chunk := joined[a:b].strip() if strip else joined[a:b]:
+            out[text].append(chunk)
+    return out
+
+
+def split_recursive(text: str, config: ChunkConfig = ChunkConfig()) -> list[str]:
+    """Chunks of one text."""
+    return split_batch([text], config)[0]
 
 
 def chunk_recursive(docs: DataFrame, config: ChunkConfig = ChunkConfig()) -> DataFrame:
@@ -72,7 +111,7 @@ def chunk_recursive(docs: DataFrame, config: ChunkConfig = ChunkConfig()) -> Dat
 
     @F.pandas_udf("array<string>")
     def split(texts: pd.Series) -> pd.Series:
-        return texts.map(lambda t: split_recursive(t, config))
+        return pd.Series(split_batch(texts.tolist(), config), index=texts.index, dtype=object)
 
     return _exploded(docs.where("text is not null"), split("text"))
 

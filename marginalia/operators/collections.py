@@ -1,115 +1,206 @@
-"""Collections: catalog tables of points that remember dimension and distance.
+"""Collections of points in versions behind one pointer.
 
-A collection is stored in partitions of ``part_ids`` consecutive ids. An upsert first writes the partitions
-that it touches to a table ``<name>__staged``, which stands in the catalog only when it is whole, and
-then puts them in place. If that is broken off, the next call of write_points() does it again from the
-staged table before anything else, so at each moment one of the two tables has every point.
+A collection is a view of the catalog. Its folder, beside the tables of the database, holds
+
+- ``points/version=v/part=p``: the points of one partition (``part_ids`` consecutive ids) as one write left them,
+- ``manifests/c``: which version of each partition is live, a row per partition,
+- ``index/i``: an inverted file, see ``index``.
+
+A write makes a version of the partitions that it touches and a manifest, both under names that
+nothing refers to, and then replaces the view, which names the manifest: that is the one step that readers
+see. A write that breaks off anywhere leaves the old state and some files without a reference, which the
+next write removes. Versions that a manifest before the last one named are removed too, so a reader that
+began before a write can end. One writer at a time; one that finds another manifest than it began with fails.
 """
 
 from __future__ import annotations
 
-from collections.abc import Callable, Iterator
-from contextlib import contextmanager
+import uuid
+from collections.abc import Callable
+from dataclasses import replace
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..config import CollectionConfig, Config
+from ..shared import discard, hadoop_fs, written
 from .chunk import chunk_recursive
 from .embed import embed_dense
-from .points import assign_point_ids, build_points, upsert_points, validate_vectors
+from .points import build_points, number_chunks, one_per_id, upsert_points, validate_vectors
 
-SCHEMA = "id BIGINT, vector ARRAY<FLOAT>, payload STRUCT<text: STRING, source: STRING>, part BIGINT"
-STAGED = "__staged"
+SCHEMA = "id BIGINT, vector ARRAY<FLOAT>, payload STRUCT<text: STRING, source: STRING>"
+MANIFEST = "part BIGINT, version STRING, n_points BIGINT"
+#: Nothing has this partition; its file says the schema of a collection without points.
+NO_PART = -(1 << 62)
 
 
-def list_collections(spark: SparkSession) -> list[str]:
-    return sorted(t.name for t in spark.catalog.listTables() if not t.isTemporary and not t.name.endswith(STAGED))
+def _new(prefix: str) -> str:
+    return prefix + uuid.uuid4().hex
 
 
 def collection_exists(spark: SparkSession, name: str) -> bool:
     return spark.catalog.tableExists(name)
 
 
-def drop_collection(spark: SparkSession, config: CollectionConfig) -> bool:
-    """Drops an existing collection if rebuilding is on; tells whether it did."""
-    if config.rebuild and collection_exists(spark, config.name):
-        spark.sql(f"DROP TABLE IF EXISTS `{config.name}{STAGED}`")
-        spark.sql(f"DROP TABLE `{config.name}`")
-        return True
-    return False
+def properties(spark: SparkSession, name: str) -> dict[str, str]:
+    return {r["key"]: r["value"] for r in spark.sql(f"SHOW TBLPROPERTIES `{name}`").collect()}
 
 
-def create_collection(spark: SparkSession, config: CollectionConfig) -> bool:
-    """Creates the collection where there is none; tells whether it did."""
-    if collection_exists(spark, config.name):
+def list_collections(spark: SparkSession) -> list[str]:
+    """Names of the collections among the views of the current database."""
+    views = [t.name for t in spark.catalog.listTables() if t.tableType == "VIEW" and not t.isTemporary]
+    return sorted(v for v in views if "root" in (p := properties(spark, v)) and "dim" in p)
+
+
+def drop_collection(spark: SparkSession, config: CollectionConfig) -> bool:
+    """Drops an existing collection if rebuilding is on; tells whether it did."""
+    if not config.rebuild or not collection_exists(spark, config.name):
         return False
-    spark.sql(f"DROP TABLE IF EXISTS `{config.name}{STAGED}`")  # of a collection that is gone
-    said = f"'dim' = '{config.dim}', 'distance' = '{config.distance}', 'part_ids' = '{config.part_ids}'"
-    spark.sql(f"CREATE TABLE `{config.name}` ({SCHEMA}) USING parquet PARTITIONED BY (part) TBLPROPERTIES ({said})")
+    root = properties(spark, config.name)["root"]
+    spark.sql(f"DROP VIEW `{config.name}`")
+    fs, at = hadoop_fs(spark, root)
+    fs.delete(at, True)
     return True
 
 
-def properties(spark: SparkSession, name: str) -> dict[str, str]:
-    return {r["key"]: r["value"] for r in spark.sql(f"SHOW TBLPROPERTIES `{name}`").collect()}
+def _live_sql(held: dict[str, str], columns: str) -> str:
+    return (
+        f"SELECT {columns} FROM parquet.`{held['root']}/points` p LEFT SEMI JOIN parquet.`{held['root']}/manifests/{held['manifest']}` m "
+        "ON p.part = m.part AND p.version = m.version AND m.n_points > 0"
+    )
+
+
+def _publish(spark: SparkSession, name: str, held: dict[str, str]) -> None:
+    """Swaps the pointer."""
+    said = ", ".join(f"'{k}' = '{v}'" for k, v in sorted(held.items()))
+    spark.sql(f"CREATE OR REPLACE VIEW `{name}` TBLPROPERTIES ({said}) AS {_live_sql(held, 'p.id, p.vector, p.payload, p.part')}")
+
+
+def live_points(spark: SparkSession, name: str) -> DataFrame:
+    """id, vector, payload, part, version of a collection."""
+    return spark.sql(_live_sql(properties(spark, name), "p.id, p.vector, p.payload, p.part, p.version"))
 
 
-@contextmanager
-def _only_touched_partitions(spark: SparkSession) -> Iterator[None]:
-    name = "spark.sql.sources.partitionOverwriteMode"
-    before = spark.conf.get(name)
-    spark.conf.set(name, "dynamic")
-    try:
-        yield
-    finally:
-        spark.conf.set(name, before)
+def live_parts(spark: SparkSession, held: dict[str, str]) -> DataFrame:
+    """part, version, n_points of the live partitions."""
+    return spark.read.schema(MANIFEST).parquet(f"{held['root']}/manifests/{held['manifest']}")
 
 
-def put_in_place(spark: SparkSession, name: str) -> bool:
-    """Puts the staged partitions, if there are any, in place of the collection's own."""
-    staged = f"{name}{STAGED}"
-    if not spark.catalog.tableExists(staged):
+def create_collection(spark: SparkSession, config: CollectionConfig) -> bool:
+    """Creates the collection where there is none; tells whether it did."""
+    if collection_exists(spark, config.name):
         return False
-    with _only_touched_partitions(spark):
-        spark.table(staged).write.insertInto(name, overwrite=True)
-    spark.sql(f"DROP TABLE `{staged}`")
+    base = spark.catalog.getDatabase(spark.catalog.currentDatabase()).locationUri.rstrip("/")
+    held = {"dim": str(config.dim), "distance": config.distance, "part_ids": str(config.part_ids), "root": f"{base}/{_new(config.name + '-')}", "manifest": _new("c")}
+    spark.createDataFrame([], SCHEMA).write.parquet(f"{held['root']}/points/version=v/part={NO_PART}")
+    spark.createDataFrame([], MANIFEST).write.parquet(f"{held['root']}/manifests/{held['manifest']}")
+    _publish(spark, config.name, held)
     return True
 
 
-def write_points(spark: SparkSession, config: CollectionConfig, points: DataFrame, per_file: int, group: Column | None = None, gone: DataFrame | None = None) -> None:
+def own_properties(spark: SparkSession, name: str) -> dict[str, str]:
+    """The properties that this library set."""
+    names = ("dim", "distance", "part_ids", "root", "manifest", "before", "index", "nprobe")
+    return {k: v for k, v in properties(spark, name).items() if k in names}
+
+
+def commit(spark: SparkSession, name: str, before: dict[str, str], changes: dict[str, str], live: DataFrame | None = None) -> None:
+    """Writes the manifest (live, or as it was), swaps the pointer, and removes what no reader can need."""
+    held = before | changes
+    if live is not None:
+        held |= {"manifest": _new("c"), "before": before["manifest"]}
+        live.coalesce(1).write.parquet(f"{held['root']}/manifests/{held['manifest']}")
+    if own_properties(spark, name) != before:
+        raise RuntimeError(f"another write to {name} came in between")
+    _publish(spark, name, held)
+    _clean(spark, held, before.get("index"))
+
+
+def _children(fs, at) -> list:
+    return [s.getPath() for s in fs.listStatus(at)] if fs.exists(at) else []
+
+
+def _clean(spark: SparkSession, held: dict[str, str], index_before: str | None) -> None:
+    """Removes partitions that neither the live manifest nor the one before names, and other manifests and indexes."""
+    fs, root = hadoop_fs(spark, held["root"])
+    path = lambda *x: hadoop_fs(spark, "/".join([held["root"], *x]))[1]
+    manifests = {held["manifest"], held.get("before", held["manifest"])}
+    pairs = {(r["version"], r["part"]) for m in manifests for r in live_parts(spark, held | {"manifest": m}).collect()} | {("v", NO_PART)}  # a row per partition
+    versions = {v for v, _ in pairs}
+    for at in _children(fs, path("points")):
+        version = at.getName().removeprefix("version=")
+        if version not in versions:
+            fs.delete(at, True)
+            continue
+        for part in _children(fs, at):
+            if part.getName().startswith("part=") and (version, int(part.getName()[5:])) not in pairs:
+                fs.delete(part, True)
+    for folder, kept in (("manifests", manifests), ("index", {held.get("index"), index_before})):
+        for at in _children(fs, path(folder)):
+            if at.getName() not in kept:
+                fs.delete(at, True)
+
+
+def write_points(spark: SparkSession, config: CollectionConfig, points: DataFrame, per_file: int, group: Column | None = None, gone: DataFrame | None = None, unique: bool = False) -> None:
     """Upserts points, and takes out old ones whose group is in gone, in the partitions that this touches.
 
-    A group's ids must lie between group * g and (group + 1) * g for one g that divides part_ids.
+    A group's ids must lie between group * g and (group + 1) * g for one g that divides part_ids. unique: no id comes twice. Into an
+    empty collection the points are written as they come; else they are written once beside it, as they are asked for their partitions
+    first. The numbers of partitions touched pass the driver, never ids.
     """
-    put_in_place(spark, config.name)
-    per_part = int(properties(spark, config.name)["part_ids"])
-    part = lambda x: F.floor(x / F.lit(per_part)).cast("long").alias("part")
+    held = own_properties(spark, config.name)
+    part = lambda x: F.floor(x / F.lit(int(held["part_ids"]))).cast("long")
     new = validate_vectors(points, config.dim).select("id", F.col("vector").cast("array<float>").alias("vector"), F.col("payload").cast("struct<text:string,source:string>").alias("payload"))
-    touched = new.select(part(F.col("id")))
-    stored = spark.table(config.name)
-    if gone is not None:
-        old_parts = stored.select("part", group.alias("__group")).join(gone.toDF("__group"), "__group", "left_semi").select("part")
-        touched = touched.unionByName(old_parts)
-    old = stored.join(touched.distinct(), "part", "left_semi").select("id", "vector", "payload")
-    rows = upsert_points(old, new, group, gone).withColumn("part", part(F.col("id")))
-    rows = rows.repartitionByRange("part", "id").select("id", "vector", "payload", "part")
-    rows.write.option("maxRecordsPerFile", per_file).partitionBy("part").saveAsTable(f"{config.name}{STAGED}")
-    put_in_place(spark, config.name)
-    if gone is not None:  # partitions of which nothing is left aren't overwritten by anything
-        held = gone.toDF("__group")
-        left = spark.table(config.name).select("part", group.alias("__group")).join(held, "__group", "left_semi").join(new.select(part(F.col("id"))), "part", "left_anti")
-        for r in left.select("part").distinct().collect():
-            spark.sql(f"ALTER TABLE `{config.name}` DROP IF EXISTS PARTITION (part = {r['part']})")
+    live, beside, touched = live_parts(spark, held), None, set()
+    if live.limit(1).count():
+        new = beside = written(new, "upsert")
+        parts = new.select(part(F.col("id")).alias("part"))
+        if gone is not None:
+            stored = live_points(spark, config.name).select("part", group.alias("__group"))
+            parts = parts.unionByName(stored.join(gone.toDF("__group"), "__group", "left_semi").select("part"))
+        touched = {r["part"] for r in parts.where("part is not null").distinct().collect()}
+        old = live_points(spark, config.name).where(F.col("part").isin(touched)).select("id", "vector", "payload")
+        rows = upsert_points(old, new, group, gone)
+    else:
+        rows = new if unique else one_per_id(new)
+    version = _new("v")
+    if not unique or beside is not None:  # else they were dealt by their files' ids before they had vectors
+        rows = rows.repartition(part(F.col("id")), F.floor(F.col("id") / per_file))
+    path = f"{held['root']}/points/version={version}"
+    rows.withColumn("part", part(F.col("id"))).write.option("maxRecordsPerFile", per_file).partitionBy("part").parquet(path)
+    made = spark.read.schema(f"{SCHEMA}, part BIGINT").parquet(path).groupBy("part").agg(F.lit(version).alias("version"), F.count(F.lit(1)).alias("n_points"))
+    commit(spark, config.name, held, _indexed(spark, config.name, held, version, path), live.where(~F.col("part").isin(touched)).unionByName(made))
+    if beside is not None:
+        discard(beside)
+
+
+def _indexed(spark: SparkSession, name: str, held: dict[str, str], version: str, path: str) -> dict[str, str]:
+    """Adds a version's points to the inverted file, if the collection has one."""
+    if "index" in held:
+        from .index import add_version
+
+        add_version(spark, held, version, spark.read.schema(f"{SCHEMA}, part BIGINT").parquet(path))
+    return {}
 
 
 def setup_index(documents: DataFrame, config: Config = Config(), chunker: Callable[[DataFrame], DataFrame] | None = None, make_model: Callable | None = None) -> bool:
-    """Builds the collection from documents (doc_id, source, text); without rebuilding it does nothing at all."""
+    """Builds the collection from documents (doc_id, source, text); without rebuilding it does nothing at all.
+
+    Chunks are dealt to the tasks that write their files and become vectors there, so no vector is shuffled. A collection whose vectors take
+    ``exact_below_bytes`` or more gets an inverted file.
+    """
+    from .index import build_index
+
     spark, own = documents.sparkSession, config.collection
     if not own.rebuild:
         return False
     drop_collection(spark, own)
     create_collection(spark, own)
-    chunks = chunker(documents) if chunker else chunk_recursive(documents, config.chunk)
-    points = build_points(embed_dense(assign_point_ids(chunks), config.embed, make_model))
-    write_points(spark, own, points, config.embed.batch_size * own.upload_multiplier)
+    per_file = config.embed.batch_size * own.upload_multiplier
+    chunks = number_chunks(documents, chunker or (lambda docs: chunk_recursive(docs, config.chunk)))
+    dealt = chunks.select("id", "source", "text").repartition(F.floor(F.col("id") / own.part_ids), F.floor(F.col("id") / per_file))
+    write_points(spark, own, build_points(embed_dense(dealt, config.embed, make_model)), per_file, unique=True)
+    n = live_parts(spark, own_properties(spark, own.name)).agg(F.sum("n_points")).first()[0] or 0
+    if n * own.dim * 4 >= config.search.exact_below_bytes:
+        build_index(spark, own.name, replace(config.search))
     return True

@@ -1,4 +1,7 @@
-"""Embeddings. The default model is a hashed bag of words; any function from texts to vectors can take its place."""
+"""Embeddings. The default model is a hashed bag of words; any function from texts to vectors can take its place.
+
+The default model's vectors are made and searched as (bucket, count) entries; they become dense where they are stored.
+"""
 
 from __future__ import annotations
 
@@ -14,29 +17,57 @@ from pyspark.sql.types import ArrayType, FloatType
 from ..config import EmbedConfig
 from ..functions.text import buckets
 
-#: Rows whose counts are made at once.
+#: Rows that become vectors at once.
 ROWS = 1_024
+ENTRIES = "array<struct<bucket:int,n:int>>"
 
 
-def hashed_bag(text: Column, config: EmbedConfig = EmbedConfig()) -> Column:
-    """Token counts by hash bucket. Tokens are hashed in the JVM; a batch of their buckets is counted at once."""
+def sparse_bag(text: Column, config: EmbedConfig = EmbedConfig()) -> Column:
+    """Token counts by hash bucket, those that aren't zero, by bucket. Tokens are hashed in the JVM; a batch of their buckets is counted at once."""
     dim = config.dim
 
-    @F.arrow_udf("array<float>")
+    @F.arrow_udf(ENTRIES)
     def counted(found: pa.Array) -> pa.Array:
         sizes = np.diff(found.offsets.to_numpy())
-        at, out = np.concatenate([[0], np.cumsum(sizes)]), []
-        flat = found.flatten().to_numpy(zero_copy_only=False).astype(np.int64)  # of the rows that aren't null
-        for first in range(0, len(sizes), ROWS):
-            n = min(ROWS, len(sizes) - first)
-            own = flat[at[first] : at[first + n]] + np.repeat(np.arange(n) * dim, sizes[first : first + n])
-            out.append(np.bincount(own, minlength=n * dim).astype(np.float32))
-        values = np.concatenate(out) if out else np.empty(0, np.float32)
-        return pa.ListArray.from_arrays(pa.array(np.arange(len(sizes) + 1) * dim, pa.int32()), pa.array(values))
+        flat = found.flatten().to_numpy(zero_copy_only=False).astype(np.int64)
+        key, n = np.unique(flat + np.repeat(np.arange(len(sizes)) * dim, sizes), return_counts=True)
+        offsets = np.searchsorted(key, np.arange(len(sizes) + 1) * dim)
+        values = pa.StructArray.from_arrays([pa.array(key % dim, pa.int32()), pa.array(n, pa.int32())], ["bucket", "n"])
+        return pa.ListArray.from_arrays(pa.array(offsets, pa.int32()), values)
 
     return counted(F.coalesce(buckets(text, dim, config.max_tokens), F.array().cast("array<int>")))
 
 
+def matrix(entries: pa.Array, dim: int) -> np.ndarray:
+    """One dense row per list of (bucket, n)."""
+    sizes, flat = np.diff(entries.offsets.to_numpy()), entries.flatten()
+    out = np.zeros((len(sizes), dim), np.float32)
+    out[np.repeat(np.arange(len(sizes)), sizes), flat.field("bucket").to_numpy()] = flat.field("n").to_numpy()
+    return out
+
+
+def dense(entries: Column, config: EmbedConfig = EmbedConfig()) -> Column:
+    """Vectors of dim floats from sparse ones."""
+    dim = config.dim
+
+    @F.arrow_udf("array<float>")
+    def filled(found: pa.Array) -> pa.Array:
+        values = [matrix(found.slice(at, ROWS), dim).ravel() for at in range(0, len(found), ROWS)]
+        return pa.ListArray.from_arrays(pa.array(np.arange(len(found) + 1) * dim, pa.int32()), pa.array(np.concatenate([np.empty(0, np.float32), *values])))
+
+    return filled(entries)
+
+
+def embed_sparse(rows: DataFrame, config: EmbedConfig = EmbedConfig(), text: str = "text") -> DataFrame:
+    """Adds entries: the default model's vector without its zeros, some 100 of dim numbers."""
+    return rows.withColumn("entries", sparse_bag(F.col(text), config))
+
+
+def hashed_bag(text: Column, config: EmbedConfig = EmbedConfig()) -> Column:
+    """Token counts by hash bucket."""
+    return dense(sparse_bag(text, config), config)
+
+
 def embed_dense(rows: DataFrame, config: EmbedConfig = EmbedConfig(), make_model: Callable | None = None, text: str = "text") -> DataFrame:
     """Adds vector. make_model() is called once per worker and gives a function from an array of texts to a matrix."""
     if make_model is None:
@@ -48,9 +79,3 @@ def embed_dense(rows: DataFrame, config: EmbedConfig = EmbedConfig(), make_model
 def embed_query(questions: DataFrame, config: EmbedConfig = EmbedConfig(), make_model: Callable | None = None) -> DataFrame:
     """The same model over (query_id, query), all questions in one job."""
     return embed_dense(questions, config, make_model, "query")
-
-
-def nonzero(rows: DataFrame, keep: list[str]) -> DataFrame:
-    """keep, bucket, value: the entries of vectors that aren't zero."""
-    entries = rows.select(*keep, F.posexplode("vector").alias("bucket", "value"))
-    return entries.where("value <> 0")

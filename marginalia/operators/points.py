@@ -2,27 +2,79 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..config import CollectionConfig, EmbedConfig
 from ..shared import written
 
+#: Narrow rows (key and number of a document) that may be sent to all tasks.
+SENT_KEYS = 500_000
 
-def assign_point_ids(chunks: DataFrame) -> DataFrame:
-    """Adds id: 0, 1, ... in order of doc_id (null last), source, chunk_idx and text, whatever repeats among these.
 
-    Chunks are sorted by ranges, one shuffle that no hot document hampers, and written with their range and
-    their place in it. The totals of the ranges, a row per shuffle partition, give each range its first id.
+def _running(counted: DataFrame, order: list[Column], sums: list[str]) -> DataFrame:
+    """Adds ``before_<c>`` for each c of sums: its total over all rows before, in the given order.
+
+    Rows are sorted by ranges and written with their range and place. Sums within a range and the totals of the
+    ranges, a row per shuffle partition, give each row its own.
     """
-    order = [F.col(c).asc_nulls_last() for c in ("doc_id", "source", "chunk_idx", "text")]
     row = F.monotonically_increasing_id()  # its upper bits number the ranges, its lower 33 the rows of one
-    placed = chunks.orderBy(*order).withColumns({"__range": F.shiftright(row, 33), "__place": row.bitwiseAND(F.lit((1 << 33) - 1))})
-    placed = written(placed, "numbered")
-    totals = placed.groupBy("__range").agg(F.count(F.lit(1)).alias("n"))
-    before = F.sum("n").over(Window.orderBy("__range")) - F.col("n")
-    firsts = totals.select("__range", before.alias("__first"))
-    return placed.join(F.broadcast(firsts), "__range").withColumn("id", F.col("__first") + F.col("__place")).drop("__range", "__place", "__first")
+    placed = written(counted.orderBy(*order).withColumns({"__range": F.shiftright(row, 33), "__place": row}), "numbered")
+    totals = placed.groupBy("__range").agg(*[F.sum(c).alias(f"__{c}") for c in sums])
+    firsts = totals.select("__range", *[(F.sum(f"__{c}").over(Window.orderBy("__range")) - F.col(f"__{c}")).alias(f"__{c}") for c in sums])
+    inside = Window.partitionBy("__range").orderBy("__place").rowsBetween(Window.unboundedPreceding, -1)
+    added = {f"before_{c}": F.coalesce(F.sum(c).over(inside), F.lit(0)) + F.col(f"__{c}") for c in sums}
+    return placed.join(F.broadcast(firsts), "__range").withColumns(added).drop("__range", "__place", *[f"__{c}" for c in sums])
+
+
+def _with_first_ids(rows: DataFrame, counted: DataFrame, keys: list[str]) -> DataFrame:
+    """rows with ``__first``, the first of each row's ids, which are dense over all rows in the order of keys.
+
+    counted: keys, n (ids of one row), copies (rows with these keys). The numbers, a narrow row per key, are sent to the rows if they are
+    at most SENT_KEYS, by a count; with more of them rows are shuffled once, by key. Rows with equal keys are told apart by sorting these rows alone.
+    """
+    order = [F.col(k).asc_nulls_last() for k in keys]
+    counted = counted.withColumn("ids", F.col("n") * F.col("copies")).withColumn("again", F.when(F.col("copies") > 1, F.col("copies")).otherwise(0))
+    numbers = written(_running(counted, order, ["ids", "again"]), "first-ids")
+    named = numbers.select(*[F.col(k).alias(f"__k_{k}") for k in keys], "n", "again", "before_ids", "before_again")
+    on = [F.col(k).eqNullSafe(F.col(f"__k_{k}")) for k in keys]
+    few = numbers.limit(SENT_KEYS + 1).count() <= SENT_KEYS
+    found = rows.join(F.broadcast(named) if few else named, on).drop(*[f"__k_{k}" for k in keys])
+    left = ("n", "again", "before_ids", "before_again")
+    if not numbers.where("again > 0").limit(1).count():
+        return found.withColumn("__first", F.col("before_ids")).drop(*left)
+    once = found.where("again = 0").withColumn("__first", F.col("before_ids"))
+    repeated = _running(found.where("again > 0").withColumn("one", F.lit(1)), order, ["one"])
+    copy = F.col("before_one") - F.col("before_again")
+    repeated = repeated.withColumn("__first", F.col("before_ids") + copy * F.col("n")).drop("one", "before_one")
+    return once.unionByName(repeated).drop(*left)
+
+
+def number_chunks(documents: DataFrame, chunker: Callable[[DataFrame], DataFrame]) -> DataFrame:
+    """doc_id, source, chunk_idx, text, id of the chunks of documents: ids 0, 1, ... in order of doc_id (null last), source, text and chunk.
+
+    Documents are chunked twice, where they lie: once to be counted, once when each knows the first of its ids. Between these
+    only a narrow row per document is shuffled (see _with_first_ids), so no chunk is. A chunker keeps further columns of documents.
+    """
+    docs = documents.select("doc_id", "source", "text", F.md5("text").alias("__doc"))
+    keys = ["doc_id", "source", "__doc"]
+    chunks = chunker(docs).groupBy(*keys).agg(F.count(F.lit(1)).alias("ids"), F.count_if(F.col("chunk_idx") == 0).alias("copies"))
+    counted = chunks.select(*keys, F.expr("ids div copies").alias("n"), "copies")
+    numbered = chunker(_with_first_ids(docs, counted, keys))
+    return numbered.select("doc_id", "source", "chunk_idx", "text", (F.col("__first") + F.col("chunk_idx")).alias("id"))
+
+
+def assign_point_ids(chunks: DataFrame) -> DataFrame:
+    """Adds id to any chunks: 0, 1, ... in order of doc_id (null last), source, chunk_idx and the text's MD5, whatever repeats among these.
+
+    Where the documents are at hand, number_chunks() does with a row per document what this does with one per chunk.
+    """
+    keys = ["doc_id", "source", "chunk_idx", "__text"]
+    rows = chunks.withColumn("__text", F.md5("text"))
+    counted = rows.groupBy(*keys).agg(F.count(F.lit(1)).alias("copies")).withColumn("n", F.lit(1).cast("long"))
+    return _with_first_ids(rows, counted, keys).withColumn("id", F.col("__first")).drop("__first", "__text")
 
 
 def ingest_stats(documents: DataFrame, numbered: DataFrame) -> DataFrame:

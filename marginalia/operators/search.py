@@ -6,18 +6,22 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.ml.clustering import KMeans
 from pyspark.ml.functions import array_to_vector
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame, Observation, Window
 from pyspark.sql import functions as F
 
-from ..config import SearchConfig
+from ..config import EmbedConfig, SearchConfig
 from ..shared import written
+from .embed import dense, matrix
 
-#: Bytes of question vectors that may be sent to all tasks; beyond that blocks of questions meet parts of the points.
+#: Bytes of question vectors that may be sent to all tasks; beyond that questions visit slices of the points.
 SENT_BYTES = 64 << 20
-#: Rows of a block of questions and of a part of the points in such a meeting.
-QUERY_BLOCK, POINT_PART = 4_096, 20_000
+#: Points of a slice, which a task holds while questions pass by.
+POINT_PART = 20_000
+#: Sparse points that are searched at once.
+SPARSE_ROWS = 2_048
 #: Scores that are computed at once.
 AT_ONCE = 1 << 21
 #: Vectors from which k-means cells are fitted, those on which the number of probes is chosen, and questions among them.
@@ -67,23 +71,42 @@ def _matrix(column: pd.Series) -> np.ndarray:
 FOUND = "query_id long, id long, score double"
 
 
-def _meeting(k: int, distance: str):
-    """A cogroup function: the best points of one group for the queries of the other."""
+def _met(stored: DataFrame, asked: DataFrame, k: int, distance: str) -> DataFrame:
+    """The best points of each slice for the questions that visit it: (query_id, id, score).
 
-    def meet(rows: pd.DataFrame, wanted: pd.DataFrame) -> pd.DataFrame:
-        if not len(rows) or not len(wanted):
-            return _best(np.empty((0, 0)), np.empty(0, np.int64), np.empty((0, 0)), np.empty(0, np.int64), k, distance)
-        return _best(_matrix(wanted["vector"]), wanted["query_id"].to_numpy(np.int64), _matrix(rows["vector"]), rows["id"].to_numpy(np.int64), k, distance)
+    stored: id, vector, cell, part; asked: query_id, vector, cell, part. Both are dealt by slice and sorted, points first, so that a task holds
+    one slice of points and lets its questions, however many, pass by in batches. No point is sent twice.
+    """
+    kinds = {t.schema["vector"].dataType.simpleString() for t in (stored, asked)}
+    vector = F.col("vector").cast(kinds.pop() if len(kinds) == 1 else "array<double>").alias("vector")
+    key = [F.col("cell").cast("int").alias("cell"), F.col("part").cast("int").alias("part")]
+    rows = stored.select(*key, F.lit(False).alias("asks"), F.col("id").cast("long").alias("id"), vector)
+    rows = rows.unionByName(asked.select(*key, F.lit(True).alias("asks"), F.col("query_id").cast("long").alias("id"), vector))
+    dealt = rows.repartition("cell", "part").sortWithinPartitions("cell", "part", "asks")
 
-    return meet
+    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        at, vectors, ids = None, [], []
+        for pdf in frames:
+            for (cell, part, asks), own in pdf.groupby(["cell", "part", "asks"], sort=True):
+                if (cell, part) != at:
+                    at, vectors, ids = (cell, part), [], []
+                if not asks:
+                    vectors.append(_matrix(own["vector"]))
+                    ids.append(own["id"].to_numpy(np.int64))
+                elif vectors:
+                    if len(vectors) > 1:
+                        vectors, ids = [np.concatenate(vectors)], [np.concatenate(ids)]
+                    yield _best(_matrix(own["vector"]), own["id"].to_numpy(np.int64), vectors[0], ids[0], k, distance)
 
+    return dealt.mapInPandas(run, FOUND)
 
-def knn_exact(queries: DataFrame, points: DataFrame, k: int = 5, distance: str = "cosine") -> DataFrame:
+
+def knn_exact(queries: DataFrame, points: DataFrame, k: int = 5, distance: str = "cosine", report: Observation | None = None) -> DataFrame:
     """query_id, rank, id, score of the k best points of every question, best first, ties by id.
 
     queries: query_id, vector; points: id, vector. Questions of at most SENT_BYTES, by a count, are sent
-    to the tasks, and each task passes on k rows per question and batch of its points. With more of them, blocks of questions meet
-    parts of the points, both by hash, in tasks of their own, so that nothing passes the driver.
+    to the tasks, and each task passes on k rows per question and batch of its points. More of them are searched in_balls(); report
+    then observes how many cells questions visit after their first one.
     """
     spark = queries.sparkSession
     asked = queries.where("vector is not null").select("query_id", "vector")
@@ -102,14 +125,102 @@ def knn_exact(queries: DataFrame, points: DataFrame, k: int = 5, distance: str =
                     yield _best(q, names, _matrix(pdf["vector"]), pdf["id"].to_numpy(np.int64), k, distance)
 
         return _ranked(stored.mapInPandas(run, FOUND), k, distance)
-    stored = written(stored, "search-points")  # counted and searched
-    blocks, parts = -(-size["n"] // QUERY_BLOCK), max(1, -(-stored.count() // POINT_PART))
-    every = lambda n: F.explode(F.sequence(F.lit(0), F.lit(n - 1)))
-    own = lambda name, n: F.pmod(F.xxhash64(name), F.lit(n)).cast("int")
-    asked = asked.withColumn("block", own("query_id", blocks)).withColumn("part", every(parts))
-    stored = stored.withColumn("part", own("id", parts)).withColumn("block", every(blocks))
-    met = stored.groupBy("block", "part").cogroup(asked.groupBy("block", "part"))
-    return _ranked(met.applyInPandas(_meeting(k, distance), FOUND), k, distance)
+    return in_balls(asked, written(stored, "search-points"), k, distance, report)
+
+
+def knn_sparse(queries: DataFrame, points: DataFrame, k: int = 5, config: EmbedConfig = EmbedConfig()) -> DataFrame:
+    """knn_exact by cosine over vectors given as (bucket, n) entries: queries: query_id, entries; points: id, entries.
+
+    Questions of at most SENT_BYTES meet batches of points in numpy, so a point crosses to Python as its entries alone. With more
+    questions the vectors become dense and are searched as knn_exact does it.
+    """
+    n, dim = queries.count(), config.dim
+    if n * dim * 8 > SENT_BYTES:
+        vector = dense(F.col("entries"), config).alias("vector")
+        return knn_exact(queries.select("query_id", vector), points.select("id", vector), k)
+    held = queries.select("query_id", "entries").toArrow().combine_chunks()
+    if not held.num_rows:
+        return queries.sparkSession.createDataFrame([], "query_id long, rank int, id long, score double")
+    sent = queries.sparkSession.sparkContext.broadcast((matrix(held.column("entries").chunk(0), dim).astype(np.float64), held.column("query_id").to_numpy()))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        q, names = sent.value
+        for batch in (whole.slice(at, SPARSE_ROWS) for whole in batches for at in range(0, whole.num_rows, SPARSE_ROWS)):
+            found = _best(q, names, matrix(batch.column("entries"), dim).astype(np.float64), batch.column("id").to_numpy(), k, "cosine")
+            yield pa.RecordBatch.from_pandas(found, preserve_index=False)
+
+    return _ranked(points.select("id", "entries").mapInArrow(run, FOUND), k, "cosine")
+
+
+def _placed(vectors: np.ndarray, distance: str) -> np.ndarray:
+    """Vectors where the distance is a metric whose order is that of the scores: for the cosine, of unit length (zero stays zero)."""
+    if distance != "cosine":
+        return vectors
+    size = np.sqrt((vectors**2).sum(1))
+    return vectors / np.where(size > 0, size, 1)[:, None]
+
+
+def _away(vectors: np.ndarray, centres: np.ndarray, distance: str) -> np.ndarray:
+    """Distance of each vector to each centre, in the metric of _placed()."""
+    return scores(vectors, centres, "manhattan" if distance == "manhattan" else "euclidean")
+
+
+#: Relative room for rounding when a ball is ruled out.
+ROOM = 1e-6
+
+
+def in_balls(asked: DataFrame, stored: DataFrame, k: int, distance: str, report: Observation | None = None) -> DataFrame:
+    """Exact search for many questions: points lie in k-means cells, each with the radius of its ball.
+
+    A question first visits its nearest cell, where its k-th best distance so far is a bound. By the triangle inequality a cell whose ball
+    begins beyond the bound has none of its k best, so only the others are visited. Cells are cut into slices of POINT_PART points, each
+    of which is sent to one task once a wave. Centres and radii (a row per cell) are sent to all tasks. stored must be written, as it is read repeatedly.
+    """
+    spark = asked.sparkSession
+    placed = F.pandas_udf(lambda v: pd.Series(list(_placed(_matrix(v), distance))), "array<double>")
+    centres = fit_cells(stored.select("id", placed("vector").alias("vector")) if distance == "cosine" else stored)
+    if not centres.shape[1]:
+        return spark.createDataFrame([], "query_id long, rank int, id long, score double")
+
+    def cells(rows: DataFrame) -> DataFrame:
+        ddl = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in rows.schema.fields)
+
+        def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+            for pdf in frames:
+                if len(pdf):
+                    away = _away(_placed(_matrix(pdf["vector"]), distance), centres, distance)
+                    cell = away.argmin(1)
+                    yield pdf.assign(cell=cell.astype(np.int32), away=away[np.arange(len(cell)), cell])
+
+        return rows.mapInPandas(run, f"{ddl}, cell int, away double")
+
+    stored = written(cells(stored), "search-balls")
+    balls = stored.groupBy("cell").agg(F.max("away").alias("radius"), F.ceil(F.count(F.lit(1)) / POINT_PART).cast("int").alias("parts"))
+    held = balls.orderBy("cell").collect()  # a row per cell
+    own, radius, parts = (np.array([r[c] for r in held]) for c in ("cell", "radius", "parts"))
+    sizes = spark.createDataFrame([(int(c), int(n)) for c, n in zip(own, parts, strict=True)], "cell int, parts int")
+    stored = stored.join(F.broadcast(sizes), "cell").withColumn("part", F.pmod(F.xxhash64("id"), F.col("parts")).cast("int"))
+    sliced = lambda rows: rows.join(F.broadcast(sizes), "cell").withColumn("part", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)))
+    first = written(cells(asked), "search-first")  # every cell that is the nearest of a question has points or is met by none
+    found = written(_ranked(_met(stored, sliced(first), k, distance), k, distance), "search-found")
+    bounds = found.where(F.col("rank") == k).select("query_id", F.col("score").alias("bound"))
+    ddl = f"query_id long, vector {asked.schema['vector'].dataType.simpleString()}, cell int"
+
+    def others(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for pdf in frames:
+            if len(pdf):
+                bound = pdf["bound"].to_numpy(np.float64)  # nan: fewer than k found, so nothing is ruled out
+                if distance == "cosine":
+                    bound = np.sqrt(np.maximum(0, 2 - 2 * bound))
+                away = _away(_placed(_matrix(pdf["vector"]), distance), centres[own], distance)
+                beyond = away - radius[None] > bound[:, None] * (1 + ROOM) + ROOM
+                q, c = np.nonzero(~beyond & (own[None] != pdf["cell"].to_numpy()[:, None]))
+                yield pd.DataFrame({"query_id": pdf["query_id"].to_numpy()[q], "vector": pdf["vector"].to_numpy()[q], "cell": own[c].astype(np.int32)})
+
+    more = first.join(bounds, "query_id", "left").select("query_id", "vector", "cell", "bound").mapInPandas(others, ddl)
+    if report is not None:
+        more = more.observe(report, F.count(F.lit(1)).alias("visits"))
+    return _ranked(found.select("query_id", "id", "score").unionByName(_met(stored, sliced(more), k, distance)), k, distance)
 
 
 def _distances(vectors: np.ndarray, centres: np.ndarray) -> np.ndarray:
@@ -117,19 +228,32 @@ def _distances(vectors: np.ndarray, centres: np.ndarray) -> np.ndarray:
     return (centres**2).sum(1)[None] - 2 * vectors @ centres.T
 
 
+def _by_hash(rows: DataFrame, n: int, wanted: int, seed: int) -> DataFrame:
+    """About ``wanted`` of n rows (all, if there are no more), by a hash of their ids."""
+    steps = 1 << 30
+    return rows if n <= wanted else rows.where(F.pmod(F.xxhash64("id", F.lit(seed)), F.lit(steps)) < steps * wanted // n)
+
+
 def fit_cells(points: DataFrame, nlist: int | None = None, seed: int = 11) -> np.ndarray:
-    """Centres of k-means cells, fitted on at most FIT_ROWS points; as many cells as SearchConfig says if nlist is None."""
+    """Centres of k-means cells, fitted on some FIT_ROWS points that their ids' hashes choose where they lie; as many cells as SearchConfig says if nlist is None."""
     usable = points.where("vector is not null")
-    sample = usable.orderBy(F.xxhash64("id")).limit(FIT_ROWS).select(array_to_vector(F.col("vector").cast("array<double>")).alias("features"))
-    if not sample.limit(1).count():
+    n = usable.count()
+    if not n:
         return np.zeros((1, 0))
-    nlist = nlist or max(16, min(int(usable.count() ** 0.5), FIT_ROWS // 40))
+    sample = _by_hash(usable, n, FIT_ROWS, 0).select(array_to_vector(F.col("vector").cast("array<double>")).alias("features"))
+    nlist = nlist or max(16, min(int(n**0.5), FIT_ROWS // 40))
+    if n <= nlist:  # nothing to fit
+        return np.unique(_matrix(usable.select("vector").toPandas()["vector"]), axis=0)
     return np.array(KMeans(k=nlist, seed=seed, maxIter=10).fit(sample).clusterCenters())
 
 
 def fit_probes(points: DataFrame, centres: np.ndarray, k: int, distance: str, recall: float) -> int:
     """How many of its nearest cells a question must visit so that this share of its k neighbours lies there, by a sample of the points."""
-    rows = points.where("vector is not null").select("id", "vector").orderBy(F.xxhash64("id", F.lit(1))).limit(PROBE_ROWS).toPandas()
+    usable = points.where("vector is not null").select("id", "vector")
+    rows = _by_hash(usable, usable.count(), PROBE_ROWS, 1).toPandas()
+    if not len(rows):
+        return 1
+    rows = rows.iloc[np.argsort(pd.util.hash_array(rows["id"].to_numpy(np.int64)))].reset_index(drop=True)
     v, ids = _matrix(rows["vector"]), rows["id"].to_numpy(np.int64)
     asked = np.arange(min(PROBE_QUERIES, len(v)))
     near = _best(v[asked], asked, v, np.arange(len(ids)), k + 1, distance)
@@ -140,7 +264,7 @@ def fit_probes(points: DataFrame, centres: np.ndarray, k: int, distance: str, re
     return int(needed[min(len(needed) - 1, int(np.ceil(recall * len(needed))))]) if len(needed) else 1
 
 
-def _with_cells(rows: DataFrame, centres: np.ndarray, n: int) -> DataFrame:
+def with_cells(rows: DataFrame, centres: np.ndarray, n: int) -> DataFrame:
     """One row per row and each of its n nearest cells."""
     schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in rows.schema.fields) + ", cell int"
 
@@ -160,15 +284,19 @@ def knn_ann(queries: DataFrame, points: DataFrame, k: int = 5, distance: str = "
     """
     centres = fit_cells(points, nlist) if centres is None else centres
     nprobe = nprobe or fit_probes(points, centres, k, distance, recall)
-    stored = _with_cells(points.select("id", "vector"), centres, 1)
-    asked = _with_cells(queries.select("query_id", "vector"), centres, min(nprobe, len(centres)))
-    # a cell is cut into parts of some thousand points, so that no task holds a whole hot cell
-    stored = written(stored, "search-cells")
+    stored = written(with_cells(points.select("id", "vector"), centres, 1), "search-cells")
+    return meet_in_cells(stored, with_cells(queries.select("query_id", "vector"), centres, min(nprobe, len(centres))), k, distance)
+
+
+def meet_in_cells(stored: DataFrame, asked: DataFrame, k: int, distance: str) -> DataFrame:
+    """The k best of each question in (query_id, vector, cell) among the points in (id, vector, cell) of its cells.
+
+    A cell is cut into slices of some thousand points, so that no task holds a whole hot cell; stored is read twice.
+    """
     sizes = stored.groupBy("cell").agg(F.ceil(F.count(F.lit(1)) / POINT_PART).cast("int").alias("parts"))  # a row per cell
     stored = stored.join(F.broadcast(sizes), "cell").withColumn("part", F.pmod(F.xxhash64("id"), F.col("parts")).cast("int")).drop("parts")
     asked = asked.join(F.broadcast(sizes), "cell").withColumn("part", F.explode(F.sequence(F.lit(0), F.col("parts") - 1))).drop("parts")
-    found = stored.groupBy("cell", "part").cogroup(asked.groupBy("cell", "part")).applyInPandas(_meeting(k, distance), FOUND)
-    return _ranked(found, k, distance)
+    return _ranked(_met(stored, asked, k, distance), k, distance)
 
 
 def rescore(candidates: DataFrame, queries: DataFrame, points: DataFrame, k: int, distance: str = "cosine") -> DataFrame:

@@ -12,9 +12,9 @@ from pyspark.sql import functions as F
 from ..config import CollectionConfig, Config, SearchConfig
 from ..functions import vectors
 from ..functions.text import WHITE, sanitized
-from ..operators import answer, chunk, collections, embed, points, search
+from ..operators import answer, chunk, collections, embed, index, points, search
 from ..shared import new_path, written
-from ..sources.documents import extract_text, load_table, reject_bad_documents, scan_documents, strict_utf8_text
+from ..sources.documents import extract_text, load_table, of_manifest, reject_bad_documents, scan_documents, strict_utf8_text, write_files
 from . import sql
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -44,7 +44,7 @@ def chunks(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def numbered(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return points.assign_point_ids(chunks(spark, sf_dir))
+    return points.number_chunks(documents(spark, sf_dir), chunk.chunk_window)
 
 
 def indexed(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -59,8 +59,8 @@ def questions(spark: SparkSession, sf_dir: str) -> DataFrame:
 def found(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The five nearest chunks of each question, with their payloads."""
     stored = numbered(spark, sf_dir)
-    asked = embed.embed_query(questions(spark, sf_dir))
-    hits = search.knn_exact(asked, embed.embed_dense(stored))
+    asked = embed.embed_sparse(questions(spark, sf_dir), text="query")
+    hits = search.knn_sparse(asked, embed.embed_sparse(stored))
     return search.project_payload(hits, stored.select("id", F.struct("text", "source").alias("payload")))
 
 
@@ -84,11 +84,10 @@ def rounded(hits: DataFrame) -> DataFrame:
 def scan_document_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Writes each document to a file of its own, scans the folder for these files and extracts their texts."""
     path = new_path(spark, "files")
-    load_table(spark, sf_dir, "documents").where("text is not null").select("doc_id", "text").write.partitionBy("doc_id").text(path)
-    found = extract_text(scan_documents(spark, path, "*.txt"))
-    text = F.expr("substring(text, 1, length(text) - 1)")  # the writer ends a file with a new line
-    doc_id = F.regexp_extract("source", r"/doc_id=(-?[0-9]+)/[^/]*$", 1).cast("long")
-    return found.select(doc_id.alias("doc_id"), F.length(text).cast("long").alias("n_chars"), F.md5(text).alias("text_md5"))
+    rows = load_table(spark, sf_dir, "documents").select("doc_id", F.encode("text", "UTF-8").alias("content"))
+    manifest = write_files(rows, path, ["doc_id"])
+    found = extract_text(of_manifest(scan_documents(spark, path, "*.txt"), manifest))
+    return found.select("doc_id", F.length("text").cast("long").alias("n_chars"), F.md5("text").alias("text_md5"))
 
 
 def _encoded(spark: SparkSession, sf_dir: str, broken: bool) -> DataFrame:
@@ -149,16 +148,21 @@ def truncate_tokens(spark: SparkSession, sf_dir: str) -> DataFrame:
 # embeddings
 
 
+def _entries(rows: DataFrame, key: str) -> DataFrame:
+    return rows.select(key, F.inline("entries")).select(key, F.col("bucket").cast("long").alias("bucket"), F.col("n").cast("double").alias("value"))
+
+
 @query(sql.with_embeddings("SELECT id, bucket, n::DOUBLE AS value FROM embedded"))
 def embed_dense(spark: SparkSession, sf_dir: str) -> DataFrame:
-    entries = embed.nonzero(embed.embed_dense(numbered(spark, sf_dir)), ["id"])
-    return entries.select("id", F.col("bucket").cast("long").alias("bucket"), F.col("value").cast("double").alias("value"))
+    """The entries of each vector that aren't zero."""
+    return _entries(embed.embed_sparse(numbered(spark, sf_dir)), "id")
 
 
 @query(sql.with_embeddings("SELECT query_id, bucket, n::DOUBLE AS value FROM asked"))
 def embed_query(spark: SparkSession, sf_dir: str) -> DataFrame:
-    entries = embed.nonzero(embed.embed_query(questions(spark, sf_dir)), ["query_id"])
-    return entries.select("query_id", F.col("bucket").cast("long").alias("bucket"), F.col("value").cast("double").alias("value"))
+    """Those of dense vectors."""
+    rows = embed.embed_query(questions(spark, sf_dir)).select("query_id", F.posexplode("vector").alias("bucket", "value")).where("value <> 0")
+    return rows.select("query_id", F.col("bucket").cast("long").alias("bucket"), F.col("value").cast("double").alias("value"))
 
 
 @query("SELECT vec_id, round(sqrt(list_sum([x::DOUBLE * x::DOUBLE for x in embedding])), 6) AS norm, 1.0::DOUBLE AS unit_norm, round(embedding[1]::DOUBLE / sqrt(list_sum([x::DOUBLE * x::DOUBLE for x in embedding])), 6) AS first FROM embeddings")
@@ -335,6 +339,27 @@ def knn_ann(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rounded(search.knn_ann(asked_vectors(spark, sf_dir), stored_vectors(spark, sf_dir), nprobe=PROBES, centres=_centres(spark, sf_dir)))
 
 
+def _indexed_collection(spark: SparkSession, sf_dir: str) -> CollectionConfig:
+    """The vectors as a collection with an inverted file. Half of them come after the index was built, with other vectors for a quarter that was there."""
+    rows = stored_vectors(spark, sf_dir).where("id is not null and vector is not null").withColumn("payload", F.struct(F.lit("").alias("text"), F.lit("embeddings").alias("source")))
+    own = CollectionConfig(name=f"c_{uuid.uuid4().hex}", dim=64, part_ids=100)
+    collections.create_collection(spark, own)
+    turned = F.when(F.col("id") % 4 == 0, F.transform("vector", lambda x: -x)).otherwise(F.col("vector"))
+    collections.write_points(spark, own, rows.where("id % 2 = 0").withColumn("vector", turned), 1000)
+    index.build_index(spark, own.name, SearchConfig(nprobe=PROBES), _centres(spark, sf_dir))
+    collections.write_points(spark, own, rows.where("id % 4 <> 2"), 1000)
+    return own
+
+
+@query(sql.by_cells(CELLS, PROBES))
+def knn_stored(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Searches a stored inverted file: nothing is fitted, and only the cells that questions visit are read."""
+    own = _indexed_collection(spark, sf_dir)
+    out = written(rounded(index.knn_stored(asked_vectors(spark, sf_dir), own.name)), "knn-stored")
+    collections.drop_collection(spark, own)
+    return out
+
+
 @query(sql.by_cells(CELLS, PROBES))
 def knn_overfetch(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rounded(search.knn_overfetch(asked_vectors(spark, sf_dir), stored_vectors(spark, sf_dir), SearchConfig(nprobe=PROBES), centres=_centres(spark, sf_dir)))
@@ -424,9 +449,15 @@ def answer_stats(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query(sql.with_contexts("SELECT a.query_id, a.query, a.n_documents, a.sources, a.context, a.answer FROM answers a"))
 def run_queries(spark: SparkSession, sf_dir: str) -> DataFrame:
-    state = answer.run_queries(questions(spark, sf_dir), found(spark, sf_dir))
+    """Indexes the documents, then answers from the collection alone (exactly, so that SQL can say what is found)."""
+    own = CollectionConfig(name=f"c_{uuid.uuid4().hex}")
+    config = Config(collection=own, search=SearchConfig(exact_below_bytes=1 << 62))
+    collections.setup_index(documents(spark, sf_dir), config, chunk.chunk_window)
+    state = answer.answer_from(questions(spark, sf_dir), config)
     sources = F.array_join(F.transform("retrieved_docs", lambda d: d["source"]), ",")
-    return state.select("query_id", "query", F.size("retrieved_docs").cast("long").alias("n_documents"), sources.alias("sources"), "context", "answer")
+    out = written(state.select("query_id", "query", F.size("retrieved_docs").cast("long").alias("n_documents"), sources.alias("sources"), "context", "answer"), "answers")
+    collections.drop_collection(spark, own)
+    return out
 
 
 @query(sql.with_hits("SELECT query_id, rank::INTEGER AS rank, source, round(score, 4) AS score, substr(text, 1, 200) || '...' AS preview FROM hits"))

@@ -5,6 +5,7 @@ from __future__ import annotations
 import tempfile
 import uuid
 
+from pyarrow import fs as pafs
 from pyspark.sql import DataFrame, SparkSession
 
 _run_dirs: dict[str, str] = {}
@@ -28,7 +29,8 @@ def shared_dir(spark: SparkSession) -> str:
     return found.rstrip("/")
 
 
-def _hadoop(spark: SparkSession, path: str):
+def hadoop_fs(spark: SparkSession, path: str):
+    """The file system of a path, and the path as that system's object."""
     at = spark._jvm.org.apache.hadoop.fs.Path(path)
     return at.getFileSystem(spark._jsc.hadoopConfiguration()), at
 
@@ -37,7 +39,7 @@ def run_dir(spark: SparkSession) -> str:
     """A folder of this application in the shared one, with its file system named in full. It is deleted when the driver ends."""
     key = f"{spark.sparkContext.applicationId} {shared_dir(spark)}"
     if key not in _run_dirs:
-        fs, at = _hadoop(spark, f"{shared_dir(spark)}/marginalia-{uuid.uuid4().hex}")
+        fs, at = hadoop_fs(spark, f"{shared_dir(spark)}/marginalia-{uuid.uuid4().hex}")
         fs.mkdirs(at)
         fs.deleteOnExit(at)
         _run_dirs[key] = fs.makeQualified(at).toString()
@@ -55,10 +57,22 @@ def written(df: DataFrame, name: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def open_fs(uri: str) -> tuple[pafs.FileSystem, str]:
+    """File system and path, for tasks, of a URI as Spark names it; new_path() always gives its scheme."""
+    scheme, _, rest = uri.partition(":")
+    if scheme == "file":
+        return pafs.LocalFileSystem(), "/" + rest.lstrip("/")
+    if scheme == "dbfs":  # mounted there on every machine
+        return pafs.LocalFileSystem(), "/dbfs/" + rest.lstrip("/")
+    if not rest:
+        raise ValueError(f"a path without a scheme: {uri}")
+    return pafs.FileSystem.from_uri(f"{ {'s3a': 's3', 's3n': 's3'}.get(scheme, scheme)}:{rest}")
+
+
 def discard(table: DataFrame) -> None:
     """Deletes the files of a table that written() gave and that nothing reads any more."""
     spark = table.sparkSession
     for path in {f.rpartition("/")[0] for f in table.inputFiles()}:
         if run_dir(spark).rpartition("/")[2] in path:
-            fs, at = _hadoop(spark, path)
+            fs, at = hadoop_fs(spark, path)
             fs.delete(at, True)

@@ -1,18 +1,21 @@
 """Hand-written inputs for the retrieval operators."""
 
+import shutil
+
 import numpy as np
 import pytest
-from hypothesis import given
+from hypothesis import given, settings
 from hypothesis import strategies as st
 from pyspark.errors import PySparkException
+from pyspark.sql import DataFrameWriter, Observation
 from pyspark.sql import functions as F
 
 from marginalia.config import ChunkConfig, CollectionConfig, Config, EmbedConfig, SearchConfig
 from marginalia.functions import text as tx
 from marginalia.functions import vectors
-from marginalia.operators import answer, chunk, collections, embed, points, search
+from marginalia.operators import answer, chunk, collections, embed, index, points, search
 from marginalia.plans.registry import QUERIES
-from marginalia.sources.documents import extract_text, reject_bad_documents, scan_documents, strict_utf8_text
+from marginalia.sources.documents import extract_text, of_manifest, reject_bad_documents, scan_documents, strict_utf8_text, write_files
 from marginalia.streaming.incremental import PER_DOCUMENT, document_stream, index_stream, newest, stream_ids
 
 
@@ -32,6 +35,47 @@ def test_chunk_counts(spark):
     assert same.count() == 0
 
 
+def plain_split(text, config, separators=None):
+    """The rules of recursive chunks, piece by piece."""
+    separators = config.separators if separators is None else separators
+    at = next((i for i, x in enumerate(separators) if not x or x in text), len(separators) - 1)
+    later, out, held = separators[at + 1 :], [], []
+    if separators[at]:
+        first, *rest = text.split(separators[at])
+        pieces = [p for p in (first, *(separators[at] + r for r in rest)) if p]
+    else:
+        pieces = list(text)
+
+    def emit():
+        if chunk := "".join(held).strip():
+            out.append(chunk)
+
+    for piece in pieces:
+        if len(piece) >= config.size:
+            emit()
+            held.clear()
+            out += plain_split(piece, config, later) if later else [piece]
+            continue
+        size = sum(map(len, held))
+        if held and size + len(piece) > config.size:
+            emit()
+            while held and (size > config.overlap or size + len(piece) > config.size):
+                size -= len(held.pop(0))
+        held.append(piece)
+    emit()
+    return out
+
+
+SEPARATORS = st.sampled_from([ChunkConfig().separators, ("\n\n", "\n", " "), ("ab", "b"), ("\n\n", ""), ("",), ("aba", "\n", "")])
+
+
+@settings(max_examples=400, deadline=None)
+@given(st.lists(st.text(alphabet="ab \n\u00a0\U0001f600", max_size=120), max_size=5), st.integers(1, 30), st.integers(0, 20), SEPARATORS)
+def test_a_batch_is_split_as_its_texts_are(texts, size, overlap, separators):
+    config = ChunkConfig(size, min(overlap, size - 1), separators)
+    assert chunk.split_batch(texts, config) == [plain_split(t, config) for t in texts]
+
+
 def test_recursive_separators():
     small = ChunkConfig(20, 5)
     assert chunk.split_recursive("first part here\n\nsecond part", small) == ["first part here", "second part"]
@@ -98,6 +142,17 @@ def test_files(spark, tmp_path):
     assert sorted(r["text"] for r in extract_text(files).collect()) == ["drei ä", "one", "two"]
 
 
+def test_a_file_per_row(spark, tmp_path):
+    rows = [(1, b"aa"), (1, b"bbb"), (1, b"bbb"), (None, b"c\n"), (2, b""), (3, None)]
+    table = spark.createDataFrame([(i, None if b is None else bytearray(b)) for i, b in rows], "doc_id long, content binary").repartition(3)
+    path = f"file://{tmp_path}/files"
+    manifest = write_files(table, path, ["doc_id"])
+    (tmp_path / "files" / "left").mkdir()
+    (tmp_path / "files" / "left" / "0.txt").write_bytes(b"of a task that was run again")
+    found = of_manifest(scan_documents(spark, path, "*.txt"), manifest)
+    assert sorted(((r["doc_id"], bytes(r["content"])) for r in found.collect()), key=repr) == sorted(((i, b) for i, b in rows if b is not None), key=repr)
+
+
 def test_truncate(spark):
     rows = docs(spark, *(" ".join(["w"] * n) for n in (511, 512, 513)))
     assert [r["n"] for r in chunk.truncate_tokens(rows).select(F.size("tokens").alias("n")).collect()] == [511, 512, 512]
@@ -145,7 +200,6 @@ def test_search(spark, distance, monkeypatch):
     assert measure and lists(search.knn_exact(q, p, 7, distance)) == want
     assert lists(search.knn_ann(q, p, 7, distance, nlist=5, nprobe=5)) == want
     monkeypatch.setattr(search, "SENT_BYTES", 0)
-    monkeypatch.setattr(search, "QUERY_BLOCK", 2)
     monkeypatch.setattr(search, "POINT_PART", 30)
     monkeypatch.setattr(search, "AT_ONCE", 50)
     assert lists(search.knn_exact(q, p, 7, distance)) == want
@@ -208,6 +262,29 @@ def test_ids_of_null_and_repeated_documents(spark):
     assert tuple(stats) == (6, 10, 10)
 
 
+@pytest.mark.parametrize("sent", [500_000, 0])
+def test_chunks_are_numbered_by_document(spark, monkeypatch, sent):
+    monkeypatch.setattr(points, "SENT_KEYS", sent)
+    long = "a long text " * 200
+    rows = [(1, "a", long), (1, "a", "another"), (1, "a", "another"), (None, "b", long), (None, None, "no id"), (2, None, "two"), (2, None, None), (3, "c", " ")]
+    rows += [(9, "hot", long)] * 40 + [(None, None, None)] * 3
+    table = spark.createDataFrame(rows, "doc_id long, source string, text string")
+    got = points.number_chunks(table, chunk.chunk_window).orderBy("id").collect()
+    assert [r["id"] for r in got] == list(range(len(got))) and len(got) == chunk.chunk_window(table).count()
+    key = lambda r: ((r["doc_id"] is None, r["doc_id"] or 0), (r["source"] is None, r["source"] or ""))
+    assert [key(r) for r in got] == sorted(map(key, got))
+    hot = [r["chunk_idx"] for r in got if r["doc_id"] == 9]
+    assert hot == list(range(len(hot) // 40)) * 40  # the chunks of one copy follow each other
+    assert points.number_chunks(table.limit(0), chunk.chunk_window).count() == 0
+
+
+def test_no_chunk_is_shuffled_to_be_numbered(spark, sf_dir):
+    table = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    out = points.number_chunks(table, chunk.chunk_window)
+    plan = out._jdf.queryExecution().executedPlan().toString()
+    assert "BroadcastHashJoin" in plan and "hashpartitioning" not in plan and "rangepartitioning" not in plan
+
+
 def test_upsert_and_validate(spark):
     old, new = vecs(spark, [(0, [1.0]), (1, [1.0]), (2, [1.0])], "id"), vecs(spark, [(2, [2.0]), (3, [2.0, 1.0])], "id")
     merged = points.upsert_points(old, new)
@@ -239,36 +316,183 @@ def test_collections(spark):
 
 
 def some_points(spark, ids, text):
-    return spark.createDataFrame([(i, [1.0, 2.0], (text, "s")) for i in ids], collections.SCHEMA.replace(", part BIGINT", ""))
+    return spark.createDataFrame([(i, [1.0, float(i)], (text, "s")) for i in ids], collections.SCHEMA)
 
 
-def test_an_upsert_that_breaks_off_loses_nothing(spark, monkeypatch):
-    own = CollectionConfig(name="t_broken", dim=2, part_ids=10)
+def test_a_write_touches_its_partitions_only(spark):
+    own = CollectionConfig(name="t_parts", dim=2, part_ids=10)
     collections.create_collection(spark, own)
+    assert spark.table("t_parts").count() == 0
     collections.write_points(spark, own, some_points(spark, range(0, 40, 4), "old"), 100)
-    held = lambda: sorted((r["id"], r["payload"]["text"]) for r in spark.table("t_broken").collect())
-    files = lambda: {f for f in spark.table("t_broken").inputFiles() if "part=3" in f}
-    before = files()
+    files = lambda part: {f for f in spark.table("t_parts").inputFiles() if f"part={part}/" in f}
+    before = files(3)
     collections.write_points(spark, own, some_points(spark, [4, 5, 12], "new"), 100)
-    want = sorted({i: "old" for i in range(0, 40, 4)} | {4: "new", 5: "new", 12: "new"} | {})
-    assert [i for i, _ in held()] == want and dict(held())[4] == "new" and files() == before  # untouched partitions stay as they are
-    put, calls = collections.put_in_place, []
-
-    def broken(spark, name):
-        calls.append(name)
-        if len(calls) == 2:  # the rows are staged, and the collection loses a partition
-            spark.sql(f"ALTER TABLE `{name}` DROP PARTITION (part = 0)")
+    held = {r["id"]: r["payload"]["text"] for r in spark.table("t_parts").collect()}
+    assert held == {i: "old" for i in range(0, 40, 4)} | {4: "new", 5: "new", 12: "new"} and files(3) == before
+    collections.write_points(spark, own, some_points(spark, [5], "newer"), 100)
+    collections.write_points(spark, own, some_points(spark, [5], "newest"), 100)
+    assert len({f.rpartition("/")[0] for f in files(0)}) == 2  # the live version and the one before; older ones are removed
+    assert spark.table("t_parts").where("id = 5").first()["payload"]["text"] == "newest"
+    collections.drop_collection(spark, own)
+
+
+def broken_writer(monkeypatch, at, half):
+    """The at-th Parquet write from now on fails, before it begins or with its files written but not all that should follow."""
+    calls, write = [], DataFrameWriter.parquet
+
+    def parquet(self, path, *a, **b):
+        calls.append(path)
+        if len(calls) == at + 1:
+            if half:
+                write(self, path, *a, **b)
             raise OSError("broken off")
-        return put(spark, name)
-
-    monkeypatch.setattr(collections, "put_in_place", broken)
-    with pytest.raises(OSError):
-        collections.write_points(spark, own, some_points(spark, [8, 9], "newer"), 100)
-    assert "t_broken__staged" not in collections.list_collections(spark)
-    monkeypatch.setattr(collections, "put_in_place", put)
-    collections.write_points(spark, own, some_points(spark, [36], "newest"), 100)
-    assert [i for i, _ in held()] == sorted({*want, 9}) and dict(held())[8] == "newer" and dict(held())[36] == "newest"
-    assert collections.drop_collection(spark, own) and not spark.catalog.tableExists("t_broken__staged")
+        return write(self, path, *a, **b)
+
+    monkeypatch.setattr(DataFrameWriter, "parquet", parquet)
+    return calls
+
+
+@pytest.mark.parametrize("half", [False, True])
+def test_a_write_that_breaks_off_anywhere(spark, monkeypatch, half):
+    """Fails at every write in turn, and at the swap and behind it; the old state stays, and the next write goes on."""
+    own = CollectionConfig(name=f"t_broken_{half}", dim=2, part_ids=10)
+    collections.create_collection(spark, own)
+    collections.write_points(spark, own, some_points(spark, range(0, 40, 4), "old"), 100)
+    index.build_index(spark, own.name, SearchConfig(nprobe=2), np.array([[1.0, 0.0], [1.0, 30.0]]))
+    held = lambda: {r["id"]: r["payload"]["text"] for r in spark.table(own.name).collect()}
+    asked = vecs(spark, [(0, [1.0, 8.0]), (1, [0.0, 1.0])], "query_id")
+    found = lambda: sorted((r["query_id"], r["rank"], r["id"]) for r in index.knn_stored(asked, own.name, 30).collect())
+    exact = lambda: sorted((r["query_id"], r["rank"], r["id"]) for r in search.knn_exact(asked, spark.table(own.name), 30).collect())
+    want, broken = held(), 0
+    assert found() == exact()
+    for at in range(9):
+        with monkeypatch.context() as m:
+            calls = broken_writer(m, at, half)
+            try:
+                collections.write_points(spark, own, some_points(spark, [8, 9, 31], f"try {at}"), 100)
+            except OSError:
+                broken += 1
+                assert held() == want and found() == exact()
+                continue
+        assert len(calls) == at
+        break
+    assert broken >= 4  # the new points, their version, the index entries, the manifest
+    want |= {8: f"try {at}", 9: f"try {at}", 31: f"try {at}"}
+    assert held() == want and found() == exact()
+    with monkeypatch.context() as m:
+        m.setattr(collections, "_publish", lambda *_: (_ for _ in ()).throw(OSError("broken off")))
+        with pytest.raises(OSError):
+            collections.write_points(spark, own, some_points(spark, [4], "unseen"), 100)
+    assert held() == want
+    with monkeypatch.context() as m:
+        m.setattr(collections, "_clean", lambda *_: (_ for _ in ()).throw(OSError("broken off")))
+        with pytest.raises(OSError):
+            collections.write_points(spark, own, some_points(spark, [4], "seen"), 100)
+    assert held() == want | {4: "seen"}
+    collections.write_points(spark, own, some_points(spark, [50], "last"), 100)
+    assert held() == want | {4: "seen", 50: "last"} and found() == exact()
+    live = {(r["version"], r["part"]) for r in collections.live_parts(spark, collections.own_properties(spark, own.name)).collect()}
+    assert len(live) == 5 and len({f for f in spark.table(own.name).inputFiles() if "/points/" in f}) <= 2 * len(live) + 1
+    assert collections.drop_collection(spark, own) and not collections.collection_exists(spark, own.name)
+
+
+def test_another_write_in_between(spark):
+    own = CollectionConfig(name="t_between", dim=2)
+    collections.create_collection(spark, own)
+    before = collections.own_properties(spark, own.name)
+    collections.write_points(spark, own, some_points(spark, [1], "first"), 100)
+    with pytest.raises(RuntimeError):
+        collections.commit(spark, own.name, before, {}, collections.live_parts(spark, before))
+    assert spark.table(own.name).count() == 1
+    collections.drop_collection(spark, own)
+
+
+def test_views_that_are_no_collections_are_not_listed(spark):
+    spark.sql("CREATE OR REPLACE VIEW t_other AS SELECT 1 AS one")
+    assert "t_other" not in collections.list_collections(spark)
+    spark.sql("DROP VIEW t_other")
+
+
+def stored_collection(spark, name, rows, **search_config):
+    own = CollectionConfig(name=name, dim=len(rows[0][1]), distance="euclidean", part_ids=200)
+    collections.create_collection(spark, own)
+    collections.write_points(spark, own, spark.createDataFrame([(i, v, ("t", "s")) for i, v in rows], collections.SCHEMA), 100)
+    index.build_index(spark, name, SearchConfig(**search_config))
+    return own
+
+
+def test_a_stored_index_is_read_by_cells_and_never_fitted_again(spark, monkeypatch):
+    rng = np.random.default_rng(8)
+    middle = rng.normal(size=(30, 8)) * 20
+    rows = [(i, [float(x) for x in middle[i % 30] + rng.normal(size=8)]) for i in range(1500)]
+    own = stored_collection(spark, "t_cells", rows, nlist=30)
+    q = vecs(spark, rows[:4], "query_id")
+    monkeypatch.setattr(search, "KMeans", None)
+    monkeypatch.setattr(search, "fit_probes", None)
+    hits = index.knn_stored(q, own.name)
+    exact = search.knn_exact(q, spark.table(own.name), distance="euclidean")
+    assert np.mean([r["recall"] for r in search.ann_recall(hits, exact).collect()]) >= 0.9
+    held = collections.own_properties(spark, own.name)
+    read = index.entries(spark, held, [3, 5])
+    plan = read._jdf.queryExecution().executedPlan().toString()
+    assert "PartitionFilters: [cell#" in plan and "cell#" in plan.split("PartitionFilters")[1].split("]")[0]
+    assert 0 < read.count() < 400 and int(held["nprobe"]) <= 10
+    text = [str(r) for r in index.payloads(spark, own.name, hits).select("id", "text", "source").collect()]
+    assert len(text) == hits.count()
+    collections.drop_collection(spark, own)
+
+
+def test_recall_of_a_stored_index_without_structure(spark):
+    rows = [(r["id"], r["vector"]) for r in spark.read.parquet("/root/testdata/sf0.1/embeddings.parquet").selectExpr("vec_id AS id", "embedding AS vector").collect()]
+    own = stored_collection(spark, "t_loose", rows)
+    q = vecs(spark, rows[::50], "query_id")
+    exact = search.knn_exact(q, spark.table(own.name), distance="euclidean")
+    assert np.mean([r["recall"] for r in search.ann_recall(index.knn_stored(q, own.name), exact).collect()]) >= 0.9
+    collections.drop_collection(spark, own)
+
+
+def test_an_index_with_nulls_and_without_points(spark):
+    own = CollectionConfig(name="t_none", dim=2, distance="euclidean")
+    collections.create_collection(spark, own)
+    index.build_index(spark, own.name)
+    q = vecs(spark, [(1, [1.0, 0.0]), (2, None)], "query_id")
+    assert index.knn_stored(q, own.name).count() == 0
+    collections.write_points(spark, own, some_points(spark, [3], "x"), 10)
+    index.build_index(spark, own.name)
+    assert [(r["query_id"], r["id"]) for r in index.knn_stored(q, own.name).collect()] == [(1, 3)]
+    assert index.knn_stored(q.limit(0), own.name).count() == 0
+    collections.drop_collection(spark, own)
+
+
+@pytest.mark.parametrize("distance", ["cosine", "euclidean", "manhattan"])
+def test_balls_rule_cells_out_and_lose_nothing(spark, monkeypatch, distance):
+    rng = np.random.default_rng(6)
+    middle = rng.normal(size=(25, 6)) * 10
+    rows = [(i, [float(x) for x in middle[i % 25] + rng.normal(size=6)]) for i in range(900)] + [(1000, [0.0] * 6)]
+    p, q = vecs(spark, rows, "id"), vecs(spark, [*rows[::3], (5000, [0.0] * 6), (5001, None)], "query_id")
+    want = sorted(map(tuple, search.knn_exact(q, p, 6, distance).select("query_id", "rank", "id").collect()))
+    monkeypatch.setattr(search, "SENT_BYTES", 0)
+    monkeypatch.setattr(search, "POINT_PART", 20)
+    seen = Observation("balls")
+    got = search.knn_exact(q, p, 6, distance, seen)
+    assert sorted(map(tuple, got.select("query_id", "rank", "id").collect())) == want
+    assert seen.get["visits"] < 0.5 * 301 * 29  # cells that aren't a question's own
+    few = search.knn_exact(q, p.limit(3), 6, distance)  # fewer than k: nothing is ruled out
+    assert few.where("query_id = 0").count() == 3
+
+
+def test_answers_come_from_the_collection(spark, tmp_path):
+    rows = docs(spark, "the first text is about apples. " * 3, "pears are in the second one. " * 60)
+    rows.write.parquet(str(tmp_path / "docs"))
+    config = Config(collection=CollectionConfig(name="t_answers", dim=64), embed=EmbedConfig(dim=64), search=SearchConfig(exact_below_bytes=0, nlist=2, nprobe=2))
+    assert collections.setup_index(spark.read.parquet(str(tmp_path / "docs")), config)
+    assert "index" in collections.properties(spark, "t_answers")
+    shutil.rmtree(tmp_path / "docs")  # the second step reads nothing of it
+    asked = spark.createDataFrame([(1, "what about apples?"), (2, "pears"), (3, "")], "query_id long, query string")
+    state = {r["query_id"]: r for r in answer.answer_from(asked, config).collect()}
+    assert state[1]["answer"] == "the first text is about apples." and state[1]["retrieved_docs"][0]["source"] == "s0"
+    assert state[2]["retrieved_docs"][0]["source"] == "s1" and state[3]["retrieved_docs"] == [] and state[3]["context"] == ""
+    collections.drop_collection(spark, config.collection)
 
 
 def test_models_can_be_plugged_in(spark):
