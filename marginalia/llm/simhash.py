@@ -30,6 +30,7 @@ text may have any names; those that begin with two underscores are the stage's o
 from __future__ import annotations
 
 import hashlib
+from collections.abc import Callable, Iterable, Iterator
 
 import numpy as np
 import pandas as pd
@@ -322,15 +323,18 @@ def near_duplicates(docs: DataFrame, text: str = "text", width: int = 3, radius:
 #: The deduplicating stage: rows are linked if the sets of their five-word shingles have a Jaccard similarity of at least NEAR.
 STAGE = {"width": 5}
 NEAR = (4, 5)
-#: Words of the stage's fingerprints, and bits of all of them in which two sets so similar differ at most: their angle is at most
-#: acos(8/9), so a bit differs with a probability of 0.151, that is, 38.8 of 256 with a deviation of 5.7; this is 4.4 deviations more.
-WORDS, FAR = 4, 64
+#: Words of the stage's fingerprints, bits of all of them in which two sets so similar differ at most, and the size below which sets are
+#: compared whatever their fingerprints say. The angle of similar sets is at most acos(8/9), so a bit differs with a probability of 0.151, that is, 38.8 of 256
+#: with a deviation of 5.7, if a bit sums many shingles; FAR is 7.2 deviations more. Bits of small sets are no such sums.
+WORDS, FAR, SMALL = 4, 80, 64
 #: Texts that are sampled to find frequent shingles, in how many of them one is frequent, and how many are known at most.
 HOT_TEXTS, HOT_LEAST, HOT_MOST = 10_000, 5, 50_000
 #: Shared shingles, 16 bytes each, that may be sent to all tasks; a list of more sets than HOT_LIST is joined by sending its row to all tasks.
 SHARED_SENT, HOT_LIST = 500_000, 5_000
 #: Pairs of one point that a task compares, and sets of a family, or rows of a list, that one task takes.
 PIVOT_PAIRS, TILE = 2_000, 1_500
+#: Pairs that are looked at at once by size and fingerprint, those that are compared at once, and bytes that the sets of a family may take as bits.
+CLOSE_PAIRS, EXACT_PAIRS, SET_BYTES = 1 << 19, 1 << 14, 32 << 20
 #: Rows of small lists, and of small families, that one group of a task should have.
 LIST_ROWS, FAMILY_ROWS = 20_000, 1_000
 
@@ -364,7 +368,7 @@ def frequent_shingles(docs: DataFrame, text: str, width: int) -> np.ndarray:
 
 
 def prefix_tokens(docs: DataFrame, hot: np.ndarray, text: str, width: int) -> DataFrame:
-    """token, pid: the first shingles of each set, so many that of two sets with a similarity of NEAR one is common.
+    """token, pid, rest: the first shingles of each set, so many that of two sets with a similarity of NEAR one is common, and how many of the set there are from it on.
 
     All sets are in one order, frequent shingles last. A task leaves out sets that it has had among its last ones.
     """
@@ -375,7 +379,7 @@ def prefix_tokens(docs: DataFrame, hot: np.ndarray, text: str, width: int) -> Da
         values, rank = known.value
         seen: set[int] = set()
         for batch in (part for whole in batches for part in slices(whole)):
-            tokens, pids = [np.empty(0, np.int64)], [np.empty(0, np.int64)]
+            tokens, pids, rests = [np.empty(0, np.int64)], [np.empty(0, np.int64)], [np.empty(0, np.int32)]
             for t in batch.column(text):
                 s = shingle_set(t.as_py(), width)
                 pid = set_name(s)
@@ -391,9 +395,10 @@ def prefix_tokens(docs: DataFrame, hot: np.ndarray, text: str, width: int) -> Da
                 first = s[: len(s) - -(-len(s) * NEAR[0] // NEAR[1]) + 1]
                 tokens.append(first.view(np.int64))
                 pids.append(np.full(len(first), pid, np.int64))
-            yield pa.RecordBatch.from_pydict({"token": pa.array(np.concatenate(tokens)), "pid": pa.array(np.concatenate(pids))})
+                rests.append(len(s) - np.arange(len(first), dtype=np.int32))
+            yield pa.RecordBatch.from_pydict({"token": pa.array(np.concatenate(tokens)), "pid": pa.array(np.concatenate(pids)), "rest": pa.array(np.concatenate(rests))})
 
-    return docs.select(text).mapInArrow(run, "token long, pid long")
+    return docs.select(text).mapInArrow(run, "token long, pid long, rest int")
 
 
 def _confirmed(pairs: DataFrame, sets: DataFrame) -> DataFrame:
@@ -413,34 +418,67 @@ def _by_token(rows: DataFrame, lists: DataFrame) -> DataFrame:
     return rows.where(F.col("n") <= HOT_LIST).join(lists, "token").unionByName(hot.join(F.broadcast(lists.where(F.col("size_of") > HOT_LIST)), "token"))
 
 
-def _different(sketch: np.ndarray, other: np.ndarray) -> np.ndarray:
-    """Differing bits of each row of sketch and each of other."""
-    out = np.zeros((len(sketch), len(other)), np.int16)
-    for w in range(WORDS):
-        out += np.bitwise_count(sketch[:, w, None] ^ other[None, :, w])
-    return out
-
-
-def candidates(sketch: np.ndarray, size: np.ndarray, root: np.ndarray) -> list[tuple[np.ndarray, np.ndarray]]:
-    """Positions (i, j) of pairs that may be similar enough and have different roots, in blocks of bounded size.
+def candidates(sketch: np.ndarray, size: np.ndarray, root: np.ndarray, rest: np.ndarray | None = None) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """Positions (i, j) of pairs that may be similar enough and have different roots, each once, CLOSE_PAIRS at a time.
 
-    The largest group of equal roots isn't compared with itself.
+    Sets are sorted by size, so a set's partners are a range. rest: how many of a set's shingles there are from the one on that all
+    share; if that is the first that a pair shares, it shares no more than the smaller rest. That bounds the range: pages with much
+    in common but too much of their own in front have none. The largest group of equal roots isn't compared with itself.
     """
-    _, name, count = np.unique(root, return_inverse=True, return_counts=True)
-    few = np.flatnonzero(name != count.argmax())
-    out, step = [], max(1, (1 << 20) // max(1, len(root)))
-    for at in range(0, len(few), step):
-        own = few[at : at + step]
-        close = _different(sketch[own], sketch) <= FAR
-        close &= name[own][:, None] != name[None]
-        low, high = np.minimum(size[own][:, None], size[None]), np.maximum(size[own][:, None], size[None])
-        close &= low * NEAR[1] >= high * NEAR[0]
-        i, j = np.nonzero(close)
-        out.append((own[i], j))
-    return out
-
-
-def spanning(n: int, pairs: list[tuple[np.ndarray, np.ndarray]], right=None) -> tuple[np.ndarray, np.ndarray]:
+    order = np.argsort(size, kind="stable")
+    sketch, size = sketch[order], size[order]
+    _, name, count = np.unique(root[order], return_inverse=True, return_counts=True)
+    most = size * NEAR[1] // NEAR[0]
+    if rest is not None:
+        rest = rest[order]
+        most = np.minimum(most, rest * sum(NEAR) // NEAR[0] - size)
+    main = name == count.argmax()
+    places = np.arange(len(size))
+    for own, others in ((places[~main], places), (places[main], places[~main])):
+        low = np.searchsorted(others, own, "right")
+        many = np.maximum(0, np.searchsorted(size[others], most[own], "right") - low)
+        ends, at = np.cumsum(many), 0
+        while at < len(own):
+            to = max(at + 1, int(np.searchsorted(ends, (ends[at - 1] if at else 0) + CLOSE_PAIRS, "right")))
+            n = many[at:to]
+            i = np.repeat(own[at:to], n)
+            j = others[np.repeat(low[at:to] - np.cumsum(n) + n, n) + np.arange(len(i))]
+            at = to
+            if rest is not None:
+                ok = np.flatnonzero(np.minimum(rest[i], rest[j]) * sum(NEAR) >= (size[i] + size[j]) * NEAR[0])
+                i, j = i[ok], j[ok]
+            ok = np.flatnonzero(name[i] != name[j])
+            i, j = i[ok], j[ok]
+            differ = sum(np.bitwise_count(sketch[i, w] ^ sketch[j, w]).astype(np.int16) for w in range(WORDS))
+            ok = np.flatnonzero((differ <= FAR) | (size[i] < SMALL) | (size[j] < SMALL))
+            yield order[i[ok]], order[j[ok]]
+
+
+def similar(sets: list[np.ndarray]) -> Callable[[np.ndarray, np.ndarray], np.ndarray]:
+    """Tells of pairs (i, j) of sets whether their Jaccard similarity is at least NEAR, exactly.
+
+    What only one set has is in no intersection. The rest become columns, and a set a row of bits, if that takes at most
+    SET_BYTES; else sets are intersected pair by pair.
+    """
+    size = np.array([len(x) for x in sets])
+    flat = np.concatenate([np.empty(0, np.int64), *sets])
+    _, column, count = np.unique(flat, return_inverse=True, return_counts=True)
+    number = np.cumsum(count > 1) - 1
+    width = -(-(int(number[-1]) + 1 if len(number) else 0) // 64) * 64
+    enough = lambda i, j, common: common * sum(NEAR) >= (size[i] + size[j]) * NEAR[0]
+    if len(sets) * width > 8 * SET_BYTES:
+        return lambda i, j: enough(i, j, np.array([len(np.intersect1d(sets[a], sets[b], assume_unique=True)) for a, b in zip(i.tolist(), j.tolist(), strict=True)]))
+    shared, row = count[column] > 1, np.repeat(np.arange(len(sets)), size)
+    row, column, bits = row[shared], number[column[shared]], np.empty((len(sets), width // 64), np.uint64)
+    for at in range(0, len(sets), 64):
+        own = slice(*np.searchsorted(row, (at, at + 64)))
+        block = np.zeros((min(64, len(sets) - at), width), bool)
+        block[row[own] - at, column[own]] = True
+        bits[at : at + 64] = np.packbits(block, axis=1).view(np.uint64)
+    return lambda i, j: enough(i, j, np.bitwise_count(bits[i] & bits[j]).sum(1, dtype=np.int64))
+
+
+def spanning(n: int, pairs: Iterable[tuple[np.ndarray, np.ndarray]], right: Callable | None = None) -> tuple[np.ndarray, np.ndarray]:
     """(member, root) positions of the components of pairs; right(i, j), if given, is asked for pairs that aren't connected yet."""
     parent = list(range(n))
 
@@ -450,10 +488,19 @@ def spanning(n: int, pairs: list[tuple[np.ndarray, np.ndarray]], right=None) ->
         return i
 
     for one, other in pairs:
-        for i, j in zip(one.tolist(), other.tolist(), strict=True):
-            a, b = root(i), root(j)
-            if a != b and (right is None or right(i, j)):
-                parent[max(a, b)] = min(a, b)
+        step = EXACT_PAIRS if right else max(1, len(one))
+        for at in range(0, len(one), step):
+            i, j = one[at : at + step], other[at : at + step]
+            if right:
+                now = np.array([root(x) for x in range(n)])
+                apart = now[i] != now[j]
+                i, j = i[apart], j[apart]
+                ok = right(i, j) if len(i) else np.zeros(0, bool)
+                i, j = i[ok], j[ok]
+            for x, y in zip(i.tolist(), j.tolist(), strict=True):
+                a, b = root(x), root(y)
+                if a != b:
+                    parent[max(a, b)] = min(a, b)
     roots = np.array([root(i) for i in range(n)], np.int64)
     moved = np.flatnonzero(roots != np.arange(n))
     return moved, roots[moved]
@@ -482,15 +529,15 @@ def _tiled(rows: DataFrame, name: str, size: str, packs: int) -> DataFrame:
 
 
 def families(lists: DataFrame, packs: int) -> DataFrame:
-    """a, b: stars that connect sets which are in one list (token, pid, n, root, size, sketch) and may be similar by size and fingerprints."""
+    """a, b: stars that connect sets which are in one list (token, pid, rest, n, root, size, sketch) and may be similar by size, place and fingerprints."""
 
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
         pdf = pdf.sort_values(["token", "pid"], kind="stable")
-        pid, size, root = (pdf[c].to_numpy(np.int64) for c in ("pid", "size", "root"))
+        pid, size, root, rest = (pdf[c].to_numpy(np.int64) for c in ("pid", "size", "root", "rest"))
         sketch = np.stack(pdf["sketch"].to_numpy()).astype(np.int64).view(np.uint64)
         found = []
         for a, b in _edges(pdf["token"].to_numpy(np.int64)):
-            member, top = spanning(b - a, candidates(sketch[a:b], size[a:b], root[a:b])) if b - a > 1 else (np.empty(0, np.int64),) * 2
+            member, top = spanning(b - a, candidates(sketch[a:b], size[a:b], root[a:b], rest[a:b])) if b - a > 1 else (np.empty(0, np.int64),) * 2
             found.append((a + member, a + top))
         return _stars(pid, found).drop_duplicates()
 
@@ -505,13 +552,9 @@ def family_links(members: DataFrame, packs: int) -> DataFrame:
         pid, size, root = (pdf[c].to_numpy(np.int64) for c in ("pid", "size", "root"))
         sketch, sets = np.stack(pdf["sketch"].to_numpy()).astype(np.int64).view(np.uint64), pdf["hashes"].to_numpy()
 
-        def right(i: int, j: int) -> bool:
-            common = len(np.intersect1d(sets[i], sets[j], assume_unique=True))
-            return common * NEAR[1] >= (len(sets[i]) + len(sets[j]) - common) * NEAR[0]
-
         found = []
         for a, b in _edges(pdf["family"].to_numpy(np.int64)):
-            member, top = spanning(b - a, candidates(sketch[a:b], size[a:b], root[a:b]), lambda i, j, a=a: right(a + i, a + j))
+            member, top = spanning(b - a, candidates(sketch[a:b], size[a:b], root[a:b]), similar(list(sets[a:b])))
             found.append((a + member, a + top))
         return _stars(pid, found)
 
@@ -535,7 +578,7 @@ def _sets(docs: DataFrame, owners: DataFrame, text: str, width: int) -> DataFram
 def jaccard_links(docs: DataFrame, points: DataFrame, text: str, width: int) -> DataFrame:
     """a, b: links between sets (named by pid) with the components that all pairs with a similarity of at least NEAR make.
 
-    Two such sets have one of their first shingles in common. The pivot of a shingle's list is the set with which most others share
+    Two such sets have one of their first shingles in common; the first of these leaves both enough others to share. The pivot of a shingle's list is the set with which most others share
     shingles, as with the origin of many copies; first each set meets one pivot, the one that most of its lists have. Lists whose sets
     are all linked then drop out. Sets of the other lists that may be similar by their fingerprints make families, and
     within these the pairs that are not connected yet are compared. Every link is confirmed on the sets themselves, and only spanning
@@ -552,15 +595,16 @@ def jaccard_links(docs: DataFrame, points: DataFrame, text: str, width: int) ->
     of_set = written(fame.join(points.select("pid", "size", "sketch"), "pid"), "simhash-sizes")
     owner = points.select("pid", "key")
     ranked = join_table(met, of_set.select("pid", "size", "fame"), ["pid"], "inner", hot=False)
-    order = F.struct((-F.col("fame")).alias("h"), F.col("pid").alias("a"), F.col("size").alias("size_a"))
+    order = F.struct((-F.col("fame")).alias("h"), F.col("pid").alias("a"), F.col("size").alias("size_a"), F.col("rest").alias("rest_a"))
     pivots = ranked.groupBy("token").agg(F.min(order).alias("p"), F.max("n").alias("size_of")).select("token", "size_of", "p.*")
     both = _by_token(ranked, written(pivots, "simhash-pivots"))
     fits = (F.col("pid") != F.col("a")) & (F.least("size", "size_a") * NEAR[1] >= F.greatest("size", "size_a") * NEAR[0])
+    fits &= F.least("rest", "rest_a") * sum(NEAR) >= (F.col("size") + F.col("size_a")) * NEAR[0]
     shared_with = both.where(fits).groupBy(F.col("pid").alias("b"), "a").agg(F.count(F.lit(1)).alias("c"))
     pairs = shared_with.groupBy("b").agg(F.max(F.struct("c", "a")).alias("p")).select("p.a", "b")
-    sketch = lambda name: of_set.select(F.col("pid").alias(name), F.col("sketch").alias(f"of_{name}"))
+    sketch = lambda name: of_set.select(F.col("pid").alias(name), F.col("sketch").alias(f"of_{name}"), F.col("size").alias(f"size_{name}"))
     differ = sum((F.bit_count(F.get("of_a", F.lit(i)).bitwiseXOR(F.get("of_b", F.lit(i)))) for i in range(WORDS)), F.lit(0))
-    pairs = written(pairs.join(sketch("b"), "b").join(sketch("a"), "a").where(differ <= FAR).select("a", "b"), "simhash-pairs")
+    pairs = written(pairs.join(sketch("b"), "b").join(sketch("a"), "a").where((differ <= FAR) | (F.least("size_a", "size_b") < SMALL)).select("a", "b"), "simhash-pairs")
     asked = written(pairs.select(F.explode(F.array("a", "b")).alias("pid")).distinct().join(owner, "pid"), "simhash-asked")
     sets = written(_sets(docs, asked, text, width), "simhash-sets")
     first = written(_confirmed(pairs, sets), "simhash-links")

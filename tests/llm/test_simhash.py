@@ -240,3 +240,64 @@ def test_stage_equals_brute_force_jaccard(spark, monkeypatch, tile, sent):
             texts.append(" ".join(copy))
     rows = [(i, t, "en", "a") for i, t in enumerate(texts)]
     assert sorted(r["doc_id"] for r in simhash.keep_one(docs_table(spark, rows)).collect()) == plain_kept(texts)
+
+
+def test_small_sets_at_exactly_the_threshold(spark):
+    """Pairs of 4 to 40 shingles that share exactly four fifths of what they have, and pairs just below."""
+    rows, want, n = [], set(), 0
+    for common in range(4, 41, 4):
+        for left in range(common // 4 + 1):
+            for more in (0, 1):
+                names = [f"{n}w{i}" for i in range(common + 4)]
+                one = [f"{n}a{i}" for i in range(left)]
+                two = [f"{n}b{i}" for i in range(common // 4 - left + more)]
+                rows += [(2 * n, " ".join(one + names), "en", "a"), (2 * n + 1, " ".join(two + names), "en", "a")]
+                sets = [set(simhash.shingle_set(t, 5).tolist()) for _, t, _, _ in rows[-2:]]
+                if 9 * len(sets[0] & sets[1]) >= 4 * (len(sets[0]) + len(sets[1])):
+                    want.add(2 * n + 1)
+                n += 1
+    kept = {r["doc_id"] for r in simhash.keep_one(docs_table(spark, rows)).collect()}
+    assert {i for i, *_ in rows} - kept == want and want
+
+
+def template_pages(n):
+    """Pages of 86 shared and 18 own shingles, as sorted sets with what is left of each from the first shared one on."""
+    rng = np.random.default_rng(1)
+    shared = np.arange(86)
+    return [np.concatenate([shared, 1000 + 18 * i + np.arange(18)]) for i in range(n)], rng.integers(0, 1 << 62, (n, 4)).astype(np.uint64)
+
+
+def test_pages_of_one_template_are_not_compared_in_pairs(monkeypatch):
+    sets, sketch = template_pages(3000)
+    size, root = np.full(3000, 104), np.arange(3000)
+    assert sum(len(i) for i, _ in simhash.candidates(sketch, size, root, np.full(3000, 86))) == 0
+    monkeypatch.setattr(simhash, "FAR", 256)
+    assert sum(len(i) for i, _ in simhash.candidates(sketch[:200], size[:200], root[:200])) == 200 * 199 // 2  # each pair once
+
+
+def test_candidates_lose_no_similar_pair():
+    rng = np.random.default_rng(3)
+    bases = [rng.choice(60, rng.integers(4, 50), replace=False) for _ in range(15)]
+    sets = [np.sort(rng.choice(b, max(1, len(b) - rng.integers(0, 5)), replace=False)) for b in bases for _ in range(10)]
+    size, root = np.array([len(s) for s in sets]), rng.integers(0, 60, 150)
+    sketch = np.zeros((150, 4), np.uint64)
+    tells = simhash.similar(sets)
+    want = {(i, j) for i in range(150) for j in range(i) if root[i] != root[j] and tells(np.array([i]), np.array([j]))[0]}
+    found = set()
+    for token in range(60):  # the list of each token, with what is left from it on
+        own = np.array([k for k, s in enumerate(sets) if token in s])
+        rest = np.array([len(sets[k]) - int(np.searchsorted(sets[k], token)) for k in own])
+        for i, j in simhash.candidates(sketch[own], size[own], root[own], rest) if len(own) > 1 else ():
+            found |= {(max(a, b), min(a, b)) for a, b in zip(own[i].tolist(), own[j].tolist(), strict=True)}
+    assert want and want <= found
+
+
+def test_similar_by_bits_and_pair_by_pair(monkeypatch):
+    rng = np.random.default_rng(4)
+    sets = [np.sort(rng.choice(300, rng.integers(1, 200), replace=False)) for _ in range(130)] + [np.arange(5), np.arange(4)]
+    i, j = np.divmod(np.arange(len(sets) ** 2), len(sets))
+    by_bits = simhash.similar(sets)(i, j)
+    monkeypatch.setattr(simhash, "SET_BYTES", 0)
+    assert (by_bits == simhash.similar(sets)(i, j)).all()
+    plain = [len(np.intersect1d(sets[a], sets[b])) / len(np.union1d(sets[a], sets[b])) >= 0.8 for a, b in zip(i.tolist(), j.tolist(), strict=True)]
+    assert by_bits.tolist() == plain and by_bits[-2]
