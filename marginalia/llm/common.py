@@ -5,12 +5,11 @@ from __future__ import annotations
 from collections.abc import Callable, Iterator
 
 import pyarrow as pa
-from pyarrow import fs as pafs
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
-from ..shared import discard, new_path, written  # noqa: F401  used by the operators
+from ..shared import discard, new_path, open_fs, written  # noqa: F401  used by the operators
 
 #: A table of at most so many rows (of a few short columns) may be broadcast.
 BROADCAST_ROWS = 100_000
@@ -20,23 +19,11 @@ SLICE_BYTES = 4 << 20
 SALTS = 32
 
 
-def open_fs(uri: str) -> tuple[pafs.FileSystem, str]:
-    """File system and path of a URI as Spark names it; new_path() always gives its scheme."""
-    scheme, _, rest = uri.partition(":")
-    if scheme == "file":
-        return pafs.LocalFileSystem(), "/" + rest.lstrip("/")
-    if scheme == "dbfs":  # mounted there on every machine
-        return pafs.LocalFileSystem(), "/dbfs/" + rest.lstrip("/")
-    if not rest:
-        raise ValueError(f"a path without a scheme: {uri}")
-    return pafs.FileSystem.from_uri(f"{ {'s3a': 's3', 's3n': 's3'}.get(scheme, scheme)}:{rest}")
-
-
 def join_table(big: DataFrame, table: DataFrame, keys: list[str], how: str = "left", hot: bool = True, weight: Column | None = None) -> DataFrame:
     """Joins a table that has one row per key, null keys matching null keys.
 
     The table is broadcast if a count shows at most BROADCAST_ROWS rows. A larger one
-    is repeated once per salt, and each row of the big side takes one salt, so that a
+    is repeated once per salt, and each row of the big side takes one salt by a hash of its columns (a task that runs again deals its rows as before), so that a
     hot key is dealt over SALTS tasks; not so with hot=False, for keys that few rows of the big
     side share. The table must already be written (it is counted). weight: how many short rows a row
     with arrays stands for.
@@ -50,7 +37,8 @@ def join_table(big: DataFrame, table: DataFrame, keys: list[str], how: str = "le
     if not hot:
         return big.join(small, on, how).drop(*names.values())
     small = small.withColumn("__t_salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
-    salted = big.withColumn("__salt", F.floor(F.rand(7) * SALTS).cast("int"))
+    hashed = [f.name for f in big.schema.fields if "map<" not in f.dataType.simpleString()]
+    salted = big.withColumn("__salt", F.pmod(F.xxhash64(*[F.col(f"`{c}`") for c in hashed]), F.lit(SALTS)).cast("int"))
     return salted.join(small, [*on, F.col("__salt") == F.col("__t_salt")], how).drop("__salt", "__t_salt", *names.values())
 
 

@@ -28,14 +28,16 @@ from dataclasses import dataclass, field
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import hold, join_table, map_rows, slices, with_fields, written
+from .common import discard, hold, join_table, map_rows, slices, with_fields, written
 
 BUCKETS, DIM, WIDTHS, FILTERS = 1 << 16, 16, (1, 2, 3), 8
 STEMS = (4, 5, 6, 7)
 PER_CLASS = 2_500
+#: Bytes of the texts of one label that the driver trains on.
+CLASS_BYTES = 32 << 20
 #: Starts of the training; the model with the smallest loss on held-back rows of the sample is taken.
 SEEDS = (3, 4)
 #: Bins of a histogram of scores for each unit of a logit.
@@ -262,14 +264,20 @@ def loss(model: Model, texts: list[str], y: np.ndarray) -> float:
 
 
 def fit(docs: DataFrame, labels: DataFrame, label: str = "toxic", per_class: int = PER_CLASS) -> Model:
-    """labels: doc_id and the label; rows that held_out() names are never read."""
+    """labels: doc_id and the label; rows that held_out() names are never read.
+
+    The driver trains on whole texts of at most per_class documents of each label, in order of a hash, while these take at most CLASS_BYTES.
+    """
     usable = labels.select("doc_id", F.col(label).cast("int").alias("__label")).where(F.col("doc_id").isNotNull() & F.col("__label").isin(0, 1) & ~held_out()).distinct()
     order = F.md5(F.col("doc_id").cast("string"))
     some = [usable.where(F.col("__label") == y).orderBy(order).limit(per_class) for y in (0, 1)]
     sample = F.broadcast(some[0].unionByName(some[1]))  # 2 * per_class rows at most
     rows = docs.select("doc_id", "text", F.coalesce("lang", F.lit("")).alias("lang")).join(sample, "doc_id")
     one = F.min(F.struct(F.md5(F.coalesce("text", F.lit(""))).alias("digest"), "text", "lang")).alias("one")
-    found = rows.groupBy(order.alias("o"), "__label").agg(one).select("one.text", "one.lang", "__label", "o").collect()  # 2 * per_class rows at most
+    drawn = written(rows.groupBy(order.alias("o"), "__label").agg(one).select("one.text", "one.lang", "__label", "o"), "toxicity-sample")  # 2 * per_class rows at most
+    before = F.sum(F.coalesce(F.octet_length("text"), F.lit(0))).over(Window.partitionBy("__label").orderBy("o"))
+    found = drawn.withColumn("bytes", before).where(F.col("bytes") <= CLASS_BYTES).drop("bytes").collect()
+    discard(drawn)
     found.sort(key=lambda r: (r["o"], r["__label"]))
     back_ids = set(sorted({r["o"] for r in found})[::5])
     y = np.array([r["__label"] for r in found])

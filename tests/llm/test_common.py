@@ -1,6 +1,7 @@
 import pytest
 from pyarrow import fs as pafs
 
+from marginalia import shared
 from marginalia.llm import common
 
 
@@ -8,7 +9,7 @@ def test_file_systems_by_scheme(monkeypatch):
     assert common.open_fs("file:///a/b")[1] == common.open_fs("file:/a/b")[1] == "/a/b"
     assert common.open_fs("dbfs:/a")[1] == "/dbfs/a"
     asked = []
-    monkeypatch.setattr(common.pafs, "FileSystem", type("F", (), {"from_uri": staticmethod(lambda uri: asked.append(uri) or (pafs.LocalFileSystem(), uri))}))
+    monkeypatch.setattr(shared.pafs, "FileSystem", type("F", (), {"from_uri": staticmethod(lambda uri: asked.append(uri) or (pafs.LocalFileSystem(), uri))}))
     common.open_fs("s3a://bucket/x"), common.open_fs("hdfs://host/x")
     assert asked == ["s3://bucket/x", "hdfs://host/x"]
     with pytest.raises(ValueError):

@@ -48,6 +48,40 @@ def test_long_texts_are_scored_whole(trained, monkeypatch):
     assert whole > toxicity.Scorer(model).logit("harmless words here " * 300)
 
 
+def plain_score(model, text):
+    """Words times filters at every place, largest value of each filter, one linear layer."""
+    found = [model.embedding[[*toxicity.features(w)]].astype(np.float64).sum(0) for w in toxicity.words(text)]
+    empty = model.embedding[toxicity.features("")].astype(np.float64).sum(0) * 0
+    found = np.array([*found, *[empty] * max(toxicity.WIDTHS)])
+    pooled = []
+    for kernel, bias in zip(model.filters, model.bias, strict=True):
+        at = [sum(found[i + j] @ kernel[j] for j in range(len(kernel))) for i in range(len(found) - len(kernel) + 1)]
+        pooled.append(np.max(at, axis=0) + bias)
+    return 1 / (1 + np.exp(-(np.maximum(np.concatenate(pooled), 0) @ model.out[:-1] + model.out[-1] - model.shift)))
+
+
+def test_scores_equal_a_plain_convolution(spark, trained):
+    docs, _, model = trained
+    rows = docs.orderBy("doc_id").limit(60).collect()
+    texts = {r["doc_id"]: r["text"] for r in rows} | {-1: "", -2: "one", -3: "two words"}
+    table = docs_table(spark, [(i, t, "en", "a") for i, t in texts.items()])
+    for r in toxicity.scored(table, model, ["doc_id"]).collect():
+        if len(texts[r["doc_id"]]) < 20_000:
+            assert r["score"] == pytest.approx(plain_score(model, texts[r["doc_id"]]), abs=2e-4)
+
+
+def test_the_driver_gets_bounded_bytes(spark, monkeypatch):
+    rows = [(i, ("an idiot " if i % 2 else "a kind word ") * 50, "en", "a") for i in range(200)]
+    labels = spark.createDataFrame([(i, 1, i % 2) for i in range(200)], "doc_id long, quality int, toxic int")
+    taken, train = [], toxicity.train
+    monkeypatch.setattr(toxicity, "train", lambda texts, *a, **b: taken.append(texts) or train(texts, *a, **b))
+    monkeypatch.setattr(toxicity, "CLASS_BYTES", 6_000)
+    model = toxicity.fit(docs_table(spark, rows), labels)
+    assert 0 < sum(map(len, taken[0])) <= 12_000 and all(t in {r[1] for r in rows} for t in taken[0])
+    scorer = toxicity.Scorer(model)
+    assert scorer.logit(rows[1][1]) > scorer.logit(rows[0][1])
+
+
 def test_score_uses_text_only(spark, trained):
     model = trained[2]
     rows = [(i, "an idiot and a clown", lang, s) for i, (lang, s) in enumerate([("en", "a"), ("de", None), (None, "b")])]
