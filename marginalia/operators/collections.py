@@ -19,7 +19,7 @@ import uuid
 from collections.abc import Callable
 from dataclasses import replace
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 
 from ..config import CollectionConfig, Config
@@ -141,12 +141,12 @@ def _clean(spark: SparkSession, held: dict[str, str], index_before: str | None)
                 fs.delete(at, True)
 
 
-def write_points(spark: SparkSession, config: CollectionConfig, points: DataFrame, per_file: int, group: Column | None = None, gone: DataFrame | None = None, unique: bool = False) -> None:
+def write_points(spark: SparkSession, config: CollectionConfig, points: DataFrame, per_file: int, group: Column | None = None, gone: DataFrame | None = None, unique: bool = False, seen: Observation | None = None) -> None:
     """Upserts points, and takes out old ones whose group is in gone, in the partitions that this touches.
 
     A group's ids must lie between group * g and (group + 1) * g for one g that divides part_ids. unique: no id comes twice. Into an
     empty collection the points are written as they come; else they are written once beside it, as they are asked for their partitions
-    first. The numbers of partitions touched pass the driver, never ids.
+    first. The numbers of partitions touched pass the driver, never ids. seen observes n_points, the points written.
     """
     held = own_properties(spark, config.name)
     part = lambda x: F.floor(x / F.lit(int(held["part_ids"]))).cast("long")
@@ -167,6 +167,8 @@ def write_points(spark: SparkSession, config: CollectionConfig, points: DataFram
     if not unique or beside is not None:  # else they were dealt by their files' ids before they had vectors
         rows = rows.repartition(part(F.col("id")), F.floor(F.col("id") / per_file))
     path = f"{held['root']}/points/version={version}"
+    if seen is not None:
+        rows = rows.observe(seen, F.count(F.lit(1)).alias("n_points"))
     rows.withColumn("part", part(F.col("id"))).write.option("maxRecordsPerFile", per_file).partitionBy("part").parquet(path)
     made = spark.read.schema(f"{SCHEMA}, part BIGINT").parquet(path).groupBy("part").agg(F.lit(version).alias("version"), F.count(F.lit(1)).alias("n_points"))
     commit(spark, config.name, held, _indexed(spark, config.name, held, version, path), live.where(~F.col("part").isin(touched)).unionByName(made))
@@ -183,11 +185,12 @@ def _indexed(spark: SparkSession, name: str, held: dict[str, str], version: str,
     return {}
 
 
-def setup_index(documents: DataFrame, config: Config = Config(), chunker: Callable[[DataFrame], DataFrame] | None = None, make_model: Callable | None = None) -> bool:
+def setup_index(documents: DataFrame, config: Config = Config(), chunker: Callable[[DataFrame], DataFrame] | None = None, make_model: Callable | None = None, counts: dict[str, int] | None = None) -> bool:
     """Builds the collection from documents (doc_id, source, text); without rebuilding it does nothing at all.
 
     Chunks are dealt to the tasks that write their files and become vectors there, so no vector is shuffled. A collection whose vectors take
-    ``exact_below_bytes`` or more gets an inverted file.
+    ``exact_below_bytes`` or more gets an inverted file. counts is given n_documents, n_chunks and n_points, observed on the writes that
+    the index needs anyway, in tasks that count once however often they run.
     """
     from .index import build_index
 
@@ -197,9 +200,12 @@ def setup_index(documents: DataFrame, config: Config = Config(), chunker: Callab
     drop_collection(spark, own)
     create_collection(spark, own)
     per_file = config.embed.batch_size * own.upload_multiplier
-    chunks = number_chunks(documents, chunker or (lambda docs: chunk_recursive(docs, config.chunk)))
+    numbering, writing = Observation("numbering"), Observation("writing")
+    chunks = number_chunks(documents, chunker or (lambda docs: chunk_recursive(docs, config.chunk)), numbering)
     dealt = chunks.select("id", "source", "text").repartition(F.floor(F.col("id") / own.part_ids), F.floor(F.col("id") / per_file))
-    write_points(spark, own, build_points(embed_dense(dealt, config.embed, make_model)), per_file, unique=True)
+    write_points(spark, own, build_points(embed_dense(dealt, config.embed, make_model)), per_file, unique=True, seen=writing)
+    if counts is not None:
+        counts |= {k: v or 0 for k, v in (numbering.get | writing.get).items()}
     n = live_parts(spark, own_properties(spark, own.name)).agg(F.sum("n_points")).first()[0] or 0
     if n * own.dim * 4 >= config.search.exact_below_bytes:
         build_index(spark, own.name, replace(config.search))

@@ -75,9 +75,21 @@ def knn_stored(queries: DataFrame, name: str, k: int = 5, nprobe: int | None = N
     return search.meet_in_cells(entries(spark, held, visited), asked, k, held["distance"])
 
 
+def _of_hits(spark: SparkSession, name: str, hits: DataFrame) -> DataFrame:
+    """The live points of the partitions that hold hits; hits must be written."""
+    held = own_properties(spark, name)
+    parts = hits.select(F.floor(F.col("id") / F.lit(int(held["part_ids"]))).cast("long").alias("part")).distinct().collect()  # at most all partitions
+    return live_points(spark, name).where(F.col("part").isin([r["part"] for r in parts]))
+
+
+def overfetch_stored(queries: DataFrame, name: str, config: SearchConfig = SearchConfig()) -> DataFrame:
+    """Takes overfetch_k hits more from a collection's cells, scores them by the vectors that its partitions hold, and keeps top_k."""
+    spark = queries.sparkSession
+    found = search.written(knn_stored(queries, name, config.top_k + config.overfetch_k, config.nprobe), "stored-hits")
+    return search.rescore(found, queries, _of_hits(spark, name, found), config.top_k, own_properties(spark, name)["distance"])
+
+
 def payloads(spark: SparkSession, name: str, hits: DataFrame) -> DataFrame:
     """query_id, rank, id, score, text, source of hits, read from the partitions that hold them."""
-    held = own_properties(spark, name)
     hits = search.written(hits, "stored-hits")
-    parts = hits.select(F.floor(F.col("id") / F.lit(int(held["part_ids"]))).cast("long").alias("part")).distinct().collect()  # at most all partitions
-    return search.project_payload(hits, live_points(spark, name).where(F.col("part").isin([r["part"] for r in parts])))
+    return search.project_payload(hits, _of_hits(spark, name, hits))

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame, Observation, Window
 from pyspark.sql import functions as F
 
 from ..config import CollectionConfig, EmbedConfig
@@ -14,14 +14,18 @@ from ..shared import written
 SENT_KEYS = 500_000
 
 
-def _running(counted: DataFrame, order: list[Column], sums: list[str]) -> DataFrame:
+def _running(counted: DataFrame, order: list[Column], sums: list[str], seen: Observation | None = None) -> DataFrame:
     """Adds ``before_<c>`` for each c of sums: its total over all rows before, in the given order.
 
     Rows are sorted by ranges and written with their range and place. Sums within a range and the totals of the
-    ranges, a row per shuffle partition, give each row its own.
+    ranges, a row per shuffle partition, give each row its own. seen observes the totals on that write, whose tasks count once
+    however often they run.
     """
     row = F.monotonically_increasing_id()  # its upper bits number the ranges, its lower 33 the rows of one
-    placed = written(counted.orderBy(*order).withColumns({"__range": F.shiftright(row, 33), "__place": row}), "numbered")
+    placed = counted.orderBy(*order).withColumns({"__range": F.shiftright(row, 33), "__place": row})
+    if seen is not None:
+        placed = placed.observe(seen, F.sum("copies").alias("n_documents"), F.sum("ids").alias("n_chunks"))
+    placed = written(placed, "numbered")
     totals = placed.groupBy("__range").agg(*[F.sum(c).alias(f"__{c}") for c in sums])
     firsts = totals.select("__range", *[(F.sum(f"__{c}").over(Window.orderBy("__range")) - F.col(f"__{c}")).alias(f"__{c}") for c in sums])
     inside = Window.partitionBy("__range").orderBy("__place").rowsBetween(Window.unboundedPreceding, -1)
@@ -29,7 +33,7 @@ def _running(counted: DataFrame, order: list[Column], sums: list[str]) -> DataFr
     return placed.join(F.broadcast(firsts), "__range").withColumns(added).drop("__range", "__place", *[f"__{c}" for c in sums])
 
 
-def _with_first_ids(rows: DataFrame, counted: DataFrame, keys: list[str]) -> DataFrame:
+def _with_first_ids(rows: DataFrame, counted: DataFrame, keys: list[str], seen: Observation | None = None) -> DataFrame:
     """rows with ``__first``, the first of each row's ids, which are dense over all rows in the order of keys.
 
     counted: keys, n (ids of one row), copies (rows with these keys). The numbers, a narrow row per key, are sent to the rows if they are
@@ -37,7 +41,7 @@ def _with_first_ids(rows: DataFrame, counted: DataFrame, keys: list[str]) -> Dat
     """
     order = [F.col(k).asc_nulls_last() for k in keys]
     counted = counted.withColumn("ids", F.col("n") * F.col("copies")).withColumn("again", F.when(F.col("copies") > 1, F.col("copies")).otherwise(0))
-    numbers = written(_running(counted, order, ["ids", "again"]), "first-ids")
+    numbers = written(_running(counted, order, ["ids", "again"], seen), "first-ids")
     named = numbers.select(*[F.col(k).alias(f"__k_{k}") for k in keys], "n", "again", "before_ids", "before_again")
     on = [F.col(k).eqNullSafe(F.col(f"__k_{k}")) for k in keys]
     few = numbers.limit(SENT_KEYS + 1).count() <= SENT_KEYS
@@ -52,17 +56,18 @@ def _with_first_ids(rows: DataFrame, counted: DataFrame, keys: list[str]) -> Dat
     return once.unionByName(repeated).drop(*left)
 
 
-def number_chunks(documents: DataFrame, chunker: Callable[[DataFrame], DataFrame]) -> DataFrame:
+def number_chunks(documents: DataFrame, chunker: Callable[[DataFrame], DataFrame], seen: Observation | None = None) -> DataFrame:
     """doc_id, source, chunk_idx, text, id of the chunks of documents: ids 0, 1, ... in order of doc_id (null last), source, text and chunk.
 
     Documents are chunked twice, where they lie: once to be counted, once when each knows the first of its ids. Between these
     only a narrow row per document is shuffled (see _with_first_ids), so no chunk is. A chunker keeps further columns of documents.
+    seen observes n_documents and n_chunks.
     """
     docs = documents.select("doc_id", "source", "text", F.md5("text").alias("__doc"))
     keys = ["doc_id", "source", "__doc"]
-    chunks = chunker(docs).groupBy(*keys).agg(F.count(F.lit(1)).alias("ids"), F.count_if(F.col("chunk_idx") == 0).alias("copies"))
-    counted = chunks.select(*keys, F.expr("ids div copies").alias("n"), "copies")
-    numbered = chunker(_with_first_ids(docs, counted, keys))
+    marks = lambda rows, ids, copies: rows.select(*keys, F.lit(ids).cast("long").alias("ids"), F.lit(copies).cast("long").alias("copies"))
+    counted = marks(docs, 0, 1).unionByName(marks(chunker(docs), 1, 0)).groupBy(*keys).agg(F.sum("ids").alias("ids"), F.sum("copies").alias("copies"))
+    numbered = chunker(_with_first_ids(docs, counted.select(*keys, F.expr("ids div copies").alias("n"), "copies"), keys, seen))
     return numbered.select("doc_id", "source", "chunk_idx", "text", (F.col("__first") + F.col("chunk_idx")).alias("id"))
 
 
@@ -77,13 +82,6 @@ def assign_point_ids(chunks: DataFrame) -> DataFrame:
     return _with_first_ids(rows, counted, keys).withColumn("id", F.col("__first")).drop("__first", "__text")
 
 
-def ingest_stats(documents: DataFrame, numbered: DataFrame) -> DataFrame:
-    """One row: n_documents, n_chunks and n_points, which is the last id plus 1."""
-    docs = documents.select(F.lit(1).alias("doc"), F.lit(0).alias("chunk"), F.lit(-1).cast("long").alias("id"))
-    rows = docs.unionByName(numbered.select(F.lit(0).alias("doc"), F.lit(1).alias("chunk"), "id"))
-    return rows.agg(F.sum("doc").alias("n_documents"), F.sum("chunk").alias("n_chunks"), (F.max("id") + 1).alias("n_points"))
-
-
 def build_points(embedded: DataFrame) -> DataFrame:
     """id, vector, payload{text, source}."""
     return embedded.select("id", "vector", F.struct("text", "source").alias("payload"))

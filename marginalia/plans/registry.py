@@ -113,7 +113,11 @@ def reject_bad_files(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query(sql.with_chunks("SELECT (SELECT count(*) FROM documents)::BIGINT AS n_documents, count(*)::BIGINT AS n_chunks, max(id)::BIGINT + 1 AS n_points FROM numbered"))
 def ingest_stats(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return points.ingest_stats(documents(spark, sf_dir), numbered(spark, sf_dir))
+    """What is counted while the documents are indexed."""
+    own, counts = CollectionConfig(name=f"c_{uuid.uuid4().hex}"), {}
+    collections.setup_index(documents(spark, sf_dir), Config(collection=own, search=SearchConfig(exact_below_bytes=1 << 62)), chunk.chunk_window, counts=counts)
+    collections.drop_collection(spark, own)
+    return spark.createDataFrame([(counts["n_documents"], counts["n_chunks"], counts["n_points"])], "n_documents long, n_chunks long, n_points long")
 
 
 # text and chunks
@@ -354,15 +358,19 @@ def _indexed_collection(spark: SparkSession, sf_dir: str) -> CollectionConfig:
 @query(sql.by_cells(CELLS, PROBES))
 def knn_stored(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Searches a stored inverted file: nothing is fitted, and only the cells that questions visit are read."""
+    return _from_collection(spark, sf_dir, lambda asked, name: index.knn_stored(asked, name))
+
+
+def _from_collection(spark: SparkSession, sf_dir: str, find: Callable[[DataFrame, str], DataFrame]) -> DataFrame:
     own = _indexed_collection(spark, sf_dir)
-    out = written(rounded(index.knn_stored(asked_vectors(spark, sf_dir), own.name)), "knn-stored")
+    out = written(rounded(find(asked_vectors(spark, sf_dir), own.name)), "from-collection")
     collections.drop_collection(spark, own)
     return out
 
 
 @query(sql.by_cells(CELLS, PROBES))
 def knn_overfetch(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return rounded(search.knn_overfetch(asked_vectors(spark, sf_dir), stored_vectors(spark, sf_dir), SearchConfig(nprobe=PROBES), centres=_centres(spark, sf_dir)))
+    return _from_collection(spark, sf_dir, lambda asked, name: index.overfetch_stored(asked, name, SearchConfig(nprobe=PROBES)))
 
 
 @query(sql.nearest("cosine"))

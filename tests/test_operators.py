@@ -1,6 +1,8 @@
 """Hand-written inputs for the retrieval operators."""
 
 import shutil
+import subprocess
+import sys
 
 import numpy as np
 import pytest
@@ -258,8 +260,57 @@ def test_ids_of_null_and_repeated_documents(spark):
     got = numbered.orderBy("id").collect()
     assert len(got) == chunks.count() == 10 and [r["id"] for r in got] == list(range(10))
     assert [r["doc_id"] for r in got] == [1] * 5 + [2] + [None] * 4
-    stats = points.ingest_stats(spark.createDataFrame(rows, "doc_id long, source string, text string"), numbered).first()
-    assert tuple(stats) == (6, 10, 10)
+
+
+def test_counts_while_indexing(spark):
+    long = "a long text " * 200
+    rows = [(1, "a", long), (1, "a", "another"), (1, "a", "another"), (None, "b", long), (None, None, "no id"), (2, None, " "), (3, None, None)]
+    table, counts = spark.createDataFrame(rows, "doc_id long, source string, text string"), {}
+    config = Config(collection=CollectionConfig(name="t_counts", dim=8), embed=EmbedConfig(dim=8))
+    collections.setup_index(table, config, chunk.chunk_window, counts=counts)
+    assert counts == {"n_documents": 7, "n_chunks": 9, "n_points": 9} and spark.table("t_counts").count() == 9
+    collections.setup_index(table.limit(0), config, chunk.chunk_window, counts=counts)
+    assert counts == {"n_documents": 0, "n_chunks": 0, "n_points": 0} and spark.table("t_counts").count() == 0
+    collections.drop_collection(spark, config.collection)
+
+
+RETRIED = """
+import os, sys
+import numpy as np
+from pyspark.sql import SparkSession
+from marginalia.config import CollectionConfig, Config, EmbedConfig
+from marginalia.operators import chunk, collections
+folder = sys.argv[1]
+conf = {"spark.ui.enabled": "false", "spark.sql.warehouse.dir": folder + "/wh", "spark.checkpoint.dir": "file://" + folder + "/shared"}
+spark = SparkSession.builder.master("local[2,4]").config(map=conf).getOrCreate()
+def once(what):
+    try:
+        os.close(os.open(folder + "/" + what, os.O_CREAT | os.O_EXCL))
+    except FileExistsError:
+        return
+    raise OSError("fails once")
+def make():
+    def embed(texts):
+        once("write")
+        return np.ones((len(texts), 4), np.float32)
+    return embed
+def chunker(docs):
+    def late(frames):
+        for pdf in frames:
+            yield pdf
+            once("count")
+    return chunk.chunk_window(docs.mapInPandas(late, docs.schema))
+docs = spark.createDataFrame([(i, "s", "some words " * 300) for i in range(40)], "doc_id long, source string, text string").repartition(4)
+counts = {}
+config = Config(collection=CollectionConfig(name="c", dim=4), embed=EmbedConfig(dim=4, batch_size=3))
+collections.setup_index(docs, config, chunker, make, counts)
+print("COUNTS", counts, spark.table("c").count(), sorted(x for x in os.listdir(folder) if x in ("write", "count")))
+"""
+
+
+def test_counts_are_right_after_retried_tasks(tmp_path):
+    out = subprocess.run([sys.executable, "-c", RETRIED, str(tmp_path)], capture_output=True, text=True, timeout=300)
+    assert "COUNTS {'n_documents': 40, 'n_chunks': 160, 'n_points': 160} 160 ['count', 'write']" in out.stdout, out.stderr[-2000:]
 
 
 @pytest.mark.parametrize("sent", [500_000, 0])
