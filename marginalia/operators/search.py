@@ -24,8 +24,8 @@ POINT_PART = 20_000
 SPARSE_ROWS = 2_048
 #: Scores that are computed at once.
 AT_ONCE = 1 << 21
-#: Vectors from which k-means cells are fitted, those on which the number of probes is chosen, and questions among them.
-FIT_ROWS, PROBE_ROWS, PROBE_QUERIES = 100_000, 20_000, 200
+#: Vectors from which k-means cells are fitted, at most and for each cell, those on which the number of probes is chosen, and questions among them.
+FIT_ROWS, PER_CELL, PROBE_ROWS, PROBE_QUERIES = 100_000, 64, 20_000, 200
 #: Hits that may be sent to all tasks to fetch their payloads.
 SENT_HITS = 100_000
 
@@ -235,15 +235,15 @@ def _by_hash(rows: DataFrame, n: int, wanted: int, seed: int) -> DataFrame:
 
 
 def fit_cells(points: DataFrame, nlist: int | None = None, seed: int = 11) -> np.ndarray:
-    """Centres of k-means cells, fitted on some FIT_ROWS points that their ids' hashes choose where they lie; as many cells as SearchConfig says if nlist is None."""
+    """Centres of k-means cells, fitted on some PER_CELL points for each, FIT_ROWS at most, that their ids' hashes choose where they lie; as many cells as SearchConfig says if nlist is None."""
     usable = points.where("vector is not null")
     n = usable.count()
     if not n:
         return np.zeros((1, 0))
-    sample = _by_hash(usable, n, FIT_ROWS, 0).select(array_to_vector(F.col("vector").cast("array<double>")).alias("features"))
     nlist = nlist or max(16, min(int(n**0.5), FIT_ROWS // 40))
     if n <= nlist:  # nothing to fit
         return np.unique(_matrix(usable.select("vector").toPandas()["vector"]), axis=0)
+    sample = _by_hash(usable, n, min(FIT_ROWS, PER_CELL * nlist), 0).select(array_to_vector(F.col("vector").cast("array<double>")).alias("features"))
     return np.array(KMeans(k=nlist, seed=seed, maxIter=10).fit(sample).clusterCenters())
 
 
