@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import ctypes
+import gc
 from collections.abc import Callable, Iterator
 
 import pyarrow as pa
@@ -57,6 +59,15 @@ def hold(key: tuple, make: Callable):
     return _held[key]
 
 
+def lean() -> None:
+    """Gives the memory that earlier tasks of this worker process freed back to the system. Workers outlive stages, and allocators keep what their largest task took."""
+    gc.collect()
+    pa.default_memory_pool().release_unused()
+    trim = getattr(ctypes.CDLL(None), "malloc_trim", None)  # of glibc
+    if trim:
+        trim(0)
+
+
 def slices(batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
     """A batch in parts of about SLICE_BYTES, so that what Python makes of one stays small."""
     rows = max(1, batch.num_rows * SLICE_BYTES // max(batch.nbytes, 1))
@@ -74,6 +85,7 @@ def map_rows(df: DataFrame, schema: StructType, make: Callable[[], Callable[[pa.
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from pyspark.sql.pandas.types import to_arrow_schema
 
+        lean()
         arrow = to_arrow_schema(schema)
         step = make()
         for batch in (part for whole in batches for part in slices(whole)):
@@ -81,6 +93,8 @@ def map_rows(df: DataFrame, schema: StructType, make: Callable[[], Callable[[pa.
             yield pa.RecordBatch.from_arrays(
                 [pa.array(new[f.name], type=f.type) if f.name in new else batch.column(f.name).cast(f.type) for f in arrow], schema=arrow
             )
+            del new, batch
+        lean()
 
     return df.mapInArrow(run, schema)
 

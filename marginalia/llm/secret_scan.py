@@ -31,7 +31,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 from pyspark.sql.utils import AnalysisException
 
-from .common import join_table, new_path, slices, text_or_empty, written
+from .common import join_table, lean, new_path, slices, text_or_empty, written
 
 
 @dataclass(frozen=True)
@@ -122,6 +122,7 @@ def scan(docs: DataFrame, ledger: str, rules: tuple[Rule, ...] = RULES, text: st
     arrow = pa.schema([("blob", pa.binary()), ("done", pa.list_(pa.string())), ("found", pa.list_(pa.struct([("pair", pa.string()), ("start", pa.int64()), ("stop", pa.int64())])))])
 
     def run(batches):
+        lean()
         seen: set[bytes] = set()
         for batch in (part for whole in batches for part in slices(whole)):
             out = {"blob": [], "done": [], "found": []}
@@ -183,7 +184,8 @@ def redact(docs: DataFrame, ledger: str | None = None, rules: tuple[Rule, ...] =
         return "".join([*out, body[at:]])
 
     def run(batches):
-        for batch in batches:
+        lean()
+        for batch in (part for whole in batches for part in slices(whole)):
             texts = [clean(t.as_py(), s.as_py()) if s.is_valid else t.as_py() for t, s in zip(batch.column(text), batch.column("__spans"), strict=True)]
             columns = {n: batch.column(n) for n in schema.names}
             columns[text] = pa.array(texts, columns[text].type)

@@ -39,7 +39,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import discard, join_table, map_rows, slices, with_fields, written
+from .common import discard, join_table, lean, map_rows, slices, with_fields, written
 
 SEED = 42
 #: About so many fingerprints, and never twice as many, are fetched to fit the trees on.
@@ -376,6 +376,7 @@ def prefix_tokens(docs: DataFrame, hot: np.ndarray, text: str, width: int) -> Da
     known = docs.sparkSession.sparkContext.broadcast((hot[by_hash], by_hash))
 
     def run(batches):
+        lean()
         values, rank = known.value
         seen: set[int] = set()
         for batch in (part for whole in batches for part in slices(whole)):
@@ -539,7 +540,10 @@ def families(lists: DataFrame, packs: int) -> DataFrame:
         for a, b in _edges(pdf["token"].to_numpy(np.int64)):
             member, top = spanning(b - a, candidates(sketch[a:b], size[a:b], root[a:b], rest[a:b])) if b - a > 1 else (np.empty(0, np.int64),) * 2
             found.append((a + member, a + top))
-        return _stars(pid, found).drop_duplicates()
+        out = _stars(pid, found).drop_duplicates()
+        del pdf, pid, size, root, rest, sketch, found
+        lean()
+        return out
 
     return _tiled(lists, "token", "n", packs).groupBy("pack", "i", "j").applyInPandas(run, "a long, b long")
 
@@ -556,7 +560,10 @@ def family_links(members: DataFrame, packs: int) -> DataFrame:
         for a, b in _edges(pdf["family"].to_numpy(np.int64)):
             member, top = spanning(b - a, candidates(sketch[a:b], size[a:b], root[a:b]), similar(list(sets[a:b])))
             found.append((a + member, a + top))
-        return _stars(pid, found)
+        out = _stars(pid, found)
+        del pdf, pid, size, root, sketch, sets, found
+        lean()
+        return out
 
     return _tiled(members, "family", "n", packs).groupBy("pack", "i", "j").applyInPandas(run, "a long, b long")
 

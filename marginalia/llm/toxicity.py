@@ -31,7 +31,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import discard, hold, join_table, map_rows, slices, with_fields, written
+from .common import discard, hold, join_table, lean, map_rows, slices, with_fields, written
 
 BUCKETS, DIM, WIDTHS, FILTERS = 1 << 16, 16, (1, 2, 3), 8
 STEMS = (4, 5, 6, 7)
@@ -352,6 +352,7 @@ def reject(docs: DataFrame, model: Model) -> DataFrame:
     def run(batches):
         import pyarrow as pa
 
+        lean()
         scorer = scorer_of(model)
         for batch in (part for whole in batches for part in slices(whole)):
             keep = [sigmoid(scorer.logit(t.as_py())) < model.thresholds.get(x or "", 0.5) for t, x in zip(batch.column("text"), batch.column("lang").to_pylist(), strict=True)]
