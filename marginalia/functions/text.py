@@ -15,8 +15,12 @@ def sanitized(text: Column) -> Column:
     return F.when(F.is_valid_utf8(text), text).otherwise(F.replace(F.make_valid_utf8(text), F.lit("�"), F.lit("")))
 
 
+#: The characters of WHITE.
+SPACES = "".join(map(chr, [*range(0x9, 0xE), *range(0x1C, 0x21), 0x85, 0xA0, 0x1680, *range(0x2000, 0x200B), 0x2028, 0x2029, 0x202F, 0x205F, 0x3000]))
+
+
 def stripped(text: Column) -> Column:
-    return F.regexp_replace(text, rf"^{WHITE}+|{WHITE}+\z", "")
+    return F.btrim(text, F.lit(SPACES))
 
 
 def tokens(text: Column, limit: int | None = None) -> Column:
