@@ -24,6 +24,7 @@ from __future__ import annotations
 
 import hashlib
 import re
+from collections.abc import Iterator
 from functools import lru_cache
 
 import ahocorasick
@@ -35,6 +36,8 @@ from .common import hold, map_rows, with_fields
 SPACE, NEVER = "▁", float("-inf")
 #: Parts of a generation, and pairs of pieces, that a worker keeps. An entry takes some 200 bytes.
 CACHE, FITS = 120_000, 50_000
+#: Characters whose parts are looked at at once.
+BLOCK = 1 << 16
 #: Fixed values of the model format: types of pieces.
 NORMAL, UNKNOWN, CONTROL, USER, UNUSED, BYTE = 1, 2, 3, 4, 5, 6
 
@@ -164,19 +167,33 @@ class Pieces:
                 self.young[part] = found
         return found
 
-    def parts(self, text: str) -> list[str]:
+    def parts(self, text: str) -> Iterator[list[str]]:
+        """The parts of a text, those of some BLOCK characters at a time."""
         text = text.replace(SPACE, " ")
-        return self.cuts.findall(" " + text if text and self.dummy_prefix else text)
+        if text and self.dummy_prefix:
+            text = " " + text
+        at, size = 0, BLOCK
+        while at < len(text):
+            found = self.cuts.findall(text, at, at + size)
+            if at + size < len(text):
+                found.pop()  # it may go on
+                size = BLOCK if found else 2 * size
+                at += sum(map(len, found))
+            else:
+                at = len(text)
+            yield found
 
     def coded(self, text: str) -> tuple[str, str]:
         """Ids as text, a space before each and without an end id, and what they decode to."""
-        parts = self.parts(text)
-        found = list(map(self.young.get, parts))
-        if None in found:
-            part = self.part
-            found = [part(p) if f is None else f for p, f in zip(parts, found, strict=True)]
-        decoded = "".join(parts)  # as part() has found
-        return "".join(found), decoded[1:] if parts and self.dummy_prefix else decoded
+        ids, decoded, part = [], [], self.part
+        for parts in self.parts(text):
+            found = list(map(self.young.get, parts))
+            if None in found:
+                found = [part(p) if f is None else f for p, f in zip(parts, found, strict=True)]
+            ids.append("".join(found))
+            decoded.append("".join(parts))  # as part() has found
+        whole = "".join(decoded)
+        return "".join(ids), whole[1:] if whole and self.dummy_prefix else whole
 
     def encode(self, text: str) -> list[int]:
         """Ids without an end id."""
@@ -248,7 +265,7 @@ def encoded(docs: DataFrame, keep: list[str], text: str = "text", model: str | N
                 out["ids_sha256"].append(_hex(ids))
                 out["decoded_sha256"].append(_hex(decoded))
                 if with_ids:
-                    out["ids"].append(np.array(ids.split(), np.int32))
+                    out["ids"].append(np.fromstring(ids, np.int32, sep=" "))
             return out
 
         return step
