@@ -5,11 +5,13 @@ hash, which calibrate the thresholds). Counts are sums by n-gram, made in the ta
 block and added up in a shuffle by n-gram; lower orders are continuation counts, that is,
 numbers of distinct longer n-grams. Each order's probabilities come from a join with its
 contexts' weights and one with the next lower order, both sharded by n-gram. The result is a table of
-log probabilities and back-off weights, written in shards by the character before the last
-one, since all that a position needs lies in the shard of its previous character.
+log probabilities and back-off weights, written in shards by a hash of the two characters before the last
+one, since all that a position needs beyond bigrams lies in the shard of its two previous characters. Bigrams, and contexts of one
+character, are a shard of their own that every task holds; their number is that of pairs of characters that occur, so it hardly grows
+with the corpus. No single character, as the space, so fills a shard; the rows of one pair of characters do stay together.
 
-Scoring reads the documents once. Tasks hold the shards they have read, up to HELD_BYTES, ask those first, and
-read the others again for each slice of texts, so memory is bounded for any model. It is no join of the documents' n-grams
+Scoring reads the documents once. Tasks hold the shards they have read, up to HELD_BYTES or one shard (some 24 bytes a row, SHARD_ROWS rows
+on average), ask those first, and read the others again for each slice of texts. It is no join of the documents' n-grams
 with the model: that would shuffle some 1,900 rows per document (README). A document's
 perplexity is exp of the mean negative log probability of its characters. A document is
 kept if that is at most the threshold of its language: the QUANTILE quantile of the held-back
@@ -159,12 +161,14 @@ def publish(table: DataFrame, shard_rows: int = SHARD_ROWS) -> dict:
     def run(batches):
         for batch in batches:
             grams, kinds = batch.column("gram").to_pylist(), batch.column("kind").to_pylist()
-            previous = [(g[-2:-1] if k == 0 else g[-1:]) for g, k in zip(grams, kinds, strict=True)]
-            shard = [(ord(c) % shards if c else -1) for c in previous]
+            previous = [(g[-3:-1] if k == 0 else g[-2:]) for g, k in zip(grams, kinds, strict=True)]
+            pairs = np.array([len(p) == 2 for p in previous], bool)
+            shard = np.full(len(grams), -1, np.int32)
+            shard[pairs] = keys_of([p for p in previous if len(p) == 2]).view(np.uint64) % np.uint64(shards)
             yield pa.RecordBatch.from_pydict({"shard": pa.array(shard, pa.int32()), "kind": pa.array(kinds, pa.int32()), "key": pa.array(keys_of(grams), pa.int64()), "value": batch.column("value").cast(pa.float64())})
 
     keyed = table.mapInArrow(run, "shard int, kind int, key long, value double")
-    # rows of shard -1 (single characters, the empty context) are needed everywhere
+    # rows of shard -1 (bigrams, single characters, contexts of one or none) are needed everywhere
     keyed.repartition("shard", F.pmod("key", F.lit(16))).sortWithinPartitions("shard").write.partitionBy("shard").parquet(path)
     vocabulary = table.where((F.col("kind") == 0) & (F.length("gram") == 1)).count()
     floor = table.where((F.col("kind") == 1) & (F.col("gram") == "")).first()
@@ -202,16 +206,23 @@ class Lookup:
 
 
 class Reader:
-    """Shards of a published model, held up to HELD_BYTES."""
+    """Shards of a published model, held up to HELD_BYTES or one of them, and the one that is needed everywhere."""
 
     def __init__(self, info: dict):
         self.info, self.held = info, OrderedDict()
         self.fs, self.path = open_fs(info["path"])
+        self.short = self._read(-1)
 
     def shard(self, i: int) -> tuple[Lookup, Lookup]:
         if i in self.held:
             self.held.move_to_end(i)
-            return self.held[i]
+        else:
+            self.held[i] = self._read(i)
+            while len(self.held) > 1 and sum(x.bytes for pair in self.held.values() for x in pair) > HELD_BYTES:
+                self.held.popitem(last=False)
+        return self.held[i]
+
+    def _read(self, i: int) -> tuple[Lookup, Lookup]:
         folder = f"{self.path}/shard={i}"
         rows = []
         if self.fs.get_file_info(folder).type != pafs.FileType.NotFound:
@@ -221,16 +232,11 @@ class Reader:
                         rows.append(pq.ParquetFile(file).read(columns=["kind", "key", "value"]))
         table = pa.concat_tables(rows) if rows else pa.table({"kind": pa.array([], pa.int32()), "key": pa.array([], pa.int64()), "value": pa.array([], pa.float64())})
         kind, key, value = (table[c].to_numpy() for c in ("kind", "key", "value"))
-        found = tuple(Lookup(key[kind == k].astype(np.int64), value[kind == k]) for k in (0, 1))
-        self.held[i] = found
-        while len(self.held) > 2 and sum(x.bytes for pair in self.held.values() for x in pair) > HELD_BYTES:
-            self.held.popitem(last=False)
-        return found
+        return tuple(Lookup(key[kind == k].astype(np.int64), value[kind == k]) for k in (0, 1))
 
     def log_probs(self, points: np.ndarray, at: np.ndarray) -> np.ndarray:
         """Log probability of the character at each of the given positions."""
         out = np.full(len(at), np.nan)
-        previous = points[at - 1].astype(np.int64) % self.info["shards"]
         keys: dict[int, np.ndarray] = {}
 
         def key(n: int) -> np.ndarray:
@@ -238,20 +244,21 @@ class Reader:
                 keys[n] = hashes(points, n)
             return keys[n]
 
-        for i in sorted(range(self.info["shards"]), key=lambda i: i not in self.held):
-            own = np.flatnonzero(previous == i) if self.info["shards"] > 1 else np.arange(len(at))
-            grams, contexts = self.shard(i)
+        shard_of = (key(2)[at - 1] % np.uint64(self.info["shards"])).astype(np.int64)
+        for i in sorted(set(shard_of.tolist()), key=lambda i: (i not in self.held, i)):
+            own = np.flatnonzero(shard_of == i)
+            long = self.shard(i)
             backed = np.zeros(len(own))
             for n in range(ORDER, 1, -1):
-                found = grams(key(n)[at[own]])
+                found = (long if n > 2 else self.short)[0](key(n)[at[own]])
                 hit = ~np.isnan(found)
                 out[own[hit]] = found[hit] + backed[hit]
                 own, backed = own[~hit], backed[~hit]
                 if not len(own):
                     break
-                backed = backed + np.nan_to_num(contexts(key(n - 1)[at[own] - 1]))
+                backed = backed + np.nan_to_num((long if n > 2 else self.short)[1](key(n - 1)[at[own] - 1]))
             else:
-                found = self.shard(-1)[0](key(1)[at[own]])
+                found = self.short[0](key(1)[at[own]])
                 out[own] = np.where(np.isnan(found), self.info["unknown"], found) + backed
         return out
 

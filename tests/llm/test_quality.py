@@ -65,6 +65,21 @@ def test_perplexity_equals_plain_recursion(spark, monkeypatch, shard_rows, block
         assert math.exp(-total / len(text)) == pytest.approx(plain(text), rel=1e-9)
 
 
+def test_a_hot_character_fills_no_shard(spark, monkeypatch):
+    rng = np.random.default_rng(1)
+    words = ["".join(chr(97 + c) for c in rng.integers(0, 26, 2)) for _ in range(4000)]
+    texts = [" ".join(words[i : i + 200]) for i in range(0, 4000, 200)]
+    info = quality.publish(quality.model_table(quality.gram_counts(spark.createDataFrame([(t,) for t in texts], "text string"), "text")), 1000)
+    rows = {r["shard"]: r["count"] for r in spark.read.parquet(info["path"]).where("shard >= 0").groupBy("shard").count().collect()}
+    assert info["shards"] > 10 and max(rows.values()) < sum(rows.values()) / 10  # a third of all characters are spaces
+    monkeypatch.setattr(quality, "HELD_BYTES", 1)
+    reader, plain = quality.Reader(info), plain_model(texts)
+    asked = [*texts[:2], "it is not here"]
+    for text, total in zip(asked, reader.totals(asked), strict=True):
+        assert math.exp(-total / len(text)) == pytest.approx(plain(text), rel=1e-9)
+    assert len(reader.held) == 1
+
+
 def test_probabilities_sum_to_one(spark):
     train = spark.createDataFrame([(t,) for t in TRAIN], "text string")
     reader = quality.Reader(quality.publish(quality.model_table(quality.gram_counts(train, "text"))))
