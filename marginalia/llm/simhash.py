@@ -29,6 +29,7 @@ text may have any names; those that begin with two underscores are the stage's o
 
 from __future__ import annotations
 
+import functools
 import hashlib
 from collections.abc import Callable, Iterable, Iterator
 
@@ -582,10 +583,30 @@ def _sets(docs: DataFrame, owners: DataFrame, text: str, width: int) -> DataFram
     return map_rows(rows, with_fields(rows, [], "pid long, hashes array<long>"), make).dropDuplicates(["pid"])
 
 
+def tree_pairs(points: DataFrame) -> DataFrame:
+    """a, b: pairs of sets that operator 3's trees bring together, as the search of each of the WORDS fingerprints of a sketch finds them.
+
+    Sets with one fingerprint stand for it by the least of them. points: pid, sketch; a written table.
+    """
+    found = []
+    for word in range(WORDS):
+        held = points.select("pid", F.get("sketch", F.lit(word)).alias("fp"))
+        first = written(held.groupBy("fp").agg(F.min("pid").alias("of")), "simhash-fps")
+        stars = links(first.select("fp"))
+        for end in ("a", "b"):
+            stars = join_table(stars, first.select(F.col("fp").alias(end), F.col("of").alias(f"of_{end}")), [end], "inner")
+        stars = stars.select(F.col("of_a").alias("a"), F.col("of_b").alias("b"))
+        same = join_table(held, first, ["fp"], "inner").where("pid <> of").select(F.col("of").alias("a"), F.col("pid").alias("b"))
+        found.append(written(stars.unionByName(same).distinct(), "simhash-trees"))
+        discard(first)
+    return functools.reduce(DataFrame.unionByName, found)
+
+
 def jaccard_links(docs: DataFrame, points: DataFrame, text: str, width: int) -> DataFrame:
     """a, b: links between sets (named by pid) with the components that all pairs with a similarity of at least NEAR make.
 
-    Two such sets have one of their first shingles in common; the first of these leaves both enough others to share. The pivot of a shingle's list is the set with which most others share
+    Candidates come from the trees first (tree_pairs), whose radius finds the closest; the rest, which no such radius holds, is found exactly by shingles:
+    two similar sets have one of their first shingles in common; the first of these leaves both enough others to share. The pivot of a shingle's list is the set with which most others share
     shingles, as with the origin of many copies; first each set meets one pivot, the one that most of its lists have. Lists whose sets
     are all linked then drop out. Sets of the other lists that may be similar by their fingerprints make families, and
     within these the pairs that are not connected yet are compared. Every link is confirmed on the sets themselves, and only spanning
@@ -611,7 +632,8 @@ def jaccard_links(docs: DataFrame, points: DataFrame, text: str, width: int) ->
     pairs = shared_with.groupBy("b").agg(F.max(F.struct("c", "a")).alias("p")).select("p.a", "b")
     sketch = lambda name: of_set.select(F.col("pid").alias(name), F.col("sketch").alias(f"of_{name}"), F.col("size").alias(f"size_{name}"))
     differ = sum((F.bit_count(F.get("of_a", F.lit(i)).bitwiseXOR(F.get("of_b", F.lit(i)))) for i in range(WORDS)), F.lit(0))
-    pairs = written(pairs.join(sketch("b"), "b").join(sketch("a"), "a").where((differ <= FAR) | (F.least("size_a", "size_b") < SMALL)).select("a", "b"), "simhash-pairs")
+    pairs = pairs.join(sketch("b"), "b").join(sketch("a"), "a").where((differ <= FAR) | (F.least("size_a", "size_b") < SMALL)).select("a", "b")
+    pairs = written(tree_pairs(points).unionByName(pairs).distinct(), "simhash-pairs")
     asked = written(pairs.select(F.explode(F.array("a", "b")).alias("pid")).distinct().join(owner, "pid"), "simhash-asked")
     sets = written(_sets(docs, asked, text, width), "simhash-sets")
     first = written(_confirmed(pairs, sets), "simhash-links")

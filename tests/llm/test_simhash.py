@@ -184,6 +184,17 @@ def test_stage_catches_near_copies_and_keeps_others(spark):
     assert kept == list(range(40))
 
 
+def test_stage_finds_close_copies_by_the_trees(spark, monkeypatch):
+    """Without any candidates from shingles the trees alone bring close copies together."""
+    found = spark.createDataFrame([], "token long, pid long, rest int")
+    monkeypatch.setattr(simhash, "prefix_tokens", lambda *_: found)
+    rng = np.random.default_rng(5)
+    originals = [[f"word{x}" for x in rng.integers(0, 5000, 900)] for _ in range(20)]
+    texts = [" ".join(w) for w in originals] + [" ".join([*w[:450], "changed", *w[451:]]) for w in originals]
+    kept = simhash.keep_one(docs_table(spark, [(i, t, "en", "a") for i, t in enumerate(texts)]))
+    assert sorted(r["doc_id"] for r in kept.collect()) == list(range(20))
+
+
 def test_empty(spark):
     docs = docs_table(spark, [])
     assert simhash.near_duplicates(docs).count() == 0 and simhash.keep_one(docs).count() == 0
