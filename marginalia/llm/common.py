@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-import ctypes
-import gc
 from collections.abc import Callable, Iterator
 
 import pyarrow as pa
@@ -11,7 +9,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
-from ..shared import discard, new_path, open_fs, written  # noqa: F401  used by the operators
+from ..shared import discard, lean, new_path, open_fs, written  # noqa: F401  used by the operators
 
 #: A table of at most so many rows (of a few short columns) may be broadcast.
 BROADCAST_ROWS = 100_000
@@ -59,15 +57,6 @@ def hold(key: tuple, make: Callable):
     return _held[key]
 
 
-def lean() -> None:
-    """Gives the memory that earlier tasks of this worker process freed back to the system. Workers outlive stages, and allocators keep what their largest task took."""
-    gc.collect()
-    pa.default_memory_pool().release_unused()
-    trim = getattr(ctypes.CDLL(None), "malloc_trim", None)  # of glibc
-    if trim:
-        trim(0)
-
-
 def slices(batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
     """A batch in parts of about SLICE_BYTES, so that what Python makes of one stays small."""
     rows = max(1, batch.num_rows * SLICE_BYTES // max(batch.nbytes, 1))

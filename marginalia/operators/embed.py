@@ -5,6 +5,7 @@ The default model's vectors are made and searched as (bucket, count) entries; th
 
 from __future__ import annotations
 
+import hashlib
 from collections.abc import Callable
 
 import numpy as np
@@ -15,33 +16,52 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, FloatType
 
 from ..config import EmbedConfig
-from ..functions.text import buckets
+from ..functions.text import tokens
 
 #: Rows that become vectors at once.
 ROWS = 1_024
 ENTRIES = "array<struct<bucket:int,n:int>>"
+_ENTRIES = pa.list_(pa.struct([("bucket", pa.int32()), ("n", pa.int32())]))
 
 
-def sparse_bag(text: Column, config: EmbedConfig = EmbedConfig()) -> Column:
-    """Token counts by hash bucket, those that aren't zero, by bucket. Tokens are hashed in the JVM; a batch of their buckets is counted at once."""
+def words(text: Column, config: EmbedConfig = EmbedConfig()) -> Column:
+    """The tokens that count, an empty array for a null text."""
+    return F.coalesce(tokens(text, config.max_tokens), F.array().cast("array<string>"))
+
+
+def counted(found: pa.Array, dim: int) -> pa.Array:
+    """(bucket, n) entries of lists of tokens. Each token of a batch is hashed once, however often it stands there."""
+    parts = [_counted(found.slice(at, ROWS), dim) for at in range(0, len(found), ROWS)]
+    return pa.concat_arrays(parts) if parts else pa.array([], _ENTRIES)
+
+
+def _counted(found: pa.Array, dim: int) -> pa.Array:
+    sizes = np.diff(found.offsets.to_numpy())
+    coded = found.flatten().view(pa.binary()).dictionary_encode()
+    heads = b"".join(hashlib.md5(w, usedforsecurity=False).digest()[:4] for w in coded.dictionary.to_pylist())
+    bucket = (np.frombuffer(heads, ">u4") % dim).astype(np.int64)  # see functions.text.bucket
+    key, n = np.unique(bucket[coded.indices.to_numpy()] + np.repeat(np.arange(len(sizes)) * dim, sizes), return_counts=True)
+    offsets = np.searchsorted(key, np.arange(len(sizes) + 1) * dim)
+    values = pa.StructArray.from_arrays([pa.array(key % dim, pa.int32()), pa.array(n, pa.int32())], fields=list(_ENTRIES.value_type))
+    return pa.ListArray.from_arrays(pa.array(offsets, pa.int32()), values, type=_ENTRIES)
+
+
+def of_words(found: Column, config: EmbedConfig = EmbedConfig()) -> Column:
+    """Entries of arrays of tokens."""
     dim = config.dim
+    # deterministic, but not to be computed twice where a filter on the entries is pushed down
+    return F.arrow_udf(lambda found: counted(found, dim), ENTRIES).asNondeterministic()(found)
 
-    @F.arrow_udf(ENTRIES)
-    def counted(found: pa.Array) -> pa.Array:
-        sizes = np.diff(found.offsets.to_numpy())
-        flat = found.flatten().to_numpy(zero_copy_only=False).astype(np.int64)
-        key, n = np.unique(flat + np.repeat(np.arange(len(sizes)) * dim, sizes), return_counts=True)
-        offsets = np.searchsorted(key, np.arange(len(sizes) + 1) * dim)
-        values = pa.StructArray.from_arrays([pa.array(key % dim, pa.int32()), pa.array(n, pa.int32())], ["bucket", "n"])
-        return pa.ListArray.from_arrays(pa.array(offsets, pa.int32()), values)
 
-    return counted(F.coalesce(buckets(text, dim, config.max_tokens), F.array().cast("array<int>")))
+def sparse_bag(text: Column, config: EmbedConfig = EmbedConfig()) -> Column:
+    """Token counts by hash bucket, those that aren't zero, by bucket. Texts are split in the JVM, a batch of their tokens is hashed and counted at once."""
+    return of_words(words(text, config), config)
 
 
-def matrix(entries: pa.Array, dim: int) -> np.ndarray:
+def matrix(entries: pa.Array, dim: int, kind: type = np.float32) -> np.ndarray:
     """One dense row per list of (bucket, n)."""
     sizes, flat = np.diff(entries.offsets.to_numpy()), entries.flatten()
-    out = np.zeros((len(sizes), dim), np.float32)
+    out = np.zeros((len(sizes), dim), kind)
     out[np.repeat(np.arange(len(sizes)), sizes), flat.field("bucket").to_numpy()] = flat.field("n").to_numpy()
     return out
 
@@ -63,6 +83,11 @@ def embed_sparse(rows: DataFrame, config: EmbedConfig = EmbedConfig(), text: str
     return rows.withColumn("entries", sparse_bag(F.col(text), config))
 
 
+def with_words(rows: DataFrame, config: EmbedConfig = EmbedConfig(), text: str = "text") -> DataFrame:
+    """Adds tokens, from which a search makes the default model's vectors itself."""
+    return rows.withColumn("tokens", words(F.col(text), config))
+
+
 def hashed_bag(text: Column, config: EmbedConfig = EmbedConfig()) -> Column:
     """Token counts by hash bucket."""
     return dense(sparse_bag(text, config), config)

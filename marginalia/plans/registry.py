@@ -60,7 +60,7 @@ def found(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The five nearest chunks of each question, with their payloads."""
     stored = numbered(spark, sf_dir)
     asked = embed.embed_sparse(questions(spark, sf_dir), text="query")
-    hits = search.knn_sparse(asked, embed.embed_sparse(stored))
+    hits = search.knn_sparse(asked, embed.with_words(stored))
     return search.project_payload(hits, stored.select("id", F.struct("text", "source").alias("payload")))
 
 

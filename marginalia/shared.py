@@ -2,9 +2,12 @@
 
 from __future__ import annotations
 
+import ctypes
+import gc
 import tempfile
 import uuid
 
+import pyarrow as pa
 from pyarrow import fs as pafs
 from pyspark.sql import DataFrame, SparkSession
 
@@ -76,3 +79,13 @@ def discard(table: DataFrame) -> None:
         if run_dir(spark).rpartition("/")[2] in path:
             fs, at = hadoop_fs(spark, path)
             fs.delete(at, True)
+
+
+def lean() -> None:
+    """Gives the memory that earlier tasks of this worker process freed back to the system. Workers outlive stages, and allocators keep what their largest task took."""
+    gc.collect()
+    pa.default_memory_pool().release_unused()
+    libc = ctypes.CDLL(None)
+    if hasattr(libc, "malloc_trim"):  # glibc
+        libc.mallopt(-3, 1 << 20)  # M_MMAP_THRESHOLD: larger blocks go back when they are freed; unset, it grows to 32 MB with the blocks
+        libc.malloc_trim(0)

@@ -1,5 +1,6 @@
 """Hand-written inputs for the retrieval operators."""
 
+import hashlib
 import shutil
 import subprocess
 import sys
@@ -37,6 +38,36 @@ def test_chunk_counts(spark):
     assert same.count() == 0
 
 
+def test_windows_are_cut_from_blocks(spark):
+    texts = ["a é漢😀\n"[i % 5 :] * i for i in range(0, 90, 7)] + [" " * 50]
+    rows = docs(spark, *texts)
+    for size, overlap in ((4, 1), (9, 8), (5, 0)):
+        stride = size - overlap
+        want = []
+        for i, t in enumerate(texts):
+            cut = [t[a : a + size].strip() for a in range(0, max(len(t) - size, 0) + stride, stride)]
+            want += [(i, k, w) for k, w in enumerate(w for w in cut if w)]
+        got = chunk.chunk_window(rows, ChunkConfig(size=size, overlap=overlap))
+        assert sorted((r["doc_id"], r["chunk_idx"], r["text"]) for r in got.collect()) == sorted(want)
+    # a window is taken from a block, never from its whole text
+    assert "flatten" in chunk.chunk_window(rows)._jdf.queryExecution().optimizedPlan().toString()
+
+
+def test_tokens_are_counted_by_one_worker_once(spark, sf_dir):
+    plan = lambda rows: rows._jdf.queryExecution().executedPlan().toString()
+    rows = docs(spark, "a b a", "c", None)
+    entries = embed.embed_sparse(rows).select("doc_id", F.inline("entries"))
+    assert plan(entries).count("ArrowEvalPython") == 1 and "md5" not in plan(entries)
+    asked = embed.embed_sparse(rows.select(F.col("doc_id").alias("query_id"), "text"))
+    points_ = rows.withColumnRenamed("doc_id", "id")
+    found = search.knn_sparse(asked, embed.with_words(points_))
+    assert "ArrowEvalPython" not in plan(found)
+    assert sorted(found.collect()) == sorted(search.knn_sparse(asked, embed.embed_sparse(points_)).collect())
+    plain = {(r["doc_id"], r["bucket"]): r["n"] for r in entries.collect()}
+    bucket = lambda w: int(hashlib.md5(w.encode()).hexdigest()[:8], 16) % 1024
+    assert plain == {(0, bucket("a")): 2, (0, bucket("b")): 1, (1, bucket("c")): 1}
+
+
 def plain_split(text, config, separators=None):
     """The rules of recursive chunks, piece by piece."""
     separators = config.separators if separators is None else separators
