@@ -9,7 +9,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
-from ..shared import discard, lean, new_path, open_fs, written  # noqa: F401  used by the operators
+from ..shared import discard, lean, lean_driver, new_path, open_fs, written  # noqa: F401  used by the operators
 
 #: A table of at most so many rows (of a few short columns) may be broadcast.
 BROADCAST_ROWS = 100_000

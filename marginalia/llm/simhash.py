@@ -29,7 +29,6 @@ text may have any names; those that begin with two underscores are the stage's o
 
 from __future__ import annotations
 
-import functools
 import hashlib
 from collections.abc import Callable, Iterable, Iterator
 
@@ -40,7 +39,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import discard, join_table, lean, map_rows, slices, with_fields, written
+from .common import discard, join_table, lean, lean_driver, map_rows, slices, with_fields, written
 
 SEED = 42
 #: About so many fingerprints, and never twice as many, are fetched to fit the trees on.
@@ -205,29 +204,41 @@ def link_leaf(fps: np.ndarray, home: np.ndarray, radius: int, block: tuple[int,
     return out
 
 
-def links(fps: DataFrame, radius: int = 3, blocks: int = 2, leaf: int = LEAF) -> DataFrame:
-    """a, b: stars that connect exactly what is linked by fingerprints (fp, distinct rows) within radius."""
+def links(fps: DataFrame, radius: int = 3, blocks: int = 2, leaf: int = LEAF, words: int = 1, name: str = "fp") -> DataFrame:
+    """a, b: stars that connect exactly what is linked by fingerprints (fp, distinct rows) within radius.
+
+    words: fingerprints of so many kinds (word, from 0) are searched at once, each kind by itself. name: the column that stands for a fingerprint in the result.
+    """
     spark = fps.sparkSession
     n = fps.count()
-    parts = cut(64, blocks)
+    parts = cut(64, blocks) * words
     within = radius // blocks
+    fps = fps.select(*dict.fromkeys(["fp", name]), F.col("word") if words > 1 else F.lit(0).alias("word"))
     few = fps
     if n > SAMPLE:  # those whose hash is low
         few = few.where(F.pmod(F.xxhash64("fp"), F.lit(1 << 30)) < int(SAMPLE / n * (1 << 30)))
-    sample = np.sort(few.limit(2 * SAMPLE).toPandas()["fp"].to_numpy(np.int64)).view(np.uint64)
-    least = max(4, leaf * len(sample) // max(n, 1))
-    trees = [Tree(np.unique(code(sample, p)) if len(sample) else np.zeros(1, np.uint64), least) for p in parts]
+    drawn = few.select("fp", "word").limit(2 * SAMPLE).toArrow()  # without a Python object for each row
+    kind = drawn["word"].to_numpy()
+    samples = [np.sort(drawn["fp"].to_numpy()[kind == w]).view(np.uint64) for w in range(words) for _ in range(blocks)]
+    least = max(4, leaf * len(kind) // max(n, 1))
+    scale = n / max(len(kind), 1)
+    del drawn, kind
+    trees = [Tree(np.unique(code(x, p)) if len(x) else np.zeros(1, np.uint64), least) for x, p in zip(samples, parts, strict=True)]
     sizes = [t.leaves for t in trees]
     first = np.concatenate([[0], np.cumsum(sizes)])
-    per_shard = max(1, int(first[-1]) * leaf // max(len(parts) * n, 1))  # small leaves share a group
-    n_i, n_j = _cuts(trees, parts, first, sample, n, within)
+    per_shard = max(1, int(first[-1]) * leaf // max(blocks * n, 1))  # small leaves share a group
+    n_i, n_j = _cuts(trees, parts, first, samples, scale, within)
     known = spark.sparkContext.broadcast((trees, n_i, n_j))
+    del samples
+
+    kept = list(dict.fromkeys(["fp", name]))
 
     def route(batches):
         trees, n_i, n_j = known.value
-        for pdf in batches:
-            held = pdf["fp"].to_numpy(np.int64).view(np.uint64)
-            for b, p in enumerate(parts):
+        for pdf in (of_kind for whole in batches for _, of_kind in whole.groupby("word")):
+            held, names = pdf["fp"].to_numpy(np.int64).view(np.uint64), {c: pdf[c].to_numpy(np.int64) for c in kept}
+            start = int(pdf["word"].iloc[0]) * blocks
+            for b, p in enumerate(parts[start : start + blocks], start):
                 who, to, home = trees[b].visits(code(held, p), within)
                 own = np.zeros(len(held), np.int64)
                 own[who[home]] = to[home]
@@ -238,29 +249,29 @@ def links(fps: DataFrame, radius: int = 3, blocks: int = 2, leaf: int = LEAF) ->
                 # all points of a leaf go to their part j, once for each part of home points; home points to their part i, once for each part j
                 times = n_i[to]
                 meet = _repeated(times)
-                yield pd.DataFrame({"shard": np.repeat(to // per_shard, times), "leaf": np.repeat(to, times), "i": meet, "j": np.repeat(j, times), "home": np.repeat(home & (n_j[to] == 1), times) & (np.repeat(i, times) == meet), "fp": pdf["fp"].to_numpy()[np.repeat(who, times)]})
+                yield pd.DataFrame({"shard": np.repeat(to // per_shard, times), "leaf": np.repeat(to, times), "i": meet, "j": np.repeat(j, times), "home": np.repeat(home & (n_j[to] == 1), times) & (np.repeat(i, times) == meet), **{c: x[np.repeat(who, times)] for c, x in names.items()}})
                 split = home & (n_j[to] > 1)
                 if split.any():
                     who, to, i, times = who[split], to[split], i[split], n_j[to[split]]
-                    yield pd.DataFrame({"shard": np.repeat(to // per_shard, times), "leaf": np.repeat(to, times), "i": np.repeat(i, times), "j": _repeated(times), "home": True, "fp": pdf["fp"].to_numpy()[np.repeat(who, times)]})
+                    yield pd.DataFrame({"shard": np.repeat(to // per_shard, times), "leaf": np.repeat(to, times), "i": np.repeat(i, times), "j": _repeated(times), "home": True, **{c: x[np.repeat(who, times)] for c, x in names.items()}})
 
     def shard(pdf: pd.DataFrame) -> pd.DataFrame:
-        leaves, fp, home = pdf["leaf"].to_numpy(), pdf["fp"].to_numpy(np.int64), pdf["home"].to_numpy(bool)
+        leaves, fp, home, named = pdf["leaf"].to_numpy(), pdf["fp"].to_numpy(np.int64), pdf["home"].to_numpy(bool), pdf[name].to_numpy(np.int64)
         order = np.lexsort((home, fp, leaves))
-        leaves, fp, home = leaves[order], fp[order], home[order]
+        leaves, fp, home, named = leaves[order], fp[order], home[order], named[order]
         last = np.append((leaves[1:] != leaves[:-1]) | (fp[1:] != fp[:-1]), True)  # a home point may also stand there as one of all points
-        leaves, fp, home = leaves[last], fp[last], home[last]
+        leaves, fp, home, named = leaves[last], fp[last], home[last], named[last]
         block = np.searchsorted(first, leaves, "right") - 1
         edges = np.flatnonzero(np.diff(leaves, prepend=leaves[0] - 1, append=leaves[-1] + 1))
         found = [pd.DataFrame({"a": np.empty(0, np.int64), "b": np.empty(0, np.int64)})]
         for a, b in zip(edges, edges[1:], strict=False):
             if b - a > 1:
-                own = fp[a:b]
-                for member, top in link_leaf(own.view(np.uint64), home[a:b], radius, parts[block[a]], within):
+                own = named[a:b]
+                for member, top in link_leaf(fp[a:b].view(np.uint64), home[a:b], radius, parts[block[a]], within):
                     found.append(pd.DataFrame({"a": own[top], "b": own[member]}))
         return pd.concat(found)
 
-    routed = fps.select("fp").mapInPandas(route, "shard long, leaf long, i long, j long, home boolean, fp long")
+    routed = fps.mapInPandas(route, f"shard long, leaf long, i long, j long, home boolean, {', '.join(f'{c} long' for c in kept)}")
     return written(routed.groupBy("shard", "i", "j").applyInPandas(shard, "a long, b long"), "simhash-stars")
 
 
@@ -269,17 +280,16 @@ def _repeated(times: np.ndarray) -> np.ndarray:
     return np.arange(times.sum()) - np.repeat(np.cumsum(times) - times, times)
 
 
-def _cuts(trees: list[Tree], parts: list[tuple[int, int]], first: np.ndarray, sample: np.ndarray, n: int, within: int) -> tuple[np.ndarray, np.ndarray]:
+def _cuts(trees: list[Tree], parts: list[tuple[int, int]], first: np.ndarray, samples: list[np.ndarray], scale: float, within: int) -> tuple[np.ndarray, np.ndarray]:
     """Parts of the home points and of all points of each leaf, each pair of which meets in a task of its own.
 
-    Expected from the sample: leaves of up to PART points stay whole.
+    Expected from the samples, one a tree, whose points stand for scale points each: leaves of up to PART points stay whole.
     """
     homes, all_of = np.zeros(int(first[-1])), np.zeros(int(first[-1]))
-    for b, (tree, p) in enumerate(zip(trees, parts, strict=True)):
+    for b, (tree, p, sample) in enumerate(zip(trees, parts, samples, strict=True)):
         _, to, home = tree.visits(code(sample, p), within)
         homes += np.bincount(first[b] + to[home], minlength=len(homes))
         all_of += np.bincount(first[b] + to, minlength=len(homes))
-    scale = n / max(len(sample), 1)
     parts_of = lambda x: np.maximum(1, np.ceil(x * scale / PART)).astype(np.int64)
     large = all_of * scale > PART
     return np.where(large, parts_of(homes), 1), np.where(large, parts_of(all_of), 1)
@@ -288,7 +298,7 @@ def _cuts(trees: list[Tree], parts: list[tuple[int, int]], first: np.ndarray, sa
 def components(stars: DataFrame) -> DataFrame:
     """node, root (the least node that is reachable) of all nodes in stars (a, b)."""
     edges = written(stars.where("a <> b").select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).distinct(), "cc-edges")
-    while True:
+    while not _are_stars(edges):
         both = edges.unionByName(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
         least = both.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("m"))
         # large star: neighbours above a node go to the least neighbour
@@ -298,12 +308,17 @@ def components(stars: DataFrame) -> DataFrame:
         least = large.groupBy("u").agg(F.min("v").alias("m"))
         small = large.join(least, "u").select(F.explode(F.array(F.struct(F.col("v").alias("u"), F.col("m").alias("v")), F.struct("u", F.col("m").alias("v")))).alias("e"))
         small = written(small.select("e.u", "e.v").where("u <> v").distinct(), "cc-small")
-        same = small.count() == edges.count() and small.join(edges, ["u", "v"], "left_anti").limit(1).count() == 0
         discard(edges)
         discard(written_large)
         edges = small
-        if same:
-            return edges.select(F.col("u").alias("node"), F.col("v").alias("root")).unionByName(edges.select(F.col("v").alias("node"), F.col("v").alias("root")).distinct())
+    return edges.select(F.col("u").alias("node"), F.col("v").alias("root")).unionByName(edges.select(F.col("v").alias("node"), F.col("v").alias("root")).distinct())
+
+
+def _are_stars(edges: DataFrame) -> bool:
+    """Whether each node above another (u) has one edge, to a node (v) that is above none. Components are then read off the edges."""
+    ends = edges.select("u", F.lit(1).alias("above")).unionByName(edges.select(F.col("v").alias("u"), F.lit(0).alias("above")))
+    odd = ends.groupBy("u").agg(F.sum("above").alias("above"), F.min("above").alias("least")).where("above > 1 or above > 0 and least = 0")
+    return odd.limit(1).count() == 0
 
 
 def _with_roots(points: DataFrame, stars: DataFrame, name: str) -> DataFrame:
@@ -364,8 +379,8 @@ def frequent_shingles(docs: DataFrame, text: str, width: int) -> np.ndarray:
             yield pa.RecordBatch.from_pydict({"token": pa.array(np.concatenate(found).view(np.int64) if found else [], pa.int64())})
 
     counts = some.mapInArrow(run, "token long").groupBy("token").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") >= HOT_LEAST)
-    hot = counts.orderBy(F.desc("n"), "token").limit(HOT_MOST).toPandas()
-    return hot["token"].to_numpy(np.int64)[::-1].copy().view(np.uint64)
+    hot = counts.orderBy(F.desc("n"), "token").limit(HOT_MOST).select("token").toArrow()
+    return hot["token"].to_numpy()[::-1].copy().view(np.uint64)
 
 
 def prefix_tokens(docs: DataFrame, hot: np.ndarray, text: str, width: int) -> DataFrame:
@@ -588,18 +603,13 @@ def tree_pairs(points: DataFrame) -> DataFrame:
 
     Sets with one fingerprint stand for it by the least of them. points: pid, sketch; a written table.
     """
-    found = []
-    for word in range(WORDS):
-        held = points.select("pid", F.get("sketch", F.lit(word)).alias("fp"))
-        first = written(held.groupBy("fp").agg(F.min("pid").alias("of")), "simhash-fps")
-        stars = links(first.select("fp"))
-        for end in ("a", "b"):
-            stars = join_table(stars, first.select(F.col("fp").alias(end), F.col("of").alias(f"of_{end}")), [end], "inner")
-        stars = stars.select(F.col("of_a").alias("a"), F.col("of_b").alias("b"))
-        same = join_table(held, first, ["fp"], "inner").where("pid <> of").select(F.col("of").alias("a"), F.col("pid").alias("b"))
-        found.append(written(stars.unionByName(same).distinct(), "simhash-trees"))
-        discard(first)
-    return functools.reduce(DataFrame.unionByName, found)
+    held = points.select("pid", F.posexplode("sketch").alias("word", "fp"))
+    first = written(held.groupBy("word", "fp").agg(F.min("pid").alias("of"), F.count(F.lit(1)).alias("n")), "simhash-fps")
+    stars = links(first.select("word", "fp", "of"), words=WORDS, name="of")  # one search for all words: four made four times the jobs, which the driver remembers
+    same = join_table(held, first.where("n > 1").drop("n"), ["word", "fp"], "inner").where("pid <> of").select(F.col("of").alias("a"), F.col("pid").alias("b"))
+    found = written(stars.unionByName(same).distinct(), "simhash-trees")
+    discard(first)
+    return found
 
 
 def jaccard_links(docs: DataFrame, points: DataFrame, text: str, width: int) -> DataFrame:
@@ -633,7 +643,10 @@ def jaccard_links(docs: DataFrame, points: DataFrame, text: str, width: int) ->
     sketch = lambda name: of_set.select(F.col("pid").alias(name), F.col("sketch").alias(f"of_{name}"), F.col("size").alias(f"size_{name}"))
     differ = sum((F.bit_count(F.get("of_a", F.lit(i)).bitwiseXOR(F.get("of_b", F.lit(i)))) for i in range(WORDS)), F.lit(0))
     pairs = pairs.join(sketch("b"), "b").join(sketch("a"), "a").where((differ <= FAR) | (F.least("size_a", "size_b") < SMALL)).select("a", "b")
-    pairs = written(tree_pairs(points).unionByName(pairs).distinct(), "simhash-pairs")
+    near = tree_pairs(points)
+    lean_driver(docs.sparkSession)
+    pairs = written(near.unionByName(pairs).distinct(), "simhash-pairs")
+    lean_driver(docs.sparkSession)
     asked = written(pairs.select(F.explode(F.array("a", "b")).alias("pid")).distinct().join(owner, "pid"), "simhash-asked")
     sets = written(_sets(docs, asked, text, width), "simhash-sets")
     first = written(_confirmed(pairs, sets), "simhash-links")
@@ -644,6 +657,7 @@ def jaccard_links(docs: DataFrame, points: DataFrame, text: str, width: int) ->
     mixed = now.groupBy("token").agg(F.min("root").alias("lo"), F.max("root").alias("hi"), F.max("n").alias("size_of")).where("lo < hi").select("token", "size_of")
     left = _by_token(now, written(mixed, "simhash-mixed")).drop("size_of")
     left = join_table(left, of_set.select("pid", "size", "sketch"), ["pid"], "inner", hot=False)
+    lean_driver(docs.sparkSession)
     near = written(families(left, now.count() // LIST_ROWS + 1), "simhash-near")
     family = written(components(near).select(F.col("node").alias("pid"), F.col("root").alias("family")), "simhash-families")
     counts = written(family.groupBy("family").agg(F.count(F.lit(1)).alias("n")), "simhash-counts")
@@ -674,6 +688,7 @@ def keep_one(docs: DataFrame, text: str = "text", **options) -> DataFrame:
     keyed = docs.select("doc_id", key.alias("key"), F.md5(F.coalesce(F.col(text), F.lit(""))).alias("digest"), F.col(text).alias("text"))
     rows = written(map_rows(keyed, with_fields(keyed, ["doc_id", "key", "digest"], "pid long, size long, sketch array<long>"), make), "simhash-rows")
     first = F.struct(F.col("doc_id").isNull().alias("null_id"), "doc_id", "digest", "key")
+    lean_driver(docs.sparkSession)  # before this stage it may have trained a model
     points = written(rows.groupBy("pid").agg(F.min(first).alias("first"), F.first("size").alias("size"), F.first("sketch").alias("sketch")), "simhash-points")
     links_found = jaccard_links(keyed.select("key", "text"), points.select("pid", "size", "sketch", "first.key"), "text", width)
     rooted = written(_with_roots(points, links_found, "pid"), "simhash-rooted")

@@ -287,6 +287,8 @@ def fit(docs: DataFrame, labels: DataFrame, label: str = "toxic", per_class: int
     texts = [r["text"] for r in found]
     fitted, held = [t for t, b in zip(texts, back, strict=True) if not b], [t for t, b in zip(texts, back, strict=True) if b]
     model = min((train(fitted, y[~back].tolist(), seed=seed) for seed in SEEDS), key=lambda m: loss(m, held, y[back]))
+    del fitted, held
+    lean()  # the driver goes on with the model alone
     seen = docs.sparkSession.createDataFrame([(o,) for o in sorted({r["o"] for r, b in zip(found, back, strict=True) if not b})], "o string")
     rest = usable.withColumn("o", order).join(F.broadcast(seen), "o", "left_anti")
     labels_of = written(rest.groupBy("doc_id").agg(F.count(F.when(F.col("__label") == 0, 1)).alias("clean"), F.count(F.when(F.col("__label") == 1, 1)).alias("toxic")), "toxicity-labels")

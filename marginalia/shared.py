@@ -89,3 +89,9 @@ def lean() -> None:
     if hasattr(libc, "malloc_trim"):  # glibc
         libc.mallopt(-3, 1 << 20)  # M_MMAP_THRESHOLD: larger blocks go back when they are freed; unset, it grows to 32 MB with the blocks
         libc.malloc_trim(0)
+
+
+def lean_driver(spark: SparkSession) -> None:
+    """The same for the driver, between the steps of a long job: its Python, and the heap that its JVM took for plans of earlier steps."""
+    lean()
+    spark._jvm.System.gc()

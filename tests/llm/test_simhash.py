@@ -195,6 +195,45 @@ def test_stage_finds_close_copies_by_the_trees(spark, monkeypatch):
     assert sorted(r["doc_id"] for r in kept.collect()) == list(range(20))
 
 
+def test_words_of_a_sketch_are_searched_at_once(spark, monkeypatch):
+    """One search, fetched without a Python object for each row, links what each word links by itself."""
+    rng, calls, search = np.random.default_rng(6), [], simhash.links
+    words = [chain(rng, 140)[:100] for _ in range(simhash.WORDS)]
+    words[1][:40] = [words[1][0]] * 40  # one fingerprint of many sets
+    signed = [[int(np.uint64(x).astype(np.int64)) for x in w] for w in words]
+    points = spark.createDataFrame([(pid, [w[pid] for w in signed]) for pid in range(100)], "pid long, sketch array<long>")
+
+    def once(*args, **options):
+        calls.append(args)
+        return search(*args, **options)
+
+    def refused(*_):
+        raise AssertionError("rows are fetched one by one")
+
+    monkeypatch.setattr(simhash, "links", once)
+    monkeypatch.setattr(type(points), "toPandas", refused)
+    found = simhash.tree_pairs(simhash.written(points, "points"))
+    assert len(calls) == 1
+    pairs = [(r["a"], r["b"]) for r in found.collect()]
+    near = {(a, b): min((w[a] ^ w[b]).bit_count() for w in words) <= 3 for a in range(100) for b in range(100)}
+    edges = lambda ps: spark.createDataFrame(list(ps), "a long, b long")
+    roots = lambda ps: {r["node"]: r["root"] for r in simhash.components(edges(ps)).collect()}
+    assert roots(pairs) == roots([p for p, ok in near.items() if ok and p[0] < p[1]])
+
+
+def test_stars_take_no_step(spark, monkeypatch):
+    names, write = [], simhash.written
+
+    def named(table, name):
+        names.append(name)
+        return write(table, name)
+
+    monkeypatch.setattr(simhash, "written", named)
+    got = {r["node"]: r["root"] for r in simhash.components(spark.createDataFrame([(1, 2), (3, 1), (9, 8)], "a long, b long")).collect()}
+    assert got == {1: 1, 2: 1, 3: 1, 8: 8, 9: 8}
+    assert names == ["cc-edges"]
+
+
 def test_empty(spark):
     docs = docs_table(spark, [])
     assert simhash.near_duplicates(docs).count() == 0 and simhash.keep_one(docs).count() == 0
