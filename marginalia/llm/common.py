@@ -25,8 +25,9 @@ def join_table(big: DataFrame, table: DataFrame, keys: list[str], how: str = "le
     The table is broadcast if a count shows at most BROADCAST_ROWS rows. A larger one
     is repeated once per salt, and each row of the big side takes one salt by a hash of its columns (a task that runs again deals its rows as before), so that a
     hot key is dealt over SALTS tasks; not so with hot=False, for keys that few rows of the big
-    side share. The table must already be written (it is counted). weight: how many short rows a row
-    with arrays stands for.
+    side share. A larger table is always merged: by the size of its files Spark would still broadcast it, as ids take
+    a few bytes each there, some hundred in a broadcast, and salts aren't counted. The table must already be written (it is counted).
+    weight: how many short rows a row with arrays stands for.
     """
     names = {k: f"__t_{k}" for k in keys}
     small = table.select(*[F.col(k).alias(names[k]) if k in names else F.col(k) for k in table.columns])
@@ -35,8 +36,8 @@ def join_table(big: DataFrame, table: DataFrame, keys: list[str], how: str = "le
     if rows <= BROADCAST_ROWS:
         return big.join(F.broadcast(small), on, how).drop(*names.values())
     if not hot:
-        return big.join(small, on, how).drop(*names.values())
-    small = small.withColumn("__t_salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
+        return big.join(small.hint("merge"), on, how).drop(*names.values())
+    small = small.withColumn("__t_salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1)))).hint("merge")
     hashed = [f.name for f in big.schema.fields if "map<" not in f.dataType.simpleString()]
     salted = big.withColumn("__salt", F.pmod(F.xxhash64(*[F.col(f"`{c}`") for c in hashed]), F.lit(SALTS)).cast("int"))
     return salted.join(small, [*on, F.col("__salt") == F.col("__t_salt")], how).drop("__salt", "__t_salt", *names.values())
