@@ -292,7 +292,7 @@ def fit(docs: DataFrame, labels: DataFrame, label: str = "toxic", per_class: int
     seen = docs.sparkSession.createDataFrame([(o,) for o in sorted({r["o"] for r, b in zip(found, back, strict=True) if not b})], "o string")
     rest = usable.withColumn("o", order).join(F.broadcast(seen), "o", "left_anti")
     labels_of = written(rest.groupBy("doc_id").agg(F.count(F.when(F.col("__label") == 0, 1)).alias("clean"), F.count(F.when(F.col("__label") == 1, 1)).alias("toxic")), "toxicity-labels")
-    bins = histogram(docs, labels_of, model)
+    bins = histogram(docs.where(F.col("doc_id").isNotNull() & ~held_out()), labels_of, model)  # the others have no label here, so their texts need not be joined
     if not 0 < bins["toxic"].sum() or not 0 < bins["clean"].sum():
         scorer = Scorer(model)
         logits = np.array([np.floor(scorer.logit(r["text"]) * BINS) for r in found], np.int64)

@@ -135,3 +135,12 @@ def test_cut_of_counts_equals_cut_of_rows():
     for near in (None, 0.5):
         a, b = toxicity.best_cut(scores, y, near), toxicity.best_cut(places[0], places[1].astype(int), near, counts)
         assert a == pytest.approx(b)
+
+
+def test_held_out_texts_are_not_joined(spark, monkeypatch):
+    met, join = [], toxicity.join_table
+    monkeypatch.setattr(toxicity, "join_table", lambda big, *a: (met.append(big), join(big, *a))[1])
+    rows = [(i, "scum word" if i % 3 == 0 else "word", "en", "a") for i in range(300)] + [(None, "word", "en", "a")]
+    labels = spark.createDataFrame([(i, int(i % 3 == 0)) for i in range(300)], "doc_id long, toxic int")
+    toxicity.fit(docs_table(spark, rows), labels, per_class=20)
+    assert sorted(r["doc_id"] for r in met[0].select("doc_id").collect()) == [i for i in range(300) if zlib.crc32(str(i).encode()) % 5]
