@@ -10,6 +10,7 @@ one, since all that a position needs beyond bigrams lies in the shard of its two
 character, are a shard of their own that every task holds; their number is that of pairs of characters that occur, so it hardly grows
 with the corpus. No single character, as the space, so fills a shard; the rows of one pair of characters do stay together.
 
+Texts meet the trusted ids for training only, without those held back; the held-back ones meet them when they are scored, as narrow rows.
 Scoring reads the documents once. Tasks hold the shards they have read, up to HELD_BYTES or one shard (some 24 bytes a row, SHARD_ROWS rows
 on average), ask those first, and read the others again for each slice of texts. It is no join of the documents' n-grams
 with the model: that would shuffle some 1,900 rows per document (README). A document's
@@ -321,18 +322,19 @@ def held_back(doc_id: str = "doc_id") -> Column:
 
 def classify(docs: DataFrame, trusted: DataFrame, text: str = "text", lang: str = "lang", quantile: float = QUANTILE, slack: float = SLACK) -> DataFrame:
     """doc_id, lang, n_chars_scored, perplexity, threshold, keep of every row. trusted: doc_id of trusted texts."""
-    names = written(trusted.select("doc_id").where("doc_id is not null").distinct().withColumn("__trusted", F.lit(True)), "kn-trusted")
-    marked = join_table(docs.select("doc_id", F.col(lang).alias("lang"), F.col(text).alias("text")), names, ["doc_id"])
-    marked = marked.withColumn("__use", F.when(F.col("__trusted"), F.when(held_back(), "calibrate").otherwise("train")))
-    info = publish(model_table(gram_counts(marked.where("__use = 'train'"), "text")))
-    scored = written(with_perplexity(marked, info, ["doc_id", "lang", "__use"]), "kn-scored")
+    names = written(trusted.select("doc_id").where("doc_id is not null").distinct(), "kn-trusted")
+    rows = docs.select("doc_id", F.col(lang).alias("lang"), F.col(text).alias("text"))
+    train = join_table(rows.where(F.col("doc_id").isNotNull() & ~held_back()).select("doc_id", "text"), names, ["doc_id"], "left_semi")
+    info = publish(model_table(gram_counts(train, "text")))
+    scored = written(with_perplexity(rows, info, ["doc_id", "lang"]), "kn-scored")
     if not info["rows"]:
         return scored.select("doc_id", "lang", "n_chars_scored", F.lit(None).cast("double").alias("perplexity"), F.lit(None).cast("double").alias("threshold"), F.lit(False).alias("keep"))
-    held = scored.where("__use = 'calibrate' and perplexity is not null")
+    of_trusted = lambda some: join_table(some.where("perplexity is not null"), names, ["doc_id"], "left_semi")
+    held = written(of_trusted(scored.where(held_back())), "kn-held")
     level = F.percentile_approx("perplexity", F.lit(quantile), F.lit(10_000))
     overall = held.agg(level.alias("t")).first()["t"]
     if overall is None:
-        overall = scored.where("__use is not null").agg(level.alias("t")).first()["t"]
+        overall = of_trusted(scored).agg(level.alias("t")).first()["t"]
     by_lang = held.groupBy("lang").agg(level.alias("__t"), F.count(F.lit(1)).alias("__n")).where(F.col("__n") >= LEAST).select("lang", "__t")
     out = join_table(scored, written(by_lang, "kn-thresholds"), ["lang"])
     out = out.withColumn("threshold", F.coalesce("__t", F.lit(overall).cast("double")) * slack)

@@ -144,3 +144,15 @@ def test_query_keeps_good_documents(spark):
     labels = spark.read.parquet(f"{d}/labels.parquet").collect()
     good, bad = [r["doc_id"] in kept for r in labels if r["quality"] == 1], [r["doc_id"] in kept for r in labels if r["quality"] == 0]
     assert np.mean(good) > 0.95 and np.mean(bad) < 0.3
+
+
+def test_only_texts_for_training_are_joined(spark, monkeypatch):
+    """Whole texts meet the trusted ids once; those that calibrate meet them as scores."""
+    met, join = [], quality.join_table
+    monkeypatch.setattr(quality, "join_table", lambda big, *a: (met.append(big), join(big, *a))[1])
+    trusted = spark.createDataFrame([(i,) for i in range(0, 200, 2)], "doc_id long")
+    rows = [(i, "the cat sat on the mat", "en", "a") for i in range(200)]
+    got = quality.classify(docs_table(spark, rows), trusted)
+    assert got.count() == 200 and got.where("keep").count() == 200
+    wide = [big for big in met if "text" in big.columns]
+    assert len(wide) == 1 and wide[0].count() < 200 and wide[0].where(quality.held_back()).count() == 0
